@@ -39,6 +39,17 @@ def token_for(pii_type: str, value: Column, request_id: Column, secret: str) ->
     )
 
 
+def _pair_fn(pii_type: str, request_id: Column, secret: str):
+    def pair(m: Column) -> Column:
+        return F.struct(
+            token_for(pii_type, m, request_id, secret).alias("token"),
+            F.lit(pii_type).alias("pii_type"),
+            m.alias("value"),
+        )
+
+    return pair
+
+
 def tokenize_steps(
     text: Column, request_id: Column, types: list[str], secret: str
 ) -> list[tuple[str, Column]]:
@@ -52,14 +63,7 @@ def tokenize_steps(
     for k, t in enumerate(types):
         regex = pii.pattern(t)
         found = pii.matches(current, t)
-        pairs = F.transform(
-            found,
-            lambda m, _t=t: F.struct(
-                token_for(_t, m, request_id, secret).alias("token"),
-                F.lit(_t).alias("pii_type"),
-                m.alias("value"),
-            ),
-        )
+        pairs = F.transform(found, _pair_fn(t, request_id, secret))
         steps.append((f"__vp{k}", pairs))
         new_text = F.when(
             F.size(F.col(f"__vp{k}")) > 0,
