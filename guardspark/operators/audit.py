@@ -13,25 +13,15 @@ from pyspark.sql import functions as F
 
 from guardspark.functions import pii
 from guardspark.functions import patterns as P
+from guardspark.operators import result as R
 
 
 def guard_events(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """one row per guard run: keys, stage, position and the result fields."""
 
     def stage(col: str, name: str) -> DataFrame:
-        return verdicts.select(
-            *keys, F.lit(name).alias("stage"), F.posexplode(col).alias("pos", "r")
-        ).select(
-            *keys,
-            "stage",
-            "pos",
-            F.col("r.guard_name").alias("guard_name"),
-            F.col("r.passed").alias("passed"),
-            F.col("r.action").alias("action"),
-            F.col("r.severity").alias("severity"),
-            F.col("r.confidence").alias("confidence"),
-            F.array_join(F.col("r.details.labels"), "|").alias("labels"),
-            F.col("r.details.match_count").alias("match_count"),
+        return verdicts.select(*keys, F.lit(name).alias("stage"), R.explode_flat(F.col(col))).drop(
+            "message"
         )
 
     return stage("input_results", "input").unionByName(stage("output_results", "output"))

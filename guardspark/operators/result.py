@@ -123,3 +123,29 @@ def flatten(r: Column, prefix: str = "") -> list[Column]:
         F.array_join(r["details"]["labels"], "|").alias(prefix + "labels"),
         r["details"]["match_count"].alias(prefix + "match_count"),
     ]
+
+
+def flat_struct(r: Column, pos: Column | None = None) -> Column:
+    """The flattened fields of one result as a struct (with its position)."""
+    fields = [] if pos is None else [pos.alias("pos")]
+    fields += [
+        r["guard_name"].alias("guard_name"),
+        r["passed"].alias("passed"),
+        r["action"].alias("action"),
+        r["severity"].alias("severity"),
+        r["message"].alias("message"),
+        r["confidence"].alias("confidence"),
+        F.array_join(r["details"]["labels"], "|").alias("labels"),
+        r["details"]["match_count"].alias("match_count"),
+    ]
+    return F.struct(*fields)
+
+
+def explode_flat(results: Column) -> Column:
+    """One output row per result: ``pos`` and the flat fields.
+
+    The fields are taken inside ``transform`` and emitted by ``inline``:
+    reading struct fields above an ``explode`` lets the optimizer copy the
+    whole results expression once per field.
+    """
+    return F.inline(F.transform(results, lambda r, i: flat_struct(r, i)))

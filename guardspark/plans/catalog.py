@@ -311,9 +311,7 @@ def vault_type_counts(spark, sf_dir):
 
 
 def _explode_results(df: DataFrame, keys: list[str], col: str, extra=()) -> DataFrame:
-    return df.select(*keys, *extra, F.posexplode(col).alias("pos", "r")).select(
-        *keys, *extra, "pos", *R.flatten(F.col("r"))
-    )
+    return df.select(*keys, *extra, R.explode_flat(F.col(col)))
 
 
 def input_guard_chain(spark, sf_dir):
