@@ -902,7 +902,7 @@ def q_guard_rollup():
     return (
         "SELECT guard_name, action, severity, count(*) AS n_runs, "
         "round(avg(confidence), 6) AS avg_confidence, "
-        "sum(CASE WHEN passed THEN 0 ELSE 1 END) AS n_failed "
+        "sum(CASE WHEN passed THEN 0 ELSE 1 END)::BIGINT AS n_failed "
         f"FROM ({_conversation_events_parts()}) AS e GROUP BY CUBE (guard_name, action, severity)"
     )
 
@@ -920,8 +920,8 @@ def q_toxic_eval():
     return (
         "SELECT tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp)::DOUBLE END AS precision, "
         "CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn)::DOUBLE END AS recall FROM ("
-        "SELECT sum(CASE WHEN f AND y THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN f AND NOT y THEN 1 ELSE 0 END) AS fp, "
-        "sum(CASE WHEN NOT f AND y THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN NOT f AND NOT y THEN 1 ELSE 0 END) AS tn "
+        "SELECT sum(CASE WHEN f AND y THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN f AND NOT y THEN 1 ELSE 0 END)::BIGINT AS fp, "
+        "sum(CASE WHEN NOT f AND y THEN 1 ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN NOT f AND NOT y THEN 1 ELSE 0 END)::BIGINT AS tn "
         f"FROM (SELECT NOT g.passed AS f, l.toxic = 1 AS y FROM ({s}) AS g JOIN labels l USING (doc_id)) AS j) AS c"
     )
 
@@ -1067,7 +1067,7 @@ def q_block_rate_window():
     return (
         "SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, "
         "time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end, guard_name, "
-        "count(*) AS n_runs, sum(CASE WHEN action = 'block' THEN 1 ELSE 0 END) AS n_blocks "
+        "count(*) AS n_runs, sum(CASE WHEN action = 'block' THEN 1 ELSE 0 END)::BIGINT AS n_blocks "
         f"FROM ({' UNION ALL '.join(parts)}) AS e GROUP BY 1, 2, 3"
     )
 
