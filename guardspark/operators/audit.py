@@ -1,7 +1,7 @@
 """Audit: guard events and rollups.
 
 Every guard run is one event row (F1), taken from the result arrays by
-``posexplode``; the rollups aggregate those rows with partial (map-side)
+``inline``; the rollups aggregate those rows with partial (map-side)
 aggregation, so only one small row per group and task crosses the shuffle,
 however hot a group is.  The text column never enters these plans.
 """
@@ -46,9 +46,11 @@ def pii_values(docs: DataFrame, text: str, keys: list[str], types: list[str] | N
             for t in types
         ]
     )
+    # ``inline`` emits the struct fields as columns: no field access above
+    # the generator for the optimizer to push (and copy) into it.
     return (
-        docs.select(*keys, F.explode(per_type).alias("m"))
-        .select(*keys, F.col("m.pii_type").alias("pii_type"), F.posexplode("m.values"))
+        docs.select(*keys, F.inline(per_type))
+        .select(*keys, "pii_type", F.posexplode("values"))
         .withColumnRenamed("col", "value")
     )
 

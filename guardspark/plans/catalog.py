@@ -503,8 +503,8 @@ def _event_screen(spark, sf_dir):
 def block_rate_window(spark, sf_dir):
     """H2, batch twin: runs and blocks per 5-minute window and guard."""
     df = chain.input_chain(_event_screen(spark, sf_dir))
-    ev = df.select("ts", F.explode("input_results").alias("r")).select(
-        "ts", F.col("r.guard_name").alias("guard_name"), F.col("r.action").alias("action")
+    ev = df.select("ts", R.explode_flat(F.col("input_results"))).select(
+        "ts", "guard_name", "action"
     )
     return ST.block_rates(ev)
 
