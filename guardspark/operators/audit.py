@@ -19,12 +19,13 @@ from guardspark.operators import result as R
 def guard_events(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """one row per guard run: keys, stage, position and the result fields."""
 
-    def stage(col: str, name: str) -> DataFrame:
-        return verdicts.select(*keys, F.lit(name).alias("stage"), R.explode_flat(F.col(col))).drop(
-            "message"
-        )
-
-    return stage("input_results", "input").unionByName(stage("output_results", "output"))
+    # One generator over both stages: a union of two explodes would compute
+    # the verdict plan (chains, joins) twice.
+    tagged = F.concat(
+        F.transform("input_results", lambda r, i: R.flat_struct(r, i, "input")),
+        F.transform("output_results", lambda r, i: R.flat_struct(r, i, "output")),
+    )
+    return verdicts.select(*keys, F.inline(tagged)).drop("message")
 
 
 def guard_rollup(events: DataFrame) -> DataFrame:

@@ -125,9 +125,10 @@ def flatten(r: Column, prefix: str = "") -> list[Column]:
     ]
 
 
-def flat_struct(r: Column, pos: Column | None = None) -> Column:
+def flat_struct(r: Column, pos: Column | None = None, stage: str | None = None) -> Column:
     """The flattened fields of one result as a struct (with its position)."""
-    fields = [] if pos is None else [pos.alias("pos")]
+    fields = [] if stage is None else [F.lit(stage).alias("stage")]
+    fields += [] if pos is None else [pos.alias("pos")]
     fields += [
         r["guard_name"].alias("guard_name"),
         r["passed"].alias("passed"),
