@@ -35,11 +35,11 @@ Fact = Callable[[str], Column]
 
 
 def _c(x: Any) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+    return x if isinstance(x, Column) else R.lit(x)
 
 
 def _d(x: float) -> Column:
-    return F.lit(float(x))
+    return R.lit(float(x))
 
 
 def _sum(cols: list[Column]) -> Column:

@@ -52,8 +52,26 @@ def _no_labels() -> Column:
     return F.array().cast("array<string>")
 
 
+_LITS: dict = {}
+
+
+def lit(x) -> Column:
+    """A literal Column, memoised per running SparkContext.
+
+    Building a plan crosses into the JVM once per expression node; the same
+    handful of constants appear in every guard, so they are made once.
+    """
+    from pyspark import SparkContext
+
+    key = (id(SparkContext._active_spark_context), type(x), x)
+    col = _LITS.get(key)
+    if col is None:
+        col = _LITS[key] = F.lit(x)
+    return col
+
+
 def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+    return x if isinstance(x, Column) else lit(x)
 
 
 def make(

@@ -87,8 +87,11 @@ def run_chain(
     texts_seen: list[Column] = []
     for i, g in enumerate(guards):
 
-        def fact(name: str, _i=i, _g=g) -> Column:
-            return F.col(names.col(str(_i), _g.key, name))
+        def fact(name: str, _i=i, _g=g, _memo={}) -> Column:  # noqa: B006 - per-guard memo
+            full = names.col(str(_i), _g.key, name)
+            if full not in _memo:
+                _memo[full] = F.col(full)
+            return _memo[full]
 
         fact_fns.append(fact)
         texts_seen.append(current)

@@ -750,19 +750,32 @@ def _results_summary(layers_ps, t, null_error=True):
     return n, acts
 
 
+def rej_sql(t: str) -> str:
+    return (
+        f"(CASE WHEN {t} IS NULL THEN 'missing' WHEN length({t}) < 1 THEN 'too_short' "
+        f"WHEN length({t}) > {RQ.MAX_REQUEST_CHARS} THEN 'too_long' END)"
+    )
+
+
+CONTRACT_FAILED = "Request validation failed: "
+
+
 def input_only_sql(base: str, keys: str) -> str:
     layers, ps, _ = guard_layers(input_guards(), "t", "i")
     inner = layered(base, layers)
     n, acts = _results_summary(ps, "t")
+    rej = rej_sql("t")
     return (
-        f"SELECT {keys}, NOT list_contains(acts, 'block') AS allowed, "
-        f"CASE WHEN list_contains(acts, 'block') THEN 'block' WHEN list_contains(acts, 'warn') "
-        f"THEN 'warn' ELSE 'pass' END AS overall_action, "
-        f"CASE WHEN list_contains(acts, 'block') THEN {S(P.SUMMARY_INPUT_BLOCKED)} ELSE "
+        f"SELECT {keys}, rej IS NULL AND NOT list_contains(acts, 'block') AS allowed, "
+        f"CASE WHEN rej IS NOT NULL OR list_contains(acts, 'block') THEN 'block' "
+        f"WHEN list_contains(acts, 'warn') THEN 'warn' ELSE 'pass' END AS overall_action, "
+        f"CASE WHEN rej IS NOT NULL THEN {S(CONTRACT_FAILED)} || rej "
+        f"WHEN list_contains(acts, 'block') THEN {S(P.SUMMARY_INPUT_BLOCKED)} ELSE "
         f"{S(P.SUMMARY_INPUT_ONLY)} END AS summary, n_in::INTEGER AS n_input_results, "
         f"0 AS n_output_results, array_to_string(acts, '|') AS input_actions, "
         f"'' AS output_actions, NULL::VARCHAR AS output_text "
-        f"FROM (SELECT *, {n} AS n_in, {acts} AS acts FROM ({inner}) AS q) AS r"
+        f"FROM (SELECT *, {rej} AS rej, CASE WHEN {rej} IS NULL THEN {n} ELSE 0 END AS n_in, "
+        f"CASE WHEN {rej} IS NULL THEN {acts} ELSE []::VARCHAR[] END AS acts FROM ({inner}) AS q) AS r"
     )
 
 
@@ -776,8 +789,12 @@ def full_verdict_sql(prompts: str, keys: str, response_of: str, secret: str) ->
     layers, ps, _ = guard_layers(input_guards(), "t", "i")
     inner = layered(prompts, layers)
     n_in, acts_in = _results_summary(ps, "t")
-    step1 = f"SELECT *, {n_in} AS n_in, {acts_in} AS acts_in FROM ({inner}) AS a"
-    wants = "(NOT list_contains(acts_in, 'block') AND coalesce(asked, false))"
+    rej = rej_sql("t")
+    step1 = (
+        f"SELECT *, {rej} AS rej, CASE WHEN {rej} IS NULL THEN {n_in} ELSE 0 END AS n_in, "
+        f"CASE WHEN {rej} IS NULL THEN {acts_in} ELSE []::VARCHAR[] END AS acts_in FROM ({inner}) AS a"
+    )
+    wants = "(rej IS NULL AND NOT list_contains(acts_in, 'block') AND coalesce(asked, false))"
     step2 = f"SELECT *, {wants} AS wants, CASE WHEN {wants} THEN t END AS tv FROM ({step1}) AS b"
     vl, vcur = tokenize_layers("tv", "rid", VAULT_TYPES, secret)
     step3 = layered(step2, vl)
@@ -803,12 +820,14 @@ def full_verdict_sql(prompts: str, keys: str, response_of: str, secret: str) ->
     asked = "coalesce(asked, false)"
     return (
         f"SELECT {keys}, "
-        f"CASE WHEN {in_block} THEN false WHEN NOT {asked} THEN true WHEN NOT has_resp THEN false "
+        f"CASE WHEN rej IS NOT NULL THEN false WHEN {in_block} THEN false WHEN NOT {asked} THEN true "
+        f"WHEN NOT has_resp THEN false "
         f"WHEN {out_block} THEN false ELSE true END AS allowed, "
-        f"CASE WHEN {in_block} THEN 'block' WHEN NOT {asked} THEN (CASE WHEN list_contains(acts_in, 'warn') "
+        f"CASE WHEN rej IS NOT NULL OR {in_block} THEN 'block' WHEN NOT {asked} THEN (CASE WHEN list_contains(acts_in, 'warn') "
         f"THEN 'warn' ELSE 'pass' END) WHEN NOT has_resp THEN 'block' WHEN {out_block} THEN 'block' "
         f"WHEN {warned} THEN 'warn' ELSE 'pass' END AS overall_action, "
-        f"CASE WHEN {in_block} THEN {S(P.SUMMARY_INPUT_BLOCKED)} WHEN NOT {asked} THEN "
+        f"CASE WHEN rej IS NOT NULL THEN {S(CONTRACT_FAILED)} || rej "
+        f"WHEN {in_block} THEN {S(P.SUMMARY_INPUT_BLOCKED)} WHEN NOT {asked} THEN "
         f"{S(P.SUMMARY_INPUT_ONLY)} WHEN NOT has_resp THEN {S(P.SUMMARY_LLM_FAILED + 'ResponseMissing')} "
         f"WHEN {out_block} THEN {S(P.SUMMARY_OUTPUT_BLOCKED)} WHEN {warned} THEN {S(P.SUMMARY_WARNINGS)} "
         f"ELSE {S(P.SUMMARY_OK)} END AS summary, "
@@ -870,8 +889,8 @@ def _conversation_events_parts():
     inner = layered(conversation_prompts(), layers)
     in_rows = []
     for i, p in enumerate(ps):
-        conds = [f"{q}action <> 'block'" for q in ps[:i]]
-        where = f" WHERE {' AND '.join(conds)}" if conds else ""
+        conds = [f"{rej_sql('t')} IS NULL"] + [f"{q}action <> 'block'" for q in ps[:i]]
+        where = f" WHERE {' AND '.join(conds)}"
         in_rows.append(
             f"SELECT conv_id, user_turn, 'input' AS stage, {i} AS pos, {p}guard_name AS guard_name, "
             f"{p}passed AS passed, {p}action AS action, {p}severity AS severity, "
@@ -879,7 +898,10 @@ def _conversation_events_parts():
             f"{p}match_count AS match_count FROM ({inner}) AS q{where}"
         )
     blocked_in = " OR ".join(f"{q}action = 'block'" for q in ps)
-    step = f"SELECT *, CASE WHEN NOT ({blocked_in}) THEN resp END AS o FROM ({inner}) AS s"
+    step = (
+        f"SELECT *, CASE WHEN {rej_sql('t')} IS NULL AND NOT ({blocked_in}) THEN resp END AS o "
+        f"FROM ({inner}) AS s"
+    )
     olayers, ops, _ = guard_layers(output_guards(), "o", "o")
     oinner = layered(step, olayers)
     out_rows = []
@@ -943,8 +965,8 @@ def q_verdict_flat():
     warned = " OR ".join(f"{p}action = 'warn'" for p in ps)
     parts = []
     for i, p in enumerate(ps):
-        conds = [f"{q}action <> 'block'" for q in ps[:i]]
-        where = f" WHERE {' AND '.join(conds)}" if conds else ""
+        conds = [f"{rej_sql('t')} IS NULL"] + [f"{q}action <> 'block'" for q in ps[:i]]
+        where = f" WHERE {' AND '.join(conds)}"
         parts.append(
             f"SELECT doc_id, NOT ({blocked}) AS allowed, CASE WHEN {blocked} THEN 'block' "
             f"WHEN {_kept_warn(ps)} THEN 'warn' ELSE 'pass' END AS overall_action, {i} AS pos, "
@@ -998,15 +1020,18 @@ def q_tenant_policy():
     layers, ps, _ = guard_layers(guards, "t", "i")
     inner = layered(base, layers)
     n, acts = _results_summary(ps, "t")
+    rej = rej_sql("t")
     return (
-        "SELECT doc_id, NOT list_contains(acts, 'block') AS allowed, "
-        "CASE WHEN list_contains(acts, 'block') THEN 'block' WHEN list_contains(acts, 'warn') "
-        "THEN 'warn' ELSE 'pass' END AS overall_action, "
-        f"CASE WHEN list_contains(acts, 'block') THEN {S(P.SUMMARY_INPUT_BLOCKED)} ELSE "
+        "SELECT doc_id, rej IS NULL AND NOT list_contains(acts, 'block') AS allowed, "
+        "CASE WHEN rej IS NOT NULL OR list_contains(acts, 'block') THEN 'block' "
+        "WHEN list_contains(acts, 'warn') THEN 'warn' ELSE 'pass' END AS overall_action, "
+        f"CASE WHEN rej IS NOT NULL THEN {S(CONTRACT_FAILED)} || rej "
+        f"WHEN list_contains(acts, 'block') THEN {S(P.SUMMARY_INPUT_BLOCKED)} ELSE "
         f"{S(P.SUMMARY_INPUT_ONLY)} END AS summary, n_in::INTEGER AS n_input_results, "
         "0 AS n_output_results, array_to_string(acts, '|') AS input_actions, "
         "'' AS output_actions, tenant_tier "
-        f"FROM (SELECT *, {n} AS n_in, {acts} AS acts FROM ({inner}) AS q) AS r"
+        f"FROM (SELECT *, {rej} AS rej, CASE WHEN {rej} IS NULL THEN {n} ELSE 0 END AS n_in, "
+        f"CASE WHEN {rej} IS NULL THEN {acts} ELSE []::VARCHAR[] END AS acts FROM ({inner}) AS q) AS r"
     )
 
 

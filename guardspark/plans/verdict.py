@@ -2,9 +2,11 @@
 
 Row flow for E4, all narrow except the response source:
 
-    prompts -> input chain -> [vault tokenize] -> response (join or in-row)
+    prompts -> contract (A2) -> input chain -> [vault tokenize] -> response (join or in-row)
             -> output chain -> [detokenize in row] -> verdict fold
 
+* A request that breaks the contract gets no guard run and the verdict
+  ``Request validation failed: <reason>`` (block, not allowed).
 * An input block ends the request (``Request blocked by input guardrails``).
 * Without ``process_with_llm`` the verdict is input-only: warn if any input
   result warns, else pass.
@@ -33,29 +35,54 @@ from guardspark.functions import patterns as P
 from guardspark.operators import result as R
 from guardspark.operators import vault as V
 from guardspark.plans import chain
+from guardspark.sources import requests as RQ
 
 MISSING_RESPONSE_ERROR = "ResponseMissing"
+CONTRACT_FAILED = "Request validation failed: "
 
 
 def _empty_results() -> Column:
     return F.array().cast(R.RESULTS_TYPE)
 
 
+def _contract(prompts: DataFrame, text: str) -> DataFrame:
+    """A2 ahead of any guard: ``__reject`` (null when acceptable) and the
+    text the guards see (null for a rejected request, so no work is done)."""
+    reason = RQ.contract_reason(F.col(text))
+    return prompts.select(
+        "*", reason.alias("__reject"), F.when(reason.isNull(), F.col(text)).alias("__screen")
+    )
+
+
 def input_only_verdict(
     prompts: DataFrame, policy: dict[str, Any] | None = None, text: str = "input_text"
 ) -> DataFrame:
-    """E5: input chain then the input-only fold (model step off)."""
-    df = chain.input_chain(prompts, text, policy)
+    """E5: contract, input chain, then the input-only fold (model step off).
+
+    A request that breaks the contract (null, empty, over 50,000 chars) gets
+    no guard run: ``allowed`` false, ``block``, ``Request validation failed:
+    <reason>`` - the row stays in the output.
+    """
+    df = chain.input_chain(_contract(prompts, text), "__screen", policy)
+    rejected = F.col("__reject").isNotNull()
+    results = F.when(rejected, _empty_results()).otherwise(F.col("input_results"))
+    df = df.withColumn("input_results", results)
     blocked = chain.any_action(F.col("input_results"), "block")
     warned = chain.any_action(F.col("input_results"), "warn")
     return df.select(
         "*",
-        (~blocked).alias("allowed"),
-        F.when(blocked, "block").when(warned, "warn").otherwise("pass").alias("overall_action"),
+        (~(blocked | rejected)).alias("allowed"),
+        F.when(rejected | blocked, "block")
+        .when(warned, "warn")
+        .otherwise("pass")
+        .alias("overall_action"),
         _empty_results().alias("output_results"),
         F.lit(None).cast("string").alias("output_text"),
-        F.when(blocked, P.SUMMARY_INPUT_BLOCKED).otherwise(P.SUMMARY_INPUT_ONLY).alias("summary"),
-    )
+        F.when(rejected, F.concat(F.lit(CONTRACT_FAILED), F.col("__reject")))
+        .when(blocked, P.SUMMARY_INPUT_BLOCKED)
+        .otherwise(P.SUMMARY_INPUT_ONLY)
+        .alias("summary"),
+    ).drop("__reject", "__screen")
 
 
 def request_verdict(
@@ -66,12 +93,20 @@ def request_verdict(
     response_col: str = "output_text",
 ) -> DataFrame:
     """E4 over ``prompts(request_id, input_text, process_with_llm, ...)``."""
-    df = chain.input_chain(prompts, "input_text", policy)
+    df = chain.input_chain(_contract(prompts, "input_text"), "__screen", policy)
+    rejected = F.col("__reject").isNotNull()
+    df = df.withColumn(
+        "input_results", F.when(rejected, _empty_results()).otherwise(F.col("input_results"))
+    )
     df = df.select(
         "*",
         chain.any_action(F.col("input_results"), "block").alias("__in_block"),
     )
-    wants = (~F.col("__in_block")) & F.coalesce(F.col("process_with_llm"), F.lit(False))
+    wants = (
+        (~F.col("__in_block"))
+        & ~rejected
+        & F.coalesce(F.col("process_with_llm"), F.lit(False))
+    )
     df = df.select("*", wants.alias("__wants"))
 
     vconf = PL.guard_conf(policy, "pii_vault")
@@ -122,14 +157,15 @@ def request_verdict(
     asked = F.coalesce(F.col("process_with_llm"), F.lit(False))
 
     allowed = (
-        F.when(in_block, False)
+        F.when(rejected, False)
+        .when(in_block, False)
         .when(~asked, True)
         .when(~has_response, False)
         .when(out_block, False)
         .otherwise(True)
     )
     action = (
-        F.when(in_block, "block")
+        F.when(rejected | in_block, "block")
         .when(~asked, F.when(in_warned, "warn").otherwise("pass"))
         .when(~has_response, "block")
         .when(out_block, "block")
@@ -137,7 +173,8 @@ def request_verdict(
         .otherwise("pass")
     )
     summary = (
-        F.when(in_block, P.SUMMARY_INPUT_BLOCKED)
+        F.when(rejected, F.concat(F.lit(CONTRACT_FAILED), F.col("__reject")))
+        .when(in_block, P.SUMMARY_INPUT_BLOCKED)
         .when(~asked, P.SUMMARY_INPUT_ONLY)
         .when(~has_response, P.SUMMARY_LLM_FAILED + MISSING_RESPONSE_ERROR)
         .when(out_block, P.SUMMARY_OUTPUT_BLOCKED)
