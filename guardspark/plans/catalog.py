@@ -369,26 +369,25 @@ def input_only_verdict(spark, sf_dir):
 
 
 def _conversation_requests(spark, sf_dir):
+    """User turns as requests; the paired reply travels in the same row."""
     pairs = RQ.turn_pairs(read_table(spark, sf_dir, "conversations"))
     ukey = F.col("conv_id") * 8 + F.col("user_turn")
     akey = F.col("conv_id") * 8 + F.col("assistant_turn")
-    prompts = pairs.select(
+    return pairs.select(
         (F.col("conv_id") * 1000 + F.col("user_turn")).alias("request_id"),
         "conv_id",
         "user_turn",
         RQ.with_phrase(F.col("prompt"), ukey).alias("input_text"),
         F.lit(True).alias("process_with_llm"),
+        F.when(F.col("response").isNotNull(), RQ.with_phrase(F.col("response"), akey)).alias(
+            "reply_text"
+        ),
     )
-    responses = pairs.filter(F.col("response").isNotNull()).select(
-        (F.col("conv_id") * 1000 + F.col("user_turn")).alias("request_id"),
-        RQ.with_phrase(F.col("response"), akey).alias("output_text"),
-    )
-    return prompts, responses
 
 
 def _verdicts_conversations(spark, sf_dir):
-    prompts, responses = _conversation_requests(spark, sf_dir)
-    return VD.request_verdict(prompts, responses, None, VAULT_SECRET)
+    prompts = _conversation_requests(spark, sf_dir)
+    return VD.request_verdict(prompts, "reply_text", None, VAULT_SECRET)
 
 
 def request_verdict(spark, sf_dir):

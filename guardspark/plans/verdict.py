@@ -16,9 +16,10 @@ Row flow for E4, all narrow except the response source:
   vault tokens restored.  Blocked output -> no text.  Warnings are counted
   over input and output results; ``redact`` counts as pass.
 
-The response source is either a DataFrame keyed by ``request_id`` (joined
-once, both sides hash-partitioned on the key; AQE splits skew) or a function
-of the sanitized input (in-row, no shuffle), which is how an echo model is
+The response source is a column already in the row (no shuffle: e.g. the
+reply paired by A4), a DataFrame keyed by ``request_id`` (joined once, both
+sides hash-partitioned on the key; AQE splits skew), or a function of the
+sanitized input (in-row, no shuffle), which is how an echo model is
 expressed.
 """
 
@@ -87,7 +88,7 @@ def input_only_verdict(
 
 def request_verdict(
     prompts: DataFrame,
-    responses: DataFrame | Callable[[Column], Column],
+    responses: DataFrame | str | Callable[[Column], Column],
     policy: dict[str, Any] | None = None,
     secret: str = "guardspark",
     response_col: str = "output_text",
@@ -126,7 +127,10 @@ def request_verdict(
             F.array().cast(V.PAIR_TYPE).alias("__pairs"),
         )
 
-    if isinstance(responses, DataFrame):
+    if isinstance(responses, str):
+        # the response is already in the row (e.g. a paired conversation turn)
+        df = df.select("*", F.when(F.col("__wants"), F.col(responses)).alias("__response"))
+    elif isinstance(responses, DataFrame):
         resp = responses.select(
             F.col("request_id").alias("__rid"), F.col(response_col).alias("__response")
         )
