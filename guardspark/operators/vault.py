@@ -84,10 +84,29 @@ def tokenize(
     out_pairs: str = "vault_pairs",
 ) -> DataFrame:
     """Add the tokenized text and the row's distinct vault pairs."""
+    from pyspark import SparkContext
+
     types = [t for t in types if t in P.PII_PATTERNS]
+    key = (id(SparkContext._active_spark_context), text, request_id, tuple(types), secret,
+           out_text, out_pairs)
+    plan = _PLANS.get(key)
+    if plan is None:
+        plan = _PLANS[key] = _tokenize_plan(text, request_id, types, secret, out_text, out_pairs)
+    steps, hidden = plan
+    for cols in steps:
+        df = df.select("*", *cols)
+    return df.drop(*hidden)
+
+
+_PLANS: dict = {}
+
+
+def _tokenize_plan(text, request_id, types, secret, out_text, out_pairs):
+    """Select steps for ``tokenize``, built once per settings."""
+    steps: list[list[Column]] = []
     hidden = []
     for name, expr in tokenize_steps(F.col(text), F.col(request_id), types, secret):
-        df = df.select("*", expr.alias(name))
+        steps.append([expr.alias(name)])
         hidden.append(name)
     if types:
         final = F.col(f"__vt{len(types) - 1}")
@@ -95,8 +114,8 @@ def tokenize(
     else:
         final = F.col(text)
         pairs = F.array().cast(PAIR_TYPE)
-    df = df.select("*", final.alias(out_text), pairs.alias(out_pairs))
-    return df.drop(*hidden)
+    steps.append([final.alias(out_text), pairs.alias(out_pairs)])
+    return steps, hidden
 
 
 def has_pii(pairs: Column) -> Column:

@@ -433,6 +433,12 @@ def pii_by_source(spark, sf_dir):
     return A.pii_by_source(vals)
 
 
+def pii_by_source_approx(spark, sf_dir):
+    """F3, sketch form (HyperLogLog++); approximate, so no SQL twin."""
+    vals = A.pii_values(_docs(spark, sf_dir), "text", ["doc_id", "source"])
+    return A.pii_by_source_approx(vals)
+
+
 def toxic_eval(spark, sf_dir):
     """the toxic guard against ``labels.toxic``."""
     df = _doc_prompts(spark, sf_dir)
@@ -543,6 +549,7 @@ QUERIES: dict[str, Query] = {
     "guard_events": guard_events,
     "guard_rollup": guard_rollup,
     "pii_by_source": pii_by_source,
+    "pii_by_source_approx": pii_by_source_approx,
     "toxic_eval": toxic_eval,
     "stream_screen": stream_screen,
     "block_rate_window": block_rate_window,

@@ -30,6 +30,18 @@ from guardspark.operators import result as R
 NULL_TEXT_ERROR = ("TypeError", "object of type 'NoneType' has no len()")
 
 
+_BUILTIN = (
+    G.PIIDetector,
+    G.PromptInjection,
+    G.ToxicContent,
+    G.TopicRestriction,
+    G.PIIRedactor,
+    G.Hallucination,
+    G.ContentFilter,
+    G.OutputValidator,
+)
+
+
 def input_guards(policy: dict[str, Any] | None = None) -> list[G.Guard]:
     """PII, injection, toxic, topic - the fixed input order."""
     guards = [
@@ -67,20 +79,37 @@ class _Names:
         return "__" + self.prefix + "_" + "_".join(parts)
 
 
-def run_chain(
-    df: DataFrame,
-    text: str,
-    guards: list[G.Guard],
-    results_col: str,
-    final_text_col: str | None = None,
-    prefix: str = "g",
-) -> DataFrame:
-    """Add ``results_col`` (ordered results) and optionally the final text.
+_PLANS: dict = {}
 
-    Each guard sees the text as left by the guards before it (only a
-    rewriting guard such as the redactor changes it).
+
+def _cache_key(text, guards, results_col, final_text_col, prefix):
+    """Key for a reusable chain plan, or None when one cannot be reused.
+
+    Built-in guards are pure functions of their settings, so the same
+    settings give the same expressions; user guards and per-row (Column)
+    settings are rebuilt every time.
     """
+    from pyspark import SparkContext
+
+    parts = []
+    for g in guards:
+        if type(g) not in _BUILTIN:
+            return None
+        if any(isinstance(v, Column) for v in g.conf.values()):
+            return None
+        extra = ()
+        if isinstance(g, G.OutputValidator):
+            extra = (str(g.type_col), str(g.required_col))
+        parts.append((type(g).__name__, repr(sorted(g.conf.items(), key=lambda kv: kv[0])), extra))
+    sc = SparkContext._active_spark_context
+    return (id(sc), text, results_col, final_text_col, prefix, tuple(parts))
+
+
+def _chain_plan(text, guards, results_col, final_text_col, prefix):
+    """The chain as ``(steps, hidden)``: each step is one list of aliased
+    Columns to add with ``select``; ``hidden`` are the helper columns."""
     names = _Names(prefix)
+    steps: list[list[Column]] = []
     hidden: list[str] = []
     current = F.col(text)
     fact_fns: list[Callable[[str], Column]] = []
@@ -98,23 +127,14 @@ def run_chain(
         for stage in g.stages(current, fact):
             cols = {names.col(str(i), g.key, k): v for k, v in stage.items()}
             if cols:
-                df = df.select("*", *[v.alias(k) for k, v in cols.items()])
+                steps.append([v.alias(k) for k, v in cols.items()])
                 hidden.extend(cols)
         new_text = g.modified_text(fact)
         if new_text is not None:
             current = F.coalesce(new_text, current)
 
-    if any(isinstance(g, G.OutputValidator) for g in guards):
-        J.enable(df.sparkSession)
-
     raw = [names.col(str(i), g.key, "result") for i, g in enumerate(guards)]
-    df = df.select(
-        "*",
-        *[
-            g.score(texts_seen[i], fact_fns[i]).alias(raw[i])
-            for i, g in enumerate(guards)
-        ],
-    )
+    steps.append([g.score(texts_seen[i], fact_fns[i]).alias(raw[i]) for i, g in enumerate(guards)])
     hidden.extend(raw)
 
     kept: list[Column] = []
@@ -129,10 +149,39 @@ def run_chain(
         results = F.when(F.col(text).isNull(), F.array(err)).otherwise(ordered)
     else:
         results = F.array().cast(R.RESULTS_TYPE)
-    extra = [results.alias(results_col)]
+    last = [results.alias(results_col)]
     if final_text_col is not None:
-        extra.append(current.alias(final_text_col))
-    df = df.select("*", *extra)
+        last.append(current.alias(final_text_col))
+    steps.append(last)
+    return steps, hidden
+
+
+def run_chain(
+    df: DataFrame,
+    text: str,
+    guards: list[G.Guard],
+    results_col: str,
+    final_text_col: str | None = None,
+    prefix: str = "g",
+) -> DataFrame:
+    """Add ``results_col`` (ordered results) and optionally the final text.
+
+    Each guard sees the text as left by the guards before it (only a
+    rewriting guard such as the redactor changes it).  The expressions are
+    built once per settings and reused (building crosses into the JVM once
+    per expression node, which costs more than analysing the plan).
+    """
+    key = _cache_key(text, guards, results_col, final_text_col, prefix)
+    plan = _PLANS.get(key) if key is not None else None
+    if plan is None:
+        plan = _chain_plan(text, guards, results_col, final_text_col, prefix)
+        if key is not None:
+            _PLANS[key] = plan
+    steps, hidden = plan
+    if any(isinstance(g, G.OutputValidator) for g in guards):
+        J.enable(df.sparkSession)
+    for cols in steps:
+        df = df.select("*", *cols)
     return df.drop(*hidden)
 
 

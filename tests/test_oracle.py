@@ -19,4 +19,6 @@ def test_query_matches_oracle(spark, name):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    # approximate sketches have no exact SQL twin
+    assert set(E.queries()) - set(E.oracle_sql()) == {"pii_by_source_approx"}
+    assert set(E.oracle_sql()) <= set(E.queries())
