@@ -58,3 +58,11 @@ def test_detokenize_join_and_types(spark):
     assert back[0].text == "a@b.co and 10.0.0.1" and back[1].text == "none"
     types = sorted(r.t for r in vault.select(V.token_type(F.col("token")).alias("t")).collect())
     assert types == ["email", "ip_address"]
+
+
+def test_default_vault_order_keeps_cards_whole(spark):
+    from guardspark import policy as PL
+
+    types = PL.guard_conf(None, "pii_vault")["detect_types"]
+    r = tokenize(spark, ["card 4111111111111111 here"], types)[0]
+    assert r.tokenized_text.startswith("card <PII_CREDIT_CARD_") and "1111" not in r.tokenized_text
