@@ -127,7 +127,10 @@ class PromptInjection(Guard):
         return [
             {
                 "len": F.length(text),
-                "hits": F.regexp_extract_all(F.lower(text), F.lit(INJECTION_REGEX), F.lit(0)),
+                "hits": F.when(
+                    L.any_phrase_of(F.lower(text), P.INJECTION_KEYWORDS),
+                    F.regexp_extract_all(F.lower(text), F.lit(INJECTION_REGEX), F.lit(0)),
+                ).otherwise(F.array().cast("array<string>")),
                 "tricks": TX.has_unicode_tricks(text),
                 "special": TX.special_char_count(text),
             }

@@ -115,3 +115,13 @@ def test_phrases_match_inside_words(spark):
     # "impact assessment" contains "act as": one keyword hit scores 0.6 (a pass)
     r = guard_results(spark, g, ["an impact assessment"])[0]
     assert r.passed and abs(r.confidence - 0.6) < 1e-12
+
+
+def test_case_folding_characters_still_match(spark):
+    # long s folds to "s"; the Kelvin sign lowercases to "k"
+    g = G.TopicRestriction(PL.guard_conf(None, "topic_restriction"))
+    r = guard_results(spark, g, ["how to ſteal money", "plain text"])
+    assert not r[0].passed and r[0].details.labels == ["illegal_activities"]
+    assert r[1].passed
+    t = G.ToxicContent(PL.guard_conf(None, "toxic_content"))
+    assert not guard_results(spark, t, ["Kill yourself"])[0].passed
