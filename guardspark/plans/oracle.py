@@ -962,7 +962,6 @@ def q_verdict_flat():
     layers, ps, _ = guard_layers(input_guards(), "t", "i")
     inner = layered(base, layers)
     blocked = " OR ".join(f"{p}action = 'block'" for p in ps)
-    warned = " OR ".join(f"{p}action = 'warn'" for p in ps)
     parts = []
     for i, p in enumerate(ps):
         conds = [f"{rej_sql('t')} IS NULL"] + [f"{q}action <> 'block'" for q in ps[:i]]
@@ -972,7 +971,6 @@ def q_verdict_flat():
             f"WHEN {_kept_warn(ps)} THEN 'warn' ELSE 'pass' END AS overall_action, {i} AS pos, "
             f"{flat(p)} FROM ({inner}) AS q{where}"
         )
-    del warned
     return " UNION ALL ".join(parts)
 
 
@@ -1009,9 +1007,6 @@ def q_tenant_policy():
         f"ELSE 'lenient' END AS tenant_tier FROM documents) AS b LEFT JOIN {tiers} USING (tenant_tier)"
     )
 
-    class _ColConf(dict):
-        pass
-
     pii_c = dict(PL.guard_conf(None, "pii_detector"))
     inj_c = dict(PL.guard_conf(None, "prompt_injection"))
     tox_c = dict(PL.guard_conf(None, "toxic_content"))
@@ -1035,36 +1030,29 @@ def q_tenant_policy():
     )
 
 
-class _Raw(str):
-    """A value already written as SQL (a column reference)."""
-
-
-def _sqlval(v):
-    return v if isinstance(v, _Raw) else None
-
-
 class _TenantPII(PII):
     def score(self, t, p):
         c = dict(self.conf)
-        return _swap(PII(c).score(t, p), {"'warn'": "pii_action"}, c["confidence_threshold"], "pii_threshold", self.conf["action"])
+        return _swap(PII(c).score(t, p), c["confidence_threshold"], "pii_threshold", self.conf["action"])
 
 
 class _TenantInj(Injection):
     def score(self, t, p):
-        return _swap(Injection(self.conf).score(t, p), {}, self.conf["confidence_threshold"], "injection_threshold", None)
+        return _swap(Injection(self.conf).score(t, p), self.conf["confidence_threshold"], "injection_threshold", None)
 
 
 class _TenantToxic(Toxic):
     def score(self, t, p):
-        return _swap(Toxic(self.conf).score(t, p), {}, None, None, self.conf["action"], "toxic_action")
+        return _swap(Toxic(self.conf).score(t, p), None, None, self.conf["action"], "toxic_action")
 
 
 class _TenantTopic(Topic):
     def score(self, t, p):
-        return _swap(Topic(self.conf).score(t, p), {}, None, None, self.conf["action"], "topic_action")
+        return _swap(Topic(self.conf).score(t, p), None, None, self.conf["action"], "topic_action")
 
 
-def _swap(fields, _unused, threshold, threshold_col, action, action_col=None):
+def _swap(fields, threshold, threshold_col, action, action_col=None):
+    """Per-tenant twin: thresholds and actions read from the tier columns."""
     out = {}
     for k, v in fields.items():
         if threshold is not None and threshold_col:
