@@ -71,14 +71,23 @@ def block_rates(
     ``action``.  On a stream the watermark drops rows later than the
     allowed lateness and closes windows; on a static frame it is a no-op.
     """
+    ntz = isinstance(events.schema[ts].dataType, T.TimestampNTZType)
     if watermark and events.isStreaming:
+        if ntz:
+            # event time must be TIMESTAMP; NTZ -> TIMESTAMP -> NTZ round-trips
+            # exactly in the session time zone (UTC in every job here)
+            events = events.withColumn(ts, F.col(ts).cast("timestamp"))
         events = events.withWatermark(ts, watermark)
-    return events.groupBy(F.window(ts, window).alias("w"), "guard_name").agg(
+    out = events.groupBy(F.window(ts, window).alias("w"), "guard_name").agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.sum(F.when(F.col("action") == "block", 1).otherwise(0)).alias("n_blocks"),
-    ).select(
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
+    )
+    start, end = F.col("w.start"), F.col("w.end")
+    if ntz:
+        start, end = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
+    return out.select(
+        start.alias("window_start"),
+        end.alias("window_end"),
         "guard_name",
         "n_runs",
         "n_blocks",

@@ -33,3 +33,12 @@ def test_block_rate_stream_with_watermark(spark, tmp_path):
     assert got == {(0, 2, 1), (5, 1, 1)}
     batch = ST.block_rates(spark.read.parquet(str(src))).collect()
     assert len(batch) == 3
+
+
+def test_block_rate_stream_is_closed_subset_of_batch(spark):
+    s = C.block_rate_stream(spark, SF_SMALL)
+    b = C.block_rate_window(spark, SF_SMALL)
+    assert s.count() > 0
+    assert s.exceptAll(b.select(s.columns)).count() == 0
+    last = b.agg(F.max("window_end")).collect()[0][0]
+    assert s.agg(F.max("window_end")).collect()[0][0] < last
