@@ -77,5 +77,35 @@ HARMFUL_INSTRUCTION = P.java(P.HARMFUL_INSTRUCTION, ignore_case=True, unix_lines
 SYSTEM_LEAK = P.java(P.SYSTEM_LEAK, ignore_case=True)
 
 
+# Literals every match of a marker pattern contains (lowercased): a match
+# needs one of them, so their absence from the lowercased text (and of the
+# characters that fold to ASCII letters) proves the count is zero.
+MARKER_LITERALS: dict[str, list[list[str]]] = {
+    STATISTIC: [["%", "studies", "according", "scientists", "fact"]],
+    ASSERTION: [["definitely", "always", "never", "every", "without", "undeniably", "guaranteed"]],
+    CITATION: [["al.", "journal", "published"]],
+    # an opening word and an action verb must both occur
+    HARMFUL_INSTRUCTION: [
+        ["step", "first", "then", "next", "finally"],
+        ["mix", "combine", "inject", "insert", "attach", "connect"],
+    ],
+    SYSTEM_LEAK: [["prompt", "instruct", "programmed", "told", "message"]],
+}
+
+
+def marker_gate(text: Column, regex: str) -> Column:
+    low = F.lower(text)
+    gate = None
+    for group in MARKER_LITERALS[regex]:
+        g = any_phrase_of(low, group)
+        gate = g if gate is None else gate & g
+    return gate
+
+
 def marker_count(text: Column, regex: str) -> Column:
-    return F.regexp_count(text, F.lit(regex)).cast("long")
+    n = F.regexp_count(text, F.lit(regex)).cast("long")
+    return F.when(marker_gate(text, regex), n).otherwise(F.lit(0).cast("long"))
+
+
+def marker_found(text: Column, regex: str) -> Column:
+    return marker_gate(text, regex) & text.rlike(regex)

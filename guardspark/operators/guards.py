@@ -375,8 +375,8 @@ class ContentFilter(Guard):
         facts = {
             f"n_{c}": n for c, n in L.category_counts(F.lower(text), P.TOXIC_KEYWORDS, cats)
         }
-        facts["harm"] = text.rlike(L.HARMFUL_INSTRUCTION)
-        facts["leak"] = text.rlike(L.SYSTEM_LEAK)
+        facts["harm"] = L.marker_found(text, L.HARMFUL_INSTRUCTION)
+        facts["leak"] = L.marker_found(text, L.SYSTEM_LEAK)
         return [facts]
 
     def score(self, text, fact):

@@ -251,8 +251,8 @@ def marker_counts(spark, sf_dir):
         L.marker_count(t, L.STATISTIC).alias("n_statistic"),
         L.marker_count(t, L.ASSERTION).alias("n_assertion"),
         L.marker_count(t, L.CITATION).alias("n_citation"),
-        t.rlike(L.HARMFUL_INSTRUCTION).alias("harmful_instruction"),
-        t.rlike(L.SYSTEM_LEAK).alias("system_leak"),
+        L.marker_found(t, L.HARMFUL_INSTRUCTION).alias("harmful_instruction"),
+        L.marker_found(t, L.SYSTEM_LEAK).alias("system_leak"),
     )
 
 

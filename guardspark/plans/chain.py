@@ -114,6 +114,7 @@ def _chain_plan(text, guards, results_col, final_text_col, prefix):
     current = F.col(text)
     fact_fns: list[Callable[[str], Column]] = []
     texts_seen: list[Column] = []
+    pending: list[Column] = []
     for i, g in enumerate(guards):
 
         def fact(name: str, _i=i, _g=g, _memo={}) -> Column:  # noqa: B006 - per-guard memo
@@ -124,15 +125,29 @@ def _chain_plan(text, guards, results_col, final_text_col, prefix):
 
         fact_fns.append(fact)
         texts_seen.append(current)
-        for stage in g.stages(current, fact):
+        stages = g.stages(current, fact)
+        if len(stages) > 1 and pending:
+            # a multi-stage guard reads its own earlier stages: flush first
+            steps.append(pending)
+            pending = []
+        for stage in stages:
             cols = {names.col(str(i), g.key, k): v for k, v in stage.items()}
-            if cols:
+            hidden.extend(cols)
+            if len(stages) == 1:
+                # single-stage guards share one select (and common subexpressions)
+                pending.extend(v.alias(k) for k, v in cols.items())
+            elif cols:
                 steps.append([v.alias(k) for k, v in cols.items()])
-                hidden.extend(cols)
         new_text = g.modified_text(fact)
         if new_text is not None:
             current = F.coalesce(new_text, current)
+            if pending:
+                # later guards read the rewritten text: materialise it first
+                steps.append(pending)
+                pending = []
 
+    if pending:
+        steps.append(pending)
     raw = [names.col(str(i), g.key, "result") for i, g in enumerate(guards)]
     steps.append([g.score(texts_seen[i], fact_fns[i]).alias(raw[i]) for i, g in enumerate(guards)])
     hidden.extend(raw)

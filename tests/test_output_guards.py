@@ -110,3 +110,14 @@ def test_validator_json(spark):
     assert r[4].passed  # booleans count as numbers
     assert r[5].details.labels == ["Output is not valid JSON"]
     assert r[6].passed  # unchecked type
+
+
+def test_marker_gates_keep_case_and_folding(spark):
+    g = G.Hallucination(conf("hallucination_detector", confidence_threshold=0.3))
+    r = guard_results(spark, g, ["STUDIES SHOW it", "ſtudies show it", "nothing to see"])
+    assert r[0].details.labels == ["Unattributed statistics found: 1"]
+    assert r[1].details.labels == ["Unattributed statistics found: 1"]
+    assert r[2].passed and r[2].confidence == 0.0
+    f = G.ContentFilter(conf("content_filter", confidence_threshold=0.3))
+    r2 = guard_results(spark, f, ["FIRST you MIX it", "Then connect", "mix only"])
+    assert not r2[0].passed and not r2[1].passed and r2[2].passed
