@@ -80,6 +80,7 @@ class _Names:
 
 
 _PLANS: dict = {}
+MERGE_STAGES = True
 
 
 def _cache_key(text, guards, results_col, final_text_col, prefix):
@@ -126,6 +127,9 @@ def _chain_plan(text, guards, results_col, final_text_col, prefix):
         fact_fns.append(fact)
         texts_seen.append(current)
         stages = g.stages(current, fact)
+        if not MERGE_STAGES and pending:
+            steps.append(pending)
+            pending = []
         if len(stages) > 1 and pending:
             # a multi-stage guard reads its own earlier stages: flush first
             steps.append(pending)
