@@ -43,3 +43,17 @@ def test_documents_match_python_model(spark):
         assert {k: r[k] for k in P.PII_PATTERNS} == counts, r.doc_id
         assert r.special == special, r.doc_id
         assert r.red == redacted, r.doc_id
+
+
+def test_density_text_matches_python_format(spark):
+    rows = pq.read_table(f"{SF_ORACLE}/events.parquet", columns=["event_id", "props"]).to_pylist()
+    texts = [r["props"] for r in rows] + ["abc!!!!!", "a!", "ab!!!!!!!!", "x" * 37 + "!" * 63]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    t = F.col("t")
+    got = df.select(
+        "id", TX.ratio_2dp(TX.special_char_count(t), F.length(t)).alias("txt")
+    ).orderBy("id").collect()
+    for r in got:
+        s = texts[r.id]
+        special = sum(1 for c in s if not c.isalnum() and not c.isspace())
+        assert r.txt == f"{special / len(s):.2f}", s
