@@ -49,8 +49,12 @@ def spread(df: DataFrame) -> DataFrame:
     On cluster-sized inputs the scan already has far more splits than cores
     and this is a no-op, so no shuffle is added there.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Connect session): leave the scan as is
+        return df
+    if have < want:
         return df.repartition(2 * want)
     return df
 
