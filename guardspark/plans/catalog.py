@@ -60,21 +60,7 @@ def _doc_prompts(spark, sf_dir, add_phrase=True, keep=()):
     return RQ.prompts(_docs(spark, sf_dir), add_phrase=add_phrase, keep=keep)
 
 
-def _apply_guard(df: DataFrame, text: str, guard: G.Guard, out: str = "r") -> DataFrame:
-    """One guard over a frame, facts then score, as a result column."""
-    cols: list[str] = []
-
-    def fact(name: str):
-        return F.col(f"__f_{name}")
-
-    current = F.col(text)
-    for stage in guard.stages(current, fact):
-        df = df.select("*", *[v.alias(f"__f_{k}") for k, v in stage.items()])
-        cols.extend(f"__f_{k}" for k in stage)
-    if isinstance(guard, G.OutputValidator):
-        J.enable(df.sparkSession)
-    df = df.select("*", guard.score(current, fact).alias(out))
-    return df.drop(*cols)
+_apply_guard = chain.apply_guard
 
 
 def _guard_query(guard: G.Guard, keep_modified: bool = False) -> Query:

@@ -73,7 +73,6 @@ class _Names:
 
     def __init__(self, prefix: str):
         self.prefix = prefix
-        self.made: list[str] = []
 
     def col(self, *parts: str) -> str:
         return "__" + self.prefix + "_" + "_".join(parts)
@@ -204,6 +203,27 @@ def run_chain(
     return df.drop(*hidden)
 
 
+def apply_guard(df: DataFrame, text: str, guard: G.Guard, out: str = "r") -> DataFrame:
+    """One guard on its own: facts, then its result struct in ``out``.
+
+    Unlike a chain there is no short-circuit and a null text is scored as
+    is (the facts are null), which is what single-guard reports want.
+    """
+    cols: list[str] = []
+
+    def fact(name: str) -> Column:
+        return F.col(f"__f_{name}")
+
+    current = F.col(text)
+    for stage in guard.stages(current, fact):
+        df = df.select("*", *[v.alias(f"__f_{k}") for k, v in stage.items()])
+        cols.extend(f"__f_{k}" for k in stage)
+    if isinstance(guard, G.OutputValidator):
+        J.enable(df.sparkSession)
+    df = df.select("*", guard.score(current, fact).alias(out))
+    return df.drop(*cols)
+
+
 def input_chain(
     df: DataFrame, text: str = "input_text", policy=None, results_col: str = "input_results"
 ) -> DataFrame:

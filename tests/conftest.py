@@ -43,7 +43,7 @@ def texts_df(spark, texts, col="text"):
 
 def guard_results(spark, guard, texts, col="text"):
     """Apply one guard (facts then score) to texts; rows in input order."""
-    from guardspark.plans import catalog as C
+    from guardspark.plans import chain
 
-    df = C._apply_guard(texts_df(spark, texts, col), col, guard)
+    df = chain.apply_guard(texts_df(spark, texts, col), col, guard)
     return [r["r"] for r in df.orderBy("id").collect()]

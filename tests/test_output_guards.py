@@ -4,7 +4,7 @@ from conftest import guard_results
 
 from guardspark import policy as PL
 from guardspark.operators import guards as G
-from guardspark.plans import catalog as C
+from guardspark.plans import chain
 from pyspark.sql import functions as F
 
 
@@ -79,7 +79,7 @@ def test_harmful_dot_stops_at_newline_only(spark):
 def validate(spark, rows):
     df = spark.createDataFrame(rows, "id long, text string, output_type string, output_required array<string>")
     g = G.OutputValidator(conf("output_validator", max_output_length=1000), F.col("output_type"), F.col("output_required"))
-    return [r["r"] for r in C._apply_guard(df, "text", g).orderBy("id").collect()]
+    return [r["r"] for r in chain.apply_guard(df, "text", g).orderBy("id").collect()]
 
 
 def test_validator_blank_and_length(spark):
