@@ -42,3 +42,29 @@ def test_block_rate_stream_is_closed_subset_of_batch(spark):
     assert s.exceptAll(b.select(s.columns)).count() == 0
     last = b.agg(F.max("window_end")).collect()[0][0]
     assert s.agg(F.max("window_end")).collect()[0][0] < last
+
+
+def test_late_event_behind_watermark_is_dropped(spark, tmp_path):
+    """Restart from the checkpoint after new input arrives: the persisted
+    watermark drops a row older than the allowed lateness."""
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    schema = "ts timestamp, guard_name string, action string"
+    src, ckpt, sink = tmp_path / "src", tmp_path / "ckpt", tmp_path / "sink"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+        q = (
+            ST.block_rates(stream).writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", str(ckpt)).option("path", str(sink))
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+
+    on_time = [(t0 + dt.timedelta(minutes=m), "G", "block") for m in (1, 2, 30)]
+    spark.createDataFrame(on_time, schema).coalesce(1).write.parquet(str(src / "a"))
+    run()
+    late = [(t0 + dt.timedelta(minutes=3), "G", "block")]  # 27 minutes late
+    spark.createDataFrame(late, schema).coalesce(1).write.parquet(str(src / "b"))
+    run()
+    got = {(r.window_start.minute, r.n_runs) for r in spark.read.parquet(str(sink)).collect()}
+    assert got == {(0, 2)}  # the late row does not reopen the final window
