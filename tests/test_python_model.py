@@ -57,3 +57,44 @@ def test_density_text_matches_python_format(spark):
         s = texts[r.id]
         special = sum(1 for c in s if not c.isalnum() and not c.isspace())
         assert r.txt == f"{special / len(s):.2f}", s
+
+
+EDGE_TEXTS = [
+    "Call ٥٥٥-١٢٣-٤٥٦٧ now",  # Arabic-Indic digits
+    "studies\u00a0show it",  # no-break space
+    "As (Müller et al., 2023) said",
+    "éjohn@mail.com and john@mail.com",
+    "under_score@x.io, x@y.z",
+    "card ４１１１１１１１１１１１１１１１ fullwidth",
+    "ip 10.0.0.1x and 300.1.1.1 and 1.2.3.4",
+    "step ٣ then MIX",
+    "Journal of Économie, published in 1999",
+    "ssn 123 45 6789 and 123-45-6789",
+    "",
+]
+
+
+def test_unicode_edges_match_python_model(spark):
+    from guardspark.functions import lexicon as L
+
+    markers = {
+        "stat": (L.STATISTIC, P.STATISTIC),
+        "asrt": (L.ASSERTION, P.ASSERTION),
+        "cite": (L.CITATION, P.CITATION),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(EDGE_TEXTS)], "id long, t string")
+    t = F.col("t")
+    rows = df.select(
+        "id",
+        *[pii.count(t, k).alias(k) for k in P.PII_PATTERNS],
+        *[L.marker_count(t, j).alias(n) for n, (j, _) in markers.items()],
+        L.marker_found(t, L.HARMFUL_INSTRUCTION).alias("harm"),
+    ).orderBy("id").collect()
+    harm = regex.compile(P.HARMFUL_INSTRUCTION, regex.IGNORECASE)
+    for r in rows:
+        s = EDGE_TEXTS[r.id]
+        for k, p in COMPILED.items():
+            assert r[k] == len(p.findall(s)), (k, s)
+        for n, (_, src) in markers.items():
+            assert r[n] == len(regex.findall(src, s, regex.IGNORECASE)), (n, s)
+        assert r.harm == bool(harm.search(s)), s
