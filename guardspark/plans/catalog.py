@@ -89,6 +89,19 @@ hallucination_detect = _guard_query(
 content_filter = _guard_query(G.ContentFilter(PL.guard_conf(None, "content_filter")))
 pii_redact = _guard_query(G.PIIRedactor(PL.guard_conf(None, "pii_redactor")), keep_modified=True)
 
+# The shipped file's redaction order (email, phone, ssn, credit_card,
+# ip_address): a 16-digit card is first redacted as a phone number.
+FILE_REDACT_ORDER = ["email", "phone", "ssn", "credit_card", "ip_address"]
+pii_redact_file_order = _guard_query(
+    G.PIIRedactor(
+        PL.guard_conf(
+            PL.overlay(PL.DEFAULT_POLICY, {"output_guards": {"pii_redactor": {"redact_types": FILE_REDACT_ORDER}}}),
+            "pii_redactor",
+        )
+    ),
+    keep_modified=True,
+)
+
 
 def _json_outputs(spark, sf_dir) -> DataFrame:
     """Output texts with contracts, derived from ``events.props``."""
@@ -525,6 +538,7 @@ QUERIES: dict[str, Query] = {
     "tenant_policy_verdict": tenant_policy_verdict,
     "text_profile": text_profile,
     "pii_redact": pii_redact,
+    "pii_redact_file_order": pii_redact_file_order,
     "unicode_tricks": unicode_tricks,
     "special_char_ratio": special_char_ratio,
     "pii_matches": pii_matches,

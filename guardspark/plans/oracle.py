@@ -1095,6 +1095,18 @@ ORACLE_SQL: dict[str, str] = {
         Redactor(PL.guard_conf(None, "pii_redactor")),
         extra="CASE WHEN g0_action = 'redact' THEN {final} END AS modified_text",
     ),
+    "pii_redact_file_order": q_single(
+        Redactor(
+            PL.guard_conf(
+                PL.overlay(
+                    PL.DEFAULT_POLICY,
+                    {"output_guards": {"pii_redactor": {"redact_types": C.FILE_REDACT_ORDER}}},
+                ),
+                "pii_redactor",
+            )
+        ),
+        extra="CASE WHEN g0_action = 'redact' THEN {final} END AS modified_text",
+    ),
     "unicode_tricks": q_unicode_tricks(),
     "special_char_ratio": q_special_ratio(),
     "pii_matches": pii_values_sql("doc_id"),
