@@ -9,8 +9,10 @@ enter the plan) and applied as a few ``select`` steps over the DataFrame:
 3. the ordered, short-circuited ``ARRAY<result>``: guard *i* is kept only if
    no guard before it blocked, so the array ends at the first block.
 
-No shuffle: a chain is a narrow projection and fuses into the scan's
-whole-stage-codegen stage.  A null text is a guard error: the first guard
+No shuffle: a chain is a narrow projection.  The fact projections (all the
+regex work) fuse into the scan's whole-stage-codegen stage; the result
+structs are wider than codegen's field limit and run as generated
+projections right after it, in the same task.  A null text is a guard error: the first guard
 reports the fail-closed block result and the chain stops (E3).
 """
 
