@@ -163,3 +163,41 @@ def detokenize_join(
 def token_type(token: Column) -> Column:
     """The lowercased type name inside a token."""
     return F.lower(F.regexp_extract(token, r"^<PII_(.*)_[^_]*>$", 1))
+
+
+def store(
+    df: DataFrame,
+    text: str,
+    request_id: str,
+    types: list[str],
+    secret: str,
+    path: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Tokenize once and keep two tables under ``path`` (a shared folder).
+
+    ``{path}/tokenized`` holds ``request_id, tokenized_text`` and
+    ``{path}/vault`` the sensitive ``(request_id, token, pii_type, value)``
+    rows (store it with restricted access).  The tokenized rows are persisted
+    while both tables are written, so the regex work runs once; a lost
+    executor recomputes its partitions (tokens are deterministic).  Later
+    jobs start from the written files.
+    """
+    from pyspark import StorageLevel
+
+    tok = tokenize(df, text, request_id, types, secret).select(
+        F.col(request_id).alias("request_id"), "tokenized_text", "vault_pairs"
+    )
+    tok = tok.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        vault_table(tok).write.parquet(f"{path}/vault")
+        tok.select("request_id", "tokenized_text").write.parquet(f"{path}/tokenized")
+    finally:
+        tok.unpersist()
+    spark = df.sparkSession
+    return spark.read.parquet(f"{path}/tokenized"), spark.read.parquet(f"{path}/vault")
+
+
+def restore(texts: DataFrame, vault_path: str, request_id: str = "request_id", text: str = "text"):
+    """D3 as a later job: restore tokens in ``texts`` from a stored vault."""
+    vault = texts.sparkSession.read.parquet(vault_path)
+    return detokenize_join(texts, vault, request_id, text)

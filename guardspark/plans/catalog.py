@@ -278,18 +278,16 @@ def vault_table(spark, sf_dir):
 
 
 def vault_roundtrip(spark, sf_dir):
-    """D3 across jobs: the vault and the tokenized texts are written to the
-    shared folder, read back, and joined to restore every text."""
+    """D3 across jobs: tokenized texts and the vault are stored in the shared
+    folder (``vault.store``); a later job restores every text from them."""
     import uuid
 
-    df = _tokenized(spark, sf_dir)
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    types = PL.guard_conf(None, "pii_vault")["detect_types"]
     root = f"{checkpoint_root(spark)}/vault_roundtrip-{uuid.uuid4().hex[:12]}"
-    df.select("doc_id", "tokenized_text", "vault_pairs").write.parquet(f"{root}/tokenized")
-    stored = spark.read.parquet(f"{root}/tokenized")
-    V.vault_table(stored, "doc_id").write.parquet(f"{root}/vault")
-    vault = spark.read.parquet(f"{root}/vault")
-    texts = stored.select(F.col("doc_id").alias("request_id"), F.col("tokenized_text").alias("text"))
-    restored = V.detokenize_join(texts, vault)
+    tokenized, _ = V.store(docs, "text", "doc_id", types, VAULT_SECRET, root)
+    texts = tokenized.select("request_id", F.col("tokenized_text").alias("text"))
+    restored = V.restore(texts, f"{root}/vault")
     return restored.select(F.col("request_id").alias("doc_id"), F.col("text").alias("restored_text"))
 
 

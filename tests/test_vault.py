@@ -66,3 +66,12 @@ def test_default_vault_order_keeps_cards_whole(spark):
     types = PL.guard_conf(None, "pii_vault")["detect_types"]
     r = tokenize(spark, ["card 4111111111111111 here"], types)[0]
     assert r.tokenized_text.startswith("card <PII_CREDIT_CARD_") and "1111" not in r.tokenized_text
+
+
+def test_store_and_restore(spark, tmp_path):
+    df = texts_df(spark, ["mail a@b.co", "call 555-123-4567 or 555-123-4567", "none"])
+    tokenized, vault = V.store(df, "text", "id", ["email", "phone"], SECRET, str(tmp_path / "v"))
+    assert vault.count() == 2 and "value" in vault.columns
+    texts = tokenized.select("request_id", F.col("tokenized_text").alias("text"))
+    back = {r.request_id: r.text for r in V.restore(texts, str(tmp_path / "v" / "vault")).collect()}
+    assert back == {0: "mail a@b.co", 1: "call 555-123-4567 or 555-123-4567", 2: "none"}
