@@ -22,3 +22,14 @@ def test_every_query_has_oracle():
     # approximate sketches have no exact SQL twin
     assert set(E.queries()) - set(E.oracle_sql()) == {"pii_by_source_approx", "block_rate_stream"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+FLAT = ("bigint", "int", "string", "boolean", "double", "timestamp", "timestamp_ntz")
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_columns_are_flat(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    nested = {f.name: f.dataType.simpleString() for f in df.schema.fields
+              if f.dataType.simpleString() not in FLAT}
+    assert not nested, nested
