@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardspark.llm import op9_mix
+from guardspark.llm import op8_tokens, op9_mix
 from guardspark.llm.common import table
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_tokens.tokenized(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_mix.taken_words(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -15,6 +19,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_token_files": op8_token_files,
     "op9_mix_sources": op9_mix_sources,
 }
 
