@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardspark.llm import op8_tokens, op9_mix
+from guardspark.llm import op3_neardup, op8_tokens, op9_mix
 from guardspark.llm.common import table
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_tokens.tokenized(table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op8_token_files": op8_token_files,
     "op9_mix_sources": op9_mix_sources,
 }
