@@ -52,6 +52,8 @@ SIM_PERCENT = 85
 COORDS = 64
 MIN_MATCHES = 40
 PREFIX = COORDS - MIN_MATCHES + 1
+#: Hash buckets of a set's counts, for the bound on intersections.
+BUCKETS = 64
 #: Star rounds before the rest is compared.
 STARS = 2
 
@@ -151,8 +153,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array([x[0] for x in fp], pa.int64()),
                         pa.array([x[1] for x in fp], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64))),
+                        pa.array(
+                            [np.bincount((x % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) for x in sets],
+                            pa.list_(pa.int64()),
+                        ),
                     ],
-                    names=["f1", "f2", "shingles"],
+                    names=["f1", "f2", "shingles", "buckets"],
                 )
 
 
@@ -211,15 +217,12 @@ def _can_link(n_a: Column, s_a: Column, n_b: Column, s_b: Column) -> Column:
 def verified(pairs: DataFrame, active: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b), those whose signatures agree in at least
     MIN_MATCHES places and whose full shingle sets meet the threshold."""
-    a = active.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    b = active.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    agree = pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("ta", "tb")) >= MIN_MATCHES)
-    x = active.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    y = active.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    a = active.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("shingles").alias("sa"))
+    b = active.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("shingles").alias("sb"))
     both = (
-        agree.select("a", "b")
-        .join(x, "a")
-        .join(y, "b")
+        pairs.join(a, "a")
+        .join(b, "b")
+        .where(F.size(F.array_intersect("ta", "tb")) >= MIN_MATCHES)
         .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     )
     return both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * SIM_PERCENT).select("a", "b")
@@ -281,7 +284,7 @@ def _open_postings(active: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Postings (token, node, comp, centrality, n, s) of tokens under which
     more than one component is posted, with the token's largest component."""
     rows = _with_comp(active.select("node", "centrality", "n", "s", "prefix"), comps)
-    post = rows.select("node", "comp", "centrality", "n", "s", "prefix", F.explode("prefix").alias("token"))
+    post = rows.select("node", "comp", "centrality", "n", "s", F.explode("prefix").alias("token"))
     per = (
         post.groupBy("token", "comp")
         .agg(F.count(F.lit(1)).alias("members"))
@@ -306,17 +309,18 @@ def star_pairs(post: DataFrame, first: bool) -> DataFrame:
     )
 
 
-def rest_pairs(post: DataFrame) -> DataFrame:
+def rest_pairs(post: DataFrame, active: DataFrame) -> DataFrame:
     """Every pair of different components that share a posting, at the first
-    token of their prefixes they share, if sizes allow; one side lies outside
-    the token's largest component, which covers each such pair."""
+    token of their prefixes they share, if the bounds allow; one side lies
+    outside the token's largest component, which covers each such pair."""
+    post = post.join(active.select("node", "prefix", "shared"), "node")
     # n of a partner lies in [least, most]: from the similarity and from s
     least = F.ceil(F.col("n") * SIM_PERCENT / 100.0 - 1e-6)
     most = F.least(
         F.floor(F.col("n") * 100.0 / SIM_PERCENT + 1e-6),
         F.floor(F.col("s") * (100.0 + SIM_PERCENT) / SIM_PERCENT - F.col("n") + 1e-6),
     )
-    size_class = lambda c: F.floor(F.log(c) * F.lit(25.0))  # noqa: E731  4 % wide
+    size_class = lambda c: F.floor(F.log(c) * F.lit(6.0))  # noqa: E731  two or three meet a document
     probe = (
         post.where("comp <> big")
         .withColumn("least", least)
@@ -324,8 +328,9 @@ def rest_pairs(post: DataFrame) -> DataFrame:
         .where("least <= most")
         .withColumn("cls", F.explode(F.sequence(size_class("least"), size_class("most"))))
     )
-    probe = probe.select("token", "cls", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("s").alias("su"), F.col("prefix").alias("pu"))
-    base = post.select("token", size_class("n").alias("cls"), F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("s").alias("sv"), F.col("prefix").alias("pv"), (F.col("comp") != F.col("big")).alias("outside"))
+    probe = probe.select("token", "cls", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("s").alias("su"), F.col("prefix").alias("pu"), F.col("shared").alias("bu"))
+    base = post.select("token", size_class("n").alias("cls"), F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("s").alias("sv"), F.col("prefix").alias("pv"), F.col("shared").alias("bv"), (F.col("comp") != F.col("big")).alias("outside"))
+    most_common = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
     on = (
         (probe["token"] == base["token"])
         & (probe["cls"] == base["cls"])
@@ -334,6 +339,7 @@ def rest_pairs(post: DataFrame) -> DataFrame:
         & (~F.col("outside") | (F.col("u") < F.col("v")))
         & _can_link(F.col("nu"), F.col("su"), F.col("nv"), F.col("sv"))
         & (F.element_at(F.array_intersect("pu", "pv"), 1) == probe["token"])
+        & (most_common * 100 >= (F.col("nu") + F.col("nv") - most_common) * SIM_PERCENT)
     )
     return (
         probe.join(base, on)
@@ -349,24 +355,26 @@ def links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         posted.select("doc_id"), "doc_id", "left_semi"
     )
-    sets = texts.select("text").mapInArrow(_sets, "f1 long, f2 long, shingles array<long>").dropDuplicates(["f1", "f2"])
+    sets = texts.select("text").mapInArrow(_sets, "f1 long, f2 long, shingles array<long>, buckets array<long>").dropDuplicates(["f1", "f2"])
     held = staged(posted.join(sets, ["f1", "f2"]), "nd-sets")
-    seen = (
+    bucket = F.col("x").bitwiseAND(F.lit(BUCKETS - 1))
+    own = (
         held.select("node", F.explode("shingles").alias("x"))
         .groupBy("x")
         .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("df"))
         .where("df = 1")
         .groupBy("node")
-        .agg(F.count(F.lit(1)).alias("own"))
+        .agg(F.array(*[F.count_if(bucket == i) for i in range(BUCKETS)]).alias("own"))
     )
+    shared = F.when(F.col("own").isNull(), F.col("buckets")).otherwise(F.zip_with("buckets", "own", lambda x, y: x - y))
+    active = held.join(own, "node", "left").withColumn("shared", shared).drop("own", "buckets")
     active = staged(
-        held.join(seen, "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"),
-        "nd-active",
+        active.withColumn("s", F.aggregate("shared", F.lit(0).cast("long"), lambda t, x: t + x)), "nd-active"
     )
     found, comps = None, None
     for step in range(STARS + 1):
         post = _open_postings(active, comps)
-        pairs = rest_pairs(post) if step == STARS else star_pairs(post, step == 0)
+        pairs = rest_pairs(post, active) if step == STARS else star_pairs(post, step == 0)
         new = staged(verified(pairs, active), "nd-links")
         found = new if found is None else found.unionByName(new)
         if step < STARS:
