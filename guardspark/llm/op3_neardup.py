@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardspark.llm.common import staged
+from guardspark.llm.common import free_names, staged
 
 WORDS = 5
 #: Link when PERCENT_NUM * intersection >= PERCENT_DEN * union.
@@ -423,13 +423,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "h")).alias("head"))
         .select("head.doc_id", "head.h")
     )
-    keep = alone.unionByName(heads).select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash")).distinct()
-    rows = docs.where("doc_id IS NOT NULL").withColumns(
-        {"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64("text")}
-    )
+    i, h = free_names(docs, "__id", "__hash")
+    keep = alone.unionByName(heads).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    rows = docs.where("doc_id IS NOT NULL").withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
     return (
-        rows.join(keep, ["__id", "__hash"], "left_semi")
-        .dropDuplicates(["__id", "__hash"])
+        rows.join(keep, [i, h], "left_semi")
+        .dropDuplicates([i, h])
         .select(*docs.columns)
         .unionByName(docs.where("doc_id IS NULL"))
     )

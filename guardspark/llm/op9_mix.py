@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardspark.llm.common import n_words_col, staged
+from guardspark.llm.common import free_names, n_words_col, staged
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -201,14 +201,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``MAX_REPEAT``): only the one document per source at which the schedule
     ends can be taken in part.  Row ids are fixed by staging the documents.
     """
-    cols = docs.columns
-    held = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
-    keyed = held.select(F.col("__row").alias("doc_id"), "source", "text")
+    row, n, copy = free_names(docs, "__row", "__n", "__copy")
+    held = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    keyed = held.select(F.col(row).alias("doc_id"), "source", "text")
     counts = taken_words(keyed, **options).where("size > 0").select(
-        F.col("doc_id").alias("__row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__n")
+        F.col("doc_id").alias(row), F.round(F.col("taken") / F.col("size")).cast("int").alias(n)
     )
     return (
-        held.join(counts.where("__n > 0"), "__row")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        .select(*cols)
+        held.join(counts.where(F.col(n) > 0), row)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+        .select(*docs.columns)
     )
