@@ -3,15 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from guardspark.llm import op3_neardup, op8_tokens, op9_mix
-from guardspark.llm.common import table
+from guardspark.llm import op1_html, op10_decontaminate, op2_toxicity, op3_neardup, op4_chat, op5_lattice, op6_quality, op7_secrets, op8_tokens, op9_mix
+from guardspark.llm.common import crc_mod, table
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_html.extracted(table(spark, sf_dir, "pages"))
+
+
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = op2_toxicity.fit(docs, table(spark, sf_dir, "labels"), learns=~held_out)
+    return op2_toxicity.scored(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_passages",
+    )
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op4_chat.with_control(spark, table(spark, sf_dir, "conversations"))
+    return op4_chat.digest(op4_chat.windows(rows))
+
+
+def op5_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_lattice.scored(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_tokens.tokenized(table(spark, sf_dir, "documents"))
 
@@ -22,10 +57,21 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_main_text": op1_main_text,
+    "op2_toxic_segments": op2_toxic_segments,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_chat_windows": op4_chat_windows,
+    "op5_lattice_scores": op5_lattice_scores,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_secret_links": op7_secret_links,
     "op8_token_files": op8_token_files,
     "op9_mix_sources": op9_mix_sources,
+    "op10_decontaminate_benchmark": op10_decontaminate_benchmark,
 }
 
 ORACLE_SQL: dict[str, str] = {}
