@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED_PAGES = 600
+LABELLED_PAGES = 800
 SEED = 7
 
 _INLINE = frozenset(
@@ -96,6 +96,7 @@ class Block:
     linked: int
     tag: str
     near: str
+    hint: str
     above: frozenset[str]
 
 
@@ -103,8 +104,8 @@ def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order; one scan, linear in the page."""
     out: list[Block] = []
     none: frozenset[str] = frozenset()
-    # per open element: tag, inherited features, nearest block tag, nearest section, hidden
-    stack: list[tuple[str, frozenset[str], str, str, bool]] = [("", none, "", "", False)]
+    # per open element: tag, inherited features, nearest block tag, nearest section, nearest hint, hidden
+    stack: list[tuple[str, frozenset[str], str, str, str, bool]] = [("", none, "", "", "", False)]
     opened: dict[str, int] = {}
     p_at: list[int] = []
     barrier_at: list[int] = [0]
@@ -118,9 +119,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if buf:
             text = " ".join(html.unescape("".join(buf)).split())
             if text:
-                _, above, tag, near, hidden = stack[-1]
+                _, above, tag, near, hint, hidden = stack[-1]
                 if not hidden:
-                    out.append(Block(text, linked, tag, near, above))
+                    out.append(Block(text, linked, tag, near, hint, above))
             buf.clear()
         linked = 0
 
@@ -209,7 +210,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     pop_to(n)
         if name in _VOID:
             continue
-        tag, above, own, near, hidden = stack[-1]
+        tag, above, own, near, hint, hidden = stack[-1]
         attrs = page[m.end() : at]
         if block:
             extra = _hints(attrs) if "=" in attrs else ()
@@ -217,9 +218,10 @@ def leaf_blocks(page: str) -> list[Block]:
             got = inherited.get(key)
             if got is None:
                 got = inherited[key] = above | {"in:" + name, *extra}
-            stack.append((name, got, name, name if name in _SECTIONS else near, hidden or name in _HIDDEN))
+            hint = extra[0][4:] if extra else name if name in _SECTIONS else hint
+            stack.append((name, got, name, name if name in _SECTIONS else near, hint, hidden or name in _HIDDEN))
         else:
-            stack.append((name, above, own, near, hidden))
+            stack.append((name, above, own, near, hint, hidden))
         opened[name] = opened.get(name, 0) + 1
         if name == "a":
             links += 1
@@ -250,6 +252,7 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
             "bias",
             "tag:" + b.tag,
             "near:" + (b.near or "-"),
+            "hint:" + (b.hint or "-"),
             f"words:{_bucket(words)}",
             "links:" + ("none" if share == 0 else "few" if share < 0.3 else "half" if share < 0.7 else "all"),
             "end:" + ("stop" if t[-1] in ".!?…。" else "other"),
@@ -301,7 +304,7 @@ class Crf:
         return " ".join(b.text for b, y in zip(blocks, self.decode(blocks), strict=True) if y)
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.1, ridge: float = 3e-4) -> Crf:
     """Maximum-likelihood weights, by Adam on the exact gradient (forward and
     backward sums over all pages at once, padded to the longest)."""
     names: dict[str, int] = {}
@@ -421,7 +424,7 @@ def labelled_page(rng: random.Random) -> str:
     def footer() -> str:
         inner = r.choice([f"&copy; {w.words(1, 3)} &middot; {w.words(2, 9)}.", w.sentences(1, 2), w.words(3, 10)])
         inner = w.text(0, inner) if r.random() < 0.5 else f"<p>{w.text(0, inner)}</p>" + (f"<p><a>{t0(1, 3)}</a></p>" if r.random() < 0.5 else "")
-        return f"<footer>{inner}</footer>" if semantic else _named(w, "div", "footer bottom copyright legal contentinfo", inner, 0)
+        return f"<footer>{inner}</footer>" if semantic else _named(w, "div", "footer bottom copyright legal contentinfo", inner, 0.1)
 
     def advert() -> str:
         inner = s0(1, 3) if r.random() < 0.7 else f"<p>{s0(1, 2)}</p><a>{t0(1, 4)}</a>"
@@ -444,6 +447,9 @@ def labelled_page(rng: random.Random) -> str:
         inner = f"<label>{t0(1, 3)}</label><input type=text><button>{t0(1, 2)}</button>"
         if r.random() < 0.5:
             inner = f"<p>{s0(1, 2)}</p>" + inner
+        if r.random() < 0.3:
+            inner = f"<p>{s0(1, 2)}</p><form>{inner}</form>"
+            return _named(w, "div", "newsletter subscribe signup login search", inner, 0)
         return f"<form>{inner}</form>" if r.random() < 0.8 else _named(w, "div", "search login newsletter subscribe signup form", inner, 0)
 
     def comments() -> str:
@@ -452,6 +458,8 @@ def labelled_page(rng: random.Random) -> str:
         return _named(w, r.choice(["div", "section", "ul", "aside"]), "comments discussion disqus replies respond feedback reviews", inner, 0)
 
     def related() -> str:
+        if r.random() < 0.3:
+            return _named(w, "div", "share sharing social tags meta byline author pager tools toolbar", f"{t0(1, 5)} <a>{w.words(1, 2)}</a>", 0)
         return _named(w, r.choice(["div", "section", "aside"]), "related recommended more popular trending share social tags pager", f"<ul>{_links(w, r.randint(2, 6))}</ul>", 0.2)
 
     def prose() -> str:
@@ -471,24 +479,30 @@ def labelled_page(rng: random.Random) -> str:
             parts = [f"<header>{parts[0]}</header>"]
         for _ in range(r.randint(1, 10)):
             x = r.random()
-            if x < 0.72:
+            if x < 0.58:
                 parts.append(prose())
+            elif x < 0.64:
+                parts.append(f"<div>{s1(1, 5)}</div>")
+            elif x < 0.68:
+                parts.append(f"<section>{prose()}</section>")
+            elif x < 0.72:
+                parts.append(f"{s1(1, 4)}<br><br>" if parts else prose())
             elif x < 0.78:
                 parts.append(f"<p>{t1(1, 6)}</p>")
-            elif x < 0.84:
+            elif x < 0.82:
                 parts.append(f"<h2>{t1(1, 6)}</h2>")
-            elif x < 0.88:
+            elif x < 0.85:
                 parts.append("<ul>" + "".join(f"<li>{t1(2, 12)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-            elif x < 0.9:
+            elif x < 0.87:
                 parts.append(f"<blockquote>{s1(1, 3)}</blockquote>")
-            elif x < 0.92:
+            elif x < 0.88:
                 parts.append(f"<pre>{t1(3, 20)}</pre>")
-            elif x < 0.94:
+            elif x < 0.89:
                 parts.append("<table><tr>" + "".join(f"<td>{t1(1, 4)}</td>" for _ in range(r.randint(2, 4))) + "</tr></table>")
-            elif x < 0.97:
+            elif x < 0.94:
                 parts.append(advert())
             else:
-                parts.append(r.choice([related, notice, form])())
+                parts.append(r.choice([related, notice, form, sidebar])())
         inner = "".join(parts)
         x = r.random()
         if semantic and x < 0.75:
