@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardspark.llm.common import staged
+from guardspark.llm.common import in_slices, staged
 
 STEM = 4
 #: Shortest word that has a stem.
@@ -59,7 +59,7 @@ MIN_ODDS = 2.0
 #: Prior strength of a stem's rates for its tokens, and of the flat prior.
 STEM_STRENGTH = 4.0
 FLAT_STRENGTH = 1.0
-DRIFT = 0.05
+DRIFT = 0.5
 MAX_SCORE = 12.0
 ALPHA = 0.005
 MAX_LABELLED = 20_000
@@ -170,7 +170,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learns: Column, bound: i
     n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     point = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.when(F.col("toxic") == 1, bound / max(n.get(1, 0), bound)).otherwise(bound / max(n.get(0, 0), bound))
-    chosen = marks.where(point < rate)
+    # about 2 * bound rows of (id, label) whatever the size of the input: small enough to broadcast
+    chosen = F.broadcast(marks.where(point < rate))
     return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
 
 
@@ -212,7 +213,7 @@ def _fit_tables(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
 
 def _sample_scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             best, n = [], []
             for t in b.column("text").to_pylist():
                 hits, words = model.hits(t)
@@ -225,7 +226,7 @@ def _sample_scores(model: Model):
 
 def _sample_evidence(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [b.column("toxic"), pa.array([model.evidence(t) for t in b.column("text").to_pylist()], pa.float64())],
                 names=["toxic", "evidence"],
@@ -288,17 +289,13 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column | None = None, bound:
 
 def _score_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                found = [model.passages(t) for t in part.column("text").to_pylist()]
-                ev = [sum(-math.log(max(x[3], 1e-300)) for x in f) for f in found]
-                keep = [part.column(i) for i in range(part.num_columns) if part.schema.field(i).name != "text"]
-                names = [f.name for f in part.schema if f.name != "text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*keep, pa.array([model.score(e) for e in ev], pa.float64()), pa.array([len(f) for f in found], pa.int32())],
-                    names=[*names, "score", "n_passages"],
-                )
+        for b in in_slices(batches):
+            found = [model.passages(t) for t in b.column("text").to_pylist()]
+            ev = [sum(-math.log(max(x[3], 1e-300)) for x in f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([model.score(e) for e in ev], pa.float64()), pa.array([len(f) for f in found], pa.int32())],
+                names=["doc_id", "score", "n_passages"],
+            )
 
     return run
 
@@ -311,7 +308,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def _accept_batches(model: Model, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             mask = [model.score(model.evidence(t)) < 0.5 for t in b.column(text_at).to_pylist()]
             yield b.filter(pa.array(mask))
 
