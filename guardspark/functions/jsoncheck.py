@@ -1,18 +1,19 @@
 """JSON contract (B12): parse check, root type, top-level keys, first failure.
 
-Validity means one complete JSON value with nothing but JSON whitespace
-around it.  ``try_parse_json`` alone stops after the first value, so the
-text is also wrapped as ``[t]`` (trailing junk breaks the array) and as
-``{"v":t}`` (a second value breaks the object), and ``[t]`` must hold one
-element.  Duplicate keys are legal, as in most JSON readers: the session
-must set ``spark.sql.variant.allowDuplicateKeys`` (``enable`` does it).
-
-Known gap: ``NaN`` / ``Infinity`` literals are rejected here (strict JSON).
+Validity means one complete JSON value with nothing but JSON whitespace around
+it, as the rules' parser reads it: duplicate keys and the literals ``NaN``,
+``Infinity`` and ``-Infinity`` are accepted; single quotes, comments, unquoted
+names, leading zeros and control characters in strings are not.
+
+The text is read once, as the first element of ``[text, mark]``: a second value,
+trailing text or a bracket of its own leaves the mark elsewhere than in second
+place.  Everything is an option of the expression; no session setting is
+involved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from guardspark.functions import patterns as P
@@ -28,18 +29,18 @@ TYPE_ACCEPTS: dict[str, list[str]] = {
 }
 
 
-def enable(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}
+#: Private-use characters that end the wrapping array.
+_MARK = "\ue000\ue001"
+_STRINGS = r'"(?:[^"\\]|\\.)*+"'
 
 
 def is_valid(text: Column) -> Column:
-    as_array = F.concat(F.lit("["), text, F.lit("]"))
-    as_object = F.concat(F.lit('{"v":'), text, F.lit("}"))
-    return (
-        F.try_parse_json(as_array).isNotNull()
-        & F.try_parse_json(as_object).isNotNull()
-        & (F.coalesce(F.json_array_length(as_array), F.lit(0)) == 1)
-    )
+    wrapped = F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]'))
+    read = F.from_json(wrapped, "array<string>", _OPTIONS)
+    # the reader also takes +Infinity, which is no JSON number in any dialect
+    signed = text.contains("+Infinity") & F.regexp_replace(text, F.lit(_STRINGS), F.lit('""')).contains("+Infinity")
+    return F.coalesce((F.size(read) == 2) & (F.get(read, F.lit(1)) == _MARK), F.lit(False)) & ~signed
 
 
 def _stripped(text: Column) -> Column:
@@ -56,13 +57,14 @@ def root_type(text: Column) -> Column:
         .when(first == '"', "str")
         .when(first.isin("t", "f"), "bool")
         .when(first == "n", "NoneType")
-        .when(s.rlike("^-?[0-9]+[.eE]"), "float")
+        .when(s.rlike("^(-?[0-9]+[.eE]|-?Infinity|NaN)"), "float")
         .otherwise("int")
     )
 
 
 def object_keys(text: Column) -> Column:
-    return F.json_object_keys(text)
+    """Top-level keys of a valid object."""
+    return F.map_keys(F.from_json(text, "map<string,string>", _OPTIONS))
 
 
 def contract_violation(

@@ -48,10 +48,6 @@ def any_phrase(lowered: Column, lexicon: dict[str, list[str]], categories: list[
     return any_phrase_of(lowered, phrases)
 
 
-def phrase_matches(lowered: Column, phrases: list[str]) -> Column:
-    return F.regexp_extract_all(lowered, F.lit(phrase_regex(phrases)), F.lit(0))
-
-
 def phrase_count(lowered: Column, phrases: list[str]) -> Column:
     return F.regexp_count(lowered, F.lit(phrase_regex(phrases))).cast("long")
 

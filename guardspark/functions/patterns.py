@@ -124,7 +124,6 @@ MSG_PII_FAIL = "PII detected: "
 MSG_PII_PASS = "No PII detected in input"
 MSG_INJ_FAIL = "Potential prompt injection detected"
 MSG_INJ_PASS = "No prompt injection detected"
-MSG_INJ_LENGTH = "Prompt exceeds maximum length ({n} > {max})"
 MSG_INJ_PATTERNS = "Injection patterns detected: "
 MSG_INJ_UNICODE = "Unicode obfuscation characters detected"
 MSG_INJ_SPECIAL = "High special character density: "
@@ -141,15 +140,12 @@ MSG_HALL_ASSERT = "Overconfident assertions: "
 MSG_HALL_CITE = "Unverified citations: "
 MSG_FILTER_FAIL = "Inappropriate content detected in LLM output"
 MSG_FILTER_PASS = "Output content passes filter checks"
-MSG_FILTER_TOXIC = "Toxic content ({category}): {n} matches"
 MSG_FILTER_HARMFUL = "Potentially harmful instructions detected"
 MSG_FILTER_LEAK = "System prompt/instruction leakage detected"
 MSG_VALID_FAIL = "Output validation failed: "
 MSG_VALID_PASS = "Output passes all validation checks"
 MSG_VALID_EMPTY = "Output is empty or contains only whitespace"
-MSG_VALID_LONG = "Output exceeds maximum length ({n} > {max})"
 MSG_VALID_JSON = "Output is not valid JSON"
-MSG_VALID_TYPE = "Output type mismatch: expected {expected}, got {got}"
 MSG_VALID_MISSING = "Missing required properties: "
 MSG_GUARD_ERROR = "Guard execution error: "
 SUMMARY_INPUT_BLOCKED = "Request blocked by input guardrails"

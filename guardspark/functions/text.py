@@ -67,35 +67,31 @@ def special_char_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, _lit(_ALNUM_OR_SPACE + "+"), _lit("")))
 
 
-def special_char_ratio(text: Column) -> Column:
-    """Special characters over length; 0.0 for the empty string."""
-    n = F.length(text)
-    return F.when(n == 0, F.lit(0.0)).otherwise(
-        special_char_count(text).cast("double") / n.cast("double")
-    )
-
-
 def is_blank(text: Column) -> Column:
     """``not text or not text.strip()``."""
     return F.length(F.regexp_replace(text, _lit(_SPACE + "+"), _lit(""))) == 0
 
 
+# Texts of the exact halves (2 q + 1) / 200: the binary value of a half lies on
+# either side of it, so each is formatted here as the rules format it.
+_HALVES = [f"{(2 * q + 1) / 200:.2f}" for q in range(100)]
+
+
 def ratio_2dp(special: Column, n: Column) -> Column:
-    """``f"{special/n:.2f}"`` from the integer counts.
+    """``f"{special/n:.2f}"`` from the integer counts, for ratios of 0 to 1.
 
-    Rounds 100*special/n to the nearest integer exactly; a tie (fraction
-    exactly one half) rounds to even.  That equals Python's binary rounding
-    except for ties that are not dyadic fractions, where the double's own
-    rounding decides (README, known gaps).
+    100 * special / n is rounded to the nearest integer; where the remainder is
+    exactly one half, the text is looked up by the quotient.
     """
     num = special.cast("long") * F.lit(100)
     den = n.cast("long")
     q = F.floor(num / den).cast("long")
-    rem2 = (num - q * den) * F.lit(2)
-    up = (rem2 > den) | ((rem2 == den) & (q % 2 == 1))
-    cents = q + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    return F.concat(
-        (cents / F.lit(100)).cast("long").cast("string"),
+    twice = (num - q * den) * F.lit(2)
+    cents = q + F.when(twice > den, F.lit(1)).otherwise(F.lit(0))
+    text = F.concat(
+        F.floor(cents / F.lit(100)).cast("string"),
         F.lit("."),
         F.lpad((cents % F.lit(100)).cast("string"), 2, "0"),
     )
+    halves = F.array(*[F.lit(x) for x in _HALVES])
+    return F.when(twice == den, F.get(halves, q.cast("int"))).otherwise(text)

@@ -69,11 +69,15 @@ def pii_by_source(values: DataFrame, source: str = "source") -> DataFrame:
     )
 
 
+#: Standard error of the distinct-value sketch.
+SKETCH_ERROR = 0.02
+
+
 def pii_by_source_approx(values: DataFrame, source: str = "source") -> DataFrame:
     """F3, sketch form: HyperLogLog++ distinct counts (one shuffle)."""
     return values.groupBy("pii_type", source).agg(
         F.count(F.lit(1)).alias("n_matches"),
-        F.approx_count_distinct("value", 0.02).alias("approx_distinct_values"),
+        F.approx_count_distinct("value", SKETCH_ERROR).alias("approx_distinct_values"),
     )
 
 

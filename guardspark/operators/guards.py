@@ -38,6 +38,17 @@ def _c(x: Any) -> Column:
     return x if isinstance(x, Column) else R.lit(x)
 
 
+def _meets(conf: Column, threshold: Any) -> Column:
+    """``conf >= threshold``; a null threshold of a per-row policy is met."""
+    test = conf >= _c(threshold)
+    return F.coalesce(test, F.lit(True)) if isinstance(threshold, Column) else test
+
+
+def _action(action: Any) -> Column:
+    """The configured action; a null one of a per-row policy blocks."""
+    return F.coalesce(action, F.lit("block")) if isinstance(action, Column) else _c(action)
+
+
 def _d(x: float) -> Column:
     return R.lit(float(x))
 
@@ -98,13 +109,13 @@ class PIIDetector(Guard):
         total = _sum([n for _, n in counts])
         conf = F.least(_d(1.0), _d(0.7) + total.cast("double") * _d(0.1))
         found = _labels([(n > 0, t) for t, n in counts])
-        fail = (total > 0) & (conf >= _c(self.conf["confidence_threshold"]))
+        fail = (total > 0) & _meets(conf, self.conf["confidence_threshold"])
         return F.when(
             fail,
             R.make(
                 self.name,
                 False,
-                _c(self.conf["action"]),
+                _action(self.conf["action"]),
                 "high",
                 F.concat(F.lit(P.MSG_PII_FAIL), R.join_labels(found)),
                 conf,
@@ -170,11 +181,11 @@ class PromptInjection(Guard):
                 (dense, F.concat(F.lit(P.MSG_INJ_SPECIAL), TX.ratio_2dp(special, n))),
             ]
         )
-        fail = conf >= _c(self.conf["confidence_threshold"])
+        fail = _meets(conf, self.conf["confidence_threshold"])
         return F.when(
             fail,
             R.make(
-                self.name, False, _c(self.conf["action"]), "critical", P.MSG_INJ_FAIL, conf, reasons
+                self.name, False, _action(self.conf["action"]), "critical", P.MSG_INJ_FAIL, conf, reasons
             ),
         ).otherwise(R.passing(self.name, P.MSG_INJ_PASS, conf))
 
@@ -218,13 +229,13 @@ class ToxicContent(_LexiconGuard):
             _d(0.6) + cats.cast("double") * _d(0.15) + total.cast("double") * _d(0.05),
         )
         found = _labels([(n > 0, c) for c, n in counts])
-        fail = (cats > 0) & (conf >= _c(self.conf["confidence_threshold"]))
+        fail = (cats > 0) & _meets(conf, self.conf["confidence_threshold"])
         return F.when(
             fail,
             R.make(
                 self.name,
                 False,
-                _c(self.conf["action"]),
+                _action(self.conf["action"]),
                 "high",
                 F.concat(F.lit(P.MSG_TOXIC_FAIL), R.join_labels(found)),
                 conf,
@@ -254,7 +265,7 @@ class TopicRestriction(_LexiconGuard):
             R.make(
                 self.name,
                 False,
-                _c(self.conf["action"]),
+                _action(self.conf["action"]),
                 "high",
                 F.concat(F.lit(P.MSG_TOPIC_FAIL), R.join_labels(found)),
                 conf,
@@ -349,13 +360,13 @@ class Hallucination(Guard):
                 (c > 0, F.concat(F.lit(P.MSG_HALL_CITE), c.cast("string"))),
             ]
         )
-        fail = conf >= _c(self.conf["confidence_threshold"])
+        fail = _meets(conf, self.conf["confidence_threshold"])
         return F.when(
             fail,
             R.make(
                 self.name,
                 False,
-                _c(self.conf["action"]),
+                _action(self.conf["action"]),
                 "medium",
                 P.MSG_HALL_FAIL,
                 conf,
@@ -399,11 +410,11 @@ class ContentFilter(Guard):
             ]
             + [(harm, P.MSG_FILTER_HARMFUL), (leak, P.MSG_FILTER_LEAK)]
         )
-        fail = conf >= _c(self.conf["confidence_threshold"])
+        fail = _meets(conf, self.conf["confidence_threshold"])
         return F.when(
             fail,
             R.make(
-                self.name, False, _c(self.conf["action"]), "high", P.MSG_FILTER_FAIL, conf, violations
+                self.name, False, _action(self.conf["action"]), "high", P.MSG_FILTER_FAIL, conf, violations
             ),
         ).otherwise(R.passing(self.name, P.MSG_FILTER_PASS, conf))
 
@@ -412,22 +423,32 @@ class OutputValidator(Guard):
     """Blank / too long, then the JSON contract when a schema is given.
 
     The schema arrives per row as ``output_type`` (STRING) and
-    ``output_required`` (ARRAY<STRING>) columns; a schema is "given" when
-    either is set.
+    ``output_required`` (ARRAY<STRING>) columns, and ``output_schema_given``
+    (BOOLEAN) says that the request has one: a schema of neither type nor
+    required keys still asks for valid JSON.  Without the flag a schema is given
+    when either of the two is set.
     """
 
     name = P.OUTPUT_VALIDATOR
     key = "val"
 
-    def __init__(self, conf, type_col: Column | None = None, required_col: Column | None = None):
+    def __init__(
+        self,
+        conf,
+        type_col: Column | None = None,
+        required_col: Column | None = None,
+        given_col: Column | None = None,
+    ):
         super().__init__(conf)
+        self.given_col = given_col
         self.type_col = type_col if type_col is not None else F.lit(None).cast("string")
         self.required_col = (
             required_col if required_col is not None else F.lit(None).cast("array<string>")
         )
 
     def schema_given(self) -> Column:
-        return self.type_col.isNotNull() | (F.coalesce(F.size(self.required_col), F.lit(0)) > 0)
+        implied = self.type_col.isNotNull() | (F.coalesce(F.size(self.required_col), F.lit(0)) > 0)
+        return implied if self.given_col is None else F.coalesce(self.given_col, implied)
 
     def stages(self, text, fact):
         from guardspark.functions import jsoncheck as J
@@ -437,7 +458,9 @@ class OutputValidator(Guard):
             check = self.schema_given()
             facts["valid"] = F.when(check, J.is_valid(text))
             facts["root"] = F.when(check, J.root_type(text))
-            facts["keys"] = F.when(check & (J.root_type(text) == "dict"), J.object_keys(text))
+            # keys matter to a valid object with required ones alone
+            needed = (F.size(self.required_col) > 0) & fact("valid") & (fact("root") == "dict")
+            return [facts, {"keys": F.when(needed, J.object_keys(text))}]
         return [facts]
 
     def score(self, text, fact):
@@ -465,7 +488,7 @@ class OutputValidator(Guard):
             R.make(
                 self.name,
                 False,
-                _c(self.conf["action"]),
+                _action(self.conf["action"]),
                 "medium",
                 F.concat(F.lit(P.MSG_VALID_FAIL), F.array_join(violations, "; ")),
                 1.0,

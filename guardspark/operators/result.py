@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardspark.functions import patterns as P
+from guardspark.plancache import cached
 
 DETAILS_TYPE = T.StructType(
     [
@@ -48,26 +49,15 @@ DETAIL_KEYS: dict[str, tuple[str | None, str | None]] = {
     P.OUTPUT_VALIDATOR: ("violations", None),
 }
 
+
 def _no_labels() -> Column:
     return F.array().cast("array<string>")
 
 
-_LITS: dict = {}
-
-
 def lit(x) -> Column:
-    """A literal Column, memoised per running SparkContext.
-
-    Building a plan crosses into the JVM once per expression node; the same
-    handful of constants appear in every guard, so they are made once.
-    """
-    from pyspark import SparkContext
-
-    key = (id(SparkContext._active_spark_context), type(x), x)
-    col = _LITS.get(key)
-    if col is None:
-        col = _LITS[key] = F.lit(x)
-    return col
+    """A literal Column, made once: the same handful of constants appear in
+    every guard."""
+    return cached(("lit", type(x), x), lambda: F.lit(x))
 
 
 def _c(x) -> Column:
@@ -119,6 +109,16 @@ def error(guard_name: str, error_type: str, error_text: str) -> Column:
     )
 
 
+def sealed(**columns: Column) -> Column:
+    """The columns as one generator of a single row, for ``select("*", ...)``.
+
+    A filter over plain projected columns is pushed below them, with every
+    expression it reads copied into it, level by level: a chain of guards would be
+    copied many times over.  Nothing is pushed below a generator's output.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def join_labels(labels: Column, sep: str = ", ") -> Column:
     return F.array_join(labels, sep)
 
@@ -143,6 +143,20 @@ def flatten(r: Column, prefix: str = "") -> list[Column]:
     ]
 
 
+def named_details(r: Column) -> Column:
+    """``details`` of one result as a JSON text under the guard's own keys
+    (``DETAIL_KEYS``); a user guard's are ``labels`` and ``match_count``."""
+    name, out = r["guard_name"], None
+    for guard, (labels, count) in {**DETAIL_KEYS, None: ("labels", "match_count")}.items():
+        fields = [r["details"]["labels"].alias(labels)]
+        if count:
+            fields.append(r["details"]["match_count"].alias(count))
+        text = F.to_json(F.struct(*fields))
+        if guard is None:
+            return out.otherwise(text)
+        out = F.when(name == guard, text) if out is None else out.when(name == guard, text)
+
+
 def flat_struct(r: Column, pos: Column | None = None, stage: str | None = None) -> Column:
     """The flattened fields of one result as a struct (with its position)."""
     fields = [] if stage is None else [F.lit(stage).alias("stage")]

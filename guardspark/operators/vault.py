@@ -1,75 +1,100 @@
 """Reversible tokenization.
 
 D1 ``tokenize`` replaces every match, type by type in order, with
-``<PII_{TYPE}_{8 hex}>``.  The hex digits are the head of
-``sha2(secret \\x01 request_id \\x01 value)``: the same value in one request
-always gets the same token (also on a rerun after an executor loss), and no
-state is shared between rows, so tokenizing is a narrow map.  Replacement is
-position exact (each match where it was found).
+``<PII_{TYPE}_{8 hex}>``.  The hex digits are taken from the keyed digest
+(HMAC-SHA256) of request id and value: the same value in one request always
+gets the same token (also on a rerun after an executor loss), and no state is
+shared between rows, so tokenizing is a narrow map.  Replacement is position
+exact (each match where it was found).
+
+Token width: 8 hex digits tell values of one request apart.  Where two values
+of one type in one request share the first 8 digits, all values of that type in
+that request take the next 8 digits that differ.  Hex digits never form a phone,
+SSN or card number, so later types cannot match inside a token.
 
 The pairs ``(token, pii_type, value)`` of a row stay in the row as an array:
 a job that tokenizes and restores in one plan (``plans.verdict``) needs no
 join.  D2 ``vault_table`` explodes them into the sensitive vault table; D3
 ``detokenize_join`` restores texts of a later job by joining it back.
-
-Token width: 8 hex digits are per request (a clash needs two different
-values in the same request with the same 32-bit head).  Hex digits never
-form a phone, SSN or card number, so later types cannot match inside a
-token.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.functions import patterns as P
 from guardspark.functions import pii
+from guardspark.operators import result as R
+from guardspark.plancache import cached, fingerprint
 
 TOKEN_REGEX = r"<PII_[A-Z_]+_[0-9a-f]{8}>"
 PAIR_TYPE = "array<struct<token:string,pii_type:string,value:string>>"
 
 
-def token_for(pii_type: str, value: Column, request_id: Column, secret: str) -> Column:
-    digest = F.sha2(F.concat_ws("\u0001", F.lit(secret), request_id.cast("string"), value), 256)
-    return F.concat(
-        F.lit(P.TOKEN_PREFIX + pii_type.upper() + "_"),
-        F.substring(digest, 1, P.TOKEN_HEX),
-        F.lit(P.TOKEN_SUFFIX),
+def keyed_digest(secret: str, message: Column) -> Column:
+    """HMAC-SHA256 as 64 hex digits: the two nested digests of its definition."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\x00")
+    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in key)), message.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in key)), F.unhex(inner)), 256)
+
+
+def _marked(raw: Column, pii_type: str, request_id: Column, secret: str) -> Column:
+    """Each raw match as (value, digest): the digest is null for a run the
+    pattern passed over."""
+    rid = F.coalesce(request_id.cast("string"), F.lit(""))
+
+    def mark(m: Column) -> Column:
+        digest = keyed_digest(secret, F.concat(rid, F.lit("\u0001"), m))
+        return F.struct(m.alias("value"), F.when(pii.found(m, pii_type), digest).alias("digest"))
+
+    return F.transform(raw, mark)
+
+
+def _part(digest: Column, at: Column) -> Column:
+    return F.substring(digest, at * P.TOKEN_HEX + 1, F.lit(P.TOKEN_HEX))
+
+
+def _offset(marks: Column) -> Column:
+    """The first part of the digests that tells all of them apart (0 unless
+    two values clash)."""
+    digests = F.array_distinct(F.filter(F.transform(marks, lambda m: m["digest"]), lambda d: d.isNotNull()))
+    parts = F.sequence(F.lit(0), F.lit(64 // P.TOKEN_HEX - 1))
+    apart = F.filter(
+        parts, lambda s: F.size(F.array_distinct(F.transform(digests, lambda d: _part(d, s)))) == F.size(digests)
     )
+    return F.when(F.size(marks) < 2, F.lit(0)).otherwise(F.coalesce(F.get(apart, F.lit(0)), F.lit(0)))
 
 
-def _pair_fn(pii_type: str, request_id: Column, secret: str):
+def _pairs(marks: Column, at: Column, pii_type: str) -> Column:
     def pair(m: Column) -> Column:
-        return F.struct(
-            token_for(pii_type, m, request_id, secret).alias("token"),
-            F.lit(pii_type).alias("pii_type"),
-            m.alias("value"),
-        )
+        token = F.concat(F.lit(P.TOKEN_PREFIX + pii_type.upper() + "_"), _part(m["digest"], at), F.lit(P.TOKEN_SUFFIX))
+        return F.struct(token.alias("token"), F.lit(pii_type).alias("pii_type"), m["value"].alias("value"))
 
-    return pair
+    return F.transform(marks, pair)
 
 
 def tokenize_steps(
     text: Column, request_id: Column, types: list[str], secret: str
 ) -> list[tuple[str, Column]]:
-    """One (column name, expression) step per type, for sequential selects.
-
-    Step ``k`` reads the text left by step ``k-1`` (``__vt{k-1}``) and adds
-    ``__vt{k}`` (text) and ``__vp{k}`` (pairs found by this type).
-    """
+    """(column name, expression) steps for sequential selects, for each type:
+    its matches with digests, its pairs and the text it leaves.  The pattern
+    is walked once for the matches and once for the pieces between them; each
+    match is hashed once."""
     steps: list[tuple[str, Column]] = []
     current = text
     for k, t in enumerate(types):
-        regex = pii.pattern(t)
-        found = pii.matches(current, t)
-        pairs = F.transform(found, _pair_fn(t, request_id, secret))
-        steps.append((f"__vp{k}", pairs))
-        new_text = F.when(
-            F.size(F.col(f"__vp{k}")) > 0,
-            pii.replace_matches(current, regex, lambda m, _t=t: token_for(_t, m, request_id, secret)),
-        ).otherwise(current)
-        steps.append((f"__vt{k}", new_text))
+        marks, at, pairs = F.col(f"__vm{k}"), F.col(f"__vo{k}"), F.col(f"__vq{k}")
+        steps.append((f"__vm{k}", _marked(pii.raw_matches(current, t), t, request_id, secret)))
+        steps.append((f"__vo{k}", _offset(marks)))
+        steps.append((f"__vq{k}", _pairs(marks, at, t)))
+        # a null token stands for a run passed over, a null pair for the end of the text
+        put = lambda a, p: F.concat(a, F.when(p.isNull(), F.lit("")).otherwise(F.coalesce(p["token"], p["value"])))
+        joined = F.array_join(F.zip_with(F.split(current, pii.pattern(t), -1), pairs, put), "")
+        steps.append((f"__vt{k}", F.when(F.size(pairs) > 0, joined).otherwise(current)))
         current = F.col(f"__vt{k}")
     return steps
 
@@ -84,23 +109,14 @@ def tokenize(
     out_pairs: str = "vault_pairs",
 ) -> DataFrame:
     """Add the tokenized text and the row's distinct vault pairs."""
-    from pyspark import SparkContext
-
     types = [t for t in types if t in P.PII_PATTERNS]
-    key = (id(SparkContext._active_spark_context), text, request_id, tuple(types), secret,
-           out_text, out_pairs)
-    plan = _PLANS.get(key)
-    if plan is None:
-        plan = _PLANS[key] = _tokenize_plan(text, request_id, types, secret, out_text, out_pairs)
-    steps, hidden = plan
+    key = ("vault", text, request_id, tuple(types), fingerprint(secret), out_text, out_pairs)
+    steps, hidden = cached(key, lambda: _tokenize_plan(text, request_id, types, secret, out_text, out_pairs))
     for cols in steps:
         df = df.select("*", *cols)
     return df.drop(*hidden)
 
 
-_PLANS: dict = {}
-
-
 def _tokenize_plan(text, request_id, types, secret, out_text, out_pairs):
     """Select steps for ``tokenize``, built once per settings."""
     steps: list[list[Column]] = []
@@ -110,11 +126,12 @@ def _tokenize_plan(text, request_id, types, secret, out_text, out_pairs):
         hidden.append(name)
     if types:
         final = F.col(f"__vt{len(types) - 1}")
-        pairs = F.array_distinct(F.concat(*[F.col(f"__vp{k}") for k in range(len(types))]))
+        found = F.concat(*[F.col(f"__vq{k}") for k in range(len(types))])
+        pairs = F.array_distinct(F.filter(found, lambda p: p["token"].isNotNull()))
     else:
         final = F.col(text)
         pairs = F.array().cast(PAIR_TYPE)
-    steps.append([final.alias(out_text), pairs.alias(out_pairs)])
+    steps.append([R.sealed(**{out_text: final, out_pairs: pairs})])
     return steps, hidden
 
 
@@ -133,7 +150,10 @@ def vault_table(tokenized: DataFrame, request_id: str = "request_id", pairs: str
     Pairs are already distinct within a row and a request is one row, so no
     shuffle is needed to deduplicate.
     """
-    return tokenized.select(F.col(request_id).alias("request_id"), F.inline(pairs))
+    # taken through transform: over a bare column the optimizer would infer a
+    # filter and copy the whole tokenizing expression into it
+    rows = F.transform(pairs, lambda p: F.struct(p["token"].alias("token"), p["pii_type"].alias("pii_type"), p["value"].alias("value")))
+    return tokenized.select(F.col(request_id).alias("request_id"), F.inline(rows))
 
 
 def detokenize_join(
@@ -141,14 +161,21 @@ def detokenize_join(
 ) -> DataFrame:
     """D3 across jobs: restore tokens in ``texts`` from a stored vault table.
 
-    The vault is grouped per request (bounded: a request's vault holds at
-    most one entry per match in its own text, and request texts are capped by
-    the request contract) and joined on ``request_id``; both sides are
-    hash-partitioned on that key, never broadcast unless AQE measures the
-    vault side under its broadcast threshold at run time.
+    Only requests whose text holds a token, and only vault rows of such tokens,
+    take part: the vault is joined on (request, token) to the tokens found in
+    the texts, then grouped per request, so a group holds one entry per distinct
+    token of one text, however often a request id occurs in the vault.
     """
-    per_request = vault.groupBy("request_id").agg(
-        F.collect_list(F.struct("token", "value")).alias("__pairs")
+    found = texts.select(
+        F.col(request_id).alias("request_id"),
+        F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TOKEN_REGEX), F.lit(0)))).alias("token"),
+    ).distinct()
+    per_request = (
+        vault.select("request_id", "token", "value")
+        .dropDuplicates(["request_id", "token"])
+        .join(found, ["request_id", "token"])
+        .groupBy("request_id")
+        .agg(F.collect_list(F.struct("token", "value")).alias("__pairs"))
     )
     joined = texts.join(
         per_request, texts[request_id] == per_request["request_id"], "left"
@@ -175,26 +202,19 @@ def store(
 ) -> tuple[DataFrame, DataFrame]:
     """Tokenize once and keep two tables under ``path`` (a shared folder).
 
-    ``{path}/tokenized`` holds ``request_id, tokenized_text`` and
-    ``{path}/vault`` the sensitive ``(request_id, token, pii_type, value)``
-    rows (store it with restricted access).  The tokenized rows are persisted
-    while both tables are written, so the regex work runs once; a lost
-    executor recomputes its partitions (tokens are deterministic).  Later
-    jobs start from the written files.
+    ``{path}/tokenized`` holds ``request_id, tokenized_text`` and the pairs;
+    the returned texts leave the pairs out.  ``{path}/vault`` holds the sensitive
+    ``(request_id, token, pii_type, value)`` rows, read back from the pairs column
+    of the first table alone, so the regex work runs once and nothing is kept
+    on executors.  Store both with restricted access.
     """
-    from pyspark import StorageLevel
-
-    tok = tokenize(df, text, request_id, types, secret).select(
-        F.col(request_id).alias("request_id"), "tokenized_text", "vault_pairs"
-    )
-    tok = tok.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        vault_table(tok).write.parquet(f"{path}/vault")
-        tok.select("request_id", "tokenized_text").write.parquet(f"{path}/tokenized")
-    finally:
-        tok.unpersist()
     spark = df.sparkSession
-    return spark.read.parquet(f"{path}/tokenized"), spark.read.parquet(f"{path}/vault")
+    tokenize(df, text, request_id, types, secret).select(
+        F.col(request_id).alias("request_id"), "tokenized_text", "vault_pairs"
+    ).write.parquet(f"{path}/tokenized")
+    stored = spark.read.parquet(f"{path}/tokenized")
+    vault_table(stored).write.parquet(f"{path}/vault")
+    return stored.select("request_id", "tokenized_text"), spark.read.parquet(f"{path}/vault")
 
 
 def restore(texts: DataFrame, vault_path: str, request_id: str = "request_id", text: str = "text"):

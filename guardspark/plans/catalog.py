@@ -36,19 +36,34 @@ VAULT_SECRET = "guardspark-fixture-secret"
 TRUNCATE_AT = 100
 
 # Output contracts for the JSON queries, keyed by event_id % len(...):
-# (output_type, output_required, how the props text is altered).
-JSON_CASES: list[tuple[str | None, list[str], str]] = [
-    ("object", ["k"], "as_is"),
-    ("object", ["k", "name"], "as_is"),
-    ("array", [], "as_is"),
-    ("object", ["k"], "wrap_array"),
-    ("number", [], "value_only"),
-    ("object", [], "trailing_junk"),
-    ("string", [], "quoted"),
-    ("object", ["k"], "blank"),
-    (None, ["k"], "truncated"),
-    ("boolean", [], "bool_text"),
-    ("integer", [], "as_is"),
+# (schema given, output_type, output_required, how the props text is altered).
+JSON_CASES: list[tuple[bool, str | None, list[str], str]] = [
+    (True, "object", ["k"], "as_is"),
+    (True, "object", ["k", "name"], "as_is"),
+    (True, "array", [], "as_is"),
+    (True, "object", ["k"], "wrap_array"),
+    (True, "number", [], "value_only"),
+    (True, "object", [], "trailing_junk"),
+    (True, "string", [], "quoted"),
+    (True, None, ["k"], "truncated"),
+    (True, "integer", [], "as_is"),
+    (True, None, [], "truncated"),  # a schema of neither type nor required keys
+    (False, None, [], "truncated"),  # no schema: no JSON check
+    (True, "object", ["extra"], "not_a_number"),
+]
+
+# Outputs that no table holds, beside the derived ones: ids below 0.
+JSON_ROWS: list[tuple[int, str, bool, str | None, list[str]]] = [
+    (-1, " \n\t ", True, "object", ["k"]),
+    (-2, "true", True, "boolean", []),
+    (-3, "1.5e3", True, "boolean", []),
+    (-4, "1.5e3", True, "number", []),
+    (-5, "NaN", True, "number", []),
+    (-6, '{"a": [1, -Infinity]}', True, "object", ["a"]),
+    (-7, '{"a": 1, "a": 2}', True, "object", ["a"]),
+    (-8, "not json", True, None, []),
+    (-9, "not json", False, None, []),
+    (-10, "x" * 50_001, False, None, []),
 ]
 
 
@@ -106,8 +121,7 @@ pii_redact_file_order = _guard_query(
 def _json_outputs(spark, sf_dir) -> DataFrame:
     """Output texts with contracts, derived from ``events.props``."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "props")
-    k = len(JSON_CASES)
-    idx = F.pmod(F.col("event_id"), F.lit(k)).cast("int")
+    idx = F.pmod(F.col("event_id"), F.lit(len(JSON_CASES))).cast("int")
     props = F.col("props")
     alter = {
         "as_is": props,
@@ -115,32 +129,34 @@ def _json_outputs(spark, sf_dir) -> DataFrame:
         "value_only": F.regexp_extract(props, r":\s*(-?[0-9.]+)", 1),
         "trailing_junk": F.concat(props, F.lit(" trailing")),
         "quoted": F.concat(F.lit('"'), F.regexp_replace(props, '"', "'"), F.lit('"')),
-        "blank": F.lit(" \n\t "),
         "truncated": F.expr("substring(props, 1, length(props) - 1)"),
-        "bool_text": F.when(F.col("event_id") % 2 == 0, F.lit("true")).otherwise(F.lit("1.5e3")),
+        "not_a_number": F.concat(F.lit('{"extra": NaN, "props": '), props, F.lit("}")),
     }
-    text = F.lit(None).cast("string")
-    otype = F.lit(None).cast("string")
-    req = F.lit(None).cast("array<string>")
-    for i, (t, r, how) in enumerate(JSON_CASES):
-        text = F.when(idx == i, alter[how]).otherwise(text)
-        otype = F.when(idx == i, F.lit(t).cast("string")).otherwise(otype)
-        req = F.when(idx == i, F.array(*[F.lit(x) for x in r]).cast("array<string>")).otherwise(
-            req
+    cases = [
+        F.struct(
+            alter[how].alias("output_text"),
+            F.lit(t).cast("string").alias("output_type"),
+            F.array(*[F.lit(x) for x in r]).cast("array<string>").alias("output_required"),
+            F.lit(given).alias("output_schema_given"),
         )
-    return ev.select(
-        "event_id",
-        text.alias("output_text"),
-        otype.alias("output_type"),
-        req.alias("output_required"),
+        for given, t, r, how in JSON_CASES
+    ]
+    derived = ev.select("event_id", F.get(F.array(*cases), idx).alias("c")).select("event_id", "c.*")
+    fixed = spark.createDataFrame(
+        [(i, x, t, r, g) for i, x, g, t, r in JSON_ROWS],
+        "event_id long, output_text string, output_type string, output_required array<string>, output_schema_given boolean",
     )
+    return derived.unionByName(fixed)
 
 
 def output_validate(spark, sf_dir):
     """C8 on derived JSON outputs with per-row contracts."""
     df = _json_outputs(spark, sf_dir)
     g = G.OutputValidator(
-        PL.guard_conf(None, "output_validator"), F.col("output_type"), F.col("output_required")
+        PL.guard_conf(None, "output_validator"),
+        F.col("output_type"),
+        F.col("output_required"),
+        F.col("output_schema_given"),
     )
     df = _apply_guard(df, "output_text", g)
     return df.select("event_id", *R.flatten(F.col("r")))
@@ -148,15 +164,10 @@ def output_validate(spark, sf_dir):
 
 def json_contract(spark, sf_dir):
     """Validity, root type and the first contract failure."""
-    df = _json_outputs(spark, sf_dir)
-    J.enable(spark)
     t = F.col("output_text")
-    df = df.select(
-        "*", J.is_valid(t).alias("valid"), J.root_type(t).alias("__root")
-    )
-    df = df.select(
-        "*", F.when(F.col("__root") == "dict", J.object_keys(t)).alias("__keys")
-    )
+    df = _json_outputs(spark, sf_dir).select("*", J.is_valid(t).alias("valid"), J.root_type(t).alias("__root"))
+    needed = F.col("valid") & (F.col("__root") == "dict") & (F.size("output_required") > 0)
+    df = df.select("*", F.when(needed, J.object_keys(t)).alias("__keys"))
     return df.select(
         "event_id",
         "valid",
@@ -220,25 +231,27 @@ def pii_type_counts(spark, sf_dir):
 
 def lexicon_hits(spark, sf_dir):
     """B10 long form: (doc, lexicon, category, hits) for every category hit."""
-    df = _doc_prompts(spark, sf_dir)
-    low = F.lower(F.col("input_text"))
-    lexicons = {"toxic": P.TOXIC_KEYWORDS, "topic": P.BLOCKED_TOPIC_KEYWORDS}
-    entries = []
-    for lex, cats in lexicons.items():
-        for c, n in L.category_counts(low, cats, list(cats)):
-            entries.append(F.struct(F.lit(lex).alias("lexicon"), F.lit(c).alias("category"), n.alias("hits")))
-    entries.append(
+    lexicons = {
+        "toxic": P.TOXIC_KEYWORDS,
+        "topic": P.BLOCKED_TOPIC_KEYWORDS,
+        "injection": {"injection": P.INJECTION_KEYWORDS},
+    }
+    # the lowered text and one gate a lexicon, each computed once per row
+    df = _doc_prompts(spark, sf_dir).select("request_id", F.lower("input_text").alias("low"))
+    low = F.col("low")
+    df = df.select("*", *[L.any_phrase(low, cats, list(cats)).alias(f"may_{lex}") for lex, cats in lexicons.items()])
+    none = F.lit(0).cast("long")
+    entries = [
         F.struct(
-            F.lit("injection").alias("lexicon"),
-            F.lit("injection").alias("category"),
-            L.phrase_count(low, P.INJECTION_KEYWORDS).alias("hits"),
+            F.lit(lex).alias("lexicon"),
+            F.lit(c).alias("category"),
+            F.when(F.col(f"may_{lex}"), L.phrase_count(low, phrases)).otherwise(none).alias("hits"),
         )
-    )
-    return (
-        df.select(F.col("request_id").alias("doc_id"), F.explode(F.array(*entries)).alias("e"))
-        .select("doc_id", "e.*")
-        .filter(F.col("hits") > 0)
-    )
+        for lex, cats in lexicons.items()
+        for c, phrases in cats.items()
+    ]
+    hits = F.filter(F.array(*entries), lambda e: e["hits"] > 0)
+    return df.select(F.col("request_id").alias("doc_id"), F.inline(hits))
 
 
 def marker_counts(spark, sf_dir):
@@ -255,21 +268,30 @@ def marker_counts(spark, sf_dir):
     )
 
 
-def _tokenized(spark, sf_dir):
+def _tokenized(spark, sf_dir, types=None):
     docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
-    types = PL.guard_conf(None, "pii_vault")["detect_types"]
+    types = types or PL.guard_conf(None, "pii_vault")["detect_types"]
     return V.tokenize(docs, "text", "doc_id", types, VAULT_SECRET)
 
 
-def vault_tokenize(spark, sf_dir):
-    """D1."""
-    df = _tokenized(spark, sf_dir)
+def _tokenized_texts(df):
     return df.select(
         "doc_id", "tokenized_text", F.size("vault_pairs").alias("n_tokens"),
         V.has_pii(F.col("vault_pairs")).alias("has_pii"),
     )
 
 
+def vault_tokenize(spark, sf_dir):
+    """D1."""
+    return _tokenized_texts(_tokenized(spark, sf_dir))
+
+
+def vault_tokenize_file_order(spark, sf_dir):
+    """D1 in the shipped file's type order: a card is tokenized as a phone
+    number and the digits behind it."""
+    return _tokenized_texts(_tokenized(spark, sf_dir, FILE_REDACT_ORDER))
+
+
 def vault_table(spark, sf_dir):
     """D2."""
     return V.vault_table(_tokenized(spark, sf_dir), "doc_id").withColumnRenamed(
@@ -319,7 +341,7 @@ def input_guard_chain(spark, sf_dir):
 
 def _assistant_outputs(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    key = F.col("conv_id") * 8 + F.col("turn")
+    key = F.col("conv_id") + F.col("turn")
     return conv.select(
         "conv_id", "turn", RQ.with_phrase(F.col("text"), key).alias("output_text")
     )
@@ -331,12 +353,18 @@ def output_guard_chain(spark, sf_dir):
     return _explode_results(df, ["conv_id", "turn"], "output_results", extra=["final_text"])
 
 
+def _beside(docs: DataFrame, every: int, **columns) -> DataFrame:
+    """The documents and, beside them, a copy of each ``every``-th one under
+    the id ``-doc_id - 1`` with the given columns changed."""
+    extra = docs.where(F.col("doc_id") % every == 0).withColumns(columns)
+    return docs.unionByName(extra.withColumn("doc_id", -F.col("doc_id") - 1))
+
+
 def fail_closed(spark, sf_dir):
-    """Documents whose text is missing (``doc_id % 13 == 0`` is set to
-    null) get the fail-closed block as their only result."""
-    docs = _docs(spark, sf_dir).select(
-        "doc_id", F.when(F.col("doc_id") % 13 == 0, None).otherwise(F.col("text")).alias("text")
-    )
+    """Rows without a text (beside the documents) get the fail-closed
+    block as their only result."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    docs = _beside(docs, 13, text=F.lit(None).cast("string"))
     df = chain.input_chain(RQ.prompts(docs))
     return _explode_results(df.withColumnRenamed("request_id", "doc_id"), ["doc_id"], "input_results")
 
@@ -368,10 +396,10 @@ def input_only_verdict(spark, sf_dir):
 def _conversation_requests(spark, sf_dir):
     """User turns as requests; the paired reply travels in the same row."""
     pairs = RQ.turn_pairs(read_table(spark, sf_dir, "conversations"))
-    ukey = F.col("conv_id") * 8 + F.col("user_turn")
-    akey = F.col("conv_id") * 8 + F.col("assistant_turn")
+    ukey = F.col("conv_id") + F.col("user_turn")
+    akey = F.col("conv_id") + F.col("assistant_turn")
     return pairs.select(
-        (F.col("conv_id") * 1000 + F.col("user_turn")).alias("request_id"),
+        F.concat_ws(":", "conv_id", "user_turn").alias("request_id"),
         "conv_id",
         "user_turn",
         RQ.with_phrase(F.col("prompt"), ukey).alias("input_text"),
@@ -384,7 +412,7 @@ def _conversation_requests(spark, sf_dir):
 
 def _verdicts_conversations(spark, sf_dir):
     prompts = _conversation_requests(spark, sf_dir)
-    return VD.request_verdict(prompts, "reply_text", None, VAULT_SECRET)
+    return VD.request_verdict(prompts, "reply_text", None, secret=VAULT_SECRET)
 
 
 def request_verdict(spark, sf_dir):
@@ -393,12 +421,34 @@ def request_verdict(spark, sf_dir):
     return v.select(*_verdict_cols(["conv_id", "user_turn"]))
 
 
+def request_verdict_join(spark, sf_dir):
+    """E4 with a response table: the replies of ``conversations`` keyed by
+    request id.  Every 5th request has no response, every 7th has two, and every
+    3rd asks for a JSON object, which a plain reply breaks."""
+    requests = _conversation_requests(spark, sf_dir)
+    n = F.col("conv_id") + F.col("user_turn")
+    prompts = requests.drop("reply_text").withColumns(
+        {
+            "process_with_llm": n % 11 != 0,
+            "output_type": F.when(n % 3 == 0, "object"),
+            "output_required": F.array().cast("array<string>"),
+            "output_schema_given": n % 3 == 0,
+        }
+    )
+    replies = requests.where(F.col("reply_text").isNotNull() & (n % 5 != 0)).select(
+        "request_id", "conv_id", "user_turn", F.col("reply_text").alias("output_text")
+    )
+    replies = replies.unionByName(replies.where(n % 7 == 0))
+    v = VD.request_verdict(prompts, replies, None, secret=VAULT_SECRET)
+    return v.select(*_verdict_cols(["conv_id", "user_turn"]))
+
+
 def request_verdict_echo(spark, sf_dir):
     """E4 on documents with an echo model: the model sees tokenized input,
     the final text has the personal data restored."""
     prompts = RQ.prompts(_docs(spark, sf_dir), process_with_llm=True)
     v = VD.request_verdict(
-        prompts, lambda s: F.concat(F.lit("You said: "), s), None, VAULT_SECRET
+        prompts, lambda s: F.concat(F.lit("You said: "), s), None, secret=VAULT_SECRET
     )
     return v.select(*_verdict_cols([F.col("request_id").alias("doc_id")]))
 
@@ -413,6 +463,35 @@ def custom_guard(spark, sf_dir):
     )
 
 
+UNDECIDED_EVERY = 7
+
+
+def custom_guard_native(spark, sf_dir):
+    """A native user guard whose condition is null for some texts (it
+    blocks there), ahead of the PII detector."""
+    df = _doc_prompts(spark, sf_dir, add_phrase=False)
+    rule = custom.column_guard(
+        "ShoutGuard",
+        lambda t: F.when(F.length(t) % UNDECIDED_EVERY != 0, t.contains("!!")),
+        action="warn",
+        message="Shouting",
+    )
+    df = chain.run_chain(df, "input_text", [rule, *chain.input_guards(None)[:1]], "results", prefix="cn")
+    return _explode_results(df.withColumnRenamed("request_id", "doc_id"), ["doc_id"], "results")
+
+
+def chain_block_then_redact(spark, sf_dir):
+    """A guard that blocks ahead of the redactor: the final text of a
+    blocked row is the one before the block."""
+    df = _doc_prompts(spark, sf_dir, add_phrase=False)
+    rule = custom.column_guard("LengthGuard", lambda t: F.length(t) % 2 == 0, message="Even length")
+    guards = [rule, G.PIIRedactor(PL.guard_conf(None, "pii_redactor"))]
+    df = chain.run_chain(df, "input_text", guards, "results", "final_text", prefix="cb")
+    return _explode_results(
+        df.withColumnRenamed("request_id", "doc_id"), ["doc_id"], "results", extra=["final_text"]
+    )
+
+
 def guard_events(spark, sf_dir):
     """F1 from the conversation verdicts."""
     v = _verdicts_conversations(spark, sf_dir)
@@ -431,9 +510,18 @@ def pii_by_source(spark, sf_dir):
 
 
 def pii_by_source_approx(spark, sf_dir):
-    """F3, sketch form (HyperLogLog++); approximate, so no SQL twin."""
+    """F3, sketch form (HyperLogLog++) beside the exact one: whether the
+    sketch's distinct values are within three of its standard errors (and one
+    value) of the exact count."""
     vals = A.pii_values(_docs(spark, sf_dir), "text", ["doc_id", "source"])
-    return A.pii_by_source_approx(vals)
+    both = A.pii_by_source(vals).join(A.pii_by_source_approx(vals).drop("n_matches"), ["pii_type", "source"])
+    exact, sketch = F.col("n_distinct_values"), F.col("approx_distinct_values")
+    return both.select(
+        "pii_type",
+        "source",
+        "n_matches",
+        (F.abs(exact - sketch) <= 3 * A.SKETCH_ERROR * exact + 1).alias("within_bound"),
+    )
 
 
 def toxic_eval(spark, sf_dir):
@@ -447,10 +535,12 @@ def toxic_eval(spark, sf_dir):
 
 
 def request_quarantine(spark, sf_dir):
-    """A2 on document prompts; ``doc_id % 17 == 0`` texts are emptied."""
-    docs = _docs(spark, sf_dir).select(
-        "doc_id", F.when(F.col("doc_id") % 17 == 0, F.lit("")).otherwise(F.col("text")).alias("text")
-    )
+    """A2 on document prompts, with empty, missing and too long texts beside
+    the documents."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    fill = F.rpad("text", RQ.MAX_REQUEST_CHARS + 1, "x")
+    odd = (F.col("doc_id") / 17).cast("long") % 3
+    docs = _beside(docs, 17, text=F.when(odd == 0, F.lit("")).when(odd == 1, fill))
     df = RQ.check_contract(RQ.prompts(docs, add_phrase=False))
     return df.select(F.col("request_id").alias("doc_id"), "status", "reason")
 
@@ -478,11 +568,21 @@ def turn_pairs(spark, sf_dir):
     return RQ.turn_pairs(read_table(spark, sf_dir, "conversations"))
 
 
+def tier_of(source: str) -> F.Column:
+    """Tier of a request by the number in its source's name: src0-src6 strict,
+    src7-src13 standard, src14-src17 lenient; others "trial", which has no policy
+    row, and none without a number."""
+    n = F.regexp_extract(F.col(source), r"([0-9]+)$", 1).try_cast("int")
+    return F.when(n < 7, "strict").when(n < 14, "standard").when(n < 18, "lenient").when(n >= 18, "trial")
+
+
 def tenant_policy_verdict(spark, sf_dir):
-    """A5: per-tenant thresholds and actions from a policy table."""
-    docs = _docs(spark, sf_dir)
-    prompts = RQ.prompts(docs, keep=("source",))
-    v = TN.tenant_input_verdict(prompts, TN.policy_table(spark), "source")
+    """A5: per-tenant thresholds and actions from a policy table; tiers without
+    a row and sources without a tier get the default policy."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
+    docs = _beside(docs, 10, source=F.lit("partner"))
+    prompts = RQ.prompts(docs, keep=("source",)).withColumn("tenant_tier", tier_of("source"))
+    v = TN.tenant_input_verdict(prompts, TN.policy_table(spark))
     return v.select(*_verdict_cols([F.col("request_id").alias("doc_id")])[:-1], "tenant_tier")
 
 
@@ -496,6 +596,16 @@ def stream_screen(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def stream_verdict(spark, sf_dir):
+    """H1 in full: the echo verdict (E4) as a stream, run to completion."""
+    schema = read_table(spark, sf_dir, "documents").schema
+    stream = RQ.prompts(ST.read_table_stream(spark, sf_dir, "documents", schema), process_with_llm=True)
+    v = ST.verdict_stream(stream, lambda s: F.concat(F.lit("You said: "), s), secret=VAULT_SECRET)
+    return spark.read.parquet(
+        ST.run_available_now(v.select(*_verdict_cols([F.col("request_id").alias("doc_id")])), "stream_verdict")
+    )
+
+
 def _event_prompts(ev: DataFrame) -> DataFrame:
     text = RQ.with_phrase(F.concat_ws(" ", "event_type", "props"), F.col("event_id"))
     return ev.select(F.col("event_id").alias("request_id"), "ts", text.alias("input_text"))
@@ -512,11 +622,11 @@ def _guard_event_rows(screened: DataFrame) -> DataFrame:
 
 
 def block_rate_stream(spark, sf_dir):
-    """H2 as a stream: events arrive as files, windows close by watermark
-    (10 minutes), results are appended once final.  Windows still open at
-    the end of the input stay in state, so this holds the closed subset of
-    ``block_rate_window``."""
-    schema = read_table(spark, sf_dir, "events", spread_rows=False).schema
+    """H2 as a stream: windows close by watermark (10 minutes) and are appended
+    once final; those still open at the end stay in state.  One micro-batch
+    takes the table, so the watermark then stands at its last event less 10
+    minutes: the rows are the windows of ``block_rate_window`` that end by then."""
+    schema = read_table(spark, sf_dir, "events").schema
     stream = ST.read_table_stream(spark, sf_dir, "events", schema)
     screened = chain.input_chain(_event_prompts(stream))
     path = ST.run_available_now(ST.block_rates(_guard_event_rows(screened)), "block_rate_stream")
@@ -552,6 +662,7 @@ QUERIES: dict[str, Query] = {
     "content_filter": content_filter,
     "output_validate": output_validate,
     "vault_tokenize": vault_tokenize,
+    "vault_tokenize_file_order": vault_tokenize_file_order,
     "vault_table": vault_table,
     "vault_roundtrip": vault_roundtrip,
     "vault_type_counts": vault_type_counts,
@@ -559,15 +670,19 @@ QUERIES: dict[str, Query] = {
     "output_guard_chain": output_guard_chain,
     "fail_closed": fail_closed,
     "request_verdict": request_verdict,
+    "request_verdict_join": request_verdict_join,
     "request_verdict_echo": request_verdict_echo,
     "input_only_verdict": input_only_verdict,
     "custom_guard": custom_guard,
+    "custom_guard_native": custom_guard_native,
+    "chain_block_then_redact": chain_block_then_redact,
     "guard_events": guard_events,
     "guard_rollup": guard_rollup,
     "pii_by_source": pii_by_source,
     "pii_by_source_approx": pii_by_source_approx,
     "toxic_eval": toxic_eval,
     "stream_screen": stream_screen,
+    "stream_verdict": stream_verdict,
     "block_rate_window": block_rate_window,
     "block_rate_stream": block_rate_stream,
 }

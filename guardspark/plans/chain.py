@@ -1,33 +1,32 @@
 """Ordered guard chains (E1 input, E2 output, E3 fail closed, E6 custom).
 
 A chain is built once on the driver from the policy (disabled guards never
-enter the plan) and applied as a few ``select`` steps over the DataFrame:
-
-1. facts of every guard, stage by stage (the redactor's running text is a
-   stage per type);
-2. one raw result struct per guard;
-3. the ordered, short-circuited ``ARRAY<result>``: guard *i* is kept only if
-   no guard before it blocked, so the array ends at the first block.
-
-No shuffle: a chain is a narrow projection.  The fact projections (all the
-regex work) fuse into the scan's whole-stage-codegen stage; the result
-structs are wider than codegen's field limit and run as generated
-projections right after it, in the same task.  A null text is a guard error: the first guard
+enter the plan) and applied as a few ``select`` steps a guard:
+
+1. the guard's facts, stage by stage (the redactor's running text is a
+   stage per type), over the text it is handed;
+2. its result struct;
+3. whether the chain is blocked now, the running text, and the text handed to
+   the next guard: null once blocked, so the later guards' regex work is
+   not done.
+
+The results array keeps a guard's result only if no guard before it blocked, and
+the final text is the one the last guard that ran left.  No shuffle: a
+chain is a narrow projection.  A null text is a guard error: the first guard
 reports the fail-closed block result and the chain stops (E3).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark import policy as PL
-from guardspark.functions import jsoncheck as J
 from guardspark.operators import guards as G
 from guardspark.operators import result as R
+from guardspark.plancache import cached
 
 NULL_TEXT_ERROR = ("TypeError", "object of type 'NoneType' has no len()")
 
@@ -59,13 +58,14 @@ def output_guards(
     policy: dict[str, Any] | None = None,
     type_col: Column | None = None,
     required_col: Column | None = None,
+    given_col: Column | None = None,
 ) -> list[G.Guard]:
     """Redactor, hallucination, content filter, validator - the output order."""
     guards = [
         G.PIIRedactor(PL.guard_conf(policy, "pii_redactor")),
         G.Hallucination(PL.guard_conf(policy, "hallucination_detector")),
         G.ContentFilter(PL.guard_conf(policy, "content_filter")),
-        G.OutputValidator(PL.guard_conf(policy, "output_validator"), type_col, required_col),
+        G.OutputValidator(PL.guard_conf(policy, "output_validator"), type_col, required_col, given_col),
     ]
     return [g for g in guards if g.enabled]
 
@@ -80,10 +80,6 @@ class _Names:
         return "__" + self.prefix + "_" + "_".join(parts)
 
 
-_PLANS: dict = {}
-MERGE_STAGES = True
-
-
 def _cache_key(text, guards, results_col, final_text_col, prefix):
     """Key for a reusable chain plan, or None when one cannot be reused.
 
@@ -91,8 +87,6 @@ def _cache_key(text, guards, results_col, final_text_col, prefix):
     settings give the same expressions; user guards and per-row (Column)
     settings are rebuilt every time.
     """
-    from pyspark import SparkContext
-
     parts = []
     for g in guards:
         if type(g) not in _BUILTIN:
@@ -101,10 +95,9 @@ def _cache_key(text, guards, results_col, final_text_col, prefix):
             return None
         extra = ()
         if isinstance(g, G.OutputValidator):
-            extra = (str(g.type_col), str(g.required_col))
+            extra = (str(g.type_col), str(g.required_col), str(g.given_col))
         parts.append((type(g).__name__, repr(sorted(g.conf.items(), key=lambda kv: kv[0])), extra))
-    sc = SparkContext._active_spark_context
-    return (id(sc), text, results_col, final_text_col, prefix, tuple(parts))
+    return ("chain", text, results_col, final_text_col, prefix, tuple(parts))
 
 
 def _chain_plan(text, guards, results_col, final_text_col, prefix):
@@ -113,10 +106,15 @@ def _chain_plan(text, guards, results_col, final_text_col, prefix):
     names = _Names(prefix)
     steps: list[list[Column]] = []
     hidden: list[str] = []
-    current = F.col(text)
-    fact_fns: list[Callable[[str], Column]] = []
-    texts_seen: list[Column] = []
-    pending: list[Column] = []
+
+    def add(cols: dict[str, Column]) -> None:
+        if cols:
+            hidden.extend(cols)
+            steps.append([v.alias(k) for k, v in cols.items()])
+
+    handed = current = F.col(text)
+    blocked: Column | None = None
+    kept: list[Column] = []
     for i, g in enumerate(guards):
 
         def fact(name: str, _i=i, _g=g, _memo={}) -> Column:  # noqa: B006 - per-guard memo
@@ -125,54 +123,37 @@ def _chain_plan(text, guards, results_col, final_text_col, prefix):
                 _memo[full] = F.col(full)
             return _memo[full]
 
-        fact_fns.append(fact)
-        texts_seen.append(current)
-        stages = g.stages(current, fact)
-        if not MERGE_STAGES and pending:
-            steps.append(pending)
-            pending = []
-        if len(stages) > 1 and pending:
-            # a multi-stage guard reads its own earlier stages: flush first
-            steps.append(pending)
-            pending = []
-        for stage in stages:
-            cols = {names.col(str(i), g.key, k): v for k, v in stage.items()}
-            hidden.extend(cols)
-            if len(stages) == 1:
-                # single-stage guards share one select (and common subexpressions)
-                pending.extend(v.alias(k) for k, v in cols.items())
-            elif cols:
-                steps.append([v.alias(k) for k, v in cols.items()])
+        for stage in g.stages(handed, fact):
+            add({names.col(str(i), g.key, k): v for k, v in stage.items()})
+        raw = names.col(str(i), g.key, "result")
+        add({raw: g.score(handed, fact)})
+        kept.append(F.col(raw) if blocked is None else F.when(~blocked, F.col(raw)))
         new_text = g.modified_text(fact)
         if new_text is not None:
-            current = F.coalesce(new_text, current)
-            if pending:
-                # later guards read the rewritten text: materialise it first
-                steps.append(pending)
-                pending = []
-
-    if pending:
-        steps.append(pending)
-    raw = [names.col(str(i), g.key, "result") for i, g in enumerate(guards)]
-    steps.append([g.score(texts_seen[i], fact_fns[i]).alias(raw[i]) for i, g in enumerate(guards)])
-    hidden.extend(raw)
+            changed = new_text.isNotNull() if blocked is None else ~blocked & new_text.isNotNull()
+            new_text = F.when(changed, new_text).otherwise(current)
+        stops = F.coalesce(F.col(raw)["action"] == "block", F.lit(False))
+        after = {names.col(str(i), "stop"): stops if blocked is None else blocked | stops}
+        if new_text is not None:
+            after[names.col(str(i), "text")] = new_text
+        add(after)
+        blocked = F.col(names.col(str(i), "stop"))
+        if new_text is not None:
+            current = F.col(names.col(str(i), "text"))
+        if i < len(guards) - 1:
+            add({names.col(str(i), "next"): F.when(~blocked, current)})
+            handed = F.col(names.col(str(i), "next"))
 
-    kept: list[Column] = []
-    blocked_before = F.lit(False)
-    for name in raw:
-        r = F.col(name)
-        kept.append(F.when(~blocked_before, r))
-        blocked_before = blocked_before | F.coalesce(r["action"] == "block", F.lit(False))
     if guards:
         ordered = F.filter(F.array(*kept), lambda x: x.isNotNull())
         err = R.error(guards[0].name, *NULL_TEXT_ERROR)
         results = F.when(F.col(text).isNull(), F.array(err)).otherwise(ordered)
     else:
         results = F.array().cast(R.RESULTS_TYPE)
-    last = [results.alias(results_col)]
+    last = {results_col: results}
     if final_text_col is not None:
-        last.append(current.alias(final_text_col))
-    steps.append(last)
+        last[final_text_col] = current
+    steps.append([R.sealed(**last)])
     return steps, hidden
 
 
@@ -192,14 +173,8 @@ def run_chain(
     per expression node, which costs more than analysing the plan).
     """
     key = _cache_key(text, guards, results_col, final_text_col, prefix)
-    plan = _PLANS.get(key) if key is not None else None
-    if plan is None:
-        plan = _chain_plan(text, guards, results_col, final_text_col, prefix)
-        if key is not None:
-            _PLANS[key] = plan
-    steps, hidden = plan
-    if any(isinstance(g, G.OutputValidator) for g in guards):
-        J.enable(df.sparkSession)
+    build = lambda: _chain_plan(text, guards, results_col, final_text_col, prefix)
+    steps, hidden = build() if key is None else cached(key, build)
     for cols in steps:
         df = df.select("*", *cols)
     return df.drop(*hidden)
@@ -220,8 +195,6 @@ def apply_guard(df: DataFrame, text: str, guard: G.Guard, out: str = "r") -> Dat
     for stage in guard.stages(current, fact):
         df = df.select("*", *[v.alias(f"__f_{k}") for k, v in stage.items()])
         cols.extend(f"__f_{k}" for k in stage)
-    if isinstance(guard, G.OutputValidator):
-        J.enable(df.sparkSession)
     df = df.select("*", guard.score(current, fact).alias(out))
     return df.drop(*cols)
 
@@ -241,12 +214,17 @@ def output_chain(
     final_text_col: str = "final_text",
     type_col: str | None = "output_type",
     required_col: str | None = "output_required",
+    given_col: str | None = "output_schema_given",
 ) -> DataFrame:
-    """Results plus the text after every rewriting guard."""
+    """Results plus the text after every rewriting guard.
+
+    The output contract comes from the row: ``type_col``, ``required_col`` and
+    ``given_col`` where the frame has them."""
     cols = set(df.columns)
     tcol = F.col(type_col) if type_col and type_col in cols else None
     rcol = F.col(required_col) if required_col and required_col in cols else None
-    guards = output_guards(policy, tcol, rcol)
+    gcol = F.col(given_col) if given_col and given_col in cols else None
+    guards = output_guards(policy, tcol, rcol, gcol)
     return run_chain(df, text, guards, results_col, final_text_col, prefix="out")
 
 

@@ -2,10 +2,15 @@
 
 A guard is anything with ``name``, ``key``, ``enabled``, ``stages`` and
 ``score`` (see ``operators.guards.Guard``).  Built-in guards are column
-expressions.  When a rule cannot be written with Spark functions,
-``PythonGuard`` runs a per-text Python function inside an Arrow-batched
-pandas UDF; each row is evaluated under ``try``, and an exception becomes
-the fail-closed result for that row only (the job never fails on it).
+expressions, and ``column_guard`` makes one from a boolean expression.  When a
+rule cannot be written with Spark functions, ``PythonGuard`` runs a Python
+function inside an Arrow-batched pandas UDF: the function takes a whole Series
+of texts and returns one column per result field.  If a batch raises, its rows
+are tried one by one, and a row that raises gets the fail-closed result (the
+job never fails on it).
+
+A condition that comes out null cannot decide, and blocks.  Conditions run
+under ANSI rules: use the ``try_*`` functions where an expression may raise.
 """
 
 from __future__ import annotations
@@ -46,39 +51,62 @@ _DEFAULTS: dict[str, Any] = {
 }
 
 
+def _frame(out: dict[str, Any], n: int) -> pd.DataFrame:
+    """Result columns of ``n`` rows: Series, lists or single values."""
+    cols = {}
+    for f in _FLAT.fields:
+        v = out.get(f.name, _DEFAULTS.get(f.name))
+        if isinstance(v, pd.Series):
+            v = v.tolist()
+        elif f.name == "labels" and not (v and isinstance(v[0], list | tuple)) or not isinstance(v, list | tuple):
+            v = [v] * n
+        cols[f.name] = v
+    cols["passed"] = [bool(x) for x in cols["passed"]]
+    cols["match_count"] = pd.array([None if pd.isna(x) else int(x) for x in cols["match_count"]], dtype="Int32")
+    return pd.DataFrame(cols, columns=[f.name for f in _FLAT.fields])
+
+
+def _guarded(fn: Callable[[pd.Series], dict[str, Any]]) -> Callable[[pd.Series], pd.DataFrame]:
+    """``fn`` on a batch; row by row only if the batch raised."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        try:
+            return _frame(fn(texts), len(texts))
+        except Exception as e:
+            if len(texts) > 1:
+                return pd.concat([run(texts.iloc[i : i + 1]) for i in range(len(texts))], ignore_index=True)
+            # fail closed, for this row alone
+            failed = {
+                "passed": False,
+                "action": "block",
+                "severity": "critical",
+                "message": P.MSG_GUARD_ERROR + type(e).__name__,
+                "confidence": 1.0,
+                "labels": [str(e)],
+            }
+            return _frame(failed, len(texts))
+
+    return run
+
+
 class PythonGuard(G.Guard):
-    """Wrap ``evaluate(text) -> dict`` (keys as in the result struct)."""
+    """Wrap ``evaluate(texts: Series) -> dict`` of result columns (keys as in the
+    result struct; a Series, a list or one value for all rows)."""
 
     def __init__(
-        self, name: str, evaluate: Callable[[str], dict[str, Any]], conf: dict | None = None
+        self, name: str, evaluate: Callable[[pd.Series], dict[str, Any]], conf: dict | None = None
     ):
         super().__init__(conf or {})
         self.name = name
-        self.key = "py" + "".join(ch for ch in name.lower() if ch.isalnum())[:12]
-        fn = evaluate
+        self.key = "py" + "".join(ch for ch in name.lower() if ch.isalnum())
+        guarded = _guarded(evaluate)
 
         @F.pandas_udf(_FLAT)
         def run(texts: pd.Series) -> pd.DataFrame:
-            rows = []
-            for t in texts:
-                try:
-                    out = dict(_DEFAULTS)
-                    out.update(fn(t))
-                    out["passed"] = bool(out["passed"])
-                except Exception as e:  # fail closed, per row
-                    out = dict(_DEFAULTS)
-                    out.update(
-                        passed=False,
-                        action="block",
-                        severity="critical",
-                        message=P.MSG_GUARD_ERROR + type(e).__name__,
-                        confidence=1.0,
-                        labels=[str(e)],
-                    )
-                rows.append(out)
-            return pd.DataFrame(rows, columns=[f.name for f in _FLAT.fields])
-
-        self._udf = run
+            return guarded(texts)
+
+        # so that the optimizer never copies the call to where its fields are read
+        self._udf = run.asNondeterministic()
 
     def stages(self, text, fact):
         return [{"res": self._udf(text)}]
@@ -101,22 +129,21 @@ class PythonGuard(G.Guard):
         )
 
 
-def word_redactor(word: str) -> Callable[[str], dict[str, Any]]:
+def word_redactor(word: str) -> Callable[[pd.Series], dict[str, Any]]:
     """Example user rule: mask every occurrence of ``word``."""
 
-    def evaluate(text: str) -> dict[str, Any]:
-        n = text.count(word)
-        if n == 0:
-            return {"passed": True, "message": "Word not found"}
+    def evaluate(texts: pd.Series) -> dict[str, Any]:
+        n = texts.map(lambda t: t.count(word))
+        hit = n > 0
         return {
-            "passed": True,
-            "action": "redact",
-            "severity": "medium",
-            "message": f"Redacted word: {word}",
-            "confidence": 1.0,
-            "labels": [word],
-            "match_count": n,
-            "modified_text": text.replace(word, "*" * len(word)),
+            "passed": [True] * len(texts),
+            "action": hit.map({True: "redact", False: "pass"}),
+            "severity": hit.map({True: "medium", False: "low"}),
+            "message": hit.map({True: f"Redacted word: {word}", False: "Word not found"}),
+            "confidence": hit.map({True: 1.0, False: 0.0}),
+            "labels": hit.map(lambda h: [word] if h else []),
+            "match_count": n.where(hit),
+            "modified_text": texts.str.replace(word, "*" * len(word), regex=False).where(hit, None),
         }
 
     return evaluate
@@ -129,28 +156,32 @@ def WordRedactGuard(word: str) -> PythonGuard:  # noqa: N802 - reads as a class
 def raising(exc: type[Exception] = RuntimeError, text: str = "Simulated guard error"):
     """A rule that always raises (the fail-closed path)."""
 
-    def evaluate(_: str) -> dict[str, Any]:
+    def evaluate(_: pd.Series) -> dict[str, Any]:
         raise exc(text)
 
     return evaluate
 
 
+UNDECIDED = ("UndecidedCondition", "the condition is null")
+
+
 def column_guard(
     name: str, fail_when: Callable[[Column], Column], action: str = "block", message: str = ""
 ) -> G.Guard:
-    """A native user guard from one boolean column expression."""
+    """A native user guard from one boolean column expression; null blocks."""
 
     class _ColumnGuard(G.Guard):
         def stages(self, text, fact):
             return [{"hit": fail_when(text)}]
 
         def score(self, text, fact):
-            return F.when(
-                F.coalesce(fact("hit"), F.lit(False)),
-                R.make(self.name, False, action, "high", message, 1.0),
-            ).otherwise(R.passing(self.name, ""))
+            return (
+                F.when(fact("hit").isNull(), R.error(self.name, *UNDECIDED))
+                .when(fact("hit"), R.make(self.name, False, action, "high", message, 1.0))
+                .otherwise(R.passing(self.name, ""))
+            )
 
     g = _ColumnGuard({})
     g.name = name
-    g.key = "col" + "".join(ch for ch in name.lower() if ch.isalnum())[:12]
+    g.key = "col" + "".join(ch for ch in name.lower() if ch.isalnum())
     return g

@@ -132,10 +132,8 @@ def special_count(t: str) -> str:
 
 
 def ratio_2dp(s: str, n: str) -> str:
-    q = f"(({s}) * 100 // ({n}))"
-    rem2 = f"((({s}) * 100 - {q} * ({n})) * 2)"
-    cents = f"({q} + CASE WHEN {rem2} > ({n}) OR ({rem2} = ({n}) AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
-    return f"(({cents} // 100)::VARCHAR || '.' || lpad(({cents} % 100)::VARCHAR, 2, '0'))"
+    # DuckDB's printf formats the double itself, as the rules do
+    return f"printf('%.2f', ({s})::DOUBLE / ({n})::DOUBLE)"
 
 
 class Injection:
@@ -331,6 +329,14 @@ JSON_TYPE_NAMES = (
     "WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType' "
     "WHEN 'DOUBLE' THEN 'float' ELSE 'int' END"
 )
+
+
+def plain_json(t: str) -> str:
+    """The text with the literals NaN and -Infinity (which the data hold outside
+    strings alone) as plain numbers, so that every JSON function reads them."""
+    return f"regexp_replace({t}, '-?Infinity|NaN', '1.5', 'g')"
+
+
 TYPE_ACCEPTS = {
     "object": ["dict"], "array": ["list"], "string": ["str"],
     "number": ["int", "float", "bool"], "boolean": ["bool"],
@@ -360,27 +366,27 @@ def is_blank(t: str) -> str:
 
 
 class Validator:
-    def __init__(self, conf, type_col=None, req_col=None):
+    def __init__(self, conf, type_col=None, req_col=None, given_col=None):
         self.conf = conf
         self.type_col = type_col
         self.req_col = req_col
+        self.given_col = given_col
 
     def given(self):
-        if self.type_col is None:
-            return "false"
-        return f"({self.type_col} IS NOT NULL OR coalesce(len({self.req_col}), 0) > 0)"
+        return "false" if self.type_col is None else self.given_col
 
     def facts(self, t, p):
         out = [(f"{p}blank", is_blank(t)), (f"{p}len", f"length({t})")]
         if self.type_col is not None:
-            root = JSON_TYPE_NAMES.format(t=t)
+            j = plain_json(t)
+            root = JSON_TYPE_NAMES.format(t=j)
             out += [
-                (f"{p}valid", f"coalesce(json_valid({t}), false)"),
-                (f"{p}root", f"CASE WHEN coalesce(json_valid({t}), false) THEN {root} END"),
+                (f"{p}valid", f"coalesce(json_valid({j}), false)"),
+                (f"{p}root", f"CASE WHEN coalesce(json_valid({j}), false) THEN {root} END"),
                 (
                     f"{p}keys",
-                    f"CASE WHEN coalesce(json_valid({t}), false) AND json_type({t}) = 'OBJECT' "
-                    f"THEN json_keys({t}) END",
+                    f"CASE WHEN coalesce(json_valid({j}), false) AND json_type({j}) = 'OBJECT' "
+                    f"THEN json_keys({j}) END",
                 ),
             ]
         return [out]
@@ -412,12 +418,12 @@ def input_guards():
     ]
 
 
-def output_guards(type_col=None, req_col=None):
+def output_guards(type_col=None, req_col=None, given_col=None):
     return [
         Redactor(PL.guard_conf(None, "pii_redactor")),
         Halluc(PL.guard_conf(None, "hallucination_detector")),
         Filter(PL.guard_conf(None, "content_filter")),
-        Validator(PL.guard_conf(None, "output_validator"), type_col, req_col),
+        Validator(PL.guard_conf(None, "output_validator"), type_col, req_col, given_col),
     ]
 
 
@@ -530,37 +536,49 @@ def json_outputs() -> str:
         "wrap_array": "'[' || props || ']'",
         "value_only": "regexp_extract(props, ':\\s*(-?[0-9.]+)', 1)",
         "trailing_junk": "props || ' trailing'",
-        "quoted": "'\"' || replace(props, '\"', '''') || '\"'",
-        "blank": "' \n\t '",
+        "quoted": "'\"' || replace(props, '\"', chr(39)) || '\"'",
         "truncated": "substring(props, 1, length(props) - 1)",
-        "bool_text": "CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '1.5e3' END",
+        "not_a_number": "'{\"extra\": NaN, \"props\": ' || props || '}'",
     }
-    txt, typ, req = [], [], []
-    for i, (t, r, how) in enumerate(C.JSON_CASES):
+
+    def type_of(t):
+        return S(t) if t is not None else "NULL::VARCHAR"
+
+    def names(r):
+        return "[" + ", ".join(S(x) for x in r) + "]::VARCHAR[]"
+
+    txt, typ, req, giv = [], [], [], []
+    for i, (given, t, r, how) in enumerate(C.JSON_CASES):
         txt.append(f"WHEN {i} THEN {alter[how]}")
-        typ.append(f"WHEN {i} THEN {S(t) if t is not None else 'NULL'}")
-        lst = "[" + ", ".join(S(x) for x in r) + "]::VARCHAR[]"
-        req.append(f"WHEN {i} THEN {lst}")
+        typ.append(f"WHEN {i} THEN {type_of(t)}")
+        req.append(f"WHEN {i} THEN {names(r)}")
+        giv.append(f"WHEN {i} THEN {str(given).lower()}")
     idx = f"(event_id % {k})"
+    rows = "".join(
+        f" UNION ALL SELECT {i}::BIGINT, {S(x)}, {type_of(t)}, {names(r)}, {str(g).lower()}"
+        for i, x, g, t, r in C.JSON_ROWS
+    )
     return (
         f"SELECT event_id, CASE {idx} {' '.join(txt)} END AS t, "
         f"CASE {idx} {' '.join(typ)} END AS output_type, "
-        f"CASE {idx} {' '.join(req)} END AS output_required FROM events"
+        f"CASE {idx} {' '.join(req)} END AS output_required, "
+        f"CASE {idx} {' '.join(giv)} END AS given FROM events{rows}"
     )
 
 
 def q_output_validate():
-    g = Validator(PL.guard_conf(None, "output_validator"), "output_type", "output_required")
+    g = Validator(PL.guard_conf(None, "output_validator"), "output_type", "output_required", "given")
     return single_guard(json_outputs(), "event_id", g)
 
 
 def q_json_contract():
-    root = JSON_TYPE_NAMES.format(t="t")
+    j = plain_json("t")
+    root = JSON_TYPE_NAMES.format(t=j)
     base = (
-        f"SELECT *, coalesce(json_valid(t), false) AS valid, "
-        f"CASE WHEN coalesce(json_valid(t), false) THEN {root} END AS root_type, "
-        f"CASE WHEN coalesce(json_valid(t), false) AND json_type(t) = 'OBJECT' "
-        f"THEN json_keys(t) END AS keys FROM ({json_outputs()}) AS j"
+        f"SELECT *, coalesce(json_valid({j}), false) AS valid, "
+        f"CASE WHEN coalesce(json_valid({j}), false) THEN {root} END AS root_type, "
+        f"CASE WHEN coalesce(json_valid({j}), false) AND json_type({j}) = 'OBJECT' "
+        f"THEN json_keys({j}) END AS keys FROM ({json_outputs()}) AS j"
     )
     v = json_violation("valid", "root_type", "keys", "output_type", "output_required")
     return f"SELECT event_id, valid, root_type, {v} AS violation FROM ({base}) AS b"
@@ -634,11 +652,18 @@ def q_marker_counts():
     )
 
 
+def _blob(data: bytes) -> str:
+    return "'" + "".join(f"\\x{b:02X}" for b in data) + "'::BLOB"
+
+
 def token_sql(typ: str, value: str, rid: str, secret: str) -> str:
-    return (
-        f"({S(P.TOKEN_PREFIX + typ.upper() + '_')} || left(sha256({S(secret)} || chr(1) || "
-        f"{rid}::VARCHAR || chr(1) || {value}), {P.TOKEN_HEX}) || {S(P.TOKEN_SUFFIX)})"
-    )
+    """First 8 digits of HMAC-SHA256(secret, request id, U+0001, value).  The
+    shipped tables hold no two values whose first 8 digits clash."""
+    key = secret.encode().ljust(64, b"\x00")
+    message = f"encode({rid}::VARCHAR || chr(1) || {value})"
+    inner = f"sha256({_blob(bytes(b ^ 0x36 for b in key))} || {message})"
+    digest = f"sha256({_blob(bytes(b ^ 0x5C for b in key))} || unhex({inner}))"
+    return f"({S(P.TOKEN_PREFIX + typ.upper() + '_')} || left({digest}, 8) || {S(P.TOKEN_SUFFIX)})"
 
 
 def tokenize_layers(t: str, rid: str, types: list[str], secret: str, prefix: str = "v"):
@@ -664,17 +689,17 @@ def pairs_sql(rid: str, types: list[str], secret: str, prefix: str = "v") -> str
 VAULT_TYPES = PL.guard_conf(None, "pii_vault")["detect_types"]
 
 
-def tokenized_docs() -> str:
-    layers, cur = tokenize_layers("text", "doc_id", VAULT_TYPES, C.VAULT_SECRET)
+def tokenized_docs(types=None) -> str:
+    layers, cur = tokenize_layers("text", "doc_id", types or VAULT_TYPES, C.VAULT_SECRET)
     inner = layered("SELECT doc_id, text FROM documents", layers)
     return f"SELECT *, {cur} AS tokenized_text FROM ({inner}) AS tk"
 
 
-def q_vault_tokenize():
-    pairs = pairs_sql("doc_id", VAULT_TYPES, C.VAULT_SECRET)
+def q_vault_tokenize(types=None):
+    pairs = pairs_sql("doc_id", types or VAULT_TYPES, C.VAULT_SECRET)
     return (
         f"SELECT doc_id, tokenized_text, len({pairs})::INTEGER AS n_tokens, "
-        f"len({pairs}) > 0 AS has_pii FROM ({tokenized_docs()}) AS t"
+        f"len({pairs}) > 0 AS has_pii FROM ({tokenized_docs(types)}) AS t"
     )
 
 
@@ -706,7 +731,7 @@ def q_input_chain(base=DOC_PROMPTS):
 def assistant_outputs() -> str:
     return (
         "SELECT conv_id, turn, "
-        + with_phrase("text", "conv_id * 8 + turn")
+        + with_phrase("text", "conv_id + turn")
         + " AS t FROM conversations WHERE role = 'assistant'"
     )
 
@@ -719,11 +744,7 @@ def q_output_chain():
 
 
 def q_fail_closed():
-    base = (
-        "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE "
-        + with_phrase("text", "doc_id")
-        + " END AS t FROM documents"
-    )
+    base = f"SELECT doc_id, {with_phrase('text', 'doc_id')} AS t FROM {beside(13, text='NULL::VARCHAR')} AS dd"
     return q_input_chain(base)
 
 
@@ -783,9 +804,13 @@ def q_input_only():
     return input_only_sql(DOC_PROMPTS, "doc_id")
 
 
-def full_verdict_sql(prompts: str, keys: str, response_of: str, secret: str) -> str:
+def full_verdict_sql(
+    prompts: str, keys: str, response_of: str, secret: str, contract: bool = False, twice: str = "false"
+) -> str:
     """E4.  ``prompts`` has keys, rid, t (input), asked; ``response_of`` is an
-    SQL expression of ``san`` (sanitized input) and ``resp`` (joined reply)."""
+    SQL expression of ``san`` (sanitized input) and ``resp`` (joined reply).
+    With ``contract`` it has output_type, output_required and given; ``twice``
+    says of a row that it has more than one response."""
     layers, ps, _ = guard_layers(input_guards(), "t", "i")
     inner = layered(prompts, layers)
     n_in, acts_in = _results_summary(ps, "t")
@@ -801,7 +826,8 @@ def full_verdict_sql(prompts: str, keys: str, response_of: str, secret: str) ->
     pairs = pairs_sql("rid", VAULT_TYPES, secret)
     step4 = f"SELECT *, {vcur} AS san, {pairs} AS pairs FROM ({step3}) AS c"
     step5 = f"SELECT *, CASE WHEN wants THEN {response_of} END AS o FROM ({step4}) AS e"
-    olayers, ops, ocur = guard_layers(output_guards(), "o", "o")
+    outs = output_guards("output_type", "output_required", "given") if contract else output_guards()
+    olayers, ops, ocur = guard_layers(outs, "o", "o")
     oinner = layered(step5, olayers)
     n_out, acts_out = _results_summary(ops, "o", null_error=False)
     restored = (
@@ -828,7 +854,7 @@ def full_verdict_sql(prompts: str, keys: str, response_of: str, secret: str) ->
         f"WHEN {warned} THEN 'warn' ELSE 'pass' END AS overall_action, "
         f"CASE WHEN rej IS NOT NULL THEN {S(CONTRACT_FAILED)} || rej "
         f"WHEN {in_block} THEN {S(P.SUMMARY_INPUT_BLOCKED)} WHEN NOT {asked} THEN "
-        f"{S(P.SUMMARY_INPUT_ONLY)} WHEN NOT has_resp THEN {S(P.SUMMARY_LLM_FAILED + 'ResponseMissing')} "
+        f"{S(P.SUMMARY_INPUT_ONLY)} WHEN {twice} THEN 'LLM generation failed: DuplicateResponse' WHEN NOT has_resp THEN {S(P.SUMMARY_LLM_FAILED + 'ResponseMissing')} "
         f"WHEN {out_block} THEN {S(P.SUMMARY_OUTPUT_BLOCKED)} WHEN {warned} THEN {S(P.SUMMARY_WARNINGS)} "
         f"ELSE {S(P.SUMMARY_OK)} END AS summary, "
         f"n_in::INTEGER AS n_input_results, n_out::INTEGER AS n_output_results, "
@@ -839,14 +865,11 @@ def full_verdict_sql(prompts: str, keys: str, response_of: str, secret: str) ->
 
 def conversation_prompts() -> str:
     return (
-        "SELECT u.conv_id, u.turn AS user_turn, u.conv_id * 1000 + u.turn AS rid, "
-        + with_phrase("u.text", "u.conv_id * 8 + u.turn")
-        + " AS t, true AS asked, "
-        + "CASE WHEN a.text IS NULL THEN NULL ELSE "
-        + with_phrase("a.text", "a.conv_id * 8 + a.turn")
-        + " END AS resp FROM conversations u LEFT JOIN conversations a "
-        "ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' "
-        "WHERE u.role = 'user'"
+        "SELECT conv_id, user_turn, conv_id::VARCHAR || ':' || user_turn::VARCHAR AS rid, "
+        + with_phrase("prompt", "conv_id + user_turn")
+        + " AS t, true AS asked, CASE WHEN response IS NULL THEN NULL ELSE "
+        + with_phrase("response", "conv_id + assistant_turn")
+        + f" END AS resp FROM ({q_turn_pairs()}) AS tp"
     )
 
 
@@ -854,6 +877,18 @@ def q_request_verdict():
     return full_verdict_sql(conversation_prompts(), "conv_id, user_turn", "resp", C.VAULT_SECRET)
 
 
+def q_request_verdict_join():
+    n = "(conv_id + user_turn)"
+    replies = f"resp IS NOT NULL AND {n} % 5 <> 0"
+    prompts = (
+        f"SELECT conv_id, user_turn, rid, t, {n} % 11 <> 0 AS asked, "
+        f"CASE WHEN {replies} AND {n} % 7 <> 0 THEN resp END AS resp, ({replies} AND {n} % 7 = 0) AS twice, "
+        f"CASE WHEN {n} % 3 = 0 THEN 'object' END AS output_type, []::VARCHAR[] AS output_required, "
+        f"{n} % 3 = 0 AS given FROM ({conversation_prompts()}) AS cp"
+    )
+    return full_verdict_sql(prompts, "conv_id, user_turn", "resp", C.VAULT_SECRET, True, "(wants AND twice)")
+
+
 def q_request_verdict_echo():
     prompts = f"SELECT doc_id, doc_id AS rid, {with_phrase('text', 'doc_id')} AS t, true AS asked FROM documents"
     return full_verdict_sql(prompts, "doc_id", "'You said: ' || san", C.VAULT_SECRET)
@@ -883,6 +918,53 @@ def q_custom_guard():
     )
 
 
+def _native_guard(name: str, hit: str, action: str, message: str) -> dict:
+    """Fields of a native user guard: an error where its condition is null."""
+    err = struct_fields(
+        name, "false", "'block'", "'critical'", "'Guard execution error: UndecidedCondition'", d(1),
+        "['the condition is null']", "NULL::INTEGER",
+    )
+    fail = struct_fields(name, "false", S(action), "'high'", S(message), d(1), "[]::VARCHAR[]", "NULL::INTEGER")
+    return choose(f"({hit}) IS NULL", err, choose(hit, fail, passing(name, "")))
+
+
+def q_custom_guard_native():
+    hit = "CASE WHEN length(t) % 7 <> 0 THEN contains(t, '!!') END"
+    rule = _native_guard("ShoutGuard", hit, "warn", "Shouting")
+    layers, ps, _ = guard_layers([PII(PL.guard_conf(None, "pii_detector"))], "t", "c")
+    inner = layered(layered(DOCS_RAW, [[(f"r_{k}", v) for k, v in rule.items()]]), layers)
+    return (
+        f"SELECT doc_id, 0 AS pos, {flat('r_')} FROM ({inner}) AS q UNION ALL "
+        f"SELECT doc_id, 1 AS pos, {flat(ps[0])} FROM ({inner}) AS q2 WHERE r_action <> 'block'"
+    )
+
+
+def q_chain_block_then_redact():
+    rule = _native_guard("LengthGuard", "length(t) % 2 = 0", "block", "Even length")
+    red = Redactor(PL.guard_conf(None, "pii_redactor"))
+    layers, ps, cur = guard_layers([red], "t", "b")
+    inner = layered(layered(DOCS_RAW, [[(f"r_{k}", v) for k, v in rule.items()]]), layers)
+    final = f"CASE WHEN r_action = 'block' THEN t ELSE {cur} END AS final_text"
+    return (
+        f"SELECT doc_id, {final}, 0 AS pos, {flat('r_')} FROM ({inner}) AS q UNION ALL "
+        f"SELECT doc_id, {final}, 1 AS pos, {flat(ps[0])} FROM ({inner}) AS q2 WHERE r_action <> 'block'"
+    )
+
+
+def q_block_rate_stream():
+    return (
+        f"SELECT w.* FROM ({q_block_rate_window()}) AS w "
+        "WHERE window_end <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
+    )
+
+
+def q_pii_by_source_bound():
+    return (
+        "SELECT pii_type, source, count(*) AS n_matches, true AS within_bound "
+        f"FROM ({pii_values_sql('doc_id, source')}) AS v GROUP BY pii_type, source"
+    )
+
+
 def _conversation_events_parts():
     """Input and output event rows of the conversation verdicts."""
     layers, ps, _ = guard_layers(input_guards(), "t", "i")
@@ -949,11 +1031,11 @@ def q_toxic_eval():
 
 
 def q_request_quarantine():
+    odd = "CASE (doc_id // 17) % 3 WHEN 0 THEN '' WHEN 1 THEN rpad(text, 50001, 'x') END"
     return (
         "SELECT doc_id, CASE WHEN r IS NULL THEN 'accepted' ELSE 'quarantined' END AS status, r AS reason "
-        "FROM (SELECT doc_id, CASE WHEN t IS NULL THEN 'missing' WHEN length(t) < 1 THEN 'too_short' "
-        f"WHEN length(t) > {RQ.MAX_REQUEST_CHARS} THEN 'too_long' END AS r FROM ("
-        "SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS t FROM documents) AS b) AS c"
+        "FROM (SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 1 THEN 'too_short' "
+        f"WHEN length(text) > 50000 THEN 'too_long' END AS r FROM {beside(17, text=odd)} AS b) AS c"
     )
 
 
@@ -984,27 +1066,45 @@ def _kept_warn(ps) -> str:
 
 def q_turn_pairs():
     return (
-        "SELECT u.conv_id, u.turn AS user_turn, u.text AS prompt, a.turn AS assistant_turn, "
-        "a.text AS response FROM conversations u LEFT JOIN conversations a "
-        "ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'"
+        "SELECT conv_id, user_turn, prompt, CASE WHEN r = 'assistant' THEN n END AS assistant_turn, "
+        "CASE WHEN r = 'assistant' THEN x END AS response FROM ("
+        "SELECT conv_id, turn AS user_turn, role, text AS prompt, lead(turn) OVER w AS n, "
+        "lead(role) OVER w AS r, lead(text) OVER w AS x FROM conversations "
+        "WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) AS l WHERE role = 'user'"
     )
 
 
-def q_tenant_policy():
-    from guardspark.sources import tenants as TN
+# Tier settings, restated: thresholds and actions of the three tiers with a policy row.
+TENANT_TIERS = """(VALUES ('strict', 0.7::DOUBLE, 'block', 0.6::DOUBLE, 'block', 'block'),
+ ('standard', 0.8::DOUBLE, 'warn', 0.7::DOUBLE, 'block', 'warn'),
+ ('lenient', 0.9::DOUBLE, 'warn', 0.9::DOUBLE, 'warn', 'warn'))
+ AS tp(tenant_tier, pii_threshold, pii_action, injection_threshold, toxic_action, topic_action)"""
+
 
-    vals = ", ".join(
-        f"({S(t)}, {d(a)}, {S(b)}, {d(c)}, {S(e)}, {S(f)})" for t, a, b, c, e, f in TN.TIERS
+def beside(every: int, **columns: str) -> str:
+    """Documents and, under the id -doc_id - 1, every n-th one changed."""
+    cols = ["text", "source"]
+    changed = ", ".join(f"{columns.get(c, c)} AS {c}" for c in cols)
+    return (
+        f"(SELECT doc_id, text, source FROM documents UNION ALL "
+        f"SELECT -doc_id - 1 AS doc_id, {changed} FROM documents WHERE doc_id % {every} = 0)"
     )
-    tiers = (
-        f"(VALUES {vals}) AS tp(tenant_tier, pii_threshold, pii_action, injection_threshold, "
-        "toxic_action, topic_action)"
+
+
+def q_tenant_policy():
+    n = "TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER)"
+    default = ", ".join(
+        f"coalesce({c}, {v}) AS {c}"
+        for c, v in (
+            ("pii_threshold", d(0.8)), ("pii_action", "'warn'"), ("injection_threshold", d(0.7)),
+            ("toxic_action", "'block'"), ("topic_action", "'warn'"),
+        )
     )
     base = (
-        f"SELECT b.*, tp.* EXCLUDE (tenant_tier) FROM (SELECT doc_id, {with_phrase('text', 'doc_id')} AS t, "
-        "CASE WHEN CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) < 7 THEN 'strict' "
-        "WHEN CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) < 14 THEN 'standard' "
-        f"ELSE 'lenient' END AS tenant_tier FROM documents) AS b LEFT JOIN {tiers} USING (tenant_tier)"
+        f"SELECT doc_id, t, tenant_tier, {default} FROM (SELECT doc_id, {with_phrase('text', 'doc_id')} AS t, "
+        f"CASE WHEN {n} < 7 THEN 'strict' WHEN {n} < 14 THEN 'standard' WHEN {n} < 18 THEN 'lenient' "
+        f"WHEN {n} >= 18 THEN 'trial' END AS tenant_tier FROM {beside(10, source="'partner'")} AS dd) AS b "
+        f"LEFT JOIN {TENANT_TIERS} USING (tenant_tier)"
     )
 
     pii_c = dict(PL.guard_conf(None, "pii_detector"))
@@ -1122,6 +1222,7 @@ ORACLE_SQL: dict[str, str] = {
     "content_filter": q_single(Filter(PL.guard_conf(None, "content_filter"))),
     "output_validate": q_output_validate(),
     "vault_tokenize": q_vault_tokenize(),
+    "vault_tokenize_file_order": q_vault_tokenize(C.FILE_REDACT_ORDER),
     "vault_table": q_vault_table(),
     "vault_roundtrip": "SELECT doc_id, text AS restored_text FROM documents",
     "vault_type_counts": q_vault_type_counts(),
@@ -1129,13 +1230,19 @@ ORACLE_SQL: dict[str, str] = {
     "output_guard_chain": q_output_chain(),
     "fail_closed": q_fail_closed(),
     "request_verdict": q_request_verdict(),
+    "request_verdict_join": q_request_verdict_join(),
     "request_verdict_echo": q_request_verdict_echo(),
     "input_only_verdict": q_input_only(),
     "custom_guard": q_custom_guard(),
+    "custom_guard_native": q_custom_guard_native(),
+    "chain_block_then_redact": q_chain_block_then_redact(),
     "guard_events": q_guard_events(),
     "guard_rollup": q_guard_rollup(),
     "pii_by_source": q_pii_by_source(),
+    "pii_by_source_approx": q_pii_by_source_bound(),
     "toxic_eval": q_toxic_eval(),
     "stream_screen": q_input_only(),
+    "stream_verdict": q_request_verdict_echo(),
     "block_rate_window": q_block_rate_window(),
+    "block_rate_stream": q_block_rate_stream(),
 }

@@ -17,10 +17,11 @@ Row flow for E4, all narrow except the response source:
   over input and output results; ``redact`` counts as pass.
 
 The response source is a column already in the row (no shuffle: e.g. the
-reply paired by A4), a DataFrame keyed by ``request_id`` (joined once, both
-sides hash-partitioned on the key; AQE splits skew), or a function of the
-sanitized input (in-row, no shuffle), which is how an echo model is
-expressed.
+reply paired by A4), a DataFrame keyed by ``request_id``, or a function of the
+sanitized input (in-row, no shuffle), which is how an echo model is expressed.
+With a response table only the rows that want a response take part in the join;
+the others are added behind it.  A request with more than one response cannot be
+decided: ``LLM generation failed: DuplicateResponse``.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ from guardspark.functions import patterns as P
 from guardspark.operators import result as R
 from guardspark.operators import vault as V
 from guardspark.plans import chain
+from guardspark.session import staged
 from guardspark.sources import requests as RQ
 
 MISSING_RESPONSE_ERROR = "ResponseMissing"
+DUPLICATE_RESPONSE_ERROR = "DuplicateResponse"
 CONTRACT_FAILED = "Request validation failed: "
 
 
@@ -90,10 +93,15 @@ def request_verdict(
     prompts: DataFrame,
     responses: DataFrame | str | Callable[[Column], Column],
     policy: dict[str, Any] | None = None,
-    secret: str = "guardspark",
+    *,
+    secret: str,
     response_col: str = "output_text",
 ) -> DataFrame:
-    """E4 over ``prompts(request_id, input_text, process_with_llm, ...)``."""
+    """E4 over ``prompts(request_id, input_text, process_with_llm, ...)``.
+
+    ``secret`` keys the vault tokens; without it they could be guessed by trying
+    values.  ``output_type``, ``output_required`` and ``output_schema_given``
+    columns of ``prompts`` are the output contract."""
     df = chain.input_chain(_contract(prompts, "input_text"), "__screen", policy)
     rejected = F.col("__reject").isNotNull()
     df = df.withColumn(
@@ -129,21 +137,28 @@ def request_verdict(
 
     if isinstance(responses, str):
         # the response is already in the row (e.g. a paired conversation turn)
-        df = df.select("*", F.when(F.col("__wants"), F.col(responses)).alias("__response"))
+        df = df.select("*", F.when(F.col("__wants"), F.col(responses)).alias("__response"), F.lit(False).alias("__twice"))
     elif isinstance(responses, DataFrame):
-        resp = responses.select(
-            F.col("request_id").alias("__rid"), F.col(response_col).alias("__response")
+        resp = responses.groupBy(F.col("request_id").alias("__rid")).agg(
+            F.min(response_col).alias("__response"), (F.count(F.lit(1)) > 1).alias("__twice")
         )
-        df = df.join(resp, df["request_id"] == resp["__rid"], "left").drop("__rid")
-        df = df.withColumn("__response", F.when(F.col("__wants"), F.col("__response")))
+        if not df.isStreaming:
+            # both branches read the screened rows; they are computed once
+            df = staged(df, "screened")
+        asking = df.where("__wants").join(resp, F.col("request_id") == F.col("__rid"), "left").drop("__rid")
+        rest = df.where("NOT __wants").select("*", F.lit(None).cast("string").alias("__response"), F.lit(False).alias("__twice"))
+        df = asking.withColumn("__twice", F.coalesce("__twice", F.lit(False))).unionByName(rest)
+        df = df.withColumn("__response", F.when(~F.col("__twice"), F.col("__response")))
     else:
         df = df.select(
-            "*", F.when(F.col("__wants"), responses(F.col("__sanitized"))).alias("__response")
+            "*",
+            F.when(F.col("__wants"), responses(F.col("__sanitized"))).alias("__response"),
+            F.lit(False).alias("__twice"),
         )
 
     df = chain.output_chain(
         df, "__response", policy, "__out_results", "__out_text",
-        type_col="output_type", required_col="output_required",
+        type_col="output_type", required_col="output_required", given_col="output_schema_given",
     )
     has_response = F.col("__wants") & F.col("__response").isNotNull()
     out_results = F.when(has_response, F.col("__out_results")).otherwise(_empty_results())
@@ -180,6 +195,7 @@ def request_verdict(
         F.when(rejected, F.concat(F.lit(CONTRACT_FAILED), F.col("__reject")))
         .when(in_block, P.SUMMARY_INPUT_BLOCKED)
         .when(~asked, P.SUMMARY_INPUT_ONLY)
+        .when(F.col("__twice"), P.SUMMARY_LLM_FAILED + DUPLICATE_RESPONSE_ERROR)
         .when(~has_response, P.SUMMARY_LLM_FAILED + MISSING_RESPONSE_ERROR)
         .when(out_block, P.SUMMARY_OUTPUT_BLOCKED)
         .when(warned, P.SUMMARY_WARNINGS)

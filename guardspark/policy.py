@@ -13,7 +13,7 @@ from typing import Any
 
 from guardspark.functions import patterns as P
 
-# Shipped policy (the YAML defaults).
+# FIXED VALUES: the shipped settings; they must equal the screening rules' own.
 DEFAULT_POLICY: dict[str, Any] = {
     "pii_vault": {
         "enabled": True,
@@ -27,7 +27,7 @@ DEFAULT_POLICY: dict[str, Any] = {
             "enabled": True,
             "confidence_threshold": 0.8,
             "action": "warn",
-            "detect_types": ["email", "phone", "ssn", "credit_card", "ip_address"],
+            "detect_types": list(P.PII_PATTERNS),
         },
         "prompt_injection": {
             "enabled": True,
@@ -50,7 +50,6 @@ DEFAULT_POLICY: dict[str, Any] = {
         "topic_restriction": {
             "enabled": True,
             "action": "warn",
-            "allowed_topics": [],
             "blocked_topics": ["illegal_activities", "weapons_manufacturing", "drug_synthesis"],
         },
     },
@@ -58,7 +57,6 @@ DEFAULT_POLICY: dict[str, Any] = {
         "pii_redactor": {
             "enabled": True,
             "redaction_char": "*",
-            "min_redaction_length": 4,
             # The shipped file lists email, phone, ssn, credit_card, ip_address;
             # that order redacts a 16-digit card as a phone first.  The safe
             # (longest-first) order is the default here; pass the other one
@@ -84,50 +82,6 @@ DEFAULT_POLICY: dict[str, Any] = {
     },
 }
 
-# Values a guard uses when its section (or a key in it) is missing.
-CODE_DEFAULTS: dict[str, dict[str, Any]] = {
-    "pii_detector": {
-        "enabled": True,
-        "confidence_threshold": 0.8,
-        "action": "block",
-        "detect_types": list(P.PII_PATTERNS),
-    },
-    "prompt_injection": {
-        "enabled": True,
-        "confidence_threshold": 0.7,
-        "action": "block",
-        "max_prompt_length": 10000,
-    },
-    "toxic_content": {
-        "enabled": True,
-        "confidence_threshold": 0.75,
-        "action": "block",
-        "categories": list(P.TOXIC_KEYWORDS),
-    },
-    "topic_restriction": {
-        "enabled": True,
-        "action": "warn",
-        "blocked_topics": list(P.BLOCKED_TOPIC_KEYWORDS),
-    },
-    "pii_redactor": {
-        "enabled": True,
-        "redaction_char": "*",
-        "redact_types": list(P.SAFE_REDACT_ORDER),
-    },
-    "hallucination_detector": {"enabled": True, "confidence_threshold": 0.6, "action": "warn"},
-    "content_filter": {"enabled": True, "confidence_threshold": 0.75, "action": "block"},
-    "output_validator": {
-        "enabled": True,
-        "max_output_length": 50000,
-        "action": "block",
-        "enforce_schema": True,
-    },
-    # Vault: off and all types when the section is missing; an empty type
-    # list also means all types (unlike the detector, where it means none).
-    "pii_vault": {"enabled": False, "detect_types": list(P.PII_PATTERNS)},
-}
-
-
 def _copy(value: Any) -> Any:
     # Dicts and lists are copied; anything else (numbers, strings, Columns
     # of a per-row policy) is shared.
@@ -149,6 +103,21 @@ def overlay(base: dict[str, Any], override: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def _code_defaults() -> dict[str, dict[str, Any]]:
+    """Settings of a guard whose section (or a key in it) is missing: the
+    shipped ones, but for the detector (it blocks) and the vault (off)."""
+    out: dict[str, dict[str, Any]] = {}
+    for stage in ("input_guards", "output_guards"):
+        out |= _copy(DEFAULT_POLICY[stage])
+    out["pii_detector"]["action"] = "block"
+    # an empty type list means all types to the vault, and none to the detector
+    out["pii_vault"] = {"enabled": False, "detect_types": list(P.PII_PATTERNS)}
+    return out
+
+
+CODE_DEFAULTS = _code_defaults()
+
+
 def guard_conf(policy: dict[str, Any] | None, name: str) -> dict[str, Any]:
     """Settings for one guard: its policy section over the code defaults."""
     policy = DEFAULT_POLICY if policy is None else policy

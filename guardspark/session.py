@@ -5,16 +5,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
+#: Session setting: deal the rows of scanned tables over this many partitions.
+SCAN_PARTITIONS = "guardspark.scan.partitions"
 
 
-def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: str | int = "*", shuffle_partitions: int = 8, scan_partitions: int | None = None
+) -> SparkSession:
     """A local session configured the way the cluster jobs expect.
 
     AQE is on (partition coalescing, skew-join splitting); the web UI is off.
@@ -35,52 +36,39 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", os.environ.get("GUARDSPARK_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
+    if scan_partitions:
+        spark.conf.set(SCAN_PARTITIONS, str(scan_partitions))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a scan has fewer splits than cores.
-
-    Guards are CPU-bound per byte of text, and a parquet split never crosses
-    a row group: a file written as one row group is one task.  When the scan
-    has fewer partitions than the session's default parallelism, rows are
-    dealt round-robin to twice that many partitions (one small shuffle).
-    On cluster-sized inputs the scan already has far more splits than cores
-    and this is a no-op, so no shuffle is added there.
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Connect session): leave the scan as is
-        return df
-    if have < want:
-        return df.repartition(2 * want)
-    return df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """One table.  ``partitions`` (or the session setting ``SCAN_PARTITIONS``)
+    deals its rows round-robin over that many partitions: for files of a single
+    row group, which one task would read and screen alone.  Unset, the scan's
+    own splits are used, at every size."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_rows else df
+    n = partitions or spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and is read, never replaced.
-    Only when it is unset (local tests) is a fresh scratch folder created
-    and registered.
+    On a cluster the deployment sets it, and it is read, never replaced; a
+    scratch folder is made only where it is unset (tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set: streams and intermediate tables need a "
-                "folder every executor and the driver can reach"
-            )
         root = tempfile.mkdtemp(prefix="guardspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,9 @@
 """Request sources and contracts (A1, A2, A4) and the fixture phrases.
 
-* A1 ``prompts`` - a prompts DataFrame from a table of texts.
-* A2 ``check_contract`` / ``split_contract`` - reject null, empty or too
-  long texts into a quarantine frame (the service answered 422).
+* A1 ``prompts`` - a prompts DataFrame from a table of texts;
+  ``read_requests`` - requests from JSON lines, with an explicit schema.
+* A2 ``check_contract`` - reject null, empty or too long texts into a
+  quarantine (the service answered 422).
 * A4 ``turn_pairs`` - each user turn with the turn that follows it in its
   conversation, as the model response.
 
@@ -14,8 +15,9 @@ phrase included) so every guard has hits; the oracle SQL appends the same.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_REQUEST_CHARS = 50000
 
@@ -88,29 +90,81 @@ def check_contract(df: DataFrame, text: str = "input_text") -> DataFrame:
     )
 
 
-def split_contract(df: DataFrame, text: str = "input_text") -> tuple[DataFrame, DataFrame]:
-    """Accepted and quarantined rows: two filters over one narrow plan."""
-    checked = check_contract(df, text)
-    accepted = checked.filter(F.col("status") == "accepted").drop("status", "reason")
-    quarantined = checked.filter(F.col("status") == "quarantined")
-    return accepted, quarantined
+#: Turn numbers of a conversation that are ordered together.
+TURN_BUCKET = 64
 
 
-def turn_pairs(conversations: DataFrame) -> DataFrame:
-    """A4: every user turn with the next turn when that one is the assistant's.
+def next_turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, next_turn, next_role): each turn with the next one
+    present in its conversation, whatever gaps the numbers have.
 
-    Turns are numbered consecutively within a conversation, so "the next
-    turn" is an equi-join on ``(conv_id, turn + 1)``.  Joining on both keys
-    (instead of a window over ``conv_id``) keeps a very long conversation
-    from landing in a single task; AQE splits any skewed partition.
+    Only these narrow columns are ordered, per bucket of turn numbers; the last
+    turn of a bucket meets the first turn of the next bucket present, from a
+    window over one row per bucket.  No conversation lands in one task.
     """
-    users = conversations.filter(F.col("role") == "user").select(
-        "conv_id", F.col("turn").alias("user_turn"), F.col("text").alias("prompt")
+    t = conversations.select("conv_id", "turn", "role", F.floor(F.col("turn") / TURN_BUCKET).alias("bucket"))
+    firsts = t.groupBy("conv_id", "bucket").agg(F.min(F.struct("turn", "role")).alias("first"))
+    by_bucket = Window.partitionBy("conv_id").orderBy("bucket")
+    following = firsts.select("conv_id", "bucket", F.lead("first").over(by_bucket).alias("over"))
+    inside = Window.partitionBy("conv_id", "bucket").orderBy("turn", "role")
+    nxt = F.coalesce(F.lead(F.struct("turn", "role")).over(inside), F.col("over"))
+    return (
+        t.join(following, ["conv_id", "bucket"])
+        .withColumn("nxt", nxt)
+        .select("conv_id", "turn", "role", F.col("nxt.turn").alias("next_turn"), F.col("nxt.role").alias("next_role"))
     )
-    replies = conversations.filter(F.col("role") == "assistant").select(
+
+
+def turn_pairs(conversations: DataFrame) -> DataFrame:
+    """A4: every user turn with the next turn present when that one is the
+    assistant's.  The texts join back on (conv_id, turn, role); AQE splits a
+    skewed partition."""
+    pairs = next_turns(conversations).where("role = 'user'").select(
         "conv_id",
-        (F.col("turn") - 1).alias("user_turn"),
-        F.col("turn").alias("assistant_turn"),
-        F.col("text").alias("response"),
+        F.col("turn").alias("user_turn"),
+        F.when(F.col("next_role") == "assistant", F.col("next_turn")).alias("assistant_turn"),
+    )
+    prompts_ = conversations.where("role = 'user'").select(
+        "conv_id", F.col("turn").alias("user_turn"), F.col("text").alias("prompt")
     )
-    return users.join(replies, ["conv_id", "user_turn"], "left")
+    replies = conversations.where("role = 'assistant'").select(
+        "conv_id", F.col("turn").alias("assistant_turn"), F.col("text").alias("response")
+    )
+    return (
+        prompts_.join(pairs, ["conv_id", "user_turn"])
+        .join(replies, ["conv_id", "assistant_turn"], "left")
+        .select("conv_id", "user_turn", "prompt", "assistant_turn", "response")
+    )
+
+
+REQUEST_SCHEMA = T.StructType(
+    [
+        T.StructField("request_id", T.StringType()),
+        T.StructField("input_text", T.StringType()),
+        T.StructField("context", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("process_with_llm", T.BooleanType()),
+        T.StructField(
+            "output_schema",
+            T.StructType(
+                [T.StructField("type", T.StringType()), T.StructField("required", T.ArrayType(T.StringType()))]
+            ),
+        ),
+    ]
+)
+
+
+def contract_columns(requests: DataFrame) -> DataFrame:
+    """``output_schema`` as the columns the output chain reads; ``context`` and
+    all other columns pass through."""
+    schema = F.col("output_schema")
+    return requests.select(
+        "*",
+        schema["type"].alias("output_type"),
+        F.coalesce(schema["required"], F.array().cast("array<string>")).alias("output_required"),
+        schema.isNotNull().alias("output_schema_given"),
+    ).drop("output_schema")
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """A1 from JSON lines: one request a line, fields as ``REQUEST_SCHEMA``."""
+    return contract_columns(spark.read.schema(REQUEST_SCHEMA).json(path))

@@ -5,21 +5,24 @@ literals.  When thresholds and actions differ by tenant, they come from a
 policy table joined to the requests; the guards accept Columns wherever
 they accept numbers or strings, so the chain is the same code.
 
-The policy table is configuration, one row per tenant tier.  It is
-broadcast only after its row count is checked against ``MAX_BROADCAST_ROWS``
-(a tiny, fixed-width row); a larger table falls back to a shuffle join.
+A request whose tier has no row, or no tier at all, gets the default policy.
+A threshold or action that is null all the same (a hole in the table) blocks:
+the guards fail closed on it.
+
+The policy table is configuration; the join is a plain one and Spark chooses
+its form by the table's bytes.
 """
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardspark import policy as PL
 from guardspark.plans import verdict
 
-MAX_BROADCAST_ROWS = 100_000
-
 # Tier settings: (tier, pii threshold, pii action, injection threshold,
 # toxic action, topic action).
 TIERS: list[tuple[str, float, str, float, str, str]] = [
@@ -28,6 +31,15 @@ TIERS: list[tuple[str, float, str, float, str, str]] = [
     ("lenient", 0.9, "warn", 0.9, "warn", "warn"),
 ]
 
+# Column of the policy table -> (guard, setting) it overrides.
+SETTINGS: dict[str, tuple[str, str]] = {
+    "pii_threshold": ("pii_detector", "confidence_threshold"),
+    "pii_action": ("pii_detector", "action"),
+    "injection_threshold": ("prompt_injection", "confidence_threshold"),
+    "toxic_action": ("toxic_content", "action"),
+    "topic_action": ("topic_restriction", "action"),
+}
+
 
 def policy_table(spark: SparkSession) -> DataFrame:
     """Tier rows keyed by ``tenant_tier``."""
@@ -38,36 +50,24 @@ def policy_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def tier_of(source: str) -> F.Column:
-    """Tier of a request by its source: src0-src6 strict, src7-src13
-    standard, the rest lenient (by the number in the source name)."""
-    n = F.regexp_extract(F.col(source), r"([0-9]+)$", 1).cast("int")
-    return F.when(n < 7, "strict").when(n < 14, "standard").otherwise("lenient")
+def attach_policy(
+    requests: DataFrame, table: DataFrame, key: str = "tenant_tier", default: dict[str, Any] | None = None
+) -> DataFrame:
+    """The policy columns of every request; those of ``default`` (the shipped
+    policy) where its tier has no row."""
+    joined = requests.join(table.withColumn("__known", F.lit(True)), key, "left")
+    known = F.coalesce(F.col("__known"), F.lit(False))
+    out = {
+        col: F.when(known, F.col(col)).otherwise(F.lit(PL.guard_conf(default, guard)[setting]))
+        for col, (guard, setting) in SETTINGS.items()
+    }
+    return joined.withColumns(out).drop("__known")
 
 
-def attach_policy(requests: DataFrame, table: DataFrame, key: str = "tenant_tier") -> DataFrame:
-    """Join the policy columns to every request, broadcasting a checked table."""
-    n = table.count()
-    side = F.broadcast(table) if n <= MAX_BROADCAST_ROWS else table
-    return requests.join(side, key, "left")
-
-
-def tenant_input_verdict(prompts: DataFrame, table: DataFrame, source: str) -> DataFrame:
+def tenant_input_verdict(prompts: DataFrame, table: DataFrame, key: str = "tenant_tier") -> DataFrame:
     """E5 with per-row thresholds and actions from the tenant's tier."""
-    df = prompts.withColumn("tenant_tier", tier_of(source))
-    df = attach_policy(df, table)
-    pol = PL.overlay(
-        PL.DEFAULT_POLICY,
-        {
-            "input_guards": {
-                "pii_detector": {
-                    "confidence_threshold": F.col("pii_threshold"),
-                    "action": F.col("pii_action"),
-                },
-                "prompt_injection": {"confidence_threshold": F.col("injection_threshold")},
-                "toxic_content": {"action": F.col("toxic_action")},
-                "topic_restriction": {"action": F.col("topic_action")},
-            }
-        },
-    )
-    return verdict.input_only_verdict(df, pol)
+    df = attach_policy(prompts, table, key)
+    guards: dict[str, dict[str, Any]] = {}
+    for col, (guard, setting) in SETTINGS.items():
+        guards.setdefault(guard, {})[setting] = F.col(col)
+    return verdict.input_only_verdict(df, PL.overlay(PL.DEFAULT_POLICY, {"input_guards": guards}))

@@ -24,15 +24,13 @@ from guardspark.session import checkpoint_root
 
 
 def read_table_stream(
-    spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, files_per_batch: int = 1
+    spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, bytes_per_batch: int = 1 << 30
 ) -> DataFrame:
-    """A file-source stream over one table's parquet files in ``sf_dir``."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(sf_dir)
-    )
+    """A file-source stream over one table, a folder of part files or a single
+    file, in micro-batches of about ``bytes_per_batch``."""
+    # as a pattern that only this name fits: a stream takes a plain path for a folder
+    path = f"{sf_dir.rstrip('/')}/[{name[0]}]{name[1:]}.parquet"
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
 
 
 def screen_stream(stream: DataFrame, policy: dict[str, Any] | None = None) -> DataFrame:
@@ -40,6 +38,14 @@ def screen_stream(stream: DataFrame, policy: dict[str, Any] | None = None) -> Da
     return verdict.input_only_verdict(stream, policy)
 
 
+def verdict_stream(
+    stream: DataFrame, responses, policy: dict[str, Any] | None = None, *, secret: str
+) -> DataFrame:
+    """H1 in full: E4 on a streaming prompts frame.  ``responses`` is a column in
+    the row, a function of the sanitized text, or a static table."""
+    return verdict.request_verdict(stream, responses, policy, secret=secret)
+
+
 def run_available_now(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "append") -> str:
     """Run a streaming frame to completion over what is available; returns
     the sink folder.  Each call gets a fresh sink and checkpoint."""

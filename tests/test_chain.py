@@ -48,12 +48,14 @@ def test_guard_error_fails_closed(spark):
 def test_redaction_chains(spark):
     red = custom.PythonGuard(
         "RedactingGuard",
-        lambda t: {"passed": True, "action": "redact", "modified_text": t.replace("secret", "******")},
+        lambda t: {"passed": [True] * len(t), "action": "redact", "modified_text": t.str.replace("secret", "******")},
     )
     r = run(spark, [red, passing()], ["my secret data"], final=True)[0]
     assert len(r.res) == 2 and r.final == "my ****** data"
     r2 = run(spark, [blocking(), red], ["test secret text"], final=True)[0]
-    assert len(r2.res) == 1
+    assert len(r2.res) == 1 and r2.final == "test secret text"  # nothing after a block is applied
+    r3 = run(spark, [red, blocking(), red], ["a secret, a secret"], final=True)[0]
+    assert len(r3.res) == 2 and r3.final == "a ******, a ******"
 
 
 def test_null_text_is_error(spark):
@@ -69,3 +71,39 @@ def test_input_order(spark):
     assert [x.guard_name for x in r.input_results] == [
         "PIIDetectorGuard", "PromptInjectionGuard", "ToxicContentGuard", "TopicRestrictionGuard"
     ]
+
+
+def test_null_condition_blocks(spark):
+    g = custom.column_guard("MaybeGuard", lambda t: F.when(t == "known", F.lit(False)))
+    r = run(spark, [g, passing()], ["known", "other"])
+    assert [x.res[0].action for x in r] == ["pass", "block"]
+    assert r[1].res[0].message == "Guard execution error: UndecidedCondition" and len(r[1].res) == 1
+
+
+def test_only_the_row_that_raises_fails(spark):
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no")
+        return {"passed": [True] * len(texts), "message": "fine"}
+
+    r = run(spark, [custom.PythonGuard("PickyGuard", picky)], ["a", "bad", "b"])
+    assert [x.res[0].action for x in r] == ["pass", "block", "pass"]
+
+
+def test_later_guards_do_not_work_on_blocked_rows(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(texts):
+        seen.add(int(texts.notna().sum()))
+        return {"passed": [True] * len(texts)}
+
+    first = custom.column_guard("EvenGuard", lambda t: F.length(t) % 2 == 0)
+    guards = [first, custom.PythonGuard("CountGuard", count)]
+    chain.run_chain(texts_df(spark, ["ab", "abc", "abcd", "abcde"]), "text", guards, "res").collect()
+    assert seen.value == 2
+
+
+def test_guards_of_long_equal_beginnings_keep_apart(spark):
+    names = ["AVeryLongGuardNameOne", "AVeryLongGuardNameTwo"]
+    r = run(spark, [passing(names[0]), passing(names[1])], ["x"])[0]
+    assert [x.guard_name for x in r.res] == names

@@ -13,7 +13,6 @@ def plan_of(df):
 
 
 def docs(spark):
-    # the raw scan, without the small-input spread
     return spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
 
 
@@ -37,8 +36,15 @@ def test_rollups_aggregate_before_shuffle(spark):
     assert p.index("Exchange") < p.rindex("partial_count")
 
 
-def test_turn_pairs_join_on_both_keys(spark):
+def test_turn_pairs_order_narrow_rows_in_buckets(spark):
     conv = spark.read.parquet(f"{SF_ORACLE}/conversations.parquet")
-    p = plan_of(RQ.turn_pairs(conv))
-    assert "Window" not in p
-    assert "[conv_id" in p and "user_turn" in p
+    p = plan_of(RQ.next_turns(conv))
+    assert "text" not in p  # the texts do not take part in the ordering
+    assert "windowspecdefinition(conv_id" in p and "bucket" in p
+
+
+def test_read_table_deals_rows_only_when_told(spark):
+    from guardspark.session import read_table
+
+    assert "Exchange" not in plan_of(read_table(spark, SF_ORACLE, "documents"))
+    assert "RoundRobinPartitioning(6)" in plan_of(read_table(spark, SF_ORACLE, "documents", partitions=6))

@@ -59,6 +59,40 @@ def test_density_text_matches_python_format(spark):
         assert r.txt == f"{special / len(s):.2f}", s
 
 
+def test_every_density_tie_matches_python_format(spark):
+    rows = [(s, n) for n in (8, 40, 200, 600) for s in range(n + 1)]
+    df = spark.createDataFrame(rows, "s long, n long")
+    for r in df.select("s", "n", TX.ratio_2dp(F.col("s"), F.col("n")).alias("txt")).collect():
+        assert r.txt == f"{r.s / r.n:.2f}", (r.s, r.n)
+
+
+def test_email_walk_on_random_texts(spark):
+    import random
+
+    r = random.Random(5)
+    parts = ["a", "b.c", "@", "x", ".", " ", "%", "-", "_", "é", "com", "a@b.co", "@@", "a.a.a.", "1", "+", "org", "\n", "a" * 70]
+    parts += [".-%" * 30, "@x.", "ñ@", "Z" * 64 + "@", "a@b.com.a.a"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    t = F.col("t")
+    email = COMPILED["email"]
+    for g in df.select("i", pii.count(t, "email").alias("n"), pii.matches(t, "email").alias("m"), pii.redact(t, "email").alias("r")).collect():
+        found = email.findall(texts[g.i])
+        assert (g.n, g.m) == (len(found), found), texts[g.i]
+        assert g.r == email.sub(lambda m: "*" * len(m[0]), texts[g.i])
+
+
+def test_email_walk_is_linear_in_runs_of_address_characters(spark):
+    import time
+
+    hostile = ["a." * 25000 + "@", "x@" + "a." * 25000, "a@b.com" + ".a" * 25000, "a@" * 20000, "@" + "a-" * 25000]
+    df = spark.createDataFrame([(t,) for t in hostile], "t string").coalesce(1)
+    df.select(pii.count(F.col("t"), "email")).collect()
+    t0 = time.time()
+    df.select(pii.count(F.col("t"), "email"), F.length(pii.redact(F.col("t"), "email"))).collect()
+    assert time.time() - t0 < 10
+
+
 EDGE_TEXTS = [
     "Call ٥٥٥-١٢٣-٤٥٦٧ now",  # Arabic-Indic digits
     "studies\u00a0show it",  # no-break space

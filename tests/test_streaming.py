@@ -35,13 +35,21 @@ def test_block_rate_stream_with_watermark(spark, tmp_path):
     assert len(batch) == 3
 
 
-def test_block_rate_stream_is_closed_subset_of_batch(spark):
-    s = C.block_rate_stream(spark, SF_SMALL)
-    b = C.block_rate_window(spark, SF_SMALL)
-    assert s.count() > 0
-    assert s.exceptAll(b.select(s.columns)).count() == 0
-    last = b.agg(F.max("window_end")).collect()[0][0]
-    assert s.agg(F.max("window_end")).collect()[0][0] < last
+def test_stream_of_a_folder_of_part_files_equals_batch(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    s = C.stream_screen(spark, str(tmp_path))
+    b = C.input_only_verdict(spark, SF_SMALL).select(s.columns)
+    assert s.count() == docs.count()
+    assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_small_batches_read_every_file(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    stream = ST.read_table_stream(spark, str(tmp_path), "documents", docs.schema, bytes_per_batch=1000)
+    out = spark.read.parquet(ST.run_available_now(stream.select("doc_id"), "small_batches"))
+    assert out.count() == out.distinct().count() == docs.count()
 
 
 def test_late_event_behind_watermark_is_dropped(spark, tmp_path):
