@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardspark.llm import op1_html, op10_decontaminate, op2_toxicity, op3_neardup, op4_chat, op5_lattice, op6_quality, op7_secrets, op8_tokens, op9_mix
+from guardspark.llm import op1_html, op10_decontaminate, op2_toxicity, op3_neardup, op4_chat, op5_lattice, op6_quality, op7_secrets, op8_tokens, op9_mix, oracle
 from guardspark.llm.common import crc_mod, table
 
 
@@ -40,7 +40,7 @@ def op5_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6_quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return op6_quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed")
 
 
 def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ QUERIES = {
     "op10_decontaminate_benchmark": op10_decontaminate_benchmark,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = dict(oracle.ORACLE_SQL)
