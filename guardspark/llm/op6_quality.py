@@ -163,7 +163,14 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, start, step, lambda a: F.least(F.lit(1.0), F.exp(a["sum"])))
 
 
-_TRIED = "array<struct<rule:string,cutoff:double,out:int>>"
+def _levels() -> dict[str, tuple[str, int, list[float]]]:
+    """rule -> (metric, sign, cutoffs from the mildest to the most rejecting)."""
+    return {r: (m, sign, sorted(grid, reverse=sign > 0)) for r, (m, sign, grid) in RULES.items()}
+
+
+def _beyond(metric: Column, sign: int, grid: list[float]) -> Column:
+    """How many of the cutoffs the metric lies beyond."""
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in grid]), lambda c: (metric - c) * sign > 0))
 
 
 def cutoffs(m: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -176,14 +183,32 @@ def cutoffs(m: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
         .select(F.col("doc_id").alias("d"))
     )
     good = _ratios(m).where("NOT base_failed").join(marks, F.col("doc_id") == F.col("d"), "left_semi")
-    entries = [
-        F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.when((F.col(metric) - c) * sign > 0, 1).otherwise(0).alias("out"))
-        for rule, (metric, sign, grid) in RULES.items()
-        for c in grid
-    ]
-    tried = good.select(F.explode(F.array(F.col("lang"), F.lit(ALL))).alias("stratum"), F.explode(F.array(*entries).cast(_TRIED)).alias("e"))
-    counts = tried.groupBy("stratum", "e.rule", "e.cutoff").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("e.out").cast("long").alias("k")
+    # a document's level under a rule: how many of the cutoffs reject it, the
+    # most rejecting ones first, so cutoff j rejects the levels above len - 1 - j
+    levels = F.create_map(
+        *[
+            x
+            for rule, (metric, sign, grid) in _levels().items()
+            for x in (
+                F.lit(rule),
+                _beyond(F.col(metric), sign, grid),
+            )
+        ]
+    )
+    seen = (
+        good.select(F.explode(F.array(F.col("lang"), F.lit(ALL))).alias("stratum"), F.explode(levels).alias("rule", "level"))
+        .groupBy("stratum", "rule", "level")
+        .agg(F.count(F.lit(1)).alias("docs"))
+    )
+    grids = F.create_map(
+        *[x for r, (_, _, g) in _levels().items() for x in (F.lit(r), F.array(*[F.lit(float(c)) for c in g]))]
+    )
+    tried = seen.withColumn("grid", grids[F.col("rule")]).select(
+        "stratum", "rule", "level", "docs", F.size("grid").alias("steps"), F.posexplode("grid").alias("j", "cutoff")
+    )
+    counts = tried.groupBy("stratum", "rule", "cutoff").agg(
+        F.sum("docs").alias("n"),
+        F.sum(F.when(F.col("level") >= F.col("steps") - F.col("j"), F.col("docs")).otherwise(0)).cast("long").alias("k"),
     )
     counts = staged(counts.where(F.col("n") >= MIN_HOLDOUT), "quality-counts")
     tests = counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("tests"))
