@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,19 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def in_slices(batches: Iterator, rows: int = 300) -> Iterator:
+    """Arrow batches in slices of at most ``rows``, so that a Python worker
+    holds the texts of few documents at a time, and what pyarrow has freed
+    goes back to the system after each batch."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def words_col(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank give ``[]``."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardspark.llm.common import in_slices
+
 LABELLED_PAGES = 800
 SEED = 7
 
@@ -552,14 +554,12 @@ def default_model() -> Crf:
 
 def _text_batches(model: Crf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                texts = [model.main_text(h) for h in b.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    names=["page_id", "url", "text", "n_chars"],
-                )
+        for b in in_slices(batches):
+            texts = [model.main_text(h) for h in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
 
     return run
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardspark.llm.common import free_names, staged
+from guardspark.llm.common import free_names, in_slices, staged
 
 WORDS = 5
 #: Link when PERCENT_NUM * intersection >= PERCENT_DEN * union.
@@ -113,53 +113,49 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                sizes, f1, f2, sigs = [], [], [], []
-                for t in b.column("text").to_pylist():
-                    s = shingle_set(t)
-                    a, c = fingerprint(s)
-                    sizes.append(len(s))
-                    f1.append(a)
-                    f2.append(c)
-                    sigs.append(signature(s) if len(s) else np.empty(0, np.int64))
-                off = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("uid"),
-                        b.column("doc_id"),
-                        b.column("h"),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(f1, pa.int64()),
-                        pa.array(f2, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))),
-                    ],
-                    names=["uid", "doc_id", "h", "n", "f1", "f2", "tokens"],
-                )
+        for b in in_slices(batches):
+            sizes, f1, f2, sigs = [], [], [], []
+            for t in b.column("text").to_pylist():
+                s = shingle_set(t)
+                a, c = fingerprint(s)
+                sizes.append(len(s))
+                f1.append(a)
+                f2.append(c)
+                sigs.append(signature(s) if len(s) else np.empty(0, np.int64))
+            off = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("uid"),
+                    b.column("doc_id"),
+                    b.column("h"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(f1, pa.int64()),
+                    pa.array(f2, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))),
+                ],
+                names=["uid", "doc_id", "h", "n", "f1", "f2", "tokens"],
+            )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-                fp = [fingerprint(s) for s in sets]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in fp], pa.int64()),
-                        pa.array([x[1] for x in fp], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64))),
-                        pa.array(
-                            [np.bincount((x % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) for x in sets],
-                            pa.list_(pa.int64()),
-                        ),
-                    ],
-                    names=["f1", "f2", "shingles", "buckets"],
-                )
+        for b in in_slices(batches):
+            sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+            fp = [fingerprint(s) for s in sets]
+            off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in fp], pa.int64()),
+                    pa.array([x[1] for x in fp], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64))),
+                    pa.array(
+                        [np.bincount((x % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) for x in sets],
+                        pa.list_(pa.int64()),
+                    ),
+                ],
+                names=["f1", "f2", "shingles", "buckets"],
+            )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
