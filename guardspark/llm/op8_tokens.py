@@ -17,10 +17,11 @@ split too; encoding streams Arrow batches; the corpus-wide offsets come from
 per-file totals (one row per file).  A lost executor repeats its own tasks:
 files are committed by Spark's writer.
 
-Texts are cut before a space that stands between two characters that are not
-white space.  The byte-level pre-tokenizer always starts a token there, so
-encoding the pieces one by one gives the ids of the whole text, and a piece
-met again in the same worker comes from a bounded cache.
+Texts whose white space is single spaces and newlines between other characters
+are cut before each space and around each newline.  The byte-level
+pre-tokenizer always starts a token there, so encoding the pieces one by one
+gives the ids of the whole text; each distinct piece of a batch is encoded once,
+or comes from the worker's bounded cache.  Other texts are encoded in one call.
 
 Defined results: null text is the empty text (its ids are the end id alone);
 null doc_id sorts first; repeated rows are separate documents, in the order of
@@ -30,11 +31,14 @@ their text hash; extra columns are ignored; empty table gives empty files.
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +48,11 @@ END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 5000
-#: Pieces kept by one Python worker, and the longest piece worth keeping.
+#: Pieces kept by one Python worker (twice), and the longest piece worth keeping.
 CACHE_PIECES = 300_000
 CACHE_CHARS = 48
-#: Documents handed back to the JVM at a time.
-OUT_ROWS = 500
+#: Text encoded at a time by one Python worker.
+SLICE_BYTES = 4 << 20
 
 FORMAT = {
     "compression": "zstd",
@@ -73,103 +77,142 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the
+    others for the characters from U+0100 on, in order."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {b: chr(b) for b in kept}
+    out |= {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in out)}
+    return out
+
+
+#: White space other than single spaces and newlines between other characters
+#: (the white space of either regex dialect, U+001C..U+001F with it).
+_UNEVEN = (
+    "[\\t\\x0b\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    "|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
+)
+
+
 class PieceEncoder:
-    """Whole-text ids as little-endian 32-bit bytes, through cached pieces."""
+    """Ids of whole texts, through cached pieces."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.after_space: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def encode(self, text: str) -> bytes:
-        first, *parts = text.split(" ")
-        known = self.after_space
-        try:
-            # the usual case: every word is known
-            return self._head(first, parts) + b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        units = [first]  # strings to be encoded; those after the first begin with a space
-        open_end = not first or first[-1].isspace()
-        for p in parts:
-            clean = bool(p) and not p[0].isspace()
-            if open_end or not clean:
-                units[-1] = f"{units[-1]} {p}"
+        self.model = self.tokenizer.model
+        self.end = array("I", [end_id]).tobytes()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
+        self.space = self.letters[0x20]
+        # two generations: a full one becomes the older, pieces met again move up
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece: a word, with a space before it or not, or a newline."""
+        got = self.known.get(piece)
+        if got is not None:
+            return got
+        got = self.older.get(piece)
+        if got is None:
+            word = piece.rstrip(string.punctuation)
+            bare = piece[1:] if piece[:1] == " " else piece
+            if len(word) < len(piece) and word[-1:].isalnum() and not any(x in piece for x in self.added):
+                # a run of marks that ends the piece after a letter or digit is a token of its own
+                got = self.piece(word) + self.piece(piece[len(word) :])
+            elif bare.isalpha() and (piece.isascii() or max(bare) < "\u0250"):
+                # letters alone (after at most one space) are one word of the model
+                spelt = piece.replace(" ", self.space) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                got = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
             else:
-                units.append(f" {p}")
-            open_end = not p or p[-1].isspace()
-        new = list({u for u in units[1:] if u[1:] not in known})
-        if not new:
-            fresh = {}
-        else:
-            fresh = dict(zip((u[1:] for u in new), self._encode(new), strict=True))
-        out = [self._encode(units[:1])[0] if units[0] else b""]
-        out += [known.get(u[1:]) or fresh.get(u[1:]) or b"" for u in units[1:]]
-        for p, ids in fresh.items():
-            if len(p) <= CACHE_CHARS and " " not in p and not p[-1].isspace():
-                known[p] = ids
-        return b"".join(out)
-
-    def _head(self, first: str, parts: list[str]) -> bytes:
-        if not first:
-            if parts:
-                raise KeyError  # a leading space: the general way
-            return b""
-        if first[-1].isspace() and parts:
-            raise KeyError
-        return self._encode([first])[0]
+                got = self.whole(piece) if piece else b""
+        if len(piece) <= CACHE_CHARS:
+            if len(self.known) >= CACHE_PIECES:
+                self.older, self.known = self.known, {"\x1e": self.end}
+            self.known[piece] = got
+        return got
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of every text, the end id after each."""
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        # pieces are parted by U+001F, and the end stands as U+001E: even texts have neither
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x1f "), "\n", "\x1f\n\x1f")
+        cut = pc.if_else(uneven, "\x1e", pc.binary_join_element_wise(cut, "\x1e", "\x1f"))
+        parts = pc.split_pattern(cut, "\x1f")
+        pieces = parts.flatten().dictionary_encode()
+        self.known["\x1e"] = self.end
+        known = self.known.get
+        ids = [known(w) or self.piece(w) for w in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        at = pieces.indices.to_numpy()
+        lists = _lists(b"".join(ids), sizes)
+        flat = lists.take(pieces.indices).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        if pc.any(uneven).as_py():
+            # such texts are encoded in one call each
+            blobs = [
+                self.whole(t) + self.end if odd else flat[i:j].tobytes()
+                for t, odd, i, j in zip(texts.to_pylist(), uneven.to_pylist(), ends[:-1], ends[1:], strict=True)
+            ]
+            return _lists(b"".join(blobs), np.asarray([len(b) // 4 for b in blobs], dtype=np.int64))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def _lists(blob: bytes, sizes: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(blob, dtype="<i4")))
 
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, end_id: int) -> PieceEncoder:
     """One tokenizer and piece cache per worker process."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    key = (path, end_id)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]
 
 
-def _list_column(blobs: list[bytes]) -> pa.ListArray:
-    sizes = np.fromiter((len(b) // 4 for b in blobs), dtype=np.int64, count=len(blobs))
-    offsets = np.zeros(len(blobs) + 1, dtype=np.int32)
-    np.cumsum(sizes, out=offsets[1:])
-    values = np.frombuffer(b"".join(blobs), dtype="<i4")
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs (start, rows) of at most about SLICE_BYTES of text, a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        yield at, to - at
+        at = to
 
 
 def _encode_batches(path: str, end_id: int):
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc, row = encoder(path), 0
+        enc, row = encoder(path, end_id), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                piece = batch.slice(at, OUT_ROWS)
-                blobs = [enc.encode(t or "") + end for t in piece.column("text").to_pylist()]
-                n = len(blobs)
+            for at, n in _slices(batch.column("text")):
+                piece = batch.slice(at, n)
+                ids = enc.encode(pc.fill_null(piece.column("text"), ""))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, part, dtype=np.int32)),
                         pa.array(np.arange(row, row + n, dtype=np.int64)),
                         piece.column("doc_id").cast(pa.int64()),
-                        pa.array(np.asarray([len(b) // 4 for b in blobs], dtype=np.int64)),
-                        _list_column(blobs),
+                        pc.list_value_length(ids).cast(pa.int64()),
+                        ids,
                     ],
                     names=["part", "row", "doc_id", "n_tokens", "ids"],
                 )
                 row += n
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -228,8 +271,8 @@ def _crc_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b.column("ids")
         at = ids.offsets.to_numpy()
-        values = ids.values.to_numpy().astype("<u4", copy=False)
-        crc = [zlib.crc32(values[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
+        values = ids.values.to_numpy()  # little-endian 32-bit words, as the digest wants them
+        crc = [zlib.crc32(values[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [b.column("part"), b.column("row"), b.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())],
             names=["part", "row", "doc_id", "n_tokens", "ids_crc32"],
