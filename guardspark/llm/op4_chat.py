@@ -222,6 +222,10 @@ CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 def with_control(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """The conversations plus one whose two texts hold control strings."""
-    rows = [(CONTROL_CONVERSATION, 0, "user", CONTROL_TEXT), (CONTROL_CONVERSATION, 1, "assistant", CONTROL_TEXT)]
-    extra = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(
+        F.lit(CONTROL_CONVERSATION).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
     return conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
