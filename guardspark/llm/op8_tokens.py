@@ -169,7 +169,7 @@ def _lists(blob: bytes, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(blob, dtype="<i4")))
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
 def encoder(path: str, end_id: int) -> PieceEncoder:
