@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import SF, crc_mod, shingles
+from helpers import SF, awkward, crc_mod, docs_df, shingles
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -116,3 +116,18 @@ def test_held_out_rows_follow_the_id(spark):
     for name, m, r in (("op2_toxic_segments", 5, 0), ("op5_lattice_scores", 7, 2)):
         got = catalog.QUERIES[name](spark, SF).select("doc_id", "held_out").collect()
         assert all(g.held_out == (crc_mod(g.doc_id, m) == r) for g in got)
+
+
+@pytest.mark.parametrize("rows", [awkward(), []], ids=["awkward", "empty"])
+def test_every_stage_takes_awkward_rows_and_empty_tables(spark, rows):
+    docs = docs_df(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        assert set(got) <= {(i, t) for i, t, _ in rows}
+        if name == "drop_near_duplicates":
+            # blank texts, rows without an id and unlike texts stay
+            assert all(got[(i, t)] for i, t, _ in rows if i in (None, 1, 2, 3, 6, 7, 10, 15, 16))
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.count() == len(rows)
