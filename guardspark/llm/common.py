@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,24 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows of an Arrow batch between the JVM and Python while a table is staged.
+ARROW_ROWS = 1000
+_ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """While a job runs, Arrow batches of few rows: texts are long, and a batch
+    stands in the memory of both sides.  The session's own setting comes back
+    afterwards; results do not depend on it."""
+    before = spark.conf.get(_ARROW_KEY)
+    spark.conf.set(_ARROW_KEY, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_KEY, before)
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -40,7 +59,8 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     deterministic across recomputation (row ids) are fixed from here on.
     """
     path = fresh_folder(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -353,16 +353,19 @@ def links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
     )
     sets = texts.select("text").mapInArrow(_sets, "f1 long, f2 long, shingles array<long>, buckets array<long>").dropDuplicates(["f1", "f2"])
     held = staged(posted.join(sets, ["f1", "f2"]), "nd-sets")
-    bucket = F.col("x").bitwiseAND(F.lit(BUCKETS - 1))
+    bucket = F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     own = (
         held.select("node", F.explode("shingles").alias("x"))
         .groupBy("x")
         .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("df"))
         .where("df = 1")
+        .groupBy("node", bucket.alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("node")
-        .agg(F.array(*[F.count_if(bucket == i) for i in range(BUCKETS)]).alias("own"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("own"))  # at most BUCKETS
     )
-    shared = F.when(F.col("own").isNull(), F.col("buckets")).otherwise(F.zip_with("buckets", "own", lambda x, y: x - y))
+    less = F.transform("buckets", lambda x, i: x - F.coalesce(F.col("own")[i], F.lit(0)))
+    shared = F.when(F.col("own").isNull(), F.col("buckets")).otherwise(less)
     active = held.join(own, "node", "left").withColumn("shared", shared).drop("own", "buckets")
     active = staged(
         active.withColumn("s", F.aggregate("shared", F.lit(0).cast("long"), lambda t, x: t + x)), "nd-active"
