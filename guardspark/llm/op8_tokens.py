@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from guardspark.llm.common import fresh_folder
+from guardspark.llm.common import fresh_folder, small_batches
 
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
@@ -53,6 +53,8 @@ CACHE_PIECES = 300_000
 CACHE_CHARS = 48
 #: Text encoded at a time by one Python worker.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch while tokens are written: some slices' worth.
+ARROW_ROWS = 2400
 
 FORMAT = {
     "compression": "zstd",
@@ -223,16 +225,16 @@ def write_tokens(
     """Encode ``docs`` (doc_id, text) into the format above; returns ``path``."""
     spark = docs.sparkSession
     run = _encode_batches(tokenizer or default_tokenizer(), end_id)
-    (
+    encoded = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .withColumn("h", F.xxhash64("text"))
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("h"))
         .select("doc_id", "text")
         .mapInArrow(run, TOKEN_SCHEMA)
-        .write.options(**FORMAT)
-        .parquet(f"{path}/tokens")
     )
+    with small_batches(spark, ARROW_ROWS):
+        encoded.write.options(**FORMAT).parquet(f"{path}/tokens")
     meta = spark.read.schema(TOKEN_SCHEMA).parquet(f"{path}/tokens").drop("ids")
     per_part = meta.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
