@@ -49,12 +49,12 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 5000
 #: Pieces kept by one Python worker (twice), and the longest piece worth keeping.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 420_000
 CACHE_CHARS = 48
 #: Text encoded at a time by one Python worker.
 SLICE_BYTES = 4 << 20
 #: Rows of an Arrow batch while tokens are written: some slices' worth.
-ARROW_ROWS = 2400
+ARROW_ROWS = 5000
 
 FORMAT = {
     "compression": "zstd",
