@@ -627,7 +627,7 @@ def block_rate_stream(spark, sf_dir):
     takes the table, so the watermark then stands at its last event less 10
     minutes: the rows are the windows of ``block_rate_window`` that end by then."""
     schema = read_table(spark, sf_dir, "events").schema
-    stream = ST.read_table_stream(spark, sf_dir, "events", schema)
+    stream = ST.read_table_stream(spark, sf_dir, "events", schema, bytes_per_batch=None)
     screened = chain.input_chain(_event_prompts(stream))
     path = ST.run_available_now(ST.block_rates(_guard_event_rows(screened)), "block_rate_stream")
     return spark.read.parquet(path)

@@ -24,13 +24,18 @@ from guardspark.session import checkpoint_root
 
 
 def read_table_stream(
-    spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, bytes_per_batch: int = 1 << 30
+    spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, bytes_per_batch: int | None = 1 << 30
 ) -> DataFrame:
     """A file-source stream over one table, a folder of part files or a single
-    file, in micro-batches of about ``bytes_per_batch``."""
+    file, in micro-batches of about ``bytes_per_batch``.  Files come in the order
+    of their writing: where a watermark drops late rows and event time does not
+    follow that order, give None, and one micro-batch takes all files."""
     # as a pattern that only this name fits: a stream takes a plain path for a folder
     path = f"{sf_dir.rstrip('/')}/[{name[0]}]{name[1:]}.parquet"
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
+    reader = spark.readStream.schema(schema)
+    if bytes_per_batch is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    return reader.parquet(path)
 
 
 def screen_stream(stream: DataFrame, policy: dict[str, Any] | None = None) -> DataFrame:

@@ -52,6 +52,22 @@ def test_small_batches_read_every_file(spark, tmp_path):
     assert out.count() == out.distinct().count() == docs.count()
 
 
+def test_block_rate_stream_takes_an_unsorted_table_whole(spark, tmp_path, monkeypatch):
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    # parts written latest events first
+    path = str(tmp_path / "events.parquet")
+    first, last = events.agg(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).first()
+    part = F.floor((F.col("ts").cast("timestamp").cast("double") - first.timestamp()) / ((last - first).total_seconds() + 1) * 4)
+    for k in (3, 2, 1, 0):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    monkeypatch.setattr(ST.read_table_stream, "__defaults__", (1000,))
+    key = lambda r: (r.window_start, r.guard_name, r.n_runs, r.n_blocks)
+    got = sorted(key(r) for r in C.block_rate_stream(spark, str(tmp_path)).collect())
+    batch = C.block_rate_window(spark, str(tmp_path)).collect()
+    closed = last.replace(tzinfo=None) - dt.timedelta(minutes=10)
+    assert got and got == sorted(key(r) for r in batch if r.window_end.replace(tzinfo=None) <= closed)
+
+
 def test_late_event_behind_watermark_is_dropped(spark, tmp_path):
     """Restart from the checkpoint after new input arrives: the persisted
     watermark drops a row older than the allowed lateness."""
