@@ -15,8 +15,9 @@ part lies within its scope, ``SCOPE`` characters before or after it:
 * ``endpoint`` needs a secret.
 
 This is an interval join: parts and candidates meet on (document, cell of SCOPE
-characters), a part in every cell its scope covers, and the intervals confirm.
-It is a semi-join, so no pairs come out.
+characters), a part in every cell its scope covers, a candidate in every cell
+it touches, and the intervals confirm.  It is a semi-join, so no pairs come out;
+a candidate found in several of its cells is reported once.
 
 Positions: the pieces between the matches (``split``) and the matches
 (``regexp_extract_all``) alternate, so running sums of their lengths give the
@@ -122,7 +123,9 @@ def linked(found: DataFrame) -> DataFrame:
         (F.col("to") + SCOPE).alias("hi"),
         role.alias("role"),
     ).withColumn("c", F.explode(F.sequence(F.floor(F.col("lo") / SCOPE), F.floor(F.col("hi") / SCOPE))))
-    weak = found.where(F.col("k") >= len(BASE)).withColumn("cell", F.floor(F.col("from") / SCOPE))
+    weak = found.where(F.col("k") >= len(BASE)).withColumn(
+        "cell", F.explode(F.sequence(F.floor(F.col("from") / SCOPE), F.floor(F.col("to") / SCOPE)))
+    )
     complementary = F.when(F.col("k") == 4, F.col("role") != "secret").otherwise(F.col("role") == "secret")
     return weak.join(
         reach,
@@ -132,7 +135,7 @@ def linked(found: DataFrame) -> DataFrame:
         & (F.col("to") >= F.col("lo"))
         & complementary,
         "left_semi",
-    ).select("uid", "k", "from", "to")
+    ).select("uid", "k", "from", "to").distinct()
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -89,5 +89,16 @@ def test_a_weak_part_alone_is_not_reported(spark):
     assert "id:" not in got[1] and got[2] == "id:0:8,assign:9:26" and got[3] == ""
 
 
+def test_long_weak_parts_before_and_after_their_partner(spark):
+    blob, url = "x1" * 500, "https://h.example.com/" + "p/" * 500
+    rows = []
+    for part, partner in ((blob, "user=bob"), (blob, "https://h.example.com"), (url, "password=hunter22")):
+        for gap in (1, 150, 199, 200, 201, 260, 450):
+            rows += [(len(rows), part + " " * gap + partner, "a"), (len(rows) + 1, partner + " " * gap + part, "a")]
+    check(spark, rows)
+    got = {g.doc_id: g.spans for g in sec.report(docs_df(spark, rows)).collect()}
+    assert "blob:0:1000" in got[0].split(",")
+
+
 def test_empty_table(spark):
     assert sec.report(docs_df(spark, [])).count() == 0
