@@ -7,10 +7,10 @@ leak when their shingle multisets have a weighted Jaccard similarity
 (sum of minima over sum of maxima) of at least ``SIM_PERCENT`` / 100.
 
 1. Every shingle of every document meets the benchmark's shingles by hash.  A
-   window without a common shingle has similarity 0, so only windows near a
-   common shingle are fingerprinted: for a shingle at word i of the document
-   and word j of an item, those that begin at i - j, and up to ``SLACK`` words
-   around (words put in or left out move the rest of a passage).
+   window of a shingles and an item of b can reach the similarity only where
+   they share ``SIM_PERCENT`` * (a + b) / (100 + ``SIM_PERCENT``) or more, so the
+   windows fingerprinted are all those that hold as many shingles of items of
+   their size, wherever in the item these stand.
 2. The window's fingerprint has 64 bits, each the majority of that bit over
    the window's shingles; items likewise.
 3. Multi-index: the bits are cut into ``RADIUS + 1`` blocks; fingerprints within
@@ -41,7 +41,6 @@ from guardspark.llm.common import free_names, staged, words_col
 WORDS = 5
 SIM_PERCENT = 80
 RADIUS = 20
-SLACK = 2
 MAX_BROADCAST = 200_000
 
 
@@ -97,23 +96,53 @@ def _blocks(fp: str) -> Column:
     return F.explode(F.array(*parts))
 
 
+def _starts(q: int) -> Column:
+    """Runs (lo, hi) of the starts of windows that can be a leak, disjoint and
+    ascending, of a row (m, ns, at): ``at`` has the places of the document's
+    shingles that stand in an item of m words, ``ns`` is the number of all.
+
+    A window holds ``need`` places if it begins at the first of ``need``
+    neighbours or before, and ends at the last or behind; what begins at the
+    place before the first of them, or earlier, belongs to the run before.
+    """
+    n = F.col("m") - (q - 1)
+    # the window lies inside the document
+    last = F.greatest(F.lit(0), F.col("ns") - n)
+    shared = F.lit(SIM_PERCENT) * (F.least(F.col("ns"), n) + n)
+    need = F.ceil(shared / F.lit(100 + SIM_PERCENT)).cast("int")
+
+    def run(a: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get("at", k - 1) + 1).otherwise(0)
+        end = F.get("at", k + need - 1)
+        return F.struct(F.greatest(end - n + 1, before, F.lit(0)).alias("lo"), F.least(a, last).alias("hi"))
+
+    found = F.transform(F.slice("at", 1, F.greatest(F.lit(0), F.size("at") - need + 1)), run)
+    return F.filter(found, lambda r: r["lo"] <= r["hi"])
+
+
 def _leaks(docs: DataFrame, items: DataFrame, q: int) -> DataFrame:
     """Leaks of the items whose shingles have ``q`` words."""
     items = items.where(F.col("q") == q)
     item_rows = staged(
         items.select("item", "m", F.posexplode(shingles_col(F.col("text"), q)).alias("j", "x")), "bench-shingles"
     )
-    places = item_rows.select("x", "m", "j").distinct()
+    places = item_rows.select("x", "m").distinct()
     side = F.broadcast(places) if places.count() <= MAX_BROADCAST else places
     own = docs.select("doc_id", F.xxhash64("text").alias("h"), shingles_col(F.col("text"), q).alias("sh"))
-    starts = (
-        own.select("doc_id", "h", F.posexplode("sh").alias("i", "x"))
+    hits = (
+        own.select("doc_id", "h", F.size("sh").alias("ns"), F.posexplode("sh").alias("i", "x"))
         .join(side, "x")
-        .select("doc_id", "h", "m", (F.col("i") - F.col("j")).alias("p"))
-        .distinct()
+        .groupBy("doc_id", "h", "m", "ns")
+        # places in one document
+        .agg(F.array_sort(F.collect_set("i")).alias("at"))
+    )
+    windows = staged(
+        hits.select("doc_id", "h", "m", F.explode(_starts(q)).alias("run"))
+        .select("doc_id", "h", "m", F.explode(F.sequence("run.lo", "run.hi")).alias("p"))
+        .withColumn("win", F.monotonically_increasing_id()),
+        "bench-windows",
     )
-    starts = staged(starts, "bench-starts")
-    near = starts.select("doc_id", "h").distinct().select(F.col("doc_id").alias("d"), F.col("h").alias("hh"))
+    near = windows.select("doc_id", "h").distinct().select(F.col("doc_id").alias("d"), F.col("h").alias("hh"))
     held = staged(
         docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
         .join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left_semi")
@@ -121,15 +150,6 @@ def _leaks(docs: DataFrame, items: DataFrame, q: int) -> DataFrame:
         .dropDuplicates(["doc_id", "h"]),
         "bench-near",
     ).withColumnsRenamed({"doc_id": "d", "h": "hh"})
-    # the window lies inside the document and has the item's number of shingles
-    last = F.greatest(F.lit(0), F.size("sh") - (F.col("m") - (q - 1)))
-    windows = (
-        starts.withColumn("p", F.explode(F.sequence(F.col("p") - SLACK, F.col("p") + SLACK)))
-        .join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")))
-        .select("doc_id", "h", "m", F.greatest(F.lit(0), F.least("p", last)).alias("p"))
-        .distinct()
-    )
-    windows = staged(windows.withColumn("win", F.monotonically_increasing_id()), "bench-windows")
     rows = staged(
         windows.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select(
             "win", F.explode(F.slice("sh", F.col("p") + 1, F.col("m") - (q - 1))).alias("x")

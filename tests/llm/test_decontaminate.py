@@ -44,6 +44,27 @@ def check(spark, rows, items):
     assert have == sorted((str(i), ",".join(map(str, want[i, t])), bool(want[i, t]), len(want[i, t])) for i, t, _ in rows)
 
 
+def test_reordered_passages(spark):
+    r = random.Random(6)
+    items = items_of(r, 8, 40, 70)
+    rows = []
+    for i in range(40):
+        v = items[i % 8][1].split()
+        cut = len(v) // 2 if i < 16 else r.randrange(8, len(v) - 8)
+        v = v[cut:] + v[:cut]
+        if i % 4 == 3:
+            x, y = sorted(r.sample(range(len(v)), 2))
+            v = v[y:] + v[x:y] + v[:x]
+        words = [f"w{r.randrange(2000)}" for _ in range(r.randint(0, 120))]
+        at = r.randrange(len(words) + 1)
+        rows.append((i, " ".join(words[:at] + v + words[at:]), "a"))
+    # a text that repeats an item, and one shorter than it
+    rows += [(90, " ".join([items[0][1]] * 4), "a"), (91, " ".join(items[1][1].split()[:-2]), "a")]
+    check(spark, rows, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert all(g.contaminated for g in dc.contamination(docs_df(spark, rows[:16:4]), bench).collect())
+
+
 def items_of(r, n, lo=12, hi=40):
     return [(k, " ".join(f"b{r.randrange(500)}" for _ in range(r.randint(lo, hi)))) for k in range(n)]
 
