@@ -20,7 +20,8 @@ linear in its length, and nothing is kept across pages.
 Defined results: null and empty html give the empty text; scripts, styles,
 comments, doctypes, head and other raw elements have no text; an unclosed comment,
 script or style runs to the end of the page, as in browsers; unclosed or stray
-tags are tolerated; null ids and urls pass through; repeated rows are each
+tags are tolerated; a head without its end tag ends, as in browsers, at the first tag
+or text that cannot stand in a head; null ids and urls pass through; repeated rows are each
 extracted; extra columns are ignored.
 """
 
@@ -51,6 +52,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements whose content is not text of the page; raw ones are not parsed.
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 _HIDDEN = frozenset("head noscript template svg math select object canvas audio video".split())
+#: Tags that leave an open head open.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
 _BARRIER = frozenset("html table td th caption button object".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4"
@@ -142,6 +145,16 @@ def leaf_blocks(page: str) -> list[Block]:
             elif tag in _BARRIER:
                 barrier_at.pop()
 
+    def close_head() -> None:
+        while opened.get("head"):
+            n = len(stack) - 1
+            while stack[n][0] != "head":
+                n -= 1
+            pop_to(n)
+
+    def in_head() -> bool:
+        return bool(opened.get("head")) and not opened.get("noscript") and not opened.get("template")
+
     at, size = 0, len(page)
     quotes = True  # quoted attribute values may hold '>'
     while at < size:
@@ -150,6 +163,8 @@ def leaf_blocks(page: str) -> list[Block]:
             lt = size
         if lt > at:
             piece = page[at:lt]
+            if in_head() and not piece.isspace():
+                close_head()
             buf.append(piece)
             if links:
                 linked += len(piece)
@@ -164,6 +179,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 end = page.find(">", lt)
                 at = size if end < 0 else end + 1
             else:
+                if in_head():
+                    close_head()
                 buf.append("<")
                 at = lt + 1
             continue
@@ -187,6 +204,8 @@ def leaf_blocks(page: str) -> list[Block]:
             elif name not in _INLINE:
                 flush()
             continue
+        if name not in _IN_HEAD and (in_head() or name == "body" and not opened.get("template")):
+            close_head()
         if name == "br":
             buf.append(" ")
             continue

@@ -48,6 +48,18 @@ def test_unclosed_tags_comments_and_quotes():
     assert main(page(inner)) == " ".join(["A new plan", PROSE, PROSE, PROSE, "here", PROSE])
 
 
+def test_a_head_without_its_end_tag():
+    inner = f"<p>{PROSE}</p><p>{PROSE}</p>"
+    whole = page(inner)
+    want = f"A new plan {PROSE} {PROSE}"
+    assert main(whole) == main(whole.replace("</head>", "")) == main(whole.replace("</head><body>", "")) == want
+    texts = lambda p: [b.text for b in ht.leaf_blocks(p)]
+    head = "<html><head>\n<meta charset=utf-8><link rel=x><title>T</title>\n<noscript><img src=x><p>pixel</p></noscript><template><p>t</p></template>"
+    assert texts(f"{head}<p>{PROSE}") == texts(f"{head}{PROSE}") == texts(f"{head}<b>{PROSE}</b>") == [PROSE]
+    assert texts(f"{head}</head><p>{PROSE}") == texts(f"{head}<noscript><body><p>{PROSE}") == [PROSE]
+    assert texts(f"<head><head><p>{PROSE}") == [PROSE]
+
+
 def test_defined_results_of_odd_pages():
     for odd in (None, "", "   ", "<", "</", "<!--", "<script>", "<p", "<>", "&#0;", "<p></p>", "<!doctype html>", "<a '", "\x00"):
         assert isinstance(main(odd), str)
