@@ -12,7 +12,8 @@ step moves only (ids, sizes).  A document's place in its source's shuffled
 line is a two-level prefix sum (per hash bucket, then within the bucket), so a
 source that holds a third of all rows is spread over ``BUCKETS`` groups.  The
 number of slots is a parameter (``SLOTS``), the same for any size of input: the
-block grows with the data.  Slots meet sources by an equi-join on cells of the
+block grows with the data, and a source whose target is below a block or so may
+get no slot (``mixed_documents`` follows the targets without blocks).  Slots meet sources by an equi-join on cells of the
 unit interval, never by a cross join.
 
 Defined results: a null text has size 0; null source is a source of its own
@@ -194,19 +195,29 @@ def taken_words(
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents the mix takes, each as often as it is taken whole.
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = "mix"
+) -> DataFrame:
+    """The documents the mix takes, each as often as its source's target reaches it.
 
-    A document row comes out ``round(taken / size)`` times (at most
-    ``MAX_REPEAT``): only the one document per source at which the schedule
-    ends can be taken in part.  Row ids are fixed by staging the documents.
+    A source's shuffled line, repeated up to ``max_repeat`` times, is followed
+    for exactly ``target`` words, without blocks: a source of any size gets its
+    target.  The one document per source at which the line ends comes out
+    whole, so a source has its target and less than that document's size more.
+    Row ids are fixed by staging the documents.
     """
     row, n, copy = free_names(docs, "__row", "__n", "__copy")
     held = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
-    keyed = held.select(F.col(row).alias("doc_id"), "source", "text")
-    counts = taken_words(keyed, **options).where("size > 0").select(
-        F.col("doc_id").alias(row), F.round(F.col("taken") / F.col("size")).cast("int").alias(n)
+    sizes = sized(held.select(F.col(row).alias("doc_id"), "source", "text"), seed)
+    targets = staged(source_targets(sizes, weights, max_repeat), "mix-targets")
+    line = shuffled_line(sizes.where("size > 0")).join(
+        targets.select(F.col("source").alias("t_source"), "source_size", "target"),
+        F.col("source").eqNullSafe(F.col("t_source")),
     )
+    # the times the document's first word lies before the line's end; sums of doubles are off by far less than a word
+    end = F.round("target", 3)
+    reached = [(F.col("start") + F.lit(k) * F.col("source_size") < end).cast("int") for k in range(max_repeat)]
+    counts = line.select(F.col("doc_id").alias(row), sum(reached[1:], reached[0]).alias(n))
     return (
         held.join(counts.where(F.col(n) > 0), row)
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))

@@ -103,6 +103,23 @@ def test_mixed_documents_repeat_whole_rows(spark):
     assert all(t and t.strip() for _, t in counts)
 
 
+def test_mixed_documents_give_every_source_its_target(spark):
+    # a tiny source and one long document beside a huge source (blocks of several words)
+    big = "w " * 5000
+    rows = [(i, big, f"s{i % 3}") for i in range(300)] + [(1000 + i, "w", f"tiny{i}") for i in range(20)]
+    rows += [(2000, "w " * 400_000, "whole")] + [(3000 + i, "w " * 7, "small") for i in range(5)]
+    sizes = totals(rows)
+    want, longest = water_fill(sizes), defaultdict(int)
+    for _, t, s in rows:
+        longest[s] = max(longest[s], len(t.split()))
+    got = defaultdict(int)
+    for r in mx.mixed_documents(docs_df(spark, rows)).select("source", "text").collect():
+        got[r.source] += len(r.text.split())
+    for s in sizes:
+        assert want[s] - 0.01 <= got[s] < want[s] + longest[s], (s, want[s], got[s])
+    assert {got[f"tiny{i}"] for i in range(20)} == {3} and got["small"] == 105
+
+
 def test_empty_table(spark):
     assert mx.taken_words(docs_df(spark, [])).count() == 0
     assert mx.mixed_documents(docs_df(spark, [])).count() == 0
