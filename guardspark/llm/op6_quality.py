@@ -16,14 +16,17 @@ learnt, one per rule and stratum (language), so that few good documents go:
 * of the safe cutoffs of a rule the most rejecting is taken; without one the
   rule is off in that stratum.
 
-So, with confidence 1 - DELTA, no stratum loses more than RISK of its good
-documents to the learnt rules.  The grids of cutoffs are fixed, not fitted.
+So, with confidence 1 - DELTA, no stratum with a safe cutoff of its own loses more
+than RISK of its good documents to the learnt rules.  Every other language is
+judged by the cutoffs of the stratum '*', calibrated over the labelled rows of
+all languages: these bound the loss over all rows, not that of the language.  The grids of cutoffs are fixed, not fitted.
 
 Scale: the metrics are computed once, inside each row, without a shuffle, and
 staged as narrow rows; calibration counts rejections per (stratum, rule,
 cutoff) with partial aggregation and joins the few cutoffs back by stratum.
-Strata with fewer than ``MIN_HOLDOUT`` good labelled rows (none of their
-cutoffs could pass the test) use the stratum '*', calibrated over all rows.
+Strata with fewer than ``MIN_HOLDOUT`` good labelled rows are not tried.  With
+four strata a cutoff that rejects none passes from about 1,400 such rows on, so
+strata of fewer rows use '*' as well.
 
 Defined results: null and blank texts have no words and fail the fixed rule; a
 null language counts as ''; labels other than 0 and 1, null ids and ids without
