@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardspark.llm import op1_html, op10_decontaminate, op2_toxicity, op3_neardup, op4_chat, op5_lattice, op6_quality, op7_secrets, op8_tokens, op9_mix, oracle
+from guardspark.llm import op1_html, op10_decontaminate, op11_runs, op12_lines, op13_merkle, op2_toxicity, op3_neardup, op4_chat, op5_lattice, op6_quality, op7_secrets, op8_tokens, op9_mix, oracle
 from guardspark.llm.common import crc_mod, table
 
 
@@ -61,6 +61,19 @@ def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = op11_runs.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return op11_runs.digest(op11_runs.periodic_runs(docs))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_lines.digest(op12_lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_toxic_segments": op2_toxic_segments,
@@ -72,6 +85,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate_benchmark": op10_decontaminate_benchmark,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = dict(oracle.ORACLE_SQL)
