@@ -2,8 +2,8 @@ r"""DuckDB SQL of the training-data queries that SQL can express.
 
 Each text states its query's contract on its own: all pairs, all windows and
 closed forms in place of the operators' methods.  The others are left out: they
-score with a learnt model (1, 2, 5), need look-around in patterns (7) or a BPE
-tokenizer (8); their tests compare them with brute force, exact round trips
+score with a learnt model (1, 2, 5), need look-around in patterns (7), a BPE
+tokenizer (8) or all periodic runs of a text (11); their tests compare them with brute force, exact round trips
 and held-out rows.
 """
 
@@ -194,10 +194,96 @@ SELECT doc_id, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(item_ids, '') A
 FROM documents LEFT JOIN per USING (doc_id)
 """
 
+_WS = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+
+LINE_DEDUP = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, doc_id, i, ls[i] AS line, translate(trim(ls[i], {_WS}), '{_UPPER}', '{_LOWER}') AS key
+  FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)
+), common AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+), k AS (SELECT l.*, c.key IS NOT NULL AS dropped FROM l LEFT JOIN common AS c USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM k GROUP BY r, doc_id
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR, '-')" for x in fields) + ")"
+
+
+def _up(name: str) -> str:
+    """The levels above ``name``'s nodes of level 0, as the recursive part."""
+    return f"""
+  SELECT tree, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1 GROUP BY tree, level, pos // 8"""
+
+
+def _fold(name: str, nodes: str, tops: str) -> str:
+    return f"""
+  SELECT f.r, f.tree, f.level + 1, f.pos // 8,
+    sha256(string_agg(CASE WHEN n.pos = f.pos THEN f.digest ELSE n.digest END, '' ORDER BY n.pos))
+  FROM {name} AS f JOIN {tops} AS t ON t.tree = f.tree AND f.level < t.level
+  JOIN {nodes} AS n ON n.tree = f.tree AND n.level = f.level AND n.pos // 8 = f.pos // 8
+  GROUP BY f.r, f.tree, f.level, f.pos // 8"""
+
+
+def _siblings(part: int, nodes: str, tops: str, tree: str, pos: str) -> str:
+    return f"""
+  SELECT l.r, {part} AS part, n.level, n.pos, n.digest
+  FROM l JOIN {nodes} AS n ON n.tree = {tree} AND n.pos // 8 = (l.{pos} >> (3 * n.level)) // 8 AND n.pos <> l.{pos} >> (3 * n.level)
+  JOIN {tops} AS t ON t.tree = n.tree AND n.level < t.level"""
+
+
+MERKLE = f"""
+WITH RECURSIVE bits AS (
+  SELECT range AS b, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), walk AS (
+  SELECT DISTINCT doc_id, coalesce(doc_id::VARCHAR, '') AS s, 1 AS i, 4294967295::BIGINT AS c FROM documents
+  UNION ALL SELECT w.doc_id, w.s, w.i + 1, xor(w.c >> 8, t.c)
+  FROM walk AS w JOIN bits AS t ON t.k = 8 AND t.b = xor(w.c & 255, ascii(w.s[w.i])) WHERE w.i <= length(w.s)
+), crc AS (SELECT doc_id, xor(c, 4294967295) AS h FROM walk WHERE i = length(s) + 1
+), d AS (
+  SELECT documents.*, CASE WHEN h % 3 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS other
+  FROM documents JOIN crc ON documents.doc_id IS NOT DISTINCT FROM crc.doc_id
+), l AS (
+  SELECT row_number() OVER () AS r, *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, fresh) - 1 AS pos,
+    dense_rank() OVER (ORDER BY tree) - 1 AS lang_pos
+  FROM (SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf("text")} AS leaf, {_leaf("other")} AS fresh FROM d)
+), nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest FROM l UNION ALL{_up("nodes")}
+), tops AS (SELECT tree, max(level) AS level FROM nodes GROUP BY tree
+), subroots AS (SELECT n.tree, n.digest FROM nodes AS n JOIN tops AS t ON n.tree = t.tree AND n.level = t.level
+), forest AS (
+  SELECT 'root' AS tree, 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS pos, digest FROM subroots UNION ALL{_up("forest")}
+), forest_tops AS (SELECT tree, max(level) AS level FROM forest GROUP BY tree
+), fold AS (
+  SELECT r, tree, 0 AS level, pos, fresh AS digest FROM l UNION ALL{_fold("fold", "nodes", "tops")}
+), fold_root AS (
+  SELECT f.r, 'root' AS tree, 0 AS level, l.lang_pos AS pos, f.digest
+  FROM fold AS f JOIN tops AS t ON f.tree = t.tree AND f.level = t.level JOIN l ON l.r = f.r
+  UNION ALL{_fold("fold_root", "forest", "forest_tops")}
+), ended AS (SELECT f.r, f.digest FROM fold_root AS f JOIN forest_tops AS t ON f.level = t.level
+), siblings AS ({_siblings(0, "nodes", "tops", "l.tree", "pos")}
+  UNION ALL{_siblings(1, "forest", "forest_tops", "'root'", "lang_pos")}
+), proofs AS (SELECT r, sha256(string_agg(digest, '' ORDER BY part, level, pos)) AS proof FROM siblings GROUP BY r
+), root AS (SELECT f.digest AS root FROM forest AS f JOIN forest_tops AS t ON f.level = t.level
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, root.root, coalesce(p.proof, sha256('')) AS proof_sha256,
+  e.digest AS folded_root, e.digest = root.root AS verified
+FROM l JOIN subroots AS s ON s.tree = l.tree JOIN ended AS e ON e.r = l.r LEFT JOIN proofs AS p ON p.r = l.r, root
+"""
+
 ORACLE_SQL = {
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_chat_windows": CHAT_WINDOWS,
     "op6_quality_rules": QUALITY_RULES,
     "op9_mix_sources": MIX,
     "op10_decontaminate_benchmark": DECONTAMINATE,
+    "op12_line_dedup": LINE_DEDUP,
+    "op13_merkle_manifest": MERKLE,
 }

@@ -28,6 +28,9 @@ CONTRACT = {
     "op8_token_files": "doc_id start n_tokens ids_crc32",
     "op9_mix_sources": "doc_id size source_size target taken",
     "op10_decontaminate_benchmark": "doc_id",
+    "op11_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12_line_dedup": "doc_id n_lines n_dropped kept_sha256",
+    "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
