@@ -7,7 +7,8 @@ names, leading zeros and control characters in strings are not.
 
 The text is read once, as the first element of ``[text, mark]``: a second value,
 trailing text or a bracket of its own leaves the mark elsewhere than in second
-place.  Everything is an option of the expression; no session setting is
+place.  The mark is a digest of the text itself, so no text can be written that brings the mark
+along.  Everything is an option of the expression; no session setting is
 involved.
 """
 
@@ -30,17 +31,16 @@ TYPE_ACCEPTS: dict[str, list[str]] = {
 
 
 _OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}
-#: Private-use characters that end the wrapping array.
-_MARK = "\ue000\ue001"
 _STRINGS = r'"(?:[^"\\]|\\.)*+"'
 
 
 def is_valid(text: Column) -> Column:
-    wrapped = F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]'))
+    mark = F.sha2(text.cast("binary"), 256)
+    wrapped = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
     read = F.from_json(wrapped, "array<string>", _OPTIONS)
     # the reader also takes +Infinity, which is no JSON number in any dialect
     signed = text.contains("+Infinity") & F.regexp_replace(text, F.lit(_STRINGS), F.lit('""')).contains("+Infinity")
-    return F.coalesce((F.size(read) == 2) & (F.get(read, F.lit(1)) == _MARK), F.lit(False)) & ~signed
+    return F.coalesce((F.size(read) == 2) & (F.get(read, F.lit(1)) == mark), F.lit(False)) & ~signed
 
 
 def _stripped(text: Column) -> Column:

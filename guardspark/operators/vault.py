@@ -21,6 +21,7 @@ join.  D2 ``vault_table`` explodes them into the sensitive vault table; D3
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,23 +59,53 @@ def _part(digest: Column, at: Column) -> Column:
     return F.substring(digest, at * P.TOKEN_HEX + 1, F.lit(P.TOKEN_HEX))
 
 
+def _apart(digests: Column, at: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(digests, lambda d: _part(d, at)))) == F.size(digests)
+
+
 def _offset(marks: Column) -> Column:
     """The first part of the digests that tells all of them apart (0 unless
     two values clash)."""
     digests = F.array_distinct(F.filter(F.transform(marks, lambda m: m["digest"]), lambda d: d.isNotNull()))
-    parts = F.sequence(F.lit(0), F.lit(64 // P.TOKEN_HEX - 1))
-    apart = F.filter(
-        parts, lambda s: F.size(F.array_distinct(F.transform(digests, lambda d: _part(d, s)))) == F.size(digests)
+    later = F.filter(F.sequence(F.lit(1), F.lit(64 // P.TOKEN_HEX - 1)), lambda s: _apart(digests, s))
+    return (
+        F.when(F.size(marks) < 2, F.lit(0))
+        .when(_apart(digests, F.lit(0)), F.lit(0))
+        .otherwise(F.coalesce(F.get(later, F.lit(0)), F.lit(0)))
     )
-    return F.when(F.size(marks) < 2, F.lit(0)).otherwise(F.coalesce(F.get(apart, F.lit(0)), F.lit(0)))
 
 
 def _pairs(marks: Column, at: Column, pii_type: str) -> Column:
-    def pair(m: Column) -> Column:
-        token = F.concat(F.lit(P.TOKEN_PREFIX + pii_type.upper() + "_"), _part(m["digest"], at), F.lit(P.TOKEN_SUFFIX))
+    """A (token, pii_type, value) pair for each mark."""
+
+    def pair(m: Column, offset: Column) -> Column:
+        token = F.concat(F.lit(P.TOKEN_PREFIX + pii_type.upper() + "_"), _part(m["digest"], offset), F.lit(P.TOKEN_SUFFIX))
         return F.struct(token.alias("token"), F.lit(pii_type).alias("pii_type"), m["value"].alias("value"))
 
-    return F.transform(marks, pair)
+    # the offset is bound once a row: the optimizer puts its whole expression where it
+    # is read, and inside the lambda over the marks that would be once a match
+    return _bound(at, lambda offset: F.transform(marks, lambda m: pair(m, offset)))
+
+
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once a row, however often ``fn`` reads it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _distinct_pairs(pairs: Column, pii_type: str) -> Column:
+    """The distinct pairs of one type.  Strings are told apart by hashing; structs would be
+    compared with each other."""
+    texts = F.array_distinct(F.filter(F.transform(pairs, lambda p: F.concat(p["token"], p["value"])), lambda x: x.isNotNull()))
+    width = len(P.TOKEN_PREFIX + pii_type + "_") + P.TOKEN_HEX + len(P.TOKEN_SUFFIX)
+
+    def pair(x: Column) -> Column:
+        return F.struct(
+            F.substring(x, 1, width).alias("token"),
+            F.lit(pii_type).alias("pii_type"),
+            F.substring(x, F.lit(width + 1), F.length(x)).alias("value"),
+        )
+
+    return F.transform(texts, pair)
 
 
 def tokenize_steps(
@@ -126,8 +157,8 @@ def _tokenize_plan(text, request_id, types, secret, out_text, out_pairs):
         hidden.append(name)
     if types:
         final = F.col(f"__vt{len(types) - 1}")
-        found = F.concat(*[F.col(f"__vq{k}") for k in range(len(types))])
-        pairs = F.array_distinct(F.filter(found, lambda p: p["token"].isNotNull()))
+        # tokens name their type, so distinct within a type is distinct
+        pairs = F.concat(*[_distinct_pairs(F.col(f"__vq{k}"), t) for k, t in enumerate(types)])
     else:
         final = F.col(text)
         pairs = F.array().cast(PAIR_TYPE)
@@ -140,15 +171,30 @@ def has_pii(pairs: Column) -> Column:
 
 
 def detokenize(text: Column, pairs: Column) -> Column:
-    """D3, in-row: replace every token of ``pairs`` by its value."""
-    return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["token"], p["value"]))
+    """D3, in-row: replace every token of ``pairs`` by its value.
+
+    The text is cut at its tokens once, and each is looked up among the row's tokens;
+    a token of no pair stays as it is.
+    """
+    known = F.struct(F.transform(pairs, lambda p: p["token"]).alias("tokens"), F.transform(pairs, lambda p: p["value"]).alias("values"))
+
+    def restored(k: Column) -> Column:
+        def put(piece: Column, token: Column) -> Column:
+            at = F.array_position(k["tokens"], token).cast("int")
+            value = F.when(at > 0, F.get(k["values"], at - 1)).otherwise(token)
+            return F.concat(piece, F.when(token.isNull(), F.lit("")).otherwise(value))
+
+        tokens = F.regexp_extract_all(text, F.lit(TOKEN_REGEX), F.lit(0))
+        return F.array_join(F.zip_with(F.split(text, TOKEN_REGEX, -1), tokens, put), "")
+
+    return F.when(F.size(pairs) > 0, _bound(known, restored)).otherwise(text)
 
 
 def vault_table(tokenized: DataFrame, request_id: str = "request_id", pairs: str = "vault_pairs"):
-    """``(request_id, token, pii_type, value)``, one row per token.
+    """``(request_id, token, pii_type, value)``, one row per token of a row.
 
-    Pairs are already distinct within a row and a request is one row, so no
-    shuffle is needed to deduplicate.
+    Pairs are distinct within a row, so no shuffle is needed.  A request id that
+    occurs in several rows has the tokens of each; ``store`` keeps one of equal ones.
     """
     # taken through transform: over a bare column the optimizer would infer a
     # filter and copy the whole tokenizing expression into it
@@ -213,7 +259,7 @@ def store(
         F.col(request_id).alias("request_id"), "tokenized_text", "vault_pairs"
     ).write.parquet(f"{path}/tokenized")
     stored = spark.read.parquet(f"{path}/tokenized")
-    vault_table(stored).write.parquet(f"{path}/vault")
+    vault_table(stored).dropDuplicates(["request_id", "token", "value"]).write.parquet(f"{path}/vault")
     return stored.select("request_id", "tokenized_text"), spark.read.parquet(f"{path}/vault")
 
 

@@ -9,6 +9,7 @@ tables hold no such text of their own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,11 @@ JSON_ROWS: list[tuple[int, str, bool, str | None, list[str]]] = [
     (-8, "not json", True, None, []),
     (-9, "not json", False, None, []),
     (-10, "x" * 50_001, False, None, []),
+    # texts that end the array they are read in, with a mark of their own
+    (-11, '1,"\ue000\ue001"] not json at all', True, "number", []),
+    (-12, f'1,"{hashlib.sha256(b"1").hexdigest()}"] not json at all', True, "number", []),
+    (-13, '1,"x"]', True, "number", []),
+    (-14, '{"k": 1}]', True, "object", ["k"]),
 ]
 
 

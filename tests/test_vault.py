@@ -113,3 +113,37 @@ def test_restore_ignores_repeated_and_foreign_vault_rows(spark):
     texts = df.select(F.col("id").alias("request_id"), F.col("tokenized_text").alias("text"))
     back = V.detokenize_join(texts, vault.unionByName(vault)).orderBy("request_id").collect()
     assert [r.text for r in back] == ["a@b.co", "c@d.org"]
+
+
+def test_thousands_of_values_in_one_text(spark):
+    """Tokenizing and restoring stay linear: the clash search runs once a row."""
+    import time
+
+    values = [f"a{i}@quay.test" for i in range(4500)]
+    text = " ".join([*values, values[0], "123-45-6789"])
+    types = ["credit_card", "ssn", "email", "phone", "ip_address"]
+    tokenize(spark, ["warm a@b.co up"], types)
+    df = V.tokenize(texts_df(spark, [text]), "text", "id", types, SECRET)
+    t0 = time.perf_counter()
+    row = df.select("tokenized_text", "vault_pairs").collect()[0]
+    t1 = time.perf_counter()
+    assert len(row.vault_pairs) == 4501 and "@" not in row.tokenized_text
+    held = spark.createDataFrame([row], df.select("tokenized_text", "vault_pairs").schema)
+    back = held.select(V.detokenize(F.col("tokenized_text"), F.col("vault_pairs")).alias("t")).collect()[0].t
+    assert back == text
+    # 35 s for 2,000 values before; generous for a busy machine
+    assert t1 - t0 < 6 and time.perf_counter() - t1 < 6
+
+
+def test_unknown_tokens_stay(spark):
+    df = V.tokenize(texts_df(spark, ["a@b.co"]), "text", "id", ["email"], SECRET)
+    odd = F.concat(F.lit("<PII_EMAIL_00000000> <PII_"), F.col("tokenized_text"), F.lit(" <PII_EMAIL_0>"))
+    assert df.select(V.detokenize(odd, F.col("vault_pairs")).alias("t")).collect()[0].t == "<PII_EMAIL_00000000> <PII_a@b.co <PII_EMAIL_0>"
+    none = df.select(V.detokenize(F.lit(None).cast("string"), F.col("vault_pairs")).alias("t")).collect()[0].t
+    assert none is None
+
+
+def test_a_repeated_request_is_stored_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a@b.co"), (1, "a@b.co or c@d.co")], "id long, text string")
+    _, vault = V.store(df, "text", "id", ["email"], SECRET, str(tmp_path / "v"))
+    assert sorted(r.value for r in vault.collect()) == ["a@b.co", "c@d.co"]
