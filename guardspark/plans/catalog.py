@@ -416,9 +416,9 @@ def _conversation_requests(spark, sf_dir):
     )
 
 
-def _verdicts_conversations(spark, sf_dir):
+def _verdicts_conversations(spark, sf_dir, restore=True):
     prompts = _conversation_requests(spark, sf_dir)
-    return VD.request_verdict(prompts, "reply_text", None, secret=VAULT_SECRET)
+    return VD.request_verdict(prompts, "reply_text", None, secret=VAULT_SECRET, restore=restore)
 
 
 def request_verdict(spark, sf_dir):
@@ -427,8 +427,8 @@ def request_verdict(spark, sf_dir):
     return v.select(*_verdict_cols(["conv_id", "user_turn"]))
 
 
-def request_verdict_join(spark, sf_dir):
-    """E4 with a response table: the replies of ``conversations`` keyed by
+def _asked_and_answered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Requests and, apart from them, their responses: the replies of ``conversations`` keyed by
     request id.  Every 5th request has no response, every 7th has two, and every
     3rd asks for a JSON object, which a plain reply breaks."""
     requests = _conversation_requests(spark, sf_dir)
@@ -441,10 +441,17 @@ def request_verdict_join(spark, sf_dir):
             "output_schema_given": n % 3 == 0,
         }
     )
-    replies = requests.where(F.col("reply_text").isNotNull() & (n % 5 != 0)).select(
-        "request_id", "conv_id", "user_turn", F.col("reply_text").alias("output_text")
+    reply = F.col("reply_text")
+    replies = requests.where(reply.isNotNull() & (n % 5 != 0)).select(
+        "request_id", "conv_id", "user_turn", F.explode(F.when(n % 7 == 0, F.array(reply, reply)).otherwise(F.array(reply))).alias("output_text")
     )
-    replies = replies.unionByName(replies.where(n % 7 == 0))
+    return prompts, replies
+
+
+def request_verdict_join(spark, sf_dir):
+    """E4 with a response table: missing, repeated and contract-breaking responses
+    (``_asked_and_answered``)."""
+    prompts, replies = _asked_and_answered(spark, sf_dir)
     v = VD.request_verdict(prompts, replies, None, secret=VAULT_SECRET)
     return v.select(*_verdict_cols(["conv_id", "user_turn"]))
 
@@ -500,7 +507,7 @@ def chain_block_then_redact(spark, sf_dir):
 
 def guard_events(spark, sf_dir):
     """F1 from the conversation verdicts."""
-    v = _verdicts_conversations(spark, sf_dir)
+    v = _verdicts_conversations(spark, sf_dir, restore=False)
     return A.guard_events(v, ["conv_id", "user_turn"])
 
 
@@ -570,8 +577,15 @@ def verdict_flat(spark, sf_dir):
 
 
 def turn_pairs(spark, sf_dir):
-    """A4."""
-    return RQ.turn_pairs(read_table(spark, sf_dir, "conversations"))
+    """A4.  Beside the conversations stand copies of some: with each row repeated under another
+    text (every 7th), without a conversation (every 13th), without turn numbers (every 17th)."""
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    other = -F.col("conv_id") - 1
+    again = F.concat(F.coalesce("text", F.lit("")), F.lit(" again"))
+    repeated = conv.where("conv_id % 7 = 0").select(other.alias("conv_id"), "turn", "role", F.explode(F.array("text", again)).alias("text"))
+    stray = conv.where("conv_id % 13 = 0").select(F.lit(None).cast("long").alias("conv_id"), "turn", "role", "text")
+    unnumbered = conv.where("conv_id % 17 = 0").withColumn("turn", F.lit(None).cast(conv.schema["turn"].dataType))
+    return RQ.turn_pairs(conv.unionByName(repeated).unionByName(stray).unionByName(unnumbered))
 
 
 def tier_of(source: str) -> F.Column:

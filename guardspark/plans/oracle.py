@@ -1064,16 +1064,29 @@ def _kept_warn(ps) -> str:
     return "(" + " OR ".join(terms) + ")"
 
 
-def q_turn_pairs():
+def q_turn_pairs(base: str = "conversations"):
     return (
         "SELECT conv_id, user_turn, prompt, CASE WHEN r = 'assistant' THEN n END AS assistant_turn, "
         "CASE WHEN r = 'assistant' THEN x END AS response FROM ("
         "SELECT conv_id, turn AS user_turn, role, text AS prompt, lead(turn) OVER w AS n, "
-        "lead(role) OVER w AS r, lead(text) OVER w AS x FROM conversations "
-        "WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) AS l WHERE role = 'user'"
+        f"lead(role) OVER w AS r, lead(text) OVER w AS x FROM {base} WHERE conv_id IS NOT NULL AND turn IS NOT NULL "
+        "WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) AS l WHERE role = 'user' "
+        f"UNION ALL SELECT conv_id, turn, text, NULL, NULL FROM {base} "
+        "WHERE role = 'user' AND (conv_id IS NULL OR turn IS NULL)"
     )
 
 
+def q_turn_pairs_beside():
+    base = (
+        "(SELECT conv_id, turn, role, text FROM conversations "
+        "UNION ALL SELECT -conv_id - 1, turn, role, text FROM conversations WHERE conv_id % 7 = 0 "
+        "UNION ALL SELECT -conv_id - 1, turn, role, coalesce(text, '') || ' again' FROM conversations WHERE conv_id % 7 = 0 "
+        "UNION ALL SELECT NULL, turn, role, text FROM conversations WHERE conv_id % 13 = 0 "
+        "UNION ALL SELECT conv_id, NULL, role, text FROM conversations WHERE conv_id % 17 = 0) AS c"
+    )
+    return q_turn_pairs(base)
+
+
 # Tier settings, restated: thresholds and actions of the three tiers with a policy row.
 TENANT_TIERS = """(VALUES ('strict', 0.7::DOUBLE, 'block', 0.6::DOUBLE, 'block', 'block'),
  ('standard', 0.8::DOUBLE, 'warn', 0.7::DOUBLE, 'block', 'warn'),
@@ -1188,7 +1201,7 @@ def q_block_rate_window():
 ORACLE_SQL: dict[str, str] = {
     "request_quarantine": q_request_quarantine(),
     "verdict_flat": q_verdict_flat(),
-    "turn_pairs": q_turn_pairs(),
+    "turn_pairs": q_turn_pairs_beside(),
     "tenant_policy_verdict": q_tenant_policy(),
     "text_profile": q_text_profile(),
     "pii_redact": q_single(

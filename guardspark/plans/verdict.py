@@ -17,11 +17,11 @@ Row flow for E4, all narrow except the response source:
   over input and output results; ``redact`` counts as pass.
 
 The response source is a column already in the row (no shuffle: e.g. the
-reply paired by A4), a DataFrame keyed by ``request_id``, or a function of the
+reply paired by A4, or a response stream joined by ``streaming.stream.with_responses``), a DataFrame keyed by ``request_id``, or a function of the
 sanitized input (in-row, no shuffle), which is how an echo model is expressed.
-With a response table only the rows that want a response take part in the join;
-the others are added behind it.  A request with more than one response cannot be
-decided: ``LLM generation failed: DuplicateResponse``.
+With a response table the screened rows are left joined to it once; rows that want no
+response have keys that match nothing and lie spread over all partitions.  A request with more than one response cannot be
+decided: ``LLM generation failed: DuplicateResponse``.  Nothing runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ from guardspark.functions import patterns as P
 from guardspark.operators import result as R
 from guardspark.operators import vault as V
 from guardspark.plans import chain
-from guardspark.session import staged
 from guardspark.sources import requests as RQ
 
 MISSING_RESPONSE_ERROR = "ResponseMissing"
@@ -96,12 +95,17 @@ def request_verdict(
     *,
     secret: str,
     response_col: str = "output_text",
+    repeated: str | None = None,
+    restore: bool = True,
 ) -> DataFrame:
     """E4 over ``prompts(request_id, input_text, process_with_llm, ...)``.
 
     ``secret`` keys the vault tokens; without it they could be guessed by trying
     values.  ``output_type``, ``output_required`` and ``output_schema_given``
-    columns of ``prompts`` are the output contract."""
+    columns of ``prompts`` are the output contract.  ``repeated`` names a boolean column
+    that marks requests with more than one response in the row.  With ``restore`` off the tokens of a response that does not come
+    from the sanitized text stay in ``output_text`` and the vault is not run: all that
+    audit events need."""
     df = chain.input_chain(_contract(prompts, "input_text"), "__screen", policy)
     rejected = F.col("__reject").isNotNull()
     df = df.withColumn(
@@ -119,7 +123,7 @@ def request_verdict(
     df = df.select("*", wants.alias("__wants"))
 
     vconf = PL.guard_conf(policy, "pii_vault")
-    if vconf.get("enabled"):
+    if vconf.get("enabled") and (restore or callable(responses)):
         df = df.select(
             "*", F.when(F.col("__wants"), F.col("input_text")).alias("__to_tokenize")
         )
@@ -137,18 +141,20 @@ def request_verdict(
 
     if isinstance(responses, str):
         # the response is already in the row (e.g. a paired conversation turn)
-        df = df.select("*", F.when(F.col("__wants"), F.col(responses)).alias("__response"), F.lit(False).alias("__twice"))
+        twice = F.lit(False) if repeated is None else F.col("__wants") & F.coalesce(F.col(repeated), F.lit(False))
+        response = F.when(F.col("__wants") & ~twice, F.col(responses))
+        df = df.select("*", response.alias("__response"), twice.alias("__twice"))
     elif isinstance(responses, DataFrame):
         resp = responses.groupBy(F.col("request_id").alias("__rid")).agg(
-            F.min(response_col).alias("__response"), (F.count(F.lit(1)) > 1).alias("__twice")
+            F.min(response_col).alias("__answer"), (F.count(F.lit(1)) > 1).alias("__more")
         )
-        if not df.isStreaming:
-            # both branches read the screened rows; they are computed once
-            df = staged(df, "screened")
-        asking = df.where("__wants").join(resp, F.col("request_id") == F.col("__rid"), "left").drop("__rid")
-        rest = df.where("NOT __wants").select("*", F.lit(None).cast("string").alias("__response"), F.lit(False).alias("__twice"))
-        df = asking.withColumn("__twice", F.coalesce("__twice", F.lit(False))).unionByName(rest)
-        df = df.withColumn("__response", F.when(~F.col("__twice"), F.col("__response")))
+        # rows that want no response spread by their own hash and match nothing
+        spread = F.when(F.col("__wants"), F.lit(0)).otherwise(F.shiftright(F.xxhash64("request_id", "input_text"), 1) * 2 + 1)
+        df = df.select("*", spread.cast("long").alias("__spread"))
+        resp = resp.withColumn("__zero", F.lit(0).cast("long"))
+        on = (F.col("request_id") == F.col("__rid")) & (F.col("__spread") == F.col("__zero"))
+        df = df.join(resp, on, "left").withColumn("__twice", F.coalesce("__more", F.lit(False)))
+        df = df.withColumn("__response", F.when(~F.col("__twice"), F.col("__answer")))
     else:
         df = df.select(
             "*",

@@ -91,49 +91,61 @@ def check_contract(df: DataFrame, text: str = "input_text") -> DataFrame:
 
 
 #: Turn numbers of a conversation that are ordered together.
-TURN_BUCKET = 64
+TURN_BUCKET = 1024
 
 
-def next_turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, next_turn, next_role): each turn with the next one
-    present in its conversation, whatever gaps the numbers have.
+def with_next_turn(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, next): each row with the row that follows it
+    in its conversation as a struct (turn, role, text), whatever gaps the numbers have.
 
-    Only these narrow columns are ordered, per bucket of turn numbers; the last
-    turn of a bucket meets the first turn of the next bucket present, from a
-    window over one row per bucket.  No conversation lands in one task.
+    Rows are ordered by turn, then role, then text.  A row without a conversation or
+    a turn number has no place: it stays, has no next row and is nobody's.  The rows shuffle once, by conversation and bucket of turn
+    numbers, so no conversation lands in one task; the last row of a bucket meets the first of the next bucket
+    present, from one row per bucket (whose text goes along only if it is an assistant's).
     """
-    t = conversations.select("conv_id", "turn", "role", F.floor(F.col("turn") / TURN_BUCKET).alias("bucket"))
-    firsts = t.groupBy("conv_id", "bucket").agg(F.min(F.struct("turn", "role")).alias("first"))
-    by_bucket = Window.partitionBy("conv_id").orderBy("bucket")
-    following = firsts.select("conv_id", "bucket", F.lead("first").over(by_bucket).alias("over"))
-    inside = Window.partitionBy("conv_id", "bucket").orderBy("turn", "role")
-    nxt = F.coalesce(F.lead(F.struct("turn", "role")).over(inside), F.col("over"))
-    return (
-        t.join(following, ["conv_id", "bucket"])
-        .withColumn("nxt", nxt)
-        .select("conv_id", "turn", "role", F.col("nxt.turn").alias("next_turn"), F.col("nxt.role").alias("next_role"))
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    bucket = F.floor(F.col("turn") / TURN_BUCKET)
+    # rows without a place get a bucket each, far from all others
+    alone = F.lit(-(1 << 62)) + F.monotonically_increasing_id()
+    rows = conversations.select("conv_id", "turn", "role", "text", F.when(placed, bucket).otherwise(alone).alias("bucket"))
+    reply = F.when(F.col("role") == "assistant", F.col("text")).alias("text")
+    firsts = (
+        conversations.where(placed)
+        .select("conv_id", bucket.alias("bucket"), F.struct("turn", "role", reply).alias("row"))
+        .groupBy("conv_id", "bucket")
+        .agg(F.min("row").alias("row"))
+    )
+    following = firsts.select(
+        F.col("conv_id").alias("__conv"),
+        F.col("bucket").alias("__bucket"),
+        F.lead("row").over(Window.partitionBy("conv_id").orderBy("bucket")).alias("__over"),
+    ).where("__over IS NOT NULL")
+    inside = Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text")
+    ordered = rows.withColumn("next", F.lead(F.struct("turn", "role", "text")).over(inside))
+    on = (F.col("conv_id") == F.col("__conv")) & (F.col("bucket") == F.col("__bucket"))
+    return ordered.join(following, on, "left").select(
+        "conv_id", "turn", "role", "text", F.coalesce("next", "__over").alias("next")
     )
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
-    """A4: every user turn with the next turn present when that one is the
-    assistant's.  The texts join back on (conv_id, turn, role); AQE splits a
-    skewed partition."""
-    pairs = next_turns(conversations).where("role = 'user'").select(
-        "conv_id",
-        F.col("turn").alias("user_turn"),
-        F.when(F.col("next_role") == "assistant", F.col("next_turn")).alias("assistant_turn"),
-    )
-    prompts_ = conversations.where("role = 'user'").select(
-        "conv_id", F.col("turn").alias("user_turn"), F.col("text").alias("prompt")
-    )
-    replies = conversations.where("role = 'assistant'").select(
-        "conv_id", F.col("turn").alias("assistant_turn"), F.col("text").alias("response")
-    )
+    """A4: one row per user row, with the next row when that one is the assistant's.
+
+    Of assistant rows that repeat a turn number the first by text is the reply; of
+    user rows that repeat one the last by text gets it.  A user row without conversation or turn
+    number has no reply.
+    """
+    answered = F.col("next.role") == "assistant"
     return (
-        prompts_.join(pairs, ["conv_id", "user_turn"])
-        .join(replies, ["conv_id", "assistant_turn"], "left")
-        .select("conv_id", "user_turn", "prompt", "assistant_turn", "response")
+        with_next_turn(conversations)
+        .where("role = 'user'")
+        .select(
+            "conv_id",
+            F.col("turn").alias("user_turn"),
+            F.col("text").alias("prompt"),
+            F.when(answered, F.col("next.turn")).alias("assistant_turn"),
+            F.when(answered, F.col("next.text")).alias("response"),
+        )
     )
 
 

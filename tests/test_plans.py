@@ -36,13 +36,40 @@ def test_rollups_aggregate_before_shuffle(spark):
     assert p.index("Exchange") < p.rindex("partial_count")
 
 
-def test_turn_pairs_order_narrow_rows_in_buckets(spark):
+def test_turn_pairs_shuffle_the_texts_once(spark):
     conv = spark.read.parquet(f"{SF_ORACLE}/conversations.parquet")
-    p = plan_of(RQ.next_turns(conv))
-    assert "text" not in p  # the texts do not take part in the ordering
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan_of(RQ.turn_pairs(conv))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # all rows by bucket; per bucket its first row, and those by conversation, then by bucket again
+    assert p.count("Exchange hashpartitioning") == 4
     assert "windowspecdefinition(conv_id" in p and "bucket" in p
 
 
+def test_events_leave_the_vault_out(spark):
+    from guardspark.plans import catalog as C
+
+    p = plan_of(C.guard_rollup(spark, SF_ORACLE))
+    assert "sha2" not in p
+    assert "sha2" in plan_of(C.request_verdict(spark, SF_ORACLE))
+
+
+def test_a_verdict_is_planned_without_a_job(spark):
+    from guardspark.plans import catalog as C
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning only")
+    try:
+        C.request_verdict_join(spark, SF_ORACLE)
+        assert not tracker.getJobIdsForGroup("planning") or all(
+            len(tracker.getJobInfo(j).stageIds) <= 1 for j in tracker.getJobIdsForGroup("planning")
+        )
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_read_table_deals_rows_only_when_told(spark):
     from guardspark.session import read_table
 
