@@ -359,15 +359,15 @@ def deduplicated(docs: DataFrame, index: LineIndex | None = None, min_docs: int
     if index is None:
         index = _updated(LineIndex.empty(docs.sparkSession, min_docs, min_chars), pairs, 1)
     (lines,) = free_names(held, "__lines")
-    joined = held.join(common_lines(index, pairs).select(F.col("row").alias(row), F.col("lines").alias(lines)), row, "left").select(
-        *docs.columns, lines
-    )
+    # hashed: the line numbers of a partition's documents are few beside their texts, which then need no sort
+    common = common_lines(index, pairs).select(F.col("row").alias(row), F.col("lines").alias(lines)).hint("shuffle_hash")
+    joined = held.join(common, row, "left").select(*docs.columns, lines)
     n_lines, n_dropped = free_names(docs, "n_lines", "n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
     return joined.mapInArrow(_kept_batches(docs.columns.index("text"), len(docs.columns), n_lines, n_dropped), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns of ``deduplicated``'s rows."""
+    """The contract's columns of ``deduplicated``'s rows, staged: the texts pass in small batches."""
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return docs.select("doc_id", "n_lines", "n_dropped", sha.alias("kept_sha256"))
+    return staged(docs.select("doc_id", "n_lines", "n_dropped", sha.alias("kept_sha256")), "line-digest")
