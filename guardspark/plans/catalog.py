@@ -22,6 +22,7 @@ from guardspark.functions import patterns as P
 from guardspark.functions import text as TX
 from guardspark.operators import audit as A
 from guardspark.operators import guards as G
+from guardspark.operators import lexicon_table as LX
 from guardspark.operators import result as R
 from guardspark.operators import vault as V
 from guardspark.plans import chain, custom
@@ -29,6 +30,9 @@ from guardspark.plans import verdict as VD
 from guardspark.session import checkpoint_root, read_table
 from guardspark.sources import requests as RQ
 from guardspark.sources import tenants as TN
+from guardspark.streaming import late as LT
+from guardspark.streaming import responses as RS
+from guardspark.streaming import sinks as SK
 from guardspark.streaming import stream as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +264,21 @@ def lexicon_hits(spark, sf_dir):
     return df.select(F.col("request_id").alias("doc_id"), F.inline(hits))
 
 
+def lexicon_table_hits(spark, sf_dir):
+    """B10 with the lexicons as a table (anchor index): the rows of ``lexicon_hits``."""
+    lexicon = LX.from_lists(spark, toxic=P.TOXIC_KEYWORDS, topic=P.BLOCKED_TOPIC_KEYWORDS, injection={"injection": P.INJECTION_KEYWORDS})
+    df = _doc_prompts(spark, sf_dir)
+    return LX.lexicon_hits(df, "request_id", "input_text", lexicon).withColumnRenamed("request_id", "doc_id")
+
+
+def toxic_detect_table(spark, sf_dir):
+    """C3 with its phrases as a table."""
+    lexicon = LX.from_lists(spark, toxic=P.TOXIC_KEYWORDS)
+    df = _doc_prompts(spark, sf_dir)
+    df = LX.guard_result(df, "request_id", "input_text", G.ToxicContent, PL.guard_conf(None, "toxic_content"), lexicon)
+    return df.select(F.col("request_id").alias("doc_id"), *R.flatten(F.col("r")))
+
+
 def marker_counts(spark, sf_dir):
     """B11."""
     df = _doc_prompts(spark, sf_dir)
@@ -626,6 +645,59 @@ def stream_verdict(spark, sf_dir):
     )
 
 
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+#: A moment after all event times: one row of it in either stream lets the watermark pass the rest.
+LAST_MOMENT = "2200-01-01 00:00:00"
+
+
+def request_verdict_streams(spark, sf_dir):
+    """E4 on two streams: the requests and responses of ``request_verdict_join`` with event times, each
+    written to a folder and read as a stream.  Every 13th response comes after the time
+    a request waits, so that request fails as unanswered."""
+    prompts, replies = _asked_and_answered(spark, sf_dir)
+    n = F.col("conv_id") + F.col("user_turn")
+    asked_at = F.timestamp_seconds(F.lit(1_700_000_000) + n * 60)
+    answered_at = asked_at + F.when(n % 13 == 0, F.expr("INTERVAL 11 MINUTES")).otherwise(F.expr("INTERVAL 30 SECONDS"))
+    prompts = prompts.withColumn("ts", asked_at)
+    replies = replies.withColumn("ts", answered_at).select("request_id", "ts", "output_text")
+    run = _scratch(spark, "verdict-streams")
+    streams = {}
+    for name, rows in (("requests", prompts), ("responses", replies)):
+        last = spark.range(1).select(F.lit("last").alias("request_id"), F.lit(LAST_MOMENT).cast("timestamp").alias("ts"))
+        rows.unionByName(last, allowMissingColumns=True).write.parquet(f"{run}/{name}")
+        streams[name] = spark.readStream.schema(rows.schema).parquet(f"{run}/{name}")
+    v = RS.verdicts(streams["requests"], streams["responses"], secret=VAULT_SECRET)
+    return spark.read.parquet(ST.run_available_now(v.select(*_verdict_cols(["conv_id", "user_turn"])), "verdict_streams"))
+
+
+def _vault_sink(spark, sf_dir) -> SK.VaultSink:
+    """The documents' texts tokenized as a stream into a vault sink."""
+    schema = read_table(spark, sf_dir, "documents").schema
+    types = tuple(PL.guard_conf(None, "pii_vault")["detect_types"])
+    sink = SK.VaultSink(_scratch(spark, "vault-stream"), types, VAULT_SECRET, request_id="doc_id")
+    sink.run(ST.read_table_stream(spark, sf_dir, "documents", schema).select("doc_id", "text"))
+    return sink
+
+
+def vault_stream(spark, sf_dir):
+    """D1/D2 on a stream: the vault that the sink has written."""
+    rows = _vault_sink(spark, sf_dir).vault(spark)
+    return rows.select(F.col("request_id").cast("long").alias("doc_id"), "token", "pii_type", "value")
+
+
+def vault_stream_roundtrip(spark, sf_dir):
+    """Texts restored from the two tables that the stream sink has written."""
+    sink = _vault_sink(spark, sf_dir)
+    texts = sink.tokenized(spark).withColumnRenamed("tokenized_text", "text")
+    restored = V.detokenize_join(texts, sink.vault(spark))
+    return restored.select(F.col("request_id").cast("long").alias("doc_id"), F.col("text").alias("restored_text"))
+
+
 def _event_prompts(ev: DataFrame) -> DataFrame:
     text = RQ.with_phrase(F.concat_ws(" ", "event_type", "props"), F.col("event_id"))
     return ev.select(F.col("event_id").alias("request_id"), "ts", text.alias("input_text"))
@@ -653,6 +725,30 @@ def block_rate_stream(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def block_rate_late(spark, sf_dir):
+    """H2 with late rows accounted for.  The events come in four batches, the last quarter of their
+    time first, so that most rows of the others are behind the watermark: per
+    window the watermark has passed, all runs and blocks, and how many of the runs came late."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "props")
+    us = F.unix_micros("ts")
+    bounds = ev.agg(F.min(us).alias("first"), F.max(us).alias("last")).first()
+    quarter = F.floor((us - bounds["first"]) * 4 / (bounds["last"] - bounds["first"] + 1)) if bounds["first"] is not None else F.lit(3)
+    run, files = _scratch(spark, "late-events"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k in (3, 2, 1, 0):
+        ev.where(quarter == k).repartition(files).write.mode("append").parquet(run)
+    per_batch = max(1, -(-len(spark.read.schema(ev.schema).parquet(run).inputFiles()) // 4))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", per_batch).parquet(run)
+    LT.use_rocksdb(spark)
+    rates = LT.block_rates_with_late(_guard_event_rows(chain.input_chain(_event_prompts(stream))))
+    rows = spark.read.parquet(ST.run_available_now(rates, "block_rate_late"))
+    start, end = (F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end"))
+    return rows.groupBy(start, end, "guard_name").agg(
+        F.sum("n_runs").alias("n_runs"),
+        F.sum("n_blocks").alias("n_blocks"),
+        F.sum(F.when(F.col("status") == "late", F.col("n_runs")).otherwise(0)).alias("n_late"),
+    )
+
+
 def block_rate_window(spark, sf_dir):
     """H2, batch twin: runs and blocks per 5-minute window and guard."""
     df = chain.input_chain(_event_screen(spark, sf_dir))
@@ -672,11 +768,13 @@ QUERIES: dict[str, Query] = {
     "pii_matches": pii_matches,
     "pii_type_counts": pii_type_counts,
     "lexicon_hits": lexicon_hits,
+    "lexicon_table_hits": lexicon_table_hits,
     "marker_counts": marker_counts,
     "json_contract": json_contract,
     "pii_detect": pii_detect,
     "injection_detect": injection_detect,
     "toxic_detect": toxic_detect,
+    "toxic_detect_table": toxic_detect_table,
     "topic_detect": topic_detect,
     "hallucination_detect": hallucination_detect,
     "content_filter": content_filter,
@@ -686,11 +784,14 @@ QUERIES: dict[str, Query] = {
     "vault_table": vault_table,
     "vault_roundtrip": vault_roundtrip,
     "vault_type_counts": vault_type_counts,
+    "vault_stream": vault_stream,
+    "vault_stream_roundtrip": vault_stream_roundtrip,
     "input_guard_chain": input_guard_chain,
     "output_guard_chain": output_guard_chain,
     "fail_closed": fail_closed,
     "request_verdict": request_verdict,
     "request_verdict_join": request_verdict_join,
+    "request_verdict_streams": request_verdict_streams,
     "request_verdict_echo": request_verdict_echo,
     "input_only_verdict": input_only_verdict,
     "custom_guard": custom_guard,
@@ -705,4 +806,5 @@ QUERIES: dict[str, Query] = {
     "stream_verdict": stream_verdict,
     "block_rate_window": block_rate_window,
     "block_rate_stream": block_rate_stream,
+    "block_rate_late": block_rate_late,
 }

@@ -877,9 +877,9 @@ def q_request_verdict():
     return full_verdict_sql(conversation_prompts(), "conv_id, user_turn", "resp", C.VAULT_SECRET)
 
 
-def q_request_verdict_join():
+def q_request_verdict_join(in_time: str = "true"):
     n = "(conv_id + user_turn)"
-    replies = f"resp IS NOT NULL AND {n} % 5 <> 0"
+    replies = f"resp IS NOT NULL AND {n} % 5 <> 0 AND {in_time}"
     prompts = (
         f"SELECT conv_id, user_turn, rid, t, {n} % 11 <> 0 AS asked, "
         f"CASE WHEN {replies} AND {n} % 7 <> 0 THEN resp END AS resp, ({replies} AND {n} % 7 = 0) AS twice, "
@@ -889,6 +889,10 @@ def q_request_verdict_join():
     return full_verdict_sql(prompts, "conv_id, user_turn", "resp", C.VAULT_SECRET, True, "(wants AND twice)")
 
 
+def q_request_verdict_streams():
+    return q_request_verdict_join("(conv_id + user_turn) % 13 <> 0")
+
+
 def q_request_verdict_echo():
     prompts = f"SELECT doc_id, doc_id AS rid, {with_phrase('text', 'doc_id')} AS t, true AS asked FROM documents"
     return full_verdict_sql(prompts, "doc_id", "'You said: ' || san", C.VAULT_SECRET)
@@ -1177,7 +1181,7 @@ def _swap(fields, threshold, threshold_col, action, action_col=None):
     return out
 
 
-def q_block_rate_window():
+def _event_guard_rows() -> str:
     base = (
         "SELECT event_id AS doc_id, ts, "
         + with_phrase("concat_ws(' ', event_type, props)", "event_id")
@@ -1190,11 +1194,27 @@ def q_block_rate_window():
         conds = [f"{q}action <> 'block'" for q in ps[:i]]
         where = f" WHERE {' AND '.join(conds)}" if conds else ""
         parts.append(f"SELECT ts, {p}guard_name AS guard_name, {p}action AS action FROM ({inner}) AS q{where}")
+    return " UNION ALL ".join(parts)
+
+
+_WINDOWED = (
+    "SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, "
+    "time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end, guard_name, "
+    "count(*) AS n_runs, sum(CASE WHEN action = 'block' THEN 1 ELSE 0 END)::BIGINT AS n_blocks"
+)
+
+
+def q_block_rate_window():
+    return f"{_WINDOWED} FROM ({_event_guard_rows()}) AS e GROUP BY 1, 2, 3"
+
+
+def q_block_rate_late():
+    """The last quarter of the time comes first; all other rows of windows that have closed are late."""
+    quarter = "((epoch_us(ts) - epoch_us(t0)) * 4 // (epoch_us(t1) - epoch_us(t0) + 1))"
     return (
-        "SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, "
-        "time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end, guard_name, "
-        "count(*) AS n_runs, sum(CASE WHEN action = 'block' THEN 1 ELSE 0 END)::BIGINT AS n_blocks "
-        f"FROM ({' UNION ALL '.join(parts)}) AS e GROUP BY 1, 2, 3"
+        f"SELECT * FROM ({_WINDOWED}, sum(CASE WHEN {quarter} < 3 THEN 1 ELSE 0 END)::BIGINT AS n_late "
+        f"FROM ({_event_guard_rows()}) AS e, (SELECT min(ts) AS t0, max(ts) AS t1 FROM events) AS b GROUP BY 1, 2, 3) AS w "
+        "WHERE window_end <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
     )
 
 
@@ -1258,4 +1278,11 @@ ORACLE_SQL: dict[str, str] = {
     "stream_verdict": q_request_verdict_echo(),
     "block_rate_window": q_block_rate_window(),
     "block_rate_stream": q_block_rate_stream(),
+    "block_rate_late": q_block_rate_late(),
+    "lexicon_table_hits": q_lexicon_hits(),
+    "request_verdict_streams": q_request_verdict_streams(),
+    "vault_stream": q_vault_table(),
+    "vault_stream_roundtrip": "SELECT doc_id, text AS restored_text FROM documents",
 }
+
+ORACLE_SQL["toxic_detect_table"] = ORACLE_SQL["toxic_detect"]
