@@ -1,24 +1,27 @@
 """Operator 9 (native): mixing sources to target weights.
 
-Method: a low-discrepancy schedule.  Slot j of the mix lies at the point
-``frac((j + 1/2) * golden ratio)`` of the unit interval; the cumulative target
-weights of the sources cut that interval, so each slot falls to one source.
-The slots of a source are ranked, and rank r takes the r-th block of equal
-size from the source's shuffled token line, which repeats up to ``max_repeat``
-times.  The schedule is a pure function of the data and the seed: reruns agree.
+Method: a low-discrepancy schedule.  Each source takes its target, in words, from its shuffled
+token line, which repeats up to ``max_repeat`` times; the line is cut into blocks of equal size, the
+last of each source shorter.  The blocks of all sources, side by side, cut the unit interval by their
+cumulative weights, and the van der Corput point of block number r (its bits reversed) says
+when it comes: the slots of a source are spread evenly over the mix.  The slots of each source are ranked by
+time, and rank k takes the k-th block of the line.  The schedule is a pure function of the data
+and the seed: reruns agree.
+
+Every source gets its target to the word, whatever its size beside the others: a block has
+ceil(total / ``SLOTS``) words, and a source of less than a block has one slot with its words.
 
 Scale: the word counts are taken once and staged as narrow rows; every later
 step moves only (ids, sizes).  A document's place in its source's shuffled
 line is a two-level prefix sum (per hash bucket, then within the bucket), so a
-source that holds a third of all rows is spread over ``BUCKETS`` groups.  The
-number of slots is a parameter (``SLOTS``), the same for any size of input: the
-block grows with the data, and a source whose target is below a block or so may
-get no slot (``mixed_documents`` follows the targets without blocks).  Slots meet sources by an equi-join on cells of the
-unit interval, never by a cross join.
+source that holds a third of all rows is spread over ``BUCKETS`` groups.  Sources are numbered, levelled and laid side by side by
+two-level prefix sums too, so millions of them are no single task's work.  There are at most ``SLOTS`` slots and one a source.
 
 Defined results: a null text has size 0; null source is a source of its own
 and comes last; a document of size 0 is taken 0 times; repeated rows are
-separate documents; a null doc_id is kept and shuffled as the text ''.
+separate documents; a null doc_id is kept and shuffled as the text ''; very long texts are cut by blocks like any
+other; equal hashes are ordered by id, size and row; other columns are ignored (``mixed_documents`` keeps all); an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -28,17 +31,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardspark.llm.common import free_names, n_words_col, staged
+from guardspark.llm.common import free_names, n_words_col, running, staged
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
-#: Slots in the schedule, about; a block has ceil(total / SLOTS) words.
+#: Whole blocks in the mix, about; a block has ceil(total / SLOTS) words.
 SLOTS = 1 << 17
 #: Hash buckets of each source's shuffled line (first three hex digits).
 BUCKET_DIGITS = 3
-#: Cells of the unit interval used to join slots to sources.
-CELLS = 1024
-GOLDEN = 0.6180339887498949
 
 
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -66,32 +66,22 @@ def source_targets(
     above.  That fixed point is a water level: with sources ordered by
     cap / weight, the level before each source is (total - caps before it) /
     (weights from it on), and the capped ones are those the level reaches.
-    The windows run over one row per source.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    named = running(per, [F.col("source").asc_nulls_last()], [], "mix-sources").withColumnRenamed("place", "rn")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rn") % len(weights) + 1).cast("int"))
-    per = (
-        per.withColumn("rn", F.row_number().over(by_name) - 1)
-        .withColumn("weight", w)
+    capped = (
+        named.withColumn("weight", w)
         .withColumn("cap", F.col("source_size") * F.lit(max_repeat))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
     )
-    order = Window.orderBy("ratio", "rn")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn(
-        "level",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        / F.sum("weight").over(rest),
-    )
-    free_level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "rn", "level"))).over(everything)
-    capped = F.col("ratio") <= F.col("level")
-    target = F.when(capped, F.col("cap").cast("double")).otherwise(
-        free_level.getField("level") * F.col("weight")
-    )
-    return per.select("source", "rn", "source_size", "weight", target.alias("target"))
+    ordered = running(capped, [F.col("ratio"), F.col("rn")], ["cap", "weight"], "mix-levels")
+    sums = ordered.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(sums["total"]) - F.col("before_cap")) / (F.lit(sums["weight"]) - F.col("before_weight"))
+    ordered = ordered.withColumn("level", level)
+    free = ordered.where("ratio > level").agg(F.min(F.struct("ratio", "rn", "level")).alias("free")).select("free.level").first()
+    target = F.when(F.col("ratio") <= F.col("level"), F.col("cap").cast("double")).otherwise(F.lit(free["level"]) * F.col("weight"))
+    return ordered.select("source", "rn", "source_size", "weight", target.alias("target"))
 
 
 def shuffled_line(sizes: DataFrame) -> DataFrame:
@@ -116,25 +106,43 @@ def shuffled_line(sizes: DataFrame) -> DataFrame:
     ).select("uid", "doc_id", "source", "size", (F.col("offset") + F.col("inner")).alias("start"))
 
 
-def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
-    """Rows (slot, rn, rank): the source of every slot of the mix."""
-    spark = targets.sparkSession
-    n = -(-total // block) if total else 0
-    before = Window.orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
-        targets.where("target > 0")
-        .withColumn("lo", F.coalesce(F.sum("target").over(before), F.lit(0.0)) / F.lit(float(total or 1)))
-        .withColumn("hi", F.col("lo") + F.col("target") / F.lit(float(total or 1)))
-        # the last interval ends at 1 whatever the rounding of the sums
-        .withColumn("hi", F.when(F.col("rn") == F.max("rn").over(Window.orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(2.0)).otherwise(F.col("hi")))
-        .withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.least(F.col("hi"), F.lit(1.0)) * CELLS))))
-        .select("rn", "lo", "hi", "cell")
-    )
-    u = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
-    slots = spark.range(n).select(F.col("id").alias("slot"), (u - F.floor(u)).alias("u"))
-    placed = slots.withColumn("cell", F.floor(F.col("u") * CELLS)).join(cuts, "cell").where("u >= lo AND u < hi")
+def _reversed_bits(r: Column, bits: int) -> Column:
+    """The van der Corput point of ``r`` in base 2, times 2 ** bits."""
+    return F.conv(F.reverse(F.lpad(F.bin(r), bits, "0")), 2, 10).cast("long")
+
+
+def schedule(targets: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Rows (slot, rn, rank, line): the slots of the mix in order of time, each with its source, the
+    rank among that source's slots and the words the source takes in all; and the
+    number that all slots stay below."""
+    line = F.floor(F.col("target") + 0.5).cast("long")
+    per = targets.where(line > 0).select("rn", line.alias("line"), F.ceil(line / F.lit(block)).cast("long").alias("slots"))
+    laid = running(per, [F.col("rn")], ["slots"], "mix-schedule")
+    n = laid.agg(F.sum("slots")).first()[0] or 1
+    bits = max(1, (n - 1).bit_length())
+    cells = laid.withColumn("r", F.explode(F.sequence(F.col("before_slots"), F.col("before_slots") + F.col("slots") - 1)))
+    timed = cells.select(_reversed_bits(F.col("r"), bits).alias("slot"), "rn", "line")
+    # at most SLOTS slots and one of one source
     rank = F.row_number().over(Window.partitionBy("rn").orderBy("slot")) - 1
-    return placed.select("slot", "rn", rank.cast("long").alias("rank"))
+    return timed.select("slot", "rn", rank.cast("long").alias("rank"), "line"), 1 << bits
+
+
+def _placed(
+    sizes: DataFrame, targets: DataFrame, max_repeat: int, slots: int
+) -> tuple[DataFrame, DataFrame, int, int]:
+    """Each document on its source's line as often as the line repeats (rows rn, uid, size, at, line);
+    the schedule; the block; the number above all slots."""
+    total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    block = max(1, -(-total // slots))
+    plan, above = schedule(targets, block)
+    line = shuffled_line(sizes.where("size > 0")).join(
+        targets.select(F.col("source").alias("t_source"), "rn", "source_size", F.floor(F.col("target") + 0.5).cast("long").alias("line")),
+        F.col("source").eqNullSafe(F.col("t_source")),
+    )
+    at = line.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1)))).withColumn(
+        "at", F.col("epoch") * F.col("source_size") + F.col("start")
+    )
+    return at.where("at < line").select("rn", "uid", "doc_id", "size", "at", "line"), staged(plan, "mix-slots"), block, above
 
 
 def mix(
@@ -151,24 +159,15 @@ def mix(
     """
     sizes = sized(docs, seed)
     targets = staged(source_targets(sizes, weights, max_repeat), "mix-targets")
-    total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = max(1, -(-total // slots))
-    line = shuffled_line(sizes.where("size > 0")).join(
-        targets.select(F.col("source").alias("t_source"), "rn", "source_size"),
-        F.col("source").eqNullSafe(F.col("t_source")),
-    )
-    # the line repeats max_repeat times; a document meets the blocks it overlaps
-    at = line.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1)))).withColumn(
-        "at", F.col("epoch") * F.col("source_size") + F.col("start")
-    )
-    pieces = at.withColumn(
-        "rank",
-        F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))),
+    at, plan, block, _ = _placed(sizes, targets, max_repeat, slots)
+    end = F.least(F.col("at") + F.col("size"), F.col("line"))
+    pieces = at.withColumn("end", end).withColumn(
+        "rank", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block)))
     )
     lo = F.greatest(F.col("at"), F.col("rank") * F.lit(block))
-    hi = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * F.lit(block))
+    hi = F.least(F.col("end"), (F.col("rank") + 1) * F.lit(block))
     pieces = pieces.select("rn", "rank", "uid", (lo - F.col("at")).alias("first"), (hi - lo).alias("words"))
-    return sizes, targets, pieces.join(schedule(targets, total, block), ["rn", "rank"])
+    return sizes, targets, pieces.join(plan.drop("line"), ["rn", "rank"])
 
 
 def taken_words(
@@ -198,28 +197,20 @@ def taken_words(
 def mixed_documents(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = "mix"
 ) -> DataFrame:
-    """The documents the mix takes, each as often as its source's target reaches it.
+    """The documents the mix takes, in the order of its slots, each as often as
+    the mix reaches it.
 
-    A source's shuffled line, repeated up to ``max_repeat`` times, is followed
-    for exactly ``target`` words, without blocks: a source of any size gets its
-    target.  The one document per source at which the line ends comes out
-    whole, so a source has its target and less than that document's size more.
+    Slots, ranks and blocks are those of ``mix``.  A document comes out whole at the slot that takes its first word; the one document per source at
+    which the line ends comes out whole too, so a source has its target and less than that document's size more.
     Row ids are fixed by staging the documents.
     """
-    row, n, copy = free_names(docs, "__row", "__n", "__copy")
+    row, slot, at = free_names(docs, "__row", "__slot", "__at")
     held = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
     sizes = sized(held.select(F.col(row).alias("doc_id"), "source", "text"), seed)
     targets = staged(source_targets(sizes, weights, max_repeat), "mix-targets")
-    line = shuffled_line(sizes.where("size > 0")).join(
-        targets.select(F.col("source").alias("t_source"), "source_size", "target"),
-        F.col("source").eqNullSafe(F.col("t_source")),
-    )
-    # the times the document's first word lies before the line's end; sums of doubles are off by far less than a word
-    end = F.round("target", 3)
-    reached = [(F.col("start") + F.lit(k) * F.col("source_size") < end).cast("int") for k in range(max_repeat)]
-    counts = line.select(F.col("doc_id").alias(row), sum(reached[1:], reached[0]).alias(n))
-    return (
-        held.join(counts.where(F.col(n) > 0), row)
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
-        .select(*docs.columns)
-    )
+    places, plan, block, above = _placed(sizes, targets, max_repeat, SLOTS)
+    places = places.withColumn("rank", F.floor(F.col("at") / block)).join(plan.drop("line"), ["rn", "rank"])
+    copies = held.join(places.select(F.col("doc_id").alias(row), F.col("slot").alias(slot), F.col("at").alias(at)), row)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = (F.col(slot) * F.lit(parts) / F.lit(above)).cast("int")
+    return copies.repartitionById(parts, stretch).sortWithinPartitions(slot, at).select(*docs.columns)

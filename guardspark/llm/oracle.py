@@ -146,15 +146,7 @@ WITH d AS (
 ), t AS (
   SELECT *, CASE WHEN cap / weight <= level THEN cap::DOUBLE ELSE
     (SELECT level FROM l WHERE cap / weight > level ORDER BY cap / weight, rn LIMIT 1) * weight END AS target FROM l
-), total AS (SELECT sum(source_size)::BIGINT AS words, greatest(1, ceil(sum(source_size) / 131072.0))::BIGINT AS block FROM t
-), cuts AS (
-  SELECT t.source, t.source_size, t.target, coalesce(sum(target) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / words AS lo,
-    CASE WHEN rn = max(rn) FILTER (target > 0) OVER () THEN 2 ELSE sum(target) OVER (ORDER BY rn) / words END AS hi, block FROM t, total
-), slots AS (
-  SELECT (j + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((j + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS u
-  FROM (SELECT unnest(range(0, ceil(words / block::DOUBLE)::BIGINT)) AS j FROM total)
-), n AS (
-  SELECT source, source_size, target, block * (SELECT count(*) FROM slots WHERE target > 0 AND u >= lo AND u < hi) AS line FROM cuts
+), n AS (SELECT source, source_size, target, floor(target + 0.5)::BIGINT AS line FROM t
 ), placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
 )
