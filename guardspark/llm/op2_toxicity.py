@@ -25,13 +25,12 @@ Labels are read only where ``learns`` (in the query: crc32(doc_id) mod 5 is not
 0).  Score inputs are the text alone.
 
 Scale: the model is fitted on at most ``MAX_LABELLED`` labelled rows of either
-class, chosen by a hash of the id: a bounded sample; its tables hold at most
-``MAX_ENTRIES`` tokens and as many stems, the strongest, so what goes to the executors has a
-proven bound.  Scoring is one pass without a shuffle over all whole texts.
+class, chosen by a hash of the id: a bounded sample, whose words bound the tables that go to the
+executors; every token and stem that passes the tests is kept.  Scoring is one pass without a shuffle over all whole texts.
 
 Defined results: null and empty texts have no segment and get the curve's
-value at 0; repeated rows are scored each; without any labelled row of one of the
-classes every score is 0.
+value at 0; very long texts are scanned whole, in linear time; repeated rows are scored each, equal scores are all kept; without any labelled row of one of the
+classes every score is 0; other columns pass through ``accepted`` and are ignored elsewhere; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,7 +62,8 @@ DRIFT = 0.5
 MAX_SCORE = 12.0
 ALPHA = 0.005
 MAX_LABELLED = 20_000
-MAX_ENTRIES = 20_000
+#: Parts that the words of one stem are spread over.
+STEM_PARTS = 8
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -117,10 +117,13 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     """All maximal scoring segments of a sequence in which position ``at``
     scores ``s`` for each hit (at, s) and every other position ``-drift``.
 
-    Returns (first hit, last hit, score).  Ruzzo and Tompa's stack, with the
-    run of misses before each hit taken as one step.
+    Returns (first hit, last hit, score).  Ruzzo and Tompa's candidates, with the
+    run of misses before each hit taken as one step.  Each candidate keeps the place of
+    the nearest one before it that starts lower, and the search for a lower start goes along these links,
+    so none is passed twice; where no lower start is left, all candidates are final.
     """
-    stack: list[list] = []  # [first, last, left sum, right sum]
+    final: list[list] = []
+    stack: list[list] = []  # [first, last, left sum, right sum, place of the nearest lower start]
     total, last_at = 0.0, -1
     for i, (at, s) in enumerate(hits):
         total -= drift * (at - last_at - 1)
@@ -128,18 +131,21 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
         left, total = total, total + s
         if s <= 0:
             continue
-        new = [i, i, left, total]
-        while stack:
-            # the nearest segment that starts lower than the new one
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
+        first, j = i, len(stack) - 1
+        while True:
+            while j >= 0 and stack[j][2] >= left:
+                j = stack[j][4]
+            if j < 0:
+                final += stack
+                stack = []
                 break
-            new = [stack[j][0], i, stack[j][2], total]
+            if stack[j][3] >= total:
+                break
+            first, left, lower = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-        stack.append(new)
-    return [(a, b, r - left) for a, b, left, r in stack]
+            j = lower
+        stack.append([first, i, left, total, j])
+    return [(a, b, right - left) for a, b, left, right, _ in final + stack]
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +201,12 @@ def _fit_tables(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
     odds = F.log(yt) - F.log(yc)
     stems = stems.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / yt + 1 / yc))
     # a word's prior: the other forms of its stem, with the strength of a few documents
-    words = words.where("toxic > 0").join(stems.select("stem", "st", "sc"), "stem", "left")
+    toxic = words.where("toxic > 0")
+    part = F.pmod(F.xxhash64("word"), F.lit(STEM_PARTS)).cast("int")
+    spread = stems.select("stem", "st", "sc", F.explode(F.array(*[F.lit(i) for i in range(STEM_PARTS)])).alias("part"))
+    stemmed = toxic.where("stem IS NOT NULL").withColumn("part", part).join(spread, ["stem", "part"]).drop("part")
+    # short words have no stem and meet nothing
+    words = stemmed.unionByName(toxic.where("stem IS NULL"), allowMissingColumns=True)
     own = F.col("st").isNotNull()
     rest_t = F.when(own, F.greatest(F.col("st") - F.col("lean"), F.lit(0.0))).otherwise(0.0) + flat_t
     rest_c = F.when(own, F.greatest(F.col("sc") - 1 + F.col("lean"), F.lit(0.0))).otherwise(0.0) + flat_c
@@ -204,11 +215,12 @@ def _fit_tables(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
     odds = F.log(yt / (F.lit(nt + 1) - F.col("toxic"))) - F.log(yc / (F.lit(nc + 1) - F.col("clean")))
     words = words.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / yt + 1 / yc))
 
-    def strongest(df: DataFrame, key: str, z_min: float) -> dict[str, float]:
-        top = df.where((F.col("z") >= z_min) & (F.col("odds") >= MIN_ODDS)).orderBy(F.col("z").desc(), key).limit(MAX_ENTRIES)
-        return {r[0]: min(float(r[1]), MAX_SCORE) for r in top.select(key, "odds").collect()}
+    def scoring(df: DataFrame, key: str, z_min: float) -> dict[str, float]:
+        # words of a bounded sample
+        clear = df.where((F.col("z") >= z_min) & (F.col("odds") >= MIN_ODDS))
+        return {r[0]: min(float(r[1]), MAX_SCORE) for r in clear.select(key, "odds").collect()}
 
-    return strongest(words, "word", Z_MIN), strongest(stems, "stem", STEM_Z_MIN)
+    return scoring(words, "word", Z_MIN), scoring(stems, "stem", STEM_Z_MIN)
 
 
 def _sample_scores(model: Model):

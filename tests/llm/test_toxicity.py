@@ -123,3 +123,25 @@ def test_odd_labels_and_empty_tables(spark):
         model = tx.fit(docs_df(spark, rows), marks)
         assert {r.score for r in tx.scored(docs_df(spark, rows), model).collect()} == {model.score(0.0)}
     assert tx.scored(docs_df(spark, []), tx.Model()).count() == 0
+
+
+@pytest.mark.parametrize("n", [150_000])
+def test_the_scan_is_linear(n):
+    """Sparse hits whose sums fall, rising runs, and long chains of merges: a scan that walked
+    the whole stack took 11 s for 16,000 hits of the first kind."""
+    import time
+
+    t0 = time.perf_counter()
+    assert len(tx.segments([(10 * i, 2.5) for i in range(n)], 0.5)) == n
+    assert len(tx.segments([(2 * i, 0.6) for i in range(n)], 0.5)) == 1
+    r = random.Random(1)
+    at, hits = 0, []
+    for _ in range(n):
+        at += r.randint(1, 12)
+        hits.append((at, r.choice([0.4, 2.0, 5.0])))
+    assert 1 <= len(tx.segments(hits, 0.5)) < n
+    assert time.perf_counter() - t0 < 8
+    model = tx.Model(tokens={"scum": 3.0}, lam=1.0, k=1e-9)
+    text = "scum " + "word " * 9
+    found = model.passages(text * 20_000)
+    assert len(found) == 20_000 and found[-1][0] == 19_999 * len(text)
