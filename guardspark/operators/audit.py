@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from guardspark.functions import pii
 from guardspark.functions import patterns as P
 from guardspark.operators import result as R
+from guardspark.operators.prefix import running
 
 
 def guard_events(verdicts: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,6 +82,48 @@ def pii_by_source_approx(values: DataFrame, source: str = "source") -> DataFrame
     )
 
 
+#: Registers of a mergeable sketch: 2 ** SKETCH_LOG; its standard error.
+SKETCH_LOG = 12
+MERGED_ERROR = 1.04 / 2 ** (SKETCH_LOG / 2)
+
+
+def pii_sketches(values: DataFrame, day: str = "day", source: str = "source") -> DataFrame:
+    """F3 as a state that grows by days: matches and a HyperLogLog sketch of the values for
+    each (type, source, day).  Days are written as they come; a day that is computed again replaces its rows."""
+    return values.groupBy("pii_type", source, day).agg(
+        F.count(F.lit(1)).alias("n_matches"), F.hll_sketch_agg("value", SKETCH_LOG).alias("sketch")
+    )
+
+
+def merged_sketches(state: DataFrame, source: str = "source") -> DataFrame:
+    """F3 from the state alone: matches and approximate distinct values per type and
+    source.  Sketches of any split of the values merge to the same estimate."""
+    return state.groupBy("pii_type", source).agg(
+        F.sum("n_matches").alias("n_matches"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_distinct_values"),
+    )
+
+
+def quality_curve(scored: DataFrame, score: str, truth: str) -> DataFrame:
+    """F4 at every threshold: for each distinct score the rows at or above it, their true and false positives,
+    precision and recall.  Rows without a score or a label (0/1) are left out.
+
+    Scores are first counted, then summed by two-level prefix sums: no window
+    holds all thresholds.
+    """
+    rows = scored.where(F.col(score).isNotNull() & F.col(truth).isin(0, 1))
+    per = rows.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(truth).cast("long")).alias("pos")
+    )
+    above = running(per, [F.col("threshold").desc()], ["n", "pos"], "quality-curve")
+    total = above.agg(F.coalesce(F.sum("pos"), F.lit(0))).first()[0]
+    flagged, tp = F.col("before_n") + F.col("n"), F.col("before_pos") + F.col("pos")
+    curve = above.select(
+        "threshold", flagged.alias("n_flagged"), tp.alias("tp"), (flagged - tp).alias("fp"), (F.lit(total) - tp).alias("fn")
+    )
+    return with_rates(curve)
+
+
 def confusion(pred: Column, truth: Column) -> list[Column]:
     """F4 aggregate columns for a boolean prediction against 0/1 labels."""
     p = pred.cast("boolean")

@@ -426,7 +426,8 @@ class OutputValidator(Guard):
     ``output_required`` (ARRAY<STRING>) columns, and ``output_schema_given``
     (BOOLEAN) says that the request has one: a schema of neither type nor
     required keys still asks for valid JSON.  Without the flag a schema is given
-    when either of the two is set.
+    when either of the two is set.  ``output_error`` says why a schema cannot be applied:
+    valid JSON then ends in the fail-closed result (E3).
     """
 
     name = P.OUTPUT_VALIDATOR
@@ -438,9 +439,11 @@ class OutputValidator(Guard):
         type_col: Column | None = None,
         required_col: Column | None = None,
         given_col: Column | None = None,
+        error_col: Column | None = None,
     ):
         super().__init__(conf)
         self.given_col = given_col
+        self.error_col = error_col
         self.type_col = type_col if type_col is not None else F.lit(None).cast("string")
         self.required_col = (
             required_col if required_col is not None else F.lit(None).cast("array<string>")
@@ -483,7 +486,10 @@ class OutputValidator(Guard):
             )
             items.append(F.when(self.schema_given(), schema_issue))
         violations = F.array_compact(F.array(*items))
-        return F.when(
+        broken = F.lit(False)
+        if self.error_col is not None and self.conf.get("enforce_schema", True):
+            broken = self.error_col.isNotNull() & self.schema_given() & F.coalesce(fact("valid"), F.lit(False))
+        return F.when(broken, R.error(self.name, "TypeError", self.error_col if self.error_col is not None else F.lit(""))).when(
             F.size(violations) > 0,
             R.make(
                 self.name,

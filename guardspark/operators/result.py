@@ -96,7 +96,7 @@ def passing(guard_name: str, message: str, confidence=0.0) -> Column:
     return make(guard_name, True, "pass", "low", message, confidence)
 
 
-def error(guard_name: str, error_type: str, error_text: str) -> Column:
+def error(guard_name: str, error_type: str, error_text: str | Column) -> Column:
     """Fail-closed result for a guard that could not run on a row."""
     return make(
         guard_name,
@@ -105,7 +105,7 @@ def error(guard_name: str, error_type: str, error_text: str) -> Column:
         "critical",
         P.MSG_GUARD_ERROR + error_type,
         1.0,
-        labels=F.array(F.lit(error_text)),
+        labels=F.array(_c(error_text)),
     )
 
 

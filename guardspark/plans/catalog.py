@@ -23,11 +23,13 @@ from guardspark.functions import text as TX
 from guardspark.operators import audit as A
 from guardspark.operators import guards as G
 from guardspark.operators import lexicon_table as LX
+from guardspark.operators import longtext as LONG
 from guardspark.operators import result as R
 from guardspark.operators import vault as V
 from guardspark.plans import chain, custom
 from guardspark.plans import verdict as VD
 from guardspark.session import checkpoint_root, read_table
+from guardspark.sources import reader as RD
 from guardspark.sources import requests as RQ
 from guardspark.sources import tenants as TN
 from guardspark.streaming import late as LT
@@ -231,6 +233,15 @@ def pii_matches(spark, sf_dir):
     return A.pii_values(_docs(spark, sf_dir), "text", ["doc_id"])
 
 
+#: Chunks of this many characters, so that many of the tables' texts are cut.
+QUERY_CHUNK = 1000
+
+
+def pii_matches_chunked(spark, sf_dir):
+    """B9 with each text cut into chunks that several tasks walk."""
+    return LONG.pii_values(_docs(spark, sf_dir), "text", ["doc_id"], chunk_chars=QUERY_CHUNK)
+
+
 def pii_type_counts(spark, sf_dir):
     """B9 counts per type over the corpus."""
     vals = A.pii_values(_docs(spark, sf_dir), "text", ["doc_id"])
@@ -556,6 +567,38 @@ def pii_by_source_approx(spark, sf_dir):
     )
 
 
+def pii_sketch_merge(spark, sf_dir):
+    """F3 from sketches kept by source and day (the day follows from the id here): whether the
+    merged days give the estimate of one pass, and lie within three standard errors (and one value) of the exact count."""
+    docs = _docs(spark, sf_dir).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 7).cast("int")))
+    vals = A.pii_values(docs, "text", ["doc_id", "source", "day"])
+    path = _scratch(spark, "pii-sketches")
+    A.pii_sketches(vals).write.partitionBy("day").parquet(path)
+    merged = A.merged_sketches(spark.read.parquet(path))
+    once = A.merged_sketches(A.pii_sketches(vals.withColumn("day", F.lit(0)))).select(
+        "pii_type", "source", F.col("approx_distinct_values").alias("one_pass")
+    )
+    exact = A.pii_by_source(vals).drop("n_matches")
+    keys = ["pii_type", "source"]
+    approx, n = F.col("approx_distinct_values"), F.col("n_distinct_values")
+    return merged.join(once, keys).join(exact, keys).select(
+        *keys,
+        "n_matches",
+        (approx == F.col("one_pass")).alias("merged_is_one_pass"),
+        (F.abs(approx - n) <= 3 * A.MERGED_ERROR * n + 1).alias("within_bound"),
+    )
+
+
+def toxic_curve(spark, sf_dir):
+    """F4 at every threshold: the toxic guard's confidence (0 where it finds nothing) against ``labels.toxic``."""
+    df = _doc_prompts(spark, sf_dir)
+    conf = PL.guard_conf(None, "toxic_content") | {"confidence_threshold": 0.0}
+    df = _apply_guard(df, "input_text", G.ToxicContent(conf))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = df.select(F.col("request_id").alias("doc_id"), F.col("r.confidence").alias("score")).join(labels, "doc_id")
+    return A.quality_curve(scored, "score", "toxic")
+
+
 def toxic_eval(spark, sf_dir):
     """the toxic guard against ``labels.toxic``."""
     df = _doc_prompts(spark, sf_dir)
@@ -595,6 +638,75 @@ def verdict_flat(spark, sf_dir):
     )
 
 
+def _request_lines(spark, sf_dir) -> DataFrame:
+    """(doc_id, line): the documents as JSON lines of a request each.  By id: plain; with context; cut off behind;
+    with an output schema; with a list as its type; a number as text; a list as context; a word as boolean and an empty schema."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
+    rid = F.col("doc_id").cast("string").alias("request_id")
+    text = F.col("text").alias("input_text")
+    schema = lambda kind, *required: F.struct(kind.alias("type"), F.array(*map(F.lit, required)).alias("required")).alias("output_schema")
+    context = F.struct(F.col("source").alias("source")).alias("context")
+    asks = F.lit(True).alias("process_with_llm")
+    empty = F.from_json(F.lit("{}"), "struct<type:string>").alias("output_schema")
+    bodies = [
+        F.to_json(F.struct(rid, text)),
+        F.to_json(F.struct(rid, text, context, asks)),
+        F.expr("substring(to_json(struct(doc_id, text)), 1, length(to_json(struct(doc_id, text))) - 1)"),
+        F.to_json(F.struct(rid, text, asks, schema(F.lit("object"), "a", "b"))),
+        F.to_json(F.struct(rid, text, asks, schema(F.array(F.lit("object")), "a"))),
+        F.to_json(F.struct(rid, F.col("doc_id").alias("input_text"))),
+        F.to_json(F.struct(rid, text, F.array("source").alias("context"))),
+        F.to_json(F.struct(rid, text, F.lit("Yes").alias("process_with_llm"), empty)),
+    ]
+    line = F.lit(None).cast("string")
+    for k, body in enumerate(bodies):
+        line = F.when(F.col("doc_id") % len(bodies) == k, body).otherwise(line)
+    return docs.select("doc_id", line.alias("line"))
+
+
+def _read_request_columns(requests: DataFrame) -> DataFrame:
+    return RD.contract(requests).select(
+        "doc_id",
+        "request_id",
+        "input_text",
+        F.try_variant_get("context", "$.source", "string").alias("context_source"),
+        "process_with_llm",
+        "output_type",
+        F.array_join("output_required", ",").alias("output_required"),
+        "output_schema_given",
+        "output_error",
+        "reader_error",
+    )
+
+
+def request_reader(spark, sf_dir):
+    """A1/A2 from JSON lines, broken and wrongly typed ones among them."""
+    return _read_request_columns(RD.parse_requests(_request_lines(spark, sf_dir)))
+
+
+def request_reader_stream(spark, sf_dir):
+    """The same from a stream of the lines."""
+    run = _scratch(spark, "request-lines")
+    lines = _request_lines(spark, sf_dir)
+    lines.write.parquet(run)
+    stream = spark.readStream.schema(lines.schema).parquet(run)
+    return spark.read.parquet(ST.run_available_now(_read_request_columns(RD.parse_requests(stream)), "request_reader"))
+
+
+def verdict_sink(spark, sf_dir):
+    """A3 by day: event verdicts are written, one day is written again from a rerun, and all are read back."""
+    screened = VD.input_only_verdict(_event_screen(spark, sf_dir)).withColumn("day", F.to_date("ts"))
+    kept = screened.select(F.col("request_id").alias("event_id"), "day", "allowed", "overall_action", "summary", "input_results")
+    path = _scratch(spark, "verdict-sink")
+    SK.write_verdicts(kept, path)
+    stored = SK.read_verdicts(spark, path, kept.schema)
+    first = stored.agg(F.min("day")).first()[0]
+    if first is not None:
+        SK.write_verdicts(kept.where(F.col("day") == F.lit(first)), path)
+    actions = F.array_join(F.transform("input_results", lambda r: r["action"]), "|").alias("input_actions")
+    return SK.read_verdicts(spark, path, kept.schema).select("event_id", "day", "allowed", "overall_action", "summary", actions)
+
+
 def turn_pairs(spark, sf_dir):
     """A4.  Beside the conversations stand copies of some: with each row repeated under another
     text (every 7th), without a conversation (every 13th), without turn numbers (every 17th)."""
@@ -757,7 +869,10 @@ def block_rate_window(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "request_quarantine": request_quarantine,
+    "request_reader": request_reader,
+    "request_reader_stream": request_reader_stream,
     "verdict_flat": verdict_flat,
+    "verdict_sink": verdict_sink,
     "turn_pairs": turn_pairs,
     "tenant_policy_verdict": tenant_policy_verdict,
     "text_profile": text_profile,
@@ -766,6 +881,7 @@ QUERIES: dict[str, Query] = {
     "unicode_tricks": unicode_tricks,
     "special_char_ratio": special_char_ratio,
     "pii_matches": pii_matches,
+    "pii_matches_chunked": pii_matches_chunked,
     "pii_type_counts": pii_type_counts,
     "lexicon_hits": lexicon_hits,
     "lexicon_table_hits": lexicon_table_hits,
@@ -801,7 +917,9 @@ QUERIES: dict[str, Query] = {
     "guard_rollup": guard_rollup,
     "pii_by_source": pii_by_source,
     "pii_by_source_approx": pii_by_source_approx,
+    "pii_sketch_merge": pii_sketch_merge,
     "toxic_eval": toxic_eval,
+    "toxic_curve": toxic_curve,
     "stream_screen": stream_screen,
     "stream_verdict": stream_verdict,
     "block_rate_window": block_rate_window,

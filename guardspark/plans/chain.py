@@ -59,13 +59,14 @@ def output_guards(
     type_col: Column | None = None,
     required_col: Column | None = None,
     given_col: Column | None = None,
+    error_col: Column | None = None,
 ) -> list[G.Guard]:
     """Redactor, hallucination, content filter, validator - the output order."""
     guards = [
         G.PIIRedactor(PL.guard_conf(policy, "pii_redactor")),
         G.Hallucination(PL.guard_conf(policy, "hallucination_detector")),
         G.ContentFilter(PL.guard_conf(policy, "content_filter")),
-        G.OutputValidator(PL.guard_conf(policy, "output_validator"), type_col, required_col, given_col),
+        G.OutputValidator(PL.guard_conf(policy, "output_validator"), type_col, required_col, given_col, error_col),
     ]
     return [g for g in guards if g.enabled]
 
@@ -95,7 +96,7 @@ def _cache_key(text, guards, results_col, final_text_col, prefix):
             return None
         extra = ()
         if isinstance(g, G.OutputValidator):
-            extra = (str(g.type_col), str(g.required_col), str(g.given_col))
+            extra = (str(g.type_col), str(g.required_col), str(g.given_col), str(g.error_col))
         parts.append((type(g).__name__, repr(sorted(g.conf.items(), key=lambda kv: kv[0])), extra))
     return ("chain", text, results_col, final_text_col, prefix, tuple(parts))
 
@@ -215,16 +216,18 @@ def output_chain(
     type_col: str | None = "output_type",
     required_col: str | None = "output_required",
     given_col: str | None = "output_schema_given",
+    error_col: str | None = "output_error",
 ) -> DataFrame:
     """Results plus the text after every rewriting guard.
 
-    The output contract comes from the row: ``type_col``, ``required_col`` and
-    ``given_col`` where the frame has them."""
+    The output contract comes from the row: ``type_col``, ``required_col``,
+    ``given_col`` and ``error_col`` where the frame has them."""
     cols = set(df.columns)
     tcol = F.col(type_col) if type_col and type_col in cols else None
     rcol = F.col(required_col) if required_col and required_col in cols else None
     gcol = F.col(given_col) if given_col and given_col in cols else None
-    guards = output_guards(policy, tcol, rcol, gcol)
+    ecol = F.col(error_col) if error_col and error_col in cols else None
+    guards = output_guards(policy, tcol, rcol, gcol, ecol)
     return run_chain(df, text, guards, results_col, final_text_col, prefix="out")
 
 

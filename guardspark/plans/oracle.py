@@ -1034,6 +1034,42 @@ def q_toxic_eval():
     )
 
 
+def q_request_reader():
+    bad = "CASE k WHEN 2 THEN 'broken_json' WHEN 5 THEN 'input_text_type' WHEN 6 THEN 'context_type' END"
+    return (
+        "SELECT doc_id, CASE WHEN k <> 2 THEN doc_id::VARCHAR END AS request_id, "
+        f"CASE WHEN {bad} IS NULL THEN text END AS input_text, CASE WHEN k = 1 THEN source END AS context_source, "
+        "k IN (1, 3, 4, 7) AS process_with_llm, CASE WHEN k = 3 THEN 'object' END AS output_type, "
+        "CASE k WHEN 3 THEN 'a,b' WHEN 4 THEN 'a' ELSE '' END AS output_required, k IN (3, 4, 7) AS output_schema_given, "
+        f"CASE WHEN k = 4 THEN {S(LIST_TYPE_ERROR)} END AS output_error, {bad} AS reader_error "
+        "FROM (SELECT *, doc_id % 8 AS k FROM documents) AS d"
+    )
+
+
+LIST_TYPE_ERROR = "unhashable type: 'list'"
+
+
+def q_verdict_sink():
+    base = "SELECT event_id AS doc_id, ts, " + with_phrase("concat_ws(' ', event_type, props)", "event_id") + " AS t FROM events"
+    cols = "doc_id AS event_id, ts::DATE AS day"
+    return f"SELECT event_id, day, allowed, overall_action, summary, input_actions FROM ({input_only_sql(base, cols)}) AS v"
+
+
+def q_toxic_curve():
+    g = Toxic(PL.guard_conf(None, "toxic_content") | {"confidence_threshold": 0.0})
+    s = single_guard(DOC_PROMPTS, "doc_id", g)
+    return (
+        "SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp)::DOUBLE END AS precision, "
+        "CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn)::DOUBLE END AS recall FROM ("
+        "SELECT threshold, n_flagged, tp, n_flagged - tp AS fp, "
+        "(SELECT sum(toxic) FROM labels JOIN documents USING (doc_id))::BIGINT - tp AS fn FROM ("
+        "SELECT threshold, (sum(n) OVER w)::BIGINT AS n_flagged, (sum(pos) OVER w)::BIGINT AS tp FROM ("
+        "SELECT confidence AS threshold, count(*) AS n, sum(toxic) AS pos "
+        f"FROM (SELECT g.confidence, l.toxic FROM ({s}) AS g JOIN labels l USING (doc_id)) AS j GROUP BY confidence) AS c "
+        "WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS a) AS b"
+    )
+
+
 def q_request_quarantine():
     odd = "CASE (doc_id // 17) % 3 WHEN 0 THEN '' WHEN 1 THEN rpad(text, 50001, 'x') END"
     return (
@@ -1280,9 +1316,18 @@ ORACLE_SQL: dict[str, str] = {
     "block_rate_stream": q_block_rate_stream(),
     "block_rate_late": q_block_rate_late(),
     "lexicon_table_hits": q_lexicon_hits(),
+    "request_reader": q_request_reader(),
+    "request_reader_stream": q_request_reader(),
+    "verdict_sink": q_verdict_sink(),
+    "toxic_curve": q_toxic_curve(),
+    "pii_sketch_merge": (
+        "SELECT pii_type, source, count(*) AS n_matches, true AS merged_is_one_pass, true AS within_bound "
+        f"FROM ({pii_values_sql('doc_id, source')}) AS v GROUP BY pii_type, source"
+    ),
     "request_verdict_streams": q_request_verdict_streams(),
     "vault_stream": q_vault_table(),
     "vault_stream_roundtrip": "SELECT doc_id, text AS restored_text FROM documents",
 }
 
 ORACLE_SQL["toxic_detect_table"] = ORACLE_SQL["toxic_detect"]
+ORACLE_SQL["pii_matches_chunked"] = ORACLE_SQL["pii_matches"]

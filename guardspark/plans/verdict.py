@@ -49,9 +49,11 @@ def _empty_results() -> Column:
 
 
 def _contract(prompts: DataFrame, text: str) -> DataFrame:
-    """A2 ahead of any guard: ``__reject`` (null when acceptable) and the
+    """A2 ahead of any guard (with the reader's own errors, where the frame has them): ``__reject`` (null when acceptable) and the
     text the guards see (null for a rejected request, so no work is done)."""
     reason = RQ.contract_reason(F.col(text))
+    if "reader_error" in prompts.columns:
+        reason = F.coalesce(F.col("reader_error"), reason)
     return prompts.select(
         "*", reason.alias("__reject"), F.when(reason.isNull(), F.col(text)).alias("__screen")
     )

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_REQUEST_CHARS = 50000
 
@@ -149,34 +148,9 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
     )
 
 
-REQUEST_SCHEMA = T.StructType(
-    [
-        T.StructField("request_id", T.StringType()),
-        T.StructField("input_text", T.StringType()),
-        T.StructField("context", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("process_with_llm", T.BooleanType()),
-        T.StructField(
-            "output_schema",
-            T.StructType(
-                [T.StructField("type", T.StringType()), T.StructField("required", T.ArrayType(T.StringType()))]
-            ),
-        ),
-    ]
-)
-
-
-def contract_columns(requests: DataFrame) -> DataFrame:
-    """``output_schema`` as the columns the output chain reads; ``context`` and
-    all other columns pass through."""
-    schema = F.col("output_schema")
-    return requests.select(
-        "*",
-        schema["type"].alias("output_type"),
-        F.coalesce(schema["required"], F.array().cast("array<string>")).alias("output_required"),
-        schema.isNotNull().alias("output_schema_given"),
-    ).drop("output_schema")
-
-
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """A1 from JSON lines: one request a line, fields as ``REQUEST_SCHEMA``."""
-    return contract_columns(spark.read.schema(REQUEST_SCHEMA).json(path))
+    """A1 from JSON lines (``sources.reader``), with ``context`` as a map of texts."""
+    from guardspark.sources import reader
+
+    context = F.try_variant_get(F.col("context"), "$", "map<string,string>")
+    return reader.read_requests(spark, path).withColumn("context", context)

@@ -1,4 +1,7 @@
-"""Stream sinks that can be repeated.
+"""Sinks that can be repeated.
+
+``write_verdicts`` keeps verdicts by day, nested results included: a day that is written again
+replaces that day alone.
 
 ``VaultSink`` writes a stream's tokenized texts and its vault as two tables, a
 folder ``batch=<id>`` per micro-batch in each.  Both folders are replaced as a
@@ -60,3 +63,19 @@ class VaultSink:
         schema = "request_id string, token string, pii_type string, value string"
         rows = spark.read.schema(schema).parquet(f"{self.path}/vault/batch=*")
         return rows.dropDuplicates(["request_id", "token", "value"])
+
+
+def write_verdicts(verdicts: DataFrame, path: str, day: str = "day") -> None:
+    """Write verdicts into ``path/day=<day>``: the days that occur in ``verdicts`` are replaced, all
+    others stay.  A large day is split over several files."""
+    held = verdicts.hint("rebalance", day)
+    held.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(day).parquet(path)
+
+
+def replace_day(verdicts: DataFrame, path: str, value, day: str = "day") -> None:
+    """Replace one day by its rows of ``verdicts``, also where none are left."""
+    verdicts.where(F.col(day) == F.lit(value)).drop(day).write.mode("overwrite").parquet(f"{path}/{day}={value}")
+
+
+def read_verdicts(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
