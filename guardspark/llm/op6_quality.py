@@ -3,36 +3,32 @@ r"""Operator 6 (native): quality rules with risk-controlled thresholds.
 Metrics of every whole text: words, code points in words, symbol characters,
 repeated lines, words inside repeated 8-word windows, distinct words and
 upper-case letters.  Two fixed rules come first (``base_failed``).  Beyond them, each *rule* of ``RULES``
-rejects a document whose metric lies beyond a cutoff, and the cutoffs are
-learnt, one per rule and stratum (language), so that few good documents go:
+rejects a document whose metric lies beyond a cutoff.  How far the rules go is learnt for each
+stratum (language), so that few good documents go:
 
+* ``PATH`` orders all (rule, cutoff) pairs from the mildest on: first every rule's mildest cutoff, then every
+  rule's next.  Its steps only ever add rejections.
 * the holdout of a stratum is its labelled documents that pass the fixed rules
   and whose label is good (quality 1);
-* a cutoff that rejects k of the n good documents of the holdout is *safe* when
-  k or fewer rejections would have a probability of at most ``DELTA`` / tests
-  if the true rate of false rejections were ``RISK`` / rules (exact binomial
-  tail; the division over all strata, rules and cutoffs tried is Bonferroni's
-  correction, so all statements hold together with probability 1 - DELTA);
-* of the safe cutoffs of a rule the most rejecting is taken; without one the
-  rule is off in that stratum.
-
-So, with confidence 1 - DELTA, no stratum with a safe cutoff of its own loses more
-than RISK of its good documents to the learnt rules.  Every other language is
-judged by the cutoffs of the stratum '*', calibrated over the labelled rows of
-all languages: these bound the loss over all rows, not that of the language.  The grids of cutoffs are fixed, not fitted.
+* a step is *safe* in a stratum when as many rejections as the rules up to it make among the n good documents of the
+  holdout, or fewer, would have a probability of at most ``DELTA`` / strata
+  if the true rate of false rejections were ``RISK`` (exact binomial tail);
+* steps are tested in the order of the path until one is not safe (fixed-sequence testing: no correction
+  within a stratum is needed), and the division by the strata tested is Bonferroni's correction; the last safe step is taken.
+
+So, with confidence 1 - DELTA, no stratum loses more than RISK of its good documents to the learnt rules, all rules
+together.  A stratum whose holdout is too small to prove anything (about 440 good rows with four strata) has no learnt rule on: no
+document is judged by a cutoff that is not proven on its own language.  Whether a stratum is tested follows from n alone.  The path is fixed, not fitted.
 
 Scale: the metrics are computed once, inside each row, without a shuffle, and
-staged as narrow rows; calibration counts rejections per (stratum, rule,
-cutoff) with partial aggregation and joins the few cutoffs back by stratum.
-Strata with fewer than ``MIN_HOLDOUT`` good labelled rows are not tried.  With
-four strata a cutoff that rejects none passes from about 1,400 such rows on, so
-strata of fewer rows use '*' as well.
+staged as narrow rows; calibration counts holdout documents per (stratum, first step that rejects them) with partial
+aggregation and joins one step per stratum back.
 
-Defined results: null and blank texts have no words and fail the fixed rule; a
+Defined results: null and blank texts have no words and fail the fixed rule; very long texts are measured whole; a
 null language counts as ''; labels other than 0 and 1, null ids and ids without
 document are not used; an id labelled twice counts as good only if both say so;
 without labels no learnt rule is on; repeated rows are judged each; a
-comparison holds strictly beyond the cutoff (ties stay).
+comparison holds strictly beyond the cutoff (ties stay); other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,9 +43,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-RISK = 0.04
+RISK = 0.01
 DELTA = 0.05
-MIN_HOLDOUT = 400
 
 #: rule -> (metric, +1: high values are bad, -1: low values, cutoffs).
 RULES: dict[str, tuple[str, int, tuple[float, ...]]] = {
@@ -166,18 +161,36 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, start, step, lambda a: F.least(F.lit(1.0), F.exp(a["sum"])))
 
 
-def _levels() -> dict[str, tuple[str, int, list[float]]]:
-    """rule -> (metric, sign, cutoffs from the mildest to the most rejecting)."""
-    return {r: (m, sign, sorted(grid, reverse=sign > 0)) for r, (m, sign, grid) in RULES.items()}
+def _levels(rule: str) -> list[float]:
+    """A rule's cutoffs from the mildest to the most rejecting."""
+    _, sign, grid = RULES[rule]
+    return sorted(grid, reverse=sign > 0)
+
+
+#: (rule, cutoff) from the mildest on, level by level.
+PATH: list[tuple[str, float]] = [
+    (rule, _levels(rule)[level])
+    for level in range(max(len(grid) for _, _, grid in RULES.values()))
+    for rule in RULES
+    if level < len(RULES[rule][2])
+]
+
 
+def _first_step(rule: str) -> Column:
+    """The first step of the path at which the rule rejects a row; null if none does."""
+    metric, sign, _ = RULES[rule]
+    out = F.lit(None).cast("int")
+    for cutoff in reversed(_levels(rule)):  # the mildest one beyond which the metric lies
+        out = F.when((F.col(metric) - F.lit(float(cutoff))) * sign > 0, PATH.index((rule, cutoff))).otherwise(out)
+    return out
 
-def _beyond(metric: Column, sign: int, grid: list[float]) -> Column:
-    """How many of the cutoffs the metric lies beyond."""
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in grid]), lambda c: (metric - c) * sign > 0))
 
+def _first_steps(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f"step_{r}": _first_step(r) for r in RULES}).withColumn("step", F.least(*[f"step_{r}" for r in RULES]))
 
-def cutoffs(m: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Rows (stratum, rule, cutoff, n, k, p_value) of the learnt rules."""
+
+def last_steps(m: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Rows (stratum, step, n, k, p_value): the last safe step of each stratum that has one."""
     marks = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
         .groupBy("doc_id")
@@ -186,75 +199,33 @@ def cutoffs(m: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
         .select(F.col("doc_id").alias("d"))
     )
     good = _ratios(m).where("NOT base_failed").join(marks, F.col("doc_id") == F.col("d"), "left_semi")
-    # a document's level under a rule: how many of the cutoffs reject it, the
-    # most rejecting ones first, so cutoff j rejects the levels above len - 1 - j
-    levels = F.create_map(
-        *[
-            x
-            for rule, (metric, sign, grid) in _levels().items()
-            for x in (
-                F.lit(rule),
-                _beyond(F.col(metric), sign, grid),
-            )
-        ]
-    )
-    seen = (
-        good.select(F.explode(F.array(F.col("lang"), F.lit(ALL))).alias("stratum"), F.explode(levels).alias("rule", "level"))
-        .groupBy("stratum", "rule", "level")
-        .agg(F.count(F.lit(1)).alias("docs"))
+    never = F.lit(len(PATH))
+    seen = _first_steps(good).groupBy(F.col("lang").alias("stratum"), F.coalesce("step", never).alias("first")).agg(
+        F.count(F.lit(1)).alias("docs")
     )
-    grids = F.create_map(
-        *[x for r, (_, _, g) in _levels().items() for x in (F.lit(r), F.array(*[F.lit(float(c)) for c in g]))]
+    counts = (
+        seen.withColumn("step", F.explode(F.sequence(F.lit(0), never - 1)))
+        .groupBy("stratum", "step")
+        .agg(F.sum("docs").alias("n"), F.sum(F.when(F.col("first") <= F.col("step"), F.col("docs")).otherwise(0)).cast("long").alias("k"))
     )
-    tried = seen.withColumn("grid", grids[F.col("rule")]).select(
-        "stratum", "rule", "level", "docs", F.size("grid").alias("steps"), F.posexplode("grid").alias("j", "cutoff")
-    )
-    counts = tried.groupBy("stratum", "rule", "cutoff").agg(
-        F.sum("docs").alias("n"),
-        F.sum(F.when(F.col("level") >= F.col("steps") - F.col("j"), F.col("docs")).otherwise(0)).cast("long").alias("k"),
-    )
-    counts = staged(counts.where(F.col("n") >= MIN_HOLDOUT), "quality-counts")
-    tests = counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("tests"))
-    p = risk / len(RULES)
+    # a stratum in which not even no rejection at all could be safe is not tested
+    counts = staged(counts.where(F.col("n") * F.log1p(F.lit(-risk)) <= F.log(F.lit(delta))), "quality-counts")
+    strata = max(1, counts.agg(F.count_distinct("stratum")).first()[0])
     # beyond the mean the tail exceeds one half: no need to sum it
-    tail = F.when(F.col("k") <= F.col("n") * p, binomial_tail(F.col("k"), F.col("n"), p)).otherwise(1.0)
-    safe = (
-        counts.withColumn("p_value", tail)
-        .join(F.broadcast(tests), F.lit(True))  # one row
-        .where(F.col("p_value") <= F.lit(delta) / F.col("tests"))
-    )
-    # of the safe cutoffs the one that rejects most: the lowest for high metrics
-    signs = F.create_map(*[x for r, (_, s, _) in RULES.items() for x in (F.lit(r), F.lit(float(s)))])
-    best = F.min_by(F.struct("cutoff", "n", "k", "p_value"), F.col("cutoff") * signs[F.col("rule")])
-    return safe.groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", "b.*")
-
-
-#: The stratum of all rows, for languages with too few labelled documents.
-ALL = "*"
+    tail = F.when(F.col("k") <= F.col("n") * risk, binomial_tail(F.col("k"), F.col("n"), risk)).otherwise(1.0)
+    safe = counts.withColumn("p_value", tail).where(F.col("p_value") <= F.lit(delta / strata))
+    # rejections only grow along the path, so the safe steps are its beginning
+    best = F.max(F.struct("step", "n", "k", "p_value"))
+    return safe.groupBy("stratum").agg(best.alias("b")).select("stratum", "b.*")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document row: the metrics, base_failed, kept and the learnt rules
     that reject it (``failed``, comma-joined)."""
     m = metrics(docs)
-    rules = staged(cutoffs(m, labels), "quality-cutoffs")
-    per = rules.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    names = {r: f"cut_{r}" for r in RULES}
-    own = per.withColumnsRenamed(names)
-    # a language without a stratum of its own takes the common one
-    common = own.where(F.col("stratum") == ALL).drop("stratum").withColumnsRenamed({v: f"all_{v}" for v in names.values()})
-    rows = _ratios(m).join(own, F.col("lang") == F.col("stratum"), "left").join(F.broadcast(common), F.lit(True), "left")
-    failed = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    (F.col(metric) - F.when(F.col("stratum").isNull(), F.col(f"all_{names[rule]}")).otherwise(F.col(names[rule]))) * sign > 0,
-                    F.lit(rule),
-                )
-                for rule, (metric, sign, _) in RULES.items()
-            ]
-        )
-    )
+    last = staged(last_steps(m, labels).select("stratum", F.col("step").alias("last")), "quality-steps")
+    rows = _first_steps(_ratios(m)).join(last, F.col("lang") == F.col("stratum"), "left")
+    failed = F.array_compact(F.array(*[F.when(F.col(f"step_{rule}") <= F.col("last"), F.lit(rule)) for rule in RULES]))
     return rows.withColumn("failed", failed).select(
         "doc_id",
         "n_words",

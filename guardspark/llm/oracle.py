@@ -74,11 +74,11 @@ SELECT g.conv_id, g.n_turns, g.turns_sha256, length(g.loss)::BIGINT AS loss_char
 FROM g JOIN own USING (conv_id) LEFT JOIN recent USING (conv_id) LEFT JOIN system USING (conv_id)
 """
 
-# risk 0.04 over 7 rules, confidence 0.95 over all tests, 400 good labelled rows a stratum
-_RULES = """('symbols_per_word', 1, [0.02, 0.05, 0.1, 0.2, 0.4, 0.8]), ('dup_lines', 1, [0.2, 0.3, 0.4, 0.5, 0.7, 0.9]),
- ('repeats', 1, [0.05, 0.1, 0.15, 0.2, 0.25]), ('long_words', 1, [6.0, 6.5, 7.0, 7.5, 8.0, 9.0]),
- ('short_words', -1, [2.0, 2.5, 3.0, 3.5, 4.0]), ('few_distinct', -1, [0.05, 0.1, 0.2, 0.3, 0.4, 0.5]),
- ('upper_case', 1, [0.1, 0.2, 0.3, 0.5])"""
+# risk 0.01 for all rules of a language together, confidence 0.95 over the languages tested; cutoffs from the mildest on
+_RULES = """('symbols_per_word', 1, [0.8, 0.4, 0.2, 0.1, 0.05, 0.02], 1), ('dup_lines', 1, [0.9, 0.7, 0.5, 0.4, 0.3, 0.2], 2),
+ ('repeats', 1, [0.25, 0.2, 0.15, 0.1, 0.05], 3), ('long_words', 1, [9.0, 8.0, 7.5, 7.0, 6.5, 6.0], 4),
+ ('short_words', -1, [2.0, 2.5, 3.0, 3.5, 4.0], 5), ('few_distinct', -1, [0.05, 0.1, 0.2, 0.3, 0.4, 0.5], 6),
+ ('upper_case', 1, [0.5, 0.3, 0.2, 0.1], 7)"""
 
 QUALITY_RULES = rf"""
 WITH b AS (
@@ -109,28 +109,27 @@ WITH b AS (
     {{'rule': 'short_words', 'x': word_chars::DOUBLE / greatest(n_words, 1)}},
     {{'rule': 'few_distinct', 'x': n_distinct::DOUBLE / greatest(n_words, 1)}},
     {{'rule': 'upper_case', 'x': n_upper::DOUBLE / greatest(word_chars, 1)}}]) AS e FROM v
-), grid AS (
-  SELECT rule, sign, unnest(cuts)::DOUBLE AS cutoff FROM (VALUES {_RULES}) AS g(rule, sign, cuts)
+), cuts AS (
+  SELECT rule, sign, unnest(cuts)::DOUBLE AS cutoff, unnest(range(1, len(cuts) + 1)) AS level, nr FROM (VALUES {_RULES}) AS g(rule, sign, cuts, nr)
+), path AS (SELECT *, row_number() OVER (ORDER BY level, nr) - 1 AS step FROM cuts
+), first AS (
+  SELECT r.doc_id, r.lang, r.base_failed, min(p.step) FILTER ((e.x - p.cutoff) * p.sign > 0) AS step
+  FROM r JOIN path AS p ON p.rule = e.rule GROUP BY ALL
 ), good AS (SELECT doc_id FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = 1
 ), tried AS (
-  SELECT stratum, rule, sign, cutoff, count(*) AS n, count(*) FILTER ((x - cutoff) * sign > 0) AS k FROM (
-    SELECT unnest([r.lang, '*']) AS stratum, e.rule AS rule, e.x AS x FROM r JOIN good USING (doc_id) WHERE NOT base_failed
-  ) JOIN grid USING (rule) GROUP BY ALL HAVING count(*) >= 400
+  SELECT f.lang, p.step, count(*) AS n, count(*) FILTER (f.step <= p.step) AS k
+  FROM first AS f JOIN good USING (doc_id), path AS p WHERE NOT f.base_failed GROUP BY ALL
+  HAVING count(*) * ln(1 - 0.01::DOUBLE) <= ln(0.05::DOUBLE)
 ), tested AS (
-  SELECT *, CASE WHEN k <= n * 0.04::DOUBLE / 7 THEN list_sum(list_transform(range(0, k + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.04::DOUBLE / 7) + (n - i) * ln(1 - 0.04::DOUBLE / 7))))
+  SELECT *, CASE WHEN k <= n * 0.01::DOUBLE THEN list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01::DOUBLE) + (n - i) * ln(1 - 0.01::DOUBLE))))
     ELSE 1.0 END AS p FROM tried
-), safe AS (SELECT * FROM tested WHERE p <= 0.05::DOUBLE / (SELECT count(*) FROM tried)
-), best AS (SELECT stratum, rule, sign, min(cutoff * sign) * sign AS cutoff FROM safe GROUP BY stratum, rule, sign
-), own AS (SELECT DISTINCT stratum FROM best
-), hit AS (
-  SELECT DISTINCT doc_id FROM r LEFT JOIN own ON own.stratum = r.lang
-  JOIN best ON best.stratum = coalesce(own.stratum, '*') AND best.rule = r.e.rule
-  WHERE (r.e.x - best.cutoff) * best.sign > 0
+), last AS (
+  SELECT lang, max(step) AS last FROM tested WHERE p <= 0.05::DOUBLE / (SELECT count(DISTINCT lang) FROM tried) GROUP BY lang
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND hit.doc_id IS NULL AS kept
-FROM v LEFT JOIN hit USING (doc_id)
+SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, v.base_failed,
+  NOT v.base_failed AND coalesce(f.step > l.last, true) AS kept
+FROM v JOIN first AS f USING (doc_id) LEFT JOIN last AS l ON l.lang = v.lang
 """
 
 MIX = f"""

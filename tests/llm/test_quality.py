@@ -78,17 +78,39 @@ def test_learnt_rules_reject_junk_and_keep_the_good(spark):
     assert not any(got[i] for i in junk)
 
 
-def test_cutoffs_hold_the_bound_and_small_strata_use_the_common_one(spark):
-    docs, marks, _ = corpus(spark, 3000, 0.3)
-    small = docs.withColumn("lang", F.when(F.col("doc_id") < 50, "xx").otherwise("en"))
-    m = ql.metrics(small)
-    got = ql.cutoffs(m, marks).collect()
-    assert {g.stratum for g in got} == {"en", ql.ALL}
-    for g in got:
-        assert g.k <= g.n * ql.RISK / len(ql.RULES) and g.p_value <= ql.DELTA
-    kept = {g.doc_id: g.kept for g in ql.judged(small, marks).collect()}
-    junk = {r.doc_id for r in marks.where("quality = 0").collect()}
-    assert not any(kept[i] for i in junk if i < 50)
+def tail(k, n, p):
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+
+def test_each_stratum_goes_as_far_as_its_own_holdout_proves(spark):
+    docs, marks, rows = corpus(spark, 4000, 0.3)
+    lang = F.when(F.col("doc_id") < 100, "xx").when(F.col("doc_id") < 1800, "*").otherwise("en")
+    docs = docs.withColumn("lang", lang)
+    m = ql.metrics(docs)
+    got = {g.stratum: g for g in ql.last_steps(m, marks).collect()}
+    assert set(got) == {"en", "*"}  # a language named like a wildcard is one of its own
+    good = {i for i, q, _ in rows if q == 1}
+    firsts = {r.doc_id: (r.lang, r.step) for r in ql._first_steps(ql._ratios(m)).where("NOT base_failed").collect()}
+    for name, g in got.items():
+        steps = [firsts[i][1] for i in good if firsts[i][0] == name]
+        k = lambda last, steps=steps: sum(x is not None and x <= last for x in steps)
+        assert (g.n, g.k) == (len(steps), k(g.step)) and g.p_value == pytest.approx(tail(g.k, g.n, ql.RISK), rel=1e-6)
+        assert g.p_value <= ql.DELTA / 2 and g.k <= ql.RISK * g.n
+        if g.step + 1 < len(ql.PATH):  # the next step could not be proven
+            assert tail(k(g.step + 1), len(steps), ql.RISK) > ql.DELTA / 2
+    judged = {x.doc_id: x for x in ql.judged(docs, marks).collect()}
+    for i, (name, step) in firsts.items():
+        assert judged[i].kept == (name not in got or step is None or step > got[name].step)
+    # the language without proof has no learnt rule, junk or not
+    assert all(judged[i].kept and judged[i].failed == "" for i in range(100) if i in firsts)
+
+
+def test_the_path_goes_from_mild_to_strict():
+    assert len(ql.PATH) == len(set(ql.PATH)) == sum(len(g) for _, _, g in ql.RULES.values())
+    for rule, (_, sign, _) in ql.RULES.items():
+        mine = [c * sign for r, c in ql.PATH if r == rule]
+        assert mine == sorted(mine, reverse=True)
+    assert [r for r, _ in ql.PATH[: len(ql.RULES)]] == list(ql.RULES)
 
 
 def test_labels_with_nulls_repeats_and_strangers(spark):
