@@ -11,26 +11,26 @@ newline become ``\\`` and ``\n`` first.  So no text can hold a mark, and taking
 one backslash away gives the text back.
 
 Windows: the tokens of a turn (words of its text plus ``TURN_TOKENS`` for the
-marks) are summed along the conversation.  The prefix sums cut the conversation
-at multiples of ``span`` tokens; a turn that crosses such a cut stands alone.
-So a span of whole turns never has more than ``span`` tokens, unless a single
-turn has, and which span a turn belongs to follows from its own prefix sum.
+marks) are summed along the conversation.  Stretches of ``BLOCK_SPANS`` * ``span`` tokens, cut by the prefix
+sums, are packed each by itself: a span takes turn after turn while the sum of its tokens stays within ``span``, so
+a span has more only if a single turn has, and two neighbours in a stretch never fit into one.
 A window is a span preceded by the system turn (the first turn, if its role is
-``system``) and by those turns of the span before it that fit in ``history``
-tokens.  Turns repeated so are context only: the loss mask covers the texts of
+``system``) and by all turns that lie wholly within the last ``history`` tokens before the span,
+whatever spans these belong to.  Turns repeated so are context only: the loss mask covers the texts of
 assistant turns in their own span, each once.
 
 Scale: prefix sums have two levels, within runs of ``RUN`` turn numbers and
 over run totals, so a conversation with a third of all rows is spread over its
-runs; windows are grouped per (conversation, span), whose size the budget bounds.
-Spans meet their history by an equi-join on the next span.  Only the digest of
+runs; packing folds the token counts of one stretch, whose size the budget bounds, and windows are grouped per
+(conversation, span).  Turns meet the windows they precede by an equi-join on cells of ``history`` tokens, and the
+system turn meets its windows spread over ``PARTS`` parts.  Only the digest of
 a whole conversation (``digest``) brings one conversation together, because a hash of
 its whole text is asked for.
 
 Defined results: a null text or role is the empty string; turns are ordered by
 turn (null first), then role, then text, and repeated rows are separate turns;
 a null conv_id is a conversation; a conversation of no assistant turn has
-an empty mask; extra columns are ignored.
+an empty mask; very long texts are one turn, never cut; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,6 +44,9 @@ TURN_TOKENS = 4
 SPAN_TOKENS = 768
 HISTORY_TOKENS = 256
 RUN = 256
+#: Spans of tokens that are packed together; parts that a conversation's windows are spread over.
+BLOCK_SPANS = 16
+PARTS = 16
 
 _OPEN, _BREAK, _CLOSE = "<turn>", "\n", "</turn>"
 
@@ -104,39 +107,47 @@ def windows(
 ) -> DataFrame:
     """The formatted windows: conv_id, window (ordinal of its first own turn),
     n_context, n_turns, tokens, text, loss (list of [from, to) code points)."""
-    cut = F.floor(F.col("before") / span)
-    end = F.floor((F.col("before") + F.col("tokens") - 1) / span)
-    t = staged(
-        turns(conversations)
-        # a turn that crosses a cut has a span of its own; the others share the cut's
-        .withColumn("span", F.struct(cut.alias("cut"), (end > cut).alias("alone"))),
-        "chat-turns",
+    t = staged(turns(conversations).withColumn("block", F.floor(F.col("before") / (BLOCK_SPANS * span))), "chat-turns")
+    line = F.array_sort(F.collect_list(F.struct("seq", "before", "tokens")))
+    fresh = "array(named_struct('window', p.seq, 'start', p.before))"
+    # a new span where the turn does not fit behind the last span's start
+    packed = F.expr(
+        "aggregate(line, cast(array() as array<struct<window:bigint,start:bigint>>), (a, p) ->"
+        f" if(size(a) = 0 or p.before + p.tokens - element_at(a, -1).start > {span}, concat(a, {fresh}), a))"
+    )
+    blocks = t.groupBy("conv_id", "block").agg(line.alias("line")).select("conv_id", "block", packed.alias("spans"))
+    blocks = staged(blocks, "chat-spans")
+    spans = blocks.select("conv_id", F.inline("spans"))
+    own = (
+        t.join(
+            blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.transform("spans", lambda x: x["window"]).alias("starts")),
+            F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")),
+        )
+        .withColumn("window", F.array_max(F.filter("starts", lambda x: x <= F.col("seq"))))
+        .select("conv_id", "window", "seq", "role", "text", "tokens", F.lit(False).alias("context"))
     )
-    spans = t.groupBy("conv_id", "span").agg(
-        F.min("seq").alias("window"), F.min("before").alias("start"), F.max("seq").alias("last")
-    )
-    spans = staged(spans, "chat-spans")
-    after = spans.select(
-        F.col("conv_id").alias("c"), (F.col("window") - 1).alias("prev_last"), F.col("window").alias("to"), F.col("start").alias("to_start")
-    )
-    # every span with the one before it, by the ordinal at which they meet
-    follows = spans.join(after, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("last") == F.col("prev_last"))).select(
-        F.col("conv_id").alias("c"), F.col("span").alias("from_span"), "to", "to_start"
-    )
-    own = t.join(
-        spans.select(F.col("conv_id").alias("c"), F.col("span").alias("sp"), "window"),
-        F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("sp")),
-    ).select("conv_id", "window", "seq", "role", "text", "tokens", F.lit(False).alias("context"))
     is_system = (F.col("seq") == 0) & (F.col("role") == "system")
+    # a turn is history of the windows that start behind it, at most ``history`` tokens after its own start
+    cells = lambda at: F.floor(at / max(history, 1))
+    end, reach = F.col("before") + F.col("tokens"), F.col("before") + history
     recent = (
-        t.where(~is_system)  # the system turn comes by itself
-        .join(follows, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("from_span")))
-        .where(F.col("to_start") - F.col("before") <= history)
-        .select("conv_id", F.col("to").alias("window"), "seq", "role", "text", "tokens", F.lit(True).alias("context"))
-    )
-    system = t.where(is_system).select(F.col("conv_id").alias("c"), "seq", "role", "text", "tokens")
-    system = spans.where("window > 0").join(system, F.col("conv_id").eqNullSafe(F.col("c"))).select(
-        "conv_id", "window", "seq", "role", "text", "tokens", F.lit(True).alias("context")
+        t.where(~is_system & (end <= reach))  # the system turn comes by itself
+        .withColumn("cell", F.explode(F.sequence(cells(end), cells(reach))))
+        .join(
+            spans.select(F.col("conv_id").alias("c"), cells(F.col("start")).alias("at_cell"), "window", "start"),
+            F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("at_cell")),
+        )
+        .where((F.col("start") >= end) & (F.col("start") <= reach))
+        .select("conv_id", "window", "seq", "role", "text", "tokens", F.lit(True).alias("context"))
+    )
+    system = t.where(is_system).select(
+        F.col("conv_id").alias("c"), "seq", "role", "text", "tokens", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    )
+    system = (
+        spans.where("window > 0")
+        .select("conv_id", "window", (F.col("window") % PARTS).cast("int").alias("of"))
+        .join(system, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("of") == F.col("part")))
+        .select("conv_id", "window", "seq", "role", "text", "tokens", F.lit(True).alias("context"))
     )
     shown = own.unionByName(recent).unionByName(system).withColumn(
         "head", F.concat(F.lit(_OPEN), escape_role(F.col("role")), F.lit(_BREAK))

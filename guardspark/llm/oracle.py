@@ -38,9 +38,9 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.compo
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
-# windows: spans of 768 tokens, 256 tokens of history, 4 tokens a turn beside its words
+# windows: spans of 768 tokens packed in stretches of 16, 256 tokens of history, 4 tokens a turn beside its words
 CHAT_WINDOWS = rf"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
     len({_words("text")}) + 4 AS tokens
   FROM (SELECT conv_id, turn, role, text FROM conversations
@@ -52,15 +52,17 @@ WITH t AS (
       || regexp_replace(text, '<(\\*/?turn)', '<\\\1', 'g') || '</turn>') AS chars
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), q AS (
-  SELECT *, before // 768 AS cut, (before + tokens - 1) // 768 > before // 768 AS alone FROM p
-), spans AS (
-  SELECT conv_id, cut, alone, min(seq) AS first, max(seq) AS last, min(before) AS start FROM q GROUP BY ALL
+  SELECT *, seq AS first, before AS start FROM p WHERE seq = 0
+  UNION ALL
+  SELECT p.*, CASE WHEN p.before // 12288 > q.before // 12288 OR p.before + p.tokens - q.start > 768 THEN p.seq ELSE q.first END,
+    CASE WHEN p.before // 12288 > q.before // 12288 OR p.before + p.tokens - q.start > 768 THEN p.before ELSE q.start END
+  FROM q JOIN p ON p.conv_id IS NOT DISTINCT FROM q.conv_id AND p.seq = q.seq + 1
+), spans AS (SELECT DISTINCT conv_id, first, start FROM q
 ), own AS (SELECT conv_id, sum(chars) AS chars FROM q GROUP BY conv_id
 ), recent AS (
   SELECT q.conv_id, sum(q.chars) AS chars FROM q
-  JOIN spans AS a ON q.conv_id = a.conv_id AND q.cut = a.cut AND q.alone = a.alone
-  JOIN spans AS b ON a.conv_id = b.conv_id AND b.first = a.last + 1
-  WHERE NOT (q.seq = 0 AND q.role = 'system') AND b.start - q.before <= 256 GROUP BY q.conv_id
+  JOIN spans AS s ON q.conv_id = s.conv_id AND q.before + q.tokens <= s.start AND q.before >= s.start - 256
+  WHERE NOT (q.seq = 0 AND q.role = 'system') GROUP BY q.conv_id
 ), system AS (
   SELECT q.conv_id, sum(q.chars) AS chars FROM q JOIN spans AS s ON s.conv_id = q.conv_id AND s.first > 0
   WHERE q.seq = 0 AND q.role = 'system' GROUP BY q.conv_id

@@ -96,6 +96,26 @@ def test_windows_keep_the_budget_the_system_turn_and_some_history(spark):
     check(spark, rows, span=200, history=60)
 
 
+@pytest.mark.parametrize("span, history", [(200, 60), (768, 256), (100, 400)])
+def test_spans_are_packed_and_history_is_all_the_budget_allows(spark, span, history):
+    rows = long_rows(700, seed=8)
+    got = chat.windows(convs(spark, rows), span=span, history=history).orderBy("window").collect()
+    sizes = [len(x.split()) + chat.TURN_TOKENS for *_, x in rows]
+    before = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    starts, block = [], None
+    for i, n in enumerate(sizes):
+        mine = before[i] // (chat.BLOCK_SPANS * span)
+        if mine != block or before[i] + n - before[starts[-1]] > span:
+            starts.append(i)
+        block = mine
+    assert [w.window for w in got] == starts
+    for w in got:
+        context = [i for i in range(1, w.window) if before[i] >= before[w.window] - history]
+        assert w.n_context == len(context) + (w.window > 0)  # and the system turn
+        shown = [rows[i][3] for i in ([0] if w.window else []) + context]
+        assert [t.split("\n", 1)[1] for t in w.text.split("</turn>")[: w.n_context]] == shown
+
+
 def test_one_conversation_with_most_rows(spark):
     rows = long_rows(3000, system=False) + [(2, 1, "user", "a"), (2, 2, "assistant", "b")]
     check(spark, rows)
