@@ -140,7 +140,9 @@ def leaves(docs: DataFrame, replaced: Column | None = None, where: Column | None
         leaf.alias("leaf"),
         other.alias("replacement"),
     )
-    return _ranked(rows, [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("replacement")], "tree", "merkle-leaves")
+    # staged: the range sort reads its input twice, and texts are to be read once
+    hashed = staged(rows, "merkle-hashes")
+    return _ranked(hashed, [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("replacement")], "tree", "merkle-leaves")
 
 
 # ----------------------------------------------------------------- upwards
