@@ -21,15 +21,17 @@ Texts whose white space is single spaces and newlines between other characters
 are cut before each space and around each newline.  The byte-level
 pre-tokenizer always starts a token there, so encoding the pieces one by one
 gives the ids of the whole text; each distinct piece of a batch is encoded once,
-or comes from the worker's bounded cache.  Other texts are encoded in one call.
+or comes from the worker's bounded cache.  Other texts are encoded in one call, and so are all texts
+where the tokenizer file is not of that kind (``cuts_at_white_space``).
 
 Defined results: null text is the empty text (its ids are the end id alone);
 null doc_id sorts first; repeated rows are separate documents, in the order of
-their text hash; extra columns are ignored; empty table gives empty files.
+their text hash; very long texts are encoded whole; extra columns are ignored; empty table gives empty files.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import string
 import zlib
@@ -96,6 +98,22 @@ _UNEVEN = (
 )
 
 
+def cuts_at_white_space(tokenizer) -> bool:
+    """Whether texts may be encoded piece by piece: a byte-level BPE whose regex starts a token at each single
+    space and newline, with no normalizer, no randomness, no affixes, and no added token that holds or takes in white space."""
+    spec = json.loads(tokenizer.to_str())
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+    plain = model.get("type") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "ignore_merges")
+    )
+    added = all(
+        not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]))
+        for t in spec.get("added_tokens", [])
+    )
+    return bool(byte_level and plain and added and spec.get("normalizer") is None and not spec.get("truncation") and not spec.get("padding"))
+
+
 class PieceEncoder:
     """Ids of whole texts, through cached pieces."""
 
@@ -105,6 +123,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_piece = cuts_at_white_space(self.tokenizer)
         self.end = array("I", [end_id]).tobytes()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
@@ -142,6 +161,9 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of every text, the end id after each."""
+        if not self.by_piece:
+            blobs = [self.whole(t) + self.end for t in texts.to_pylist()]
+            return _lists(b"".join(blobs), np.asarray([len(b) // 4 for b in blobs], dtype=np.int64))
         uneven = pc.match_substring_regex(texts, _UNEVEN)
         # pieces are parted by U+001F, and the end stands as U+001E: even texts have neither
         cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x1f "), "\n", "\x1f\n\x1f")

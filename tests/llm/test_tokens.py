@@ -33,6 +33,31 @@ def test_pieces_give_the_ids_of_the_whole_text():
     assert enc.encode(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_other_tokenizer_files_encode_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    parts = [" ", " ", "\n", "a", "It's", "Word", "é", "12", "!!", "  ", "漢字", "'ll", "x.", "x y"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(600)]
+    own = json.loads(Tokenizer.from_file(tk.default_tokenizer()).to_str())
+    cases = {"words": json.loads(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).to_str())}
+    cases["prefixed"] = own | {"pre_tokenizer": own["pre_tokenizer"] | {"add_prefix_space": True}}
+    cases["whole"] = own | {"pre_tokenizer": own["pre_tokenizer"] | {"use_regex": False}}
+    cases["lower"] = own | {"normalizer": {"type": "Lowercase"}}
+    cases["added"] = own | {"added_tokens": [*own["added_tokens"], {"id": 50257, "content": "x y", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}]}
+    assert tk.cuts_at_white_space(Tokenizer.from_file(tk.default_tokenizer()))
+    for name, spec in cases.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec))
+        tok = Tokenizer.from_file(str(path))
+        assert not tk.cuts_at_white_space(tok), name
+        want = [tok.encode(t, add_special_tokens=False).ids + [9] for t in texts]
+        assert tk.PieceEncoder(str(path), 9).encode(pa.array(texts)).to_pylist() == want, name
+
+
 def test_cache_of_any_size_gives_the_same(monkeypatch):
     monkeypatch.setattr(tk, "CACHE_PIECES", 3)
     texts = ["the cat, the dog.", "a dog the cat\nthe end", "x" * 200 + " the"] * 3
