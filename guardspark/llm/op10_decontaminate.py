@@ -6,10 +6,10 @@ words (the whole document where that is shorter).  A window and an item are a
 leak when their shingle multisets have a weighted Jaccard similarity
 (sum of minima over sum of maxima) of at least ``SIM_PERCENT`` / 100.
 
-1. Every shingle of every document meets the benchmark's shingles by hash.  A
-   window of a shingles and an item of b can reach the similarity only where
-   they share ``SIM_PERCENT`` * (a + b) / (100 + ``SIM_PERCENT``) or more, so the
-   windows fingerprinted are all those that hold as many shingles of items of
+1. A window of a shingles and an item of b can reach the similarity only where
+   they share ``SIM_PERCENT`` * (a + b) / (100 + ``SIM_PERCENT``) or more.  A bitmap of the
+   benchmark's shingle hashes drops the documents with fewer shingles in it than the smallest item asks
+   for; the shingles of the others meet the benchmark's by hash, and the windows fingerprinted are all those that hold as many shingles of items of
    their size, wherever in the item these stand.
 2. The window's fingerprint has 64 bits, each the majority of that bit over
    the window's shingles; items likewise.
@@ -19,11 +19,10 @@ leak when their shingle multisets have a weighted Jaccard similarity
    0.8 the distance is 9.7 on average with a standard deviation of 2.9.
 4. Exact weighted similarity of every candidate decides.
 
-Scale: documents' shingles are joined where they are made, without a shuffle,
-against the benchmark's shingle hashes; these are broadcast only when counted
-at most ``MAX_BROADCAST`` (16 bytes each), beyond that by Spark's own join.
-Later steps carry documents with a common shingle only.  A passage in many
-documents gives each of them its own windows, keyed by document: no hot key.
+Scale: texts are read once and never shuffled.  The bitmap has ``BITMAP_WORDS`` 64-bit words (half a MB)
+at every size of the benchmark; its false hits only cost later work.  What passes, documents that hold benchmark shingles for the most
+part, is staged as shingle hashes, and all later steps work on that; every join is Spark's own choice.  A passage in many
+documents gives each of them its own windows, keyed by document: no hot key.  Very long texts are cut nowhere.
 
 Defined results: null or blank texts and items leak nothing; an item of fewer
 than five words is one shingle and is found as that word sequence; repeated
@@ -41,7 +40,8 @@ from guardspark.llm.common import free_names, staged, words_col
 WORDS = 5
 SIM_PERCENT = 80
 RADIUS = 20
-MAX_BROADCAST = 200_000
+#: 64-bit words of the bitmap of the benchmark's shingles; a power of two.
+BITMAP_WORDS = 1 << 16
 
 
 def _let(value: Column, use) -> Column:
@@ -120,6 +120,34 @@ def _starts(q: int) -> Column:
     return F.filter(found, lambda r: r["lo"] <= r["hi"])
 
 
+def bitmap(places: DataFrame) -> Column:
+    """The bitmap of the shingles ``x``, as a literal array of ``BITMAP_WORDS`` words."""
+    word = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
+    set_words = places.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = [0] * BITMAP_WORDS
+    for r in set_words.collect():  # BITMAP_WORDS rows at most
+        words[r.word] = r.bits
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
+def _in_bitmap(bits: Column, x: Column) -> Column:
+    word = F.get(bits, F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int"))
+    return F.getbit(word, x.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def near_documents(docs: DataFrame, places: DataFrame, q: int) -> DataFrame:
+    """Staged (doc_id, u, h, sh) of the documents that can leak an item: as many of their
+    shingles are in the bitmap as the smallest item asks for.  ``u`` and ``h`` are the hashes of id
+    and text; rows that agree in both are kept once."""
+    smallest = (places.agg(F.min("m")).first()[0] or q) - (q - 1)
+    bits = bitmap(places)
+    need = F.ceil(F.lit(2 * SIM_PERCENT) * F.least(F.size("sh"), F.lit(smallest)) / F.lit(100 + SIM_PERCENT))
+    own = docs.select("doc_id", F.xxhash64("doc_id").alias("u"), F.xxhash64("text").alias("h"), shingles_col(F.col("text"), q).alias("sh"))
+    shared = F.size(F.filter("sh", lambda x: _in_bitmap(bits, x)))
+    return staged(own.where((F.size("sh") > 0) & (shared >= need)).dropDuplicates(["u", "h"]), "bench-near")
+
+
 def _leaks(docs: DataFrame, items: DataFrame, q: int) -> DataFrame:
     """Leaks of the items whose shingles have ``q`` words."""
     items = items.where(F.col("q") == q)
@@ -127,31 +155,22 @@ def _leaks(docs: DataFrame, items: DataFrame, q: int) -> DataFrame:
         items.select("item", "m", F.posexplode(shingles_col(F.col("text"), q)).alias("j", "x")), "bench-shingles"
     )
     places = item_rows.select("x", "m").distinct()
-    side = F.broadcast(places) if places.count() <= MAX_BROADCAST else places
-    own = docs.select("doc_id", F.xxhash64("text").alias("h"), shingles_col(F.col("text"), q).alias("sh"))
+    own = near_documents(docs, places, q)
     hits = (
-        own.select("doc_id", "h", F.size("sh").alias("ns"), F.posexplode("sh").alias("i", "x"))
-        .join(side, "x")
-        .groupBy("doc_id", "h", "m", "ns")
+        own.select("doc_id", "u", "h", F.size("sh").alias("ns"), F.posexplode("sh").alias("i", "x"))
+        .join(places, "x")
+        .groupBy("doc_id", "u", "h", "m", "ns")
         # places in one document
         .agg(F.array_sort(F.collect_set("i")).alias("at"))
     )
     windows = staged(
-        hits.select("doc_id", "h", "m", F.explode(_starts(q)).alias("run"))
-        .select("doc_id", "h", "m", F.explode(F.sequence("run.lo", "run.hi")).alias("p"))
+        hits.select("doc_id", "u", "h", "m", F.explode(_starts(q)).alias("run"))
+        .select("doc_id", "u", "h", "m", F.explode(F.sequence("run.lo", "run.hi")).alias("p"))
         .withColumn("win", F.monotonically_increasing_id()),
         "bench-windows",
     )
-    near = windows.select("doc_id", "h").distinct().select(F.col("doc_id").alias("d"), F.col("h").alias("hh"))
-    held = staged(
-        docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-        .join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left_semi")
-        .select("doc_id", "h", shingles_col(F.col("text"), q).alias("sh"))
-        .dropDuplicates(["doc_id", "h"]),
-        "bench-near",
-    ).withColumnsRenamed({"doc_id": "d", "h": "hh"})
     rows = staged(
-        windows.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select(
+        windows.drop("doc_id").join(own.drop("doc_id"), ["u", "h"]).select(
             "win", F.explode(F.slice("sh", F.col("p") + 1, F.col("m") - (q - 1))).alias("x")
         ),
         "bench-window-shingles",
