@@ -28,11 +28,15 @@ Two documents are linked when the sets of their 5-word shingles have
 A pair at similarity 0.85 exactly agrees in 54.4 of 64 places on average, with
 a standard deviation of 2.9: fewer than 40 has a probability near 1e-6.
 
+Hot groups: all copies of a text share a fingerprint and all documents of a component its number; the joins that tell each
+document its class and component spread the rows of a key over ``PARTS`` parts.
+
 Defined results: null and blank texts have the empty set (``n_shingles`` 0) and
 are linked with nothing; fewer than five words make one shingle; a row without
 doc_id is linked with nothing, has a null component and is kept; repeated rows
 are each returned; rows with one doc_id and other texts are nodes of their own,
-and ``kept`` compares ids.
+and ``kept`` compares ids; very long texts are shingled whole; other columns are ignored (``deduplicated`` keeps
+all); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,6 +60,10 @@ PREFIX = COORDS - MIN_MATCHES + 1
 BUCKETS = 64
 #: Star rounds before the rest is compared.
 STARS = 2
+#: Parts that the documents of one class or component are spread over.
+PARTS = 32
+#: Rounds in which the components must be complete; each leaves a constant fraction of the nodes.
+ROUNDS = 200
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -233,9 +241,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = staged(edges.where("a <> b").distinct(), "nd-edges")
     total = None
-    for step in range(200):
-        if left.isEmpty():
-            break
+    step = 0
+    while not left.isEmpty():
+        if step == ROUNDS:
+            raise RuntimeError(f"components are not complete after {ROUNDS} rounds")
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("v"))
         sides = left.select(F.col("a").alias("u"), order("b").alias("w")).unionByName(
             left.select(F.col("b").alias("u"), order("a").alias("w"))
@@ -263,6 +272,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "nd-edges",
         )
+        step += 1
     if total is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
     return total
@@ -276,6 +286,14 @@ def _with_comp(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(named, "node", "left").withColumn("comp", F.coalesce("__c", "node")).drop("__c")
 
 
+def _spread_join(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` left joined to ``few``, which has one row per key; the rows of a key, and
+    those without one, are spread over ``PARTS`` parts."""
+    spread = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("uid"), F.lit(PARTS)).cast("int")
+    return rows.withColumn("__part", part).join(spread, [*on, "__part"], "left").drop("__part")
+
+
 def _open_postings(active: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Postings (token, node, comp, centrality, n, s) of tokens under which
     more than one component is posted, with the token's largest component."""
@@ -386,8 +404,8 @@ def membership(docs: DataFrame) -> DataFrame:
     sig = signatures(docs)
     reps = staged(classes(sig), "nd-classes")
     comps = components(links(docs, sig, reps))
-    member = sig.select("uid", "doc_id", "h", "n", "f1", "f2").join(reps, ["f1", "f2"], "left")
-    member = _with_comp(member, comps).withColumn(
+    named = _with_comp(reps.select("f1", "f2", "node"), comps).select("f1", "f2", "comp")
+    member = _spread_join(sig.select("uid", "doc_id", "h", "n", "f1", "f2"), named, ["f1", "f2"]).withColumn(
         # empty sets and rows without an id are linked with nothing
         "comp", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp"))
     )
@@ -400,7 +418,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = member.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     component = F.coalesce("least", "doc_id")
     return (
-        member.join(least, "comp", "left")
+        _spread_join(member, least, ["comp"])
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
