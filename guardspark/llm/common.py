@@ -21,16 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, shared by the driver and
-    all executors.  Only where it is unset (tests) a scratch folder is made."""
+    all executors.  Only where it is unset in a local session (tests) a scratch folder is made; on a
+    cluster nothing else would be seen by all, so that raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         root = tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Folders made by this driver, for ``clear_folders``.
+_made: list[str] = []
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def clear_folders(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far, once all results that are
+    read from them are written; returns how many folders there were."""
+    conf, n = spark._jsc.hadoopConfiguration(), len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 #: Rows of an Arrow batch between the JVM and Python while a table is staged.
