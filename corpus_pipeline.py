@@ -5,6 +5,9 @@ kept, and returns a DataFrame that is written as Parquet and reread as the next
 stage's documents.  All but the last return the columns of ``documents``; the last
 returns the digest of the token files it writes (doc_id, start, n_tokens,
 ids_crc32), one row per document of the mix.
+
+In every stage an empty table gives an empty table, other columns pass through whatever their names, and very long
+texts are taken whole; each stage's docstring says what becomes of nulls, empty texts, repeated rows and ties.
 """
 
 from __future__ import annotations
@@ -19,28 +22,35 @@ from guardspark.llm.common import crc_mod, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
+    """Documents whose toxicity score is below one half.  Null and empty texts have no evidence and the
+    score of none; repeated rows go or stay together; a score of one half goes; rows with a null id are scored, never learnt from."""
     learns = crc_mod(F.col("doc_id"), 5) != 0
     return op2_toxicity.accepted(docs, op2_toxicity.fit(docs, table(spark, sf_dir, "labels"), learns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one with the smallest id.  Null and empty texts are
+    in no group and stay; rows without an id stay; rows that agree in id and text count as one; of
+    rows with one id and other texts in a group, the smallest text hash stays."""
     return op3_neardup.deduplicated(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.  Null and empty texts hold none; rows that agree in id and text, null
+    ids among them, go or stay together; a similarity of exactly the threshold goes."""
     return op10_decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to target weights takes it."""
+    """Each document as often as the mix to target weights takes it, in the order of the mix's slots.  Documents without a word
+    (null and empty texts) are taken 0 times; a null source is a source of its own; repeated rows are
+    documents of their own; equal hashes are ordered by id, size and row."""
     return op9_mix.mixed_documents(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, and their digest read back."""
+    """Token files of all documents, and their digest read back.  A null text is its end id alone; null ids come
+    first; rows of one id are ordered by their text hash."""
     return op8_tokens.tokenized(docs)
 
 

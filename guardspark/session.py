@@ -56,12 +56,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the deployment sets it, and it is read, never replaced; a
-    scratch folder is made only where it is unset (tests).
+    scratch folder is made only where it is unset in a local session (tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         root = tempfile.mkdtemp(prefix="guardspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
