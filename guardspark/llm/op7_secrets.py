@@ -28,8 +28,10 @@ later steps carry positions, keyed by that row, so a document with very many
 parts is the largest group and its cells split it for the join.
 
 Defined results: null and empty texts have no spans; the hash of no spans is
-the hash of the empty string; repeated rows are each scanned; a null doc_id is
-allowed; extra columns are ignored.
+the hash of the empty string; very long texts are scanned whole; a mail address is taken from at most 64
+characters before its ``@`` on, so a longer local part starts late (it is still found); spans with one start stand in the order of
+``KINDS``; repeated rows are each scanned; a null doc_id is
+allowed; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
