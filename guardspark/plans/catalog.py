@@ -704,7 +704,8 @@ def verdict_sink(spark, sf_dir):
     if first is not None:
         SK.write_verdicts(kept.where(F.col("day") == F.lit(first)), path)
     actions = F.array_join(F.transform("input_results", lambda r: r["action"]), "|").alias("input_actions")
-    return SK.read_verdicts(spark, path, kept.schema).select("event_id", "day", "allowed", "overall_action", "summary", actions)
+    day = F.col("day").cast("string").alias("day")
+    return SK.read_verdicts(spark, path, kept.schema).select("event_id", day, "allowed", "overall_action", "summary", actions)
 
 
 def turn_pairs(spark, sf_dir):

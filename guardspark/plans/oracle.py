@@ -1051,7 +1051,7 @@ LIST_TYPE_ERROR = "unhashable type: 'list'"
 
 def q_verdict_sink():
     base = "SELECT event_id AS doc_id, ts, " + with_phrase("concat_ws(' ', event_type, props)", "event_id") + " AS t FROM events"
-    cols = "doc_id AS event_id, ts::DATE AS day"
+    cols = "doc_id AS event_id, ts::DATE::VARCHAR AS day"
     return f"SELECT event_id, day, allowed, overall_action, summary, input_actions FROM ({input_only_sql(base, cols)}) AS v"
 
 

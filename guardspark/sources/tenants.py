@@ -7,7 +7,8 @@ they accept numbers or strings, so the chain is the same code.
 
 A request whose tier has no row, or no tier at all, gets the default policy.
 A threshold or action that is null all the same (a hole in the table) blocks:
-the guards fail closed on it.
+the guards fail closed on it.  A tier that is listed more than once has no decided
+settings: all of them are null, so its requests block, once each.
 
 The policy table is configuration; the join is a plain one and Spark chooses
 its form by the table's bytes.
@@ -55,7 +56,10 @@ def attach_policy(
 ) -> DataFrame:
     """The policy columns of every request; those of ``default`` (the shipped
     policy) where its tier has no row."""
-    joined = requests.join(table.withColumn("__known", F.lit(True)), key, "left")
+    once = F.count(F.lit(1)) == 1
+    settings = [F.when(once, F.first(col)).alias(col) for col in SETTINGS]
+    single = table.groupBy(key).agg(*settings, F.lit(True).alias("__known"))
+    joined = requests.join(single, key, "left")
     known = F.coalesce(F.col("__known"), F.lit(False))
     out = {
         col: F.when(known, F.col(col)).otherwise(F.lit(PL.guard_conf(default, guard)[setting]))
