@@ -28,8 +28,8 @@ Two documents are linked when the sets of their 5-word shingles have
 A pair at similarity 0.85 exactly agrees in 54.4 of 64 places on average, with
 a standard deviation of 2.9: fewer than 40 has a probability near 1e-6.
 
-Hot groups: all copies of a text share a fingerprint and all documents of a component its number; the joins that tell each
-document its class and component spread the rows of a key over ``PARTS`` parts.
+Hot groups: all copies of a text share a fingerprint, so components are joined to the classes, one row each, and only
+then to the documents; that join and the one by component have one row per key on their other side, and Spark splits their skewed partitions.
 
 Defined results: null and blank texts have the empty set (``n_shingles`` 0) and
 are linked with nothing; fewer than five words make one shingle; a row without
@@ -60,8 +60,6 @@ PREFIX = COORDS - MIN_MATCHES + 1
 BUCKETS = 64
 #: Star rounds before the rest is compared.
 STARS = 2
-#: Parts that the documents of one class or component are spread over.
-PARTS = 32
 #: Rounds in which the components must be complete; each leaves a constant fraction of the nodes.
 ROUNDS = 200
 
@@ -286,14 +284,6 @@ def _with_comp(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(named, "node", "left").withColumn("comp", F.coalesce("__c", "node")).drop("__c")
 
 
-def _spread_join(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` left joined to ``few``, which has one row per key; the rows of a key, and
-    those without one, are spread over ``PARTS`` parts."""
-    spread = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    part = F.pmod(F.xxhash64("uid"), F.lit(PARTS)).cast("int")
-    return rows.withColumn("__part", part).join(spread, [*on, "__part"], "left").drop("__part")
-
-
 def _open_postings(active: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Postings (token, node, comp, centrality, n, s) of tokens under which
     more than one component is posted, with the token's largest component."""
@@ -405,7 +395,7 @@ def membership(docs: DataFrame) -> DataFrame:
     reps = staged(classes(sig), "nd-classes")
     comps = components(links(docs, sig, reps))
     named = _with_comp(reps.select("f1", "f2", "node"), comps).select("f1", "f2", "comp")
-    member = _spread_join(sig.select("uid", "doc_id", "h", "n", "f1", "f2"), named, ["f1", "f2"]).withColumn(
+    member = sig.select("uid", "doc_id", "h", "n", "f1", "f2").join(named, ["f1", "f2"], "left").withColumn(
         # empty sets and rows without an id are linked with nothing
         "comp", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("comp"))
     )
@@ -418,7 +408,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = member.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     component = F.coalesce("least", "doc_id")
     return (
-        _spread_join(member, least, ["comp"])
+        member.join(least, "comp", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
