@@ -11,15 +11,19 @@ the guards fail closed on it.  A tier that is listed more than once has no decid
 settings: all of them are null, so its requests block, once each.
 
 The policy table is configuration; the join is a plain one and Spark chooses
-its form by the table's bytes.
+its form by the table's bytes, which are known of ``policy_table``: the texts stay where they are read.
+Where a table is not broadcast, the texts are shuffled, and a few tiers hold all requests: each tier's
+requests (those without a tier too) are dealt over ``SPREAD`` keys, so no task reads a whole tier.
 """
 
 from __future__ import annotations
 
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guardspark import policy as PL
 from guardspark.plans import verdict
@@ -32,6 +36,9 @@ TIERS: list[tuple[str, float, str, float, str, str]] = [
     ("lenient", 0.9, "warn", 0.9, "warn", "warn"),
 ]
 
+#: Keys that the requests of one tier are dealt over.
+SPREAD = 32
+
 # Column of the policy table -> (guard, setting) it overrides.
 SETTINGS: dict[str, tuple[str, str]] = {
     "pii_threshold": ("pii_detector", "confidence_threshold"),
@@ -43,12 +50,9 @@ SETTINGS: dict[str, tuple[str, str]] = {
 
 
 def policy_table(spark: SparkSession) -> DataFrame:
-    """Tier rows keyed by ``tenant_tier``."""
-    return spark.createDataFrame(
-        TIERS,
-        "tenant_tier string, pii_threshold double, pii_action string, "
-        "injection_threshold double, toxic_action string, topic_action string",
-    )
+    """Tier rows keyed by ``tenant_tier``; from Arrow, as Spark knows no size of a table made from a list."""
+    names = ["tenant_tier", "pii_threshold", "pii_action", "injection_threshold", "toxic_action", "topic_action"]
+    return spark.createDataFrame(pa.table([list(c) for c in zip(*TIERS, strict=True)], names=names))
 
 
 def attach_policy(
@@ -59,7 +63,10 @@ def attach_policy(
     once = F.count(F.lit(1)) == 1
     settings = [F.when(once, F.first(col)).alias(col) for col in SETTINGS]
     single = table.groupBy(key).agg(*settings, F.lit(True).alias("__known"))
-    joined = requests.join(single, key, "left")
+    dealt = single.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    plain = [f.name for f in requests.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    deal = F.pmod(F.xxhash64(*plain), F.lit(SPREAD)).cast("int")
+    joined = requests.withColumn("__deal", deal).join(dealt, [key, "__deal"], "left").drop("__deal")
     known = F.coalesce(F.col("__known"), F.lit(False))
     out = {
         col: F.when(known, F.col(col)).otherwise(F.lit(PL.guard_conf(default, guard)[setting]))
