@@ -21,6 +21,10 @@ from guardspark.llm import op2_toxicity, op3_neardup, op8_tokens, op9_mix, op10_
 from guardspark.llm.common import crc_mod, staged, table
 
 
+#: Pieces a worker's token cache keeps here, where the executors still hold what the stages before took.
+TOKEN_PIECES = 100_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half.  Null and empty texts have no evidence and the
     score of none; repeated rows go or stay together; a score of one half goes; rows with a null id are scored, never learnt from."""
@@ -51,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, and their digest read back.  A null text is its end id alone; null ids come
     first; rows of one id are ordered by their text hash."""
-    return op8_tokens.tokenized(docs)
+    return op8_tokens.tokenized(docs, pieces=TOKEN_PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

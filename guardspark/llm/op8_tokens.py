@@ -50,13 +50,14 @@ END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 5000
-#: Pieces kept by one Python worker (twice), and the longest piece worth keeping.
+#: Pieces kept by one Python worker (twice; some 400 bytes each), and the longest piece worth keeping.
 CACHE_PIECES = 420_000
 CACHE_CHARS = 48
 #: Text encoded at a time by one Python worker.
-SLICE_BYTES = 4 << 20
-#: Rows of an Arrow batch while tokens are written: some slices' worth.
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch while tokens are written, and its bytes: some slices' worth, however long the texts are.
 ARROW_ROWS = 5000
+ARROW_BYTES = 8 << 20
 
 FORMAT = {
     "compression": "zstd",
@@ -117,7 +118,7 @@ def cuts_at_white_space(tokenizer) -> bool:
 class PieceEncoder:
     """Ids of whole texts, through cached pieces."""
 
-    def __init__(self, path: str, end_id: int) -> None:
+    def __init__(self, path: str, end_id: int, pieces: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -129,6 +130,7 @@ class PieceEncoder:
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
         # two generations: a full one becomes the older, pieces met again move up
+        self.pieces = CACHE_PIECES if pieces is None else pieces
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -154,7 +156,7 @@ class PieceEncoder:
             else:
                 got = self.whole(piece) if piece else b""
         if len(piece) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_PIECES:
+            if len(self.known) >= self.pieces:
                 self.older, self.known = self.known, {"\x1e": self.end}
             self.known[piece] = got
         return got
@@ -193,12 +195,12 @@ def _lists(blob: bytes, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(blob, dtype="<i4")))
 
 
-_encoders: dict[tuple[str, int], PieceEncoder] = {}
+_encoders: dict[tuple[str, int, int | None], PieceEncoder] = {}
 
 
-def encoder(path: str, end_id: int) -> PieceEncoder:
+def encoder(path: str, end_id: int, pieces: int | None = None) -> PieceEncoder:
     """One tokenizer and piece cache per worker process."""
-    key = (path, end_id)
+    key = (path, end_id, pieces)
     if key not in _encoders:
         _encoders[key] = PieceEncoder(*key)
     return _encoders[key]
@@ -215,12 +217,12 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _encode_batches(path: str, end_id: int):
+def _encode_batches(path: str, end_id: int, pieces: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc, row = encoder(path, end_id), 0
+        enc, row = encoder(path, end_id, pieces), 0
         for batch in batches:
             for at, n in _slices(batch.column("text")):
                 piece = batch.slice(at, n)
@@ -242,11 +244,12 @@ def _encode_batches(path: str, end_id: int):
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID
+    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, pieces: int | None = None
 ) -> str:
-    """Encode ``docs`` (doc_id, text) into the format above; returns ``path``."""
+    """Encode ``docs`` (doc_id, text) into the format above; returns ``path``.  ``pieces``: a worker's
+    cache, where ``CACHE_PIECES`` is too much memory; the files do not depend on it."""
     spark = docs.sparkSession
-    run = _encode_batches(tokenizer or default_tokenizer(), end_id)
+    run = _encode_batches(tokenizer or default_tokenizer(), end_id, pieces)
     encoded = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .withColumn("h", F.xxhash64("text"))
@@ -255,7 +258,7 @@ def write_tokens(
         .select("doc_id", "text")
         .mapInArrow(run, TOKEN_SCHEMA)
     )
-    with small_batches(spark, ARROW_ROWS):
+    with small_batches(spark, ARROW_ROWS, ARROW_BYTES):
         encoded.write.options(**FORMAT).parquet(f"{path}/tokens")
     meta = spark.read.schema(TOKEN_SCHEMA).parquet(f"{path}/tokens").drop("ids")
     per_part = meta.groupBy("part").agg(F.sum("n_tokens").alias("total"))
@@ -312,7 +315,9 @@ def file_digest(spark: SparkSession, path: str) -> DataFrame:
     return crcs.join(starts, ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def tokenized(
+    docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, pieces: int | None = None
+) -> DataFrame:
     """Write the files into a fresh shared folder and return their digest."""
-    path = write_tokens(docs, fresh_folder(docs.sparkSession, "tokens"), tokenizer, end_id)
+    path = write_tokens(docs, fresh_folder(docs.sparkSession, "tokens"), tokenizer, end_id, pieces)
     return file_digest(docs.sparkSession, path)

@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from helpers import SF, awkward, docs_df
+from pyspark.sql import functions as F
 
 from guardspark.llm import op8_tokens as tk
-from guardspark.llm.common import fresh_folder
+from guardspark.llm.common import fresh_folder, small_batches
 
 
 def whole(texts):
@@ -65,6 +66,31 @@ def test_cache_of_any_size_gives_the_same(monkeypatch):
     assert enc.encode(pa.array(texts)).to_pylist() == whole(texts)
 
 
+def test_a_smaller_cache_is_kept_to_and_gives_the_same(spark):
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(3000)}x" for _ in range(200)) for _ in range(60)]
+    enc = tk.PieceEncoder(tk.default_tokenizer(), tk.END_ID, 500)
+    for t, want in zip(texts, whole(texts), strict=True):
+        assert enc.encode(pa.array([t])).to_pylist() == [want]
+        assert len(enc.known) <= 500 and len(enc.older) <= 500
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    assert digest(tk.tokenized(docs_df(spark, rows), pieces=500)) == expected([(i, t) for i, t, _ in rows])
+
+
+def test_batches_of_long_texts_are_cut_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+    with small_batches(spark, 5000, 1 << 20):
+        got = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 60 and len(got) > 1
+    assert max(r["size"] for r in got) < 2 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def expected(rows):
     """Digest rows in ascending id order, from the tokenizer."""
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
