@@ -23,6 +23,8 @@ from guardspark.llm.common import crc_mod, staged, table
 
 #: Pieces a worker's token cache keeps here, where the executors still hold what the stages before took.
 TOKEN_PIECES = 100_000
+#: And the text it encodes at a time.
+TOKEN_SLICE_BYTES = 2 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, and their digest read back.  A null text is its end id alone; null ids come
     first; rows of one id are ordered by their text hash."""
-    return op8_tokens.tokenized(docs, pieces=TOKEN_PIECES)
+    return op8_tokens.tokenized(docs, pieces=TOKEN_PIECES, slice_bytes=TOKEN_SLICE_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -132,3 +132,28 @@ def test_files_are_selective(spark):
     assert sorted(r.doc_id for r in tk.read_tokens(spark, path, 5, 9).select("doc_id").collect()) == [5, 6, 7, 8, 9]
     index = tk.read_index(spark, path)
     assert "ids" not in index.columns and index.count() == docs.count()
+
+
+def test_slices_are_large_enough_to_look_pieces_up_seldom(spark):
+    # 12 MB of texts, 1,200 rows: three slices and a rest, six before
+    texts = pa.array(["wörter " * 1250] * 1200)
+    assert len(list(tk._slices(texts))) <= 4
+    assert len(list(tk._slices(texts, 2 << 20))) >= 6
+    rows = [(i, f"some {i} words of {i % 7}", "a") for i in range(60)]
+    want = expected([(i, t) for i, t, _ in rows])
+    assert digest(tk.tokenized(docs_df(spark, rows), slice_bytes=100)) == digest(tk.tokenized(docs_df(spark, rows))) == want
+
+
+def test_a_piece_is_asked_for_once_in_each_cache():
+    class Asked(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    enc = tk.PieceEncoder(tk.default_tokenizer(), tk.END_ID)
+    enc.known, enc.older = Asked(), Asked()
+    enc.encode(pa.array(["one two three"]))
+    # three words and the end; twice for each word before
+    assert (enc.known.asked, enc.older.asked) == (4, 3)
