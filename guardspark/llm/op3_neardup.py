@@ -60,6 +60,8 @@ PREFIX = COORDS - MIN_MATCHES + 1
 BUCKETS = 64
 #: Star rounds before the rest is compared.
 STARS = 2
+#: Words of the bitmap of posted ids (64 bits each, some 10 MB in an executor at most); a power of two.
+BITMAP_WORDS = 1 << 18
 #: Rounds in which the components must be complete; each leaves a constant fraction of the nodes.
 ROUNDS = 200
 
@@ -352,13 +354,33 @@ def rest_pairs(post: DataFrame, active: DataFrame) -> DataFrame:
     )
 
 
+def _perhaps_posted(texts: DataFrame, posted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id is in a bitmap of the posted ids: all posted ones, and others by chance,
+    more of them the more ids are posted (a tenth with 1.7 million)."""
+    x = F.xxhash64("doc_id")
+    word = F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).alias("__word")
+    bit = F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))")
+    bits = posted.select(word, bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    return (
+        texts.withColumn("__word", word)
+        .join(F.broadcast(bits), "__word")  # BITMAP_WORDS rows at most, whatever the input
+        .where(F.getbit("__bits", x.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        .select(texts.columns)
+    )
+
+
+def posted_texts(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) of the posted ids.  The bitmap leaves most other texts where they are read, so these are not shuffled
+    (a semi-join would be moved below it, and shuffle them all)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _perhaps_posted(texts, posted).join(posted.select("doc_id").distinct(), "doc_id")
+
+
 def links(docs: DataFrame, sig: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between class nodes that suffice for all components."""
     posted = staged(prefixes(sig, reps), "nd-prefixes")
     # full sets of the posting documents only, from their whole texts
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        posted.select("doc_id"), "doc_id", "left_semi"
-    )
+    texts = posted_texts(docs, posted)
     sets = texts.select("text").mapInArrow(_sets, "f1 long, f2 long, shingles array<long>, buckets array<long>").dropDuplicates(["f1", "f2"])
     held = staged(posted.join(sets, ["f1", "f2"]), "nd-sets")
     bucket = F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")

@@ -100,3 +100,23 @@ def test_one_row_of_each_group_stays(spark):
     ids = Counter(r.doc_id for r in left.select("doc_id").collect())
     want = brute([(i, t) for i, t, _ in rows])
     assert ids == Counter({None: 1} | {i: 1 for i, (_, c) in want.items() if i == c})
+
+
+def test_texts_that_post_nothing_are_not_shuffled(spark):
+    rows = [(i, f"text {i}", "a") for i in range(3000)] + [(7, "again", "a"), (None, "none", "a")]
+    docs = docs_df(spark, rows)
+    posted = docs.where("doc_id % 100 = 7").select("doc_id").distinct()
+    want = sorted((i, t) for i, t, _ in rows if i is not None and i % 100 == 7)
+    assert sorted(map(tuple, nd.posted_texts(docs, posted).collect())) == want
+    # the bitmap comes before the join that shuffles
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = nd.posted_texts(docs, posted)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert 0 <= plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")
+    # what goes to the join, all rows before: the posted ones and next to no others
+    passed = {tuple(r) for r in nd._perhaps_posted(docs.select("doc_id", "text"), posted).collect()}
+    assert set(want) <= passed and len(passed) < len(want) + 30
