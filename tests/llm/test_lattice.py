@@ -177,3 +177,37 @@ def test_learning_without_training_documents_changes_nothing(spark):
     docs = docs_df(spark, awkward())
     a, b = (sorted((str(g.doc_id), g.score) for g in lm.scored(docs, F.lit(True), rounds=n).collect()) for n in (0, 2))
     assert a == b
+
+
+def test_all_distinct_training_words_teach_the_weights(spark):
+    # pieces of one character, so that a word's cuts have each of its characters once
+    pieces = dict.fromkeys([lm.MARK, "w", "z", *"0123456789abcdef"], math.log(1 / 19))
+    n = 120_000
+    seldom = F.when(F.col("id") % 6000 == 17, "z").otherwise("")
+    counts = spark.range(n).select(F.concat(F.lit("w"), F.lower(F.hex("id")), seldom).alias("word"), F.lit(1).alias("c"), F.lit(1).alias("f"))
+    counts = counts.union(spark.range(50).select(F.concat(F.lit("zz"), "id"), F.lit(0), F.lit(1)))  # not of training
+    letters = Counter("".join(f"{lm.MARK}w{i:x}{'z' * (i % 6000 == 17)}" for i in range(n)))
+    got = lm.fitted(counts, lm.Lattice(pieces, longest=1, occurrences=n, distinct=n, ends=1), 1)
+    total = sum(letters.values()) + lm.PRIOR
+    assert {c: math.exp(p) * total for c, p in got.pieces.items()} == pytest.approx({c: letters[c] + lm.PRIOR / 19 for c in pieces}, rel=1e-6)
+    assert letters["z"] == 20
+
+
+def test_many_words_at_once_are_as_one_by_one(monkeypatch):
+    r = random.Random(7)
+    pieces = ["a", "b", "ab", "ba", "aba", lm.MARK, lm.MARK + "a", lm.MARK + "ab", "é", "bbbb", "漢a"]
+    lattice = lm.Lattice({p: math.log(r.random() / 4) for p in pieces}, [math.log(r.random() / 300) for _ in range(256)], 4)
+    words = ["".join(r.choice("abcé漢😀") for _ in range(r.randint(0, 14))) for _ in range(300)] + ["", "a", "ab" * 2000, "😀"]
+    monkeypatch.setattr(lm, "LONG", 12)
+    for together in (1, 50, 10**6):
+        monkeypatch.setattr(lm, "TOGETHER", together)
+        assert lattice.log10_words(words) == pytest.approx([lattice.log10_word(w) for w in words], rel=1e-12)
+        want, have = Counter(), Counter()
+        for w in words:
+            lattice.expect(w, want)
+        lattice.expect_all(words, have)
+        assert have == pytest.approx(want, rel=1e-9)
+    assert lattice.log10_words([]) == []
+    # a vocabulary of bytes alone
+    spelt = lm.Lattice()
+    assert spelt.log10_words(["ab"]) == pytest.approx([spelt.log10_word("ab")])
